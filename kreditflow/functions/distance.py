@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 
 
@@ -23,8 +25,8 @@ def _term(feature: str) -> dict[str, Column]:
         "feature": F.lit(feature),
         "applicant_val": v,
         "defaulter_avg": F.lit(d),
-        "raw_distance": F.round(clamped, 4),
-        "weighted": F.round(clamped * F.lit(w), 4),
+        "raw_distance": pround(clamped, 4),
+        "weighted": pround(clamped * F.lit(w), 4),
         "better": clamped > 0,
     }
 
@@ -38,4 +40,4 @@ def distance_terms() -> Column:
 def distance_score() -> Column:
     """Sum of the 4-place rounded weighted terms, mapped to 0..1 and rounded."""
     total = reduce(lambda a, b: a + b, [_term(f)["weighted"] for f in K.DEFAULTER_PROFILE])
-    return F.round((total + F.lit(1.0)) / F.lit(2.0), 4)
+    return pround((total + F.lit(1.0)) / F.lit(2.0), 4)

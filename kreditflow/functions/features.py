@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 
 
@@ -106,8 +108,8 @@ def add_engineered_rounded(df: DataFrame) -> DataFrame:
     """SCL-10: engineered columns for hand-entered profiles, rounded to 2 and 3 places."""
     return df.withColumns(
         {
-            "debt_burden": F.round(debt_burden(F.col("dti"), F.col("annual_inc")), 2),
-            "credit_utilization_pressure": F.round(utilization_pressure(F.col("revol_bal"), F.col("annual_inc")), 3),
+            "debt_burden": pround(debt_burden(F.col("dti"), F.col("annual_inc")), 2),
+            "credit_utilization_pressure": pround(utilization_pressure(F.col("revol_bal"), F.col("annual_inc")), 3),
             "has_public_record": has_public_record(F.col("pub_rec")),
             "high_dti_low_income": high_dti_low_income(F.col("dti"), F.col("annual_inc")),
         }

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 
 OFFER_LABELS = [o[0] for o in K.OFFERS]
@@ -16,7 +18,7 @@ OFFER_BY_LABEL = {o[0]: o for o in K.OFFERS}
 def monthly_payment(amount: Column, apr: Column, term_months: Column) -> Column:
     """SCL-15: annuity payment rounded to cents."""
     r = apr / F.lit(12)
-    return F.round(amount * r / (F.lit(1) - F.pow(F.lit(1) + r, -term_months)), 2)
+    return pround(amount * r / (F.lit(1) - F.pow(F.lit(1) + r, -term_months)), 2)
 
 
 def offer_payment(label: str) -> Column:
@@ -99,7 +101,7 @@ def plans_struct(annual_inc: Column, dti: Column) -> dict[str, Column]:
         out[f"plan_{p}_amount"] = F.lit(float(amount))
         out[f"plan_{p}_monthly"] = offer_payment(lab)
         out[f"plan_{p}_fits"] = offer_payment(lab) <= room
-    out["dti_headroom"] = F.round(room, 2)
+    out["dti_headroom"] = pround(room, 2)
     return out
 
 

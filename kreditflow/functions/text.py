@@ -9,23 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 
 
 def fmt_1f(v: Column) -> Column:
-    return F.format_string("%.1f", F.round(v, 1))
+    return F.format_string("%.1f", pround(v, 1))
 
 
 def fmt_0f(v: Column) -> Column:
-    return F.format_string("%.0f", F.round(v, 0))
+    return F.format_string("%.0f", pround(v, 0))
 
 
 def fmt_comma(v: Column) -> Column:
-    return F.format_number(F.round(v, 0), 0)
+    return F.format_number(pround(v, 0), 0)
 
 
 def fmt_pct(v: Column) -> Column:
-    return F.format_string("%.1f", F.round(v * F.lit(100), 1))
+    return F.format_string("%.1f", pround(v * F.lit(100), 1))
 
 
 FORMATTERS = {"1f": fmt_1f, "0f": fmt_0f, "comma": fmt_comma, "pct": fmt_pct}

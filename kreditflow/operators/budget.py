@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from kreditflow.functions.numeric import pround
 from pyspark.sql import types as T
 
 from kreditflow import constants as K
@@ -90,7 +92,7 @@ def approve_in_order(
         out = out.unionByName(d)
     out = out.withColumn("_appr", F.when(F.col("budget_status") == "APPROVED", F.col(amount_col)).otherwise(F.lit(0.0)))
     out = prefix_sum(out, [pool_col], order, "_appr", "_deployed")
-    return out.withColumn("budget_remaining", F.round(F.lit(budget) - F.col("_deployed"), 2)).drop(
+    return out.withColumn("budget_remaining", pround(F.lit(budget) - F.col("_deployed"), 2)).drop(
         "_appr", "_deployed", "_pos", BUCKET
     )
 
@@ -101,16 +103,16 @@ def budget_message(status, amount, remaining):
         status == "APPROVED",
         F.concat(
             F.lit("Approved as Tier 3 trial loan — $"),
-            F.format_string("%.0f", F.round(amount, 0)),
+            F.format_string("%.0f", pround(amount, 0)),
             F.lit(" at 9% APR over 6 months. Budget remaining: $"),
-            F.format_number(F.round(remaining, 2), 2),
+            F.format_number(pround(remaining, 2), 2),
         ),
     ).otherwise(
         F.concat(
             F.lit("Tier 3 budget currently exhausted ($"),
-            F.format_string("%.2f", F.round(remaining, 2)),
+            F.format_string("%.2f", pround(remaining, 2)),
             F.lit(" remaining, need $"),
-            F.format_string("%.0f", F.round(amount, 0)),
+            F.format_string("%.0f", pround(amount, 0)),
             F.lit("). You have been added to the waitlist and will be reconsidered as repayments come in."),
         )
     )
@@ -237,8 +239,8 @@ def status_from_requests(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDG
     approved = F.col("budget_status") == "APPROVED"
     return decided.groupBy(pool_col).agg(
         F.lit(budget).alias("total_budget"),
-        F.round(F.sum(F.when(approved, F.col("trial_amount")).otherwise(0.0)), 2).alias("amount_deployed"),
-        F.round(F.lit(budget) - F.sum(F.when(approved, F.col("trial_amount")).otherwise(0.0)), 2).alias("remaining"),
+        pround(F.sum(F.when(approved, F.col("trial_amount")).otherwise(0.0)), 2).alias("amount_deployed"),
+        pround(F.lit(budget) - F.sum(F.when(approved, F.col("trial_amount")).otherwise(0.0)), 2).alias("remaining"),
         F.count_if(approved).alias("approved"),
         F.count_if(~approved).alias("waitlisted"),
     )
@@ -254,6 +256,6 @@ def status_from_fold(folded: DataFrame) -> DataFrame:
     resolved = F.col("s.amount_repaid") + F.col("s.amount_defaulted")
     return s.select(
         "pool_id", "s.total_budget", "s.amount_deployed", "s.remaining", "s.amount_repaid", "s.amount_defaulted",
-        F.when(resolved > 0, F.round(F.col("s.amount_repaid") / resolved, 4)).alias("repay_rate"),
+        F.when(resolved > 0, pround(F.col("s.amount_repaid") / resolved, 4)).alias("repay_rate"),
         "approved", F.col("s.waitlist_size").alias("waitlisted"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 from kreditflow.functions import features as FE
 from kreditflow.sources.loans import loans
@@ -45,7 +47,7 @@ def surrogate_logit(df_cols: dict[str, Column] | None = None) -> Column:
 
 
 def surrogate_prob() -> Column:
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-surrogate_logit())), 4)
+    return pround(F.lit(1.0) / (F.lit(1.0) + F.exp(-surrogate_logit())), 4)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

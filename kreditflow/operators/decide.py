@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 from kreditflow.functions import offers as OF
 from kreditflow.functions.distance import distance_score
@@ -60,7 +62,7 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
     has_model = F.col("model_version").isNotNull()
     out = out.withColumns(
         {
-            "repay_probability": F.when(has_model & valid, F.round(p, 4)),
+            "repay_probability": F.when(has_model & valid, pround(p, 4)),
             "distance_score": F.when(has_model & valid, d),
             "tier": F.when(~has_model | ~valid, F.lit(0)).otherwise(t),
         }
@@ -171,7 +173,7 @@ def decision_record(dec: DataFrame, extra: list[str] | None = None) -> DataFrame
         F.coalesce(F.col("high_dti_low_income"), F.lit(0)).cast("int").alias("high_dti_low_income"),
     ]
     cols += [F.col(c) for c in (extra or [])]
-    return dec.filter(F.col("decision") != "ERROR").select(*cols)
+    return dec.filter(F.col("tier") > 0).select(*cols)
 
 
 DECISION_LOG_COLUMNS = [

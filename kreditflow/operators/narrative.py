@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 from kreditflow.functions.text import note
 
@@ -50,12 +52,12 @@ def narrative_steps(attr: Column, base_logit: Column) -> Column:
         return F.struct(
             (i + 1).alias("step"),
             s["feature"].alias("feature"),
-            F.round(s["shap"], 4).alias("shap"),
-            F.round(new_pct - to_pct(prev), 2).alias("impact_pct"),
-            F.round(new_pct, 2).alias("running_prob"),
+            pround(s["shap"], 4).alias("shap"),
+            pround(new_pct - to_pct(prev), 2).alias("impact_pct"),
+            pround(new_pct, 2).alias("running_prob"),
             F.when(s["shap"] > 0, F.lit("positive")).when(s["shap"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
             note(s["feature"], s["shap"], s["value"]).alias("note"),
-            F.round(s["value"], 4).alias("value"),
+            pround(s["value"], 4).alias("value"),
         )
 
     return F.transform(srt, step)
@@ -63,7 +65,7 @@ def narrative_steps(attr: Column, base_logit: Column) -> Column:
 
 def final_confidence(attr: Column, base_logit: Column) -> Column:
     """Final narrative confidence (raw log-odds, not the calibrated score)."""
-    return F.round(to_pct(F.aggregate(attr, base_logit, lambda acc, x: acc + x["shap"])), 2)
+    return pround(to_pct(F.aggregate(attr, base_logit, lambda acc, x: acc + x["shap"])), 2)
 
 
 def decline_reasons(steps: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kreditflow.functions.numeric import pround
+
 from kreditflow import constants as K
 from kreditflow.operators import clean as C
 from kreditflow.operators import decide as D
@@ -37,5 +39,5 @@ def decision_summary(dec: DataFrame) -> DataFrame:
     return dec.groupBy("tier", "decision", "offer_tier").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(approved, amount).otherwise(F.lit(0.0))).alias("approved_amount"),
-        F.round(F.avg("repay_probability"), 6).alias("mean_repay_prob"),
+        pround(F.avg("repay_probability"), 6).alias("mean_repay_prob"),
     )
