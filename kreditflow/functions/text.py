@@ -33,51 +33,60 @@ def fmt_pct(v: Column) -> Column:
 FORMATTERS = {"1f": fmt_1f, "0f": fmt_0f, "comma": fmt_comma, "pct": fmt_pct}
 
 
-def _fill(template: str, value_text: Column | None) -> Column:
-    if "{v}" not in template:
-        return F.lit(template)
-    pre, post = template.split("{v}", 1)
-    return F.concat(F.lit(pre), value_text, F.lit(post))
+def _lit_map(d: dict) -> Column:
+    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+
+def _split(tpl: str) -> tuple[str, str]:
+    return tuple(tpl.split("{v}", 1)) if "{v}" in tpl else (tpl, "")  # type: ignore[return-value]
+
+
+def _formatted(kind: Column, value: Column) -> Column:
+    return (
+        F.when(kind == "1f", fmt_1f(value))
+        .when(kind == "0f", fmt_0f(value))
+        .when(kind == "comma", fmt_comma(value))
+        .when(kind == "pct", fmt_pct(value))
+    )
 
 
 def note(feature: Column, shap: Column, value: Column) -> Column:
     """SCL-21: note for one narrative step.
 
-    Positive / negative templates per feature, the employment-zero and
-    utilisation special cases, a neutral note for zero attribution, and a
-    generic note where the value needed by the template is missing.
+    Templates are looked up in literal maps (prefix, suffix, whether a value
+    is printed), so the expression stays small enough for whole-stage
+    codegen.  Special cases: employment of zero years, utilisation pressure
+    below 0.30 on the negative side, a neutral note for zero attribution, and
+    a generic note when a value the template needs is missing.
     """
-    pos = F.when(F.lit(False), F.lit(None))
-    neg = F.when(F.lit(False), F.lit(None))
-    for f in K.ALL_FEATURES:
-        kind = K.NOTE_FORMATS[f]
-        txt = FORMATTERS[kind](value) if kind in FORMATTERS else None
-        p_tpl, n_tpl = K.POSITIVE_TEMPLATES[f], K.NEGATIVE_TEMPLATES[f]
-        needs_value = "{v}" in p_tpl or f in ("emp_length", "credit_utilization_pressure")
-        needs_value_n = "{v}" in n_tpl or f in ("emp_length", "credit_utilization_pressure")
-        generic_p = F.lit(f"{f} contributed positively")
-        generic_n = F.lit(f"{f} contributed negatively")
-        if f == "emp_length":
-            p_expr = F.when(value == 0, F.lit(K.EMP_ZERO_POSITIVE)).otherwise(_fill(p_tpl, txt))
-            n_expr = F.when(value == 0, F.lit(K.EMP_ZERO_NEGATIVE)).otherwise(_fill(n_tpl, txt))
-        elif f == "credit_utilization_pressure":
-            p_expr = _fill(p_tpl, txt)
-            n_expr = F.when(value < K.PRESSURE_SPLIT, _fill(K.PRESSURE_MANAGEABLE, txt)).otherwise(_fill(n_tpl, txt))
-        else:
-            p_expr, n_expr = _fill(p_tpl, txt), _fill(n_tpl, txt)
-        if needs_value:
-            p_expr = F.when(value.isNull(), generic_p).otherwise(p_expr)
-        if needs_value_n:
-            n_expr = F.when(value.isNull(), generic_n).otherwise(n_expr)
-        pos = pos.when(feature == f, p_expr)
-        neg = neg.when(feature == f, n_expr)
-    pos = pos.otherwise(F.concat(feature, F.lit(" contributed positively")))
-    neg = neg.otherwise(F.concat(feature, F.lit(" raised concern")))
-    return (
-        F.when(shap > 0, pos)
-        .when(shap < 0, neg)
-        .otherwise(F.concat(feature, F.lit(" had negligible impact")))
+    pos_pre = _lit_map({f: _split(t)[0] for f, t in K.POSITIVE_TEMPLATES.items()})
+    pos_suf = _lit_map({f: _split(t)[1] for f, t in K.POSITIVE_TEMPLATES.items()})
+    neg_pre = _lit_map({f: _split(t)[0] for f, t in K.NEGATIVE_TEMPLATES.items()})
+    neg_suf = _lit_map({f: _split(t)[1] for f, t in K.NEGATIVE_TEMPLATES.items()})
+    pos_has = F.array(*[F.lit(f) for f, t in K.POSITIVE_TEMPLATES.items() if "{v}" in t or f in ("emp_length", "credit_utilization_pressure")])
+    neg_has = F.array(*[F.lit(f) for f, t in K.NEGATIVE_TEMPLATES.items() if "{v}" in t or f in ("emp_length", "credit_utilization_pressure")])
+    kind = F.try_element_at(_lit_map(K.NOTE_FORMATS), feature)
+    txt = F.coalesce(_formatted(kind, value), F.lit(""))
+    known = F.array_contains(F.array(*[F.lit(f) for f in K.ALL_FEATURES]), feature)
+    mp, ms = F.try_element_at(pos_pre, feature), F.try_element_at(pos_suf, feature)
+    np_, ns = F.try_element_at(neg_pre, feature), F.try_element_at(neg_suf, feature)
+    m_pre, m_suf = _split(K.PRESSURE_MANAGEABLE)
+    pos = (
+        F.when(~known, F.concat(feature, F.lit(" contributed positively")))
+        .when(F.array_contains(pos_has, feature) & value.isNull(), F.concat(feature, F.lit(" contributed positively")))
+        .when((feature == "emp_length") & (value == 0), F.lit(K.EMP_ZERO_POSITIVE))
+        .when(F.array_contains(pos_has, feature), F.concat(mp, txt, ms))
+        .otherwise(mp)
+    )
+    neg = (
+        F.when(~known, F.concat(feature, F.lit(" raised concern")))
+        .when(F.array_contains(neg_has, feature) & value.isNull(), F.concat(feature, F.lit(" contributed negatively")))
+        .when((feature == "emp_length") & (value == 0), F.lit(K.EMP_ZERO_NEGATIVE))
+        .when((feature == "credit_utilization_pressure") & (value < K.PRESSURE_SPLIT), F.concat(F.lit(m_pre), txt, F.lit(m_suf)))
+        .when(F.array_contains(neg_has, feature), F.concat(np_, txt, ns))
+        .otherwise(np_)
     )
+    return F.when(shap > 0, pos).when(shap < 0, neg).otherwise(F.concat(feature, F.lit(" had negligible impact")))
 
 
 def min_plan(decision: Column, repay_prob: Column) -> Column:

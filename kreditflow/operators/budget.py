@@ -51,6 +51,7 @@ def approve_in_order(
 
     open_rows = rows
     decided: list[DataFrame] = []
+    keep = list(rows.columns)
     for _ in range(MAX_ROUNDS):
         o = open_rows.join(spent, pool_col, "left").withColumn("_spent", F.coalesce("_spent", F.lit(0.0)))
         o = prefix_sum(o, [pool_col], order, amount_col, "_ps")
@@ -65,23 +66,17 @@ def approve_in_order(
             )
         )
         o = o.join(first_fail, pool_col, "left")
-        no_fail = F.col("_fpos").isNull()
         status = (
-            F.when(no_fail | (F.col("_pos") < F.col("_fpos")), F.lit("APPROVED"))
+            F.when(F.col("_fpos").isNull() | (F.col("_pos") < F.col("_fpos")), F.lit("APPROVED"))
             .when(F.col("_pos") == F.col("_fpos"), F.lit("WAITLISTED"))
             .when(F.col(amount_col) >= F.col("_famt"), F.lit("WAITLISTED"))
         )
-        o = o.withColumn("budget_status", status)
-        keep = [c for c in rows.columns]
+        # one checkpoint per round: later rounds and the result read it
+        # instead of re-running this round's joins and windows
+        o = o.select(*keep, status.alias("budget_status"), (F.col("_spent") + F.col("_fbefore")).alias("_spent_next"), F.col("_fpos").isNotNull().alias("_failed")).checkpoint(eager=True)
         decided.append(o.filter(F.col("budget_status").isNotNull()).select(*keep, "budget_status"))
-        nxt = o.filter(F.col("budget_status").isNull())
-        # spent after this round = spent before + approved in this round (prefix up to the failure)
-        spent = (
-            o.filter(F.col("_fpos").isNotNull())
-            .groupBy(pool_col)
-            .agg(F.first(F.col("_spent") + F.col("_fbefore")).alias("_spent"))
-        )
-        open_rows = nxt.select(*keep).checkpoint(eager=True)
+        open_rows = o.filter(F.col("budget_status").isNull()).select(*keep)
+        spent = o.filter(F.col("_failed")).groupBy(pool_col).agg(F.first("_spent_next").alias("_spent"))
         if open_rows.isEmpty():
             break
     else:  # pragma: no cover - bounded by the number of distinct amounts

@@ -19,7 +19,7 @@ from kreditflow.functions.distance import distance_score
 from kreditflow.functions.text import min_plan, selected_reason
 from kreditflow.functions.validation import validation_errors
 from kreditflow.operators import budget as B
-from kreditflow.operators.narrative import decline_reasons, final_confidence, narrative_steps
+from kreditflow.operators.narrative import add_narrative, decline_reasons, final_confidence
 
 
 def tier(repay_prob: Column, distance: Column) -> Column:
@@ -46,27 +46,19 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
     ``attr_col`` the per-feature attributions on the raw log-odds scale.
     Tier-3 rows get ``decision = 'PENDING'`` until the budget runs.
     """
-    errs = validation_errors(df)
     p = F.col(prob_col)
-    d = F.when(p < K.APPROVAL_THRESHOLD, distance_score())
-    t = tier(p, d)
-    steps = narrative_steps(F.col(attr_col), base_logit)
     out = df.withColumns(
         {
             "applicant_id": F.col("loan_id").cast("string"),
-            "validation_errors": errs,
+            "validation_errors": validation_errors(df),
             "model_version": model_version,
         }
     )
-    valid = F.size("validation_errors") == 0
+    out = out.withColumn("_ok", F.col("model_version").isNotNull() & (F.size("validation_errors") == 0))
+    out = out.withColumn("distance_score", F.when(F.col("_ok") & (p < K.APPROVAL_THRESHOLD), distance_score()))
+    out = out.withColumn("tier", F.when(~F.col("_ok"), F.lit(0)).otherwise(tier(p, F.col("distance_score"))))
+    out = out.withColumn("repay_probability", F.when(F.col("_ok"), pround(p, 4)))
     has_model = F.col("model_version").isNotNull()
-    out = out.withColumns(
-        {
-            "repay_probability": F.when(has_model & valid, pround(p, 4)),
-            "distance_score": F.when(has_model & valid, d),
-            "tier": F.when(~has_model | ~valid, F.lit(0)).otherwise(t),
-        }
-    )
     tcol = F.col("tier")
     offer = F.when(tcol.isin(1, 2), OF.select_offer(tcol, p, F.col("distance_score"), F.col("annual_inc"), F.col("dti"))).when(
         tcol == 3, F.lit("A")
@@ -74,17 +66,17 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
     out = out.withColumns(
         {
             "decision": F.when(~has_model, F.lit("DECLINED"))
-            .when(~valid, F.lit("ERROR"))
+            .when(tcol == 0, F.lit("ERROR"))
             .when(tcol.isin(1, 2), F.lit("APPROVED"))
             .when(tcol == 3, F.lit("PENDING"))
             .otherwise(F.lit("DECLINED")),
             "tier_label": F.when(~has_model, F.lit(K.SYSTEM_ERROR_LABEL)).otherwise(tier_label(tcol)),
-            "model_version": F.coalesce(F.col("model_version"), F.lit("UNKNOWN")),
             "offer_tier": offer,
         }
     )
+    out = out.withColumn("model_version", F.coalesce(F.col("model_version"), F.lit("UNKNOWN")))
     has_offer = F.col("offer_tier").isNotNull()
-    narrative = F.when(has_model & valid, steps)
+    out = add_narrative(out, attr_col, base_logit, when=F.col("_ok"))
     out = out.withColumns(
         {
             "offer_amount": F.when(has_offer, OF.amount_of(F.col("offer_tier"))),
@@ -92,25 +84,30 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
             "offer_apr": F.when(has_offer, OF.apr_text(F.col("offer_tier"))),
             "monthly_payment": F.when(has_offer, OF.payment_of(F.col("offer_tier"))),
             "trial_amount": F.when(tcol == 3, OF.trial_amount(F.col("distance_score"))),
-            "narrative": narrative,
-            "final_confidence": F.when(has_model & valid, final_confidence(F.col(attr_col), base_logit)),
+            "final_confidence": F.when(F.col("_ok"), final_confidence(F.col(attr_col), base_logit)),
         }
     )
     reasons = (
-        F.when(~has_model, F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS]))
+        F.when(F.col("decision") == "DECLINED", F.when(tcol == 0, F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS])))
         .when(tcol == 4, decline_reasons(F.col("narrative")))
     )
-    return out.withColumn("decline_reasons", reasons)
+    return out.withColumn("decline_reasons", reasons).drop("_ok")
 
 
 def apply_budget(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
-    """Resolve PENDING tier-3 rows through the pool budget (DEC-05)."""
+    """Resolve PENDING tier-3 rows through the pool budget (DEC-05).
+
+    Only the four key columns go through the budget rounds (their
+    checkpoints stay narrow and column pruning keeps working upstream); the
+    result is joined back to the tier-3 rows only, and unioned with the rest.
+    """
     pending = F.col("decision") == "PENDING"
     rest = decided.filter(~pending).withColumns(
         {"budget_remaining": F.lit(None).cast("double"), "message": F.lit(None).cast("string")}
     )
-    t3 = B.approve_in_order(decided.filter(pending), budget=budget)
-    t3 = t3.withColumns(
+    t3 = decided.filter(pending)
+    res = B.approve_in_order(t3.select("loan_id", "pool_id", "decided_at", "trial_amount"), budget=budget)
+    t3 = t3.join(res.select("loan_id", "budget_status", "budget_remaining"), "loan_id").withColumns(
         {
             "decision": F.col("budget_status"),
             "message": B.budget_message(F.col("budget_status"), F.col("trial_amount"), F.col("budget_remaining")),

@@ -7,7 +7,7 @@ per-row ``aggregate`` over a sorted array: no window, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kreditflow.functions.numeric import pround
@@ -37,30 +37,38 @@ def sort_by_impact(attr: Column) -> Column:
     return F.array_sort(attr, cmp)
 
 
-def narrative_steps(attr: Column, base_logit: Column) -> Column:
+def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str = "narrative", when: Column | None = None) -> DataFrame:
     """WIN-02: running log-odds over the sorted terms, one struct per step:
-    ``step, feature, shap, impact_pct, running_prob, direction, note, value``."""
-    srt = sort_by_impact(attr)
-
-    def running(i):
-        return F.aggregate(F.slice(srt, 1, i), base_logit, lambda acc, x: acc + x["shap"])
-
-    def step(s, i):
-        prev = running(i)
-        new = running(i + 1)
+    ``step, feature, shap, impact_pct, running_prob, direction, note, value``.
+
+    One left-to-right ``aggregate`` over the sorted terms carries the running
+    log-odds and appends a step per term, so the sort and the running sum
+    appear once in the plan however often Catalyst inlines the column.
+    """
+    step_type = (
+        "struct<step:int,feature:string,shap:double,impact_pct:double,running_prob:double,"
+        "direction:string,note:string,value:double>"
+    )
+
+    def merge(acc, x):
+        prev = acc["run"]
+        new = prev + x["shap"]
         new_pct = to_pct(new)
-        return F.struct(
-            (i + 1).alias("step"),
-            s["feature"].alias("feature"),
-            pround(s["shap"], 4).alias("shap"),
+        st = F.struct(
+            (F.size(acc["steps"]) + 1).alias("step"),
+            x["feature"].alias("feature"),
+            pround(x["shap"], 4).alias("shap"),
             pround(new_pct - to_pct(prev), 2).alias("impact_pct"),
             pround(new_pct, 2).alias("running_prob"),
-            F.when(s["shap"] > 0, F.lit("positive")).when(s["shap"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
-            note(s["feature"], s["shap"], s["value"]).alias("note"),
-            pround(s["value"], 4).alias("value"),
+            F.when(x["shap"] > 0, F.lit("positive")).when(x["shap"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
+            note(x["feature"], x["shap"], x["value"]).alias("note"),
+            pround(x["value"], 4).alias("value"),
         )
+        return F.struct(new.alias("run"), F.concat(acc["steps"], F.array(st)).alias("steps"))
 
-    return F.transform(srt, step)
+    zero = F.struct(base_logit.cast("double").alias("run"), F.array().cast(f"array<{step_type}>").alias("steps"))
+    steps = F.aggregate(sort_by_impact(F.col(attr_col)), zero, merge, lambda acc: acc["steps"])
+    return df.withColumn(out_col, F.when(when, steps) if when is not None else steps)
 
 
 def final_confidence(attr: Column, base_logit: Column) -> Column:

@@ -35,10 +35,23 @@ def build_session(master: str | None = None, app: str = "kreditflow", shuffle_pa
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune_session(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Runtime SQL settings the decision plans rely on.
+
+    Decisions are long chains of derived columns; filtering on one of them
+    (e.g. tier-3 rows for the budget) makes constraint propagation copy the
+    whole expression tree into inferred predicates, which blows the generated
+    code past the 64 KB method limit and falls back to interpretation.  The
+    documented switch turns that inference off.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
