@@ -88,7 +88,7 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
         }
     )
     reasons = (
-        F.when(F.col("decision") == "DECLINED", F.when(tcol == 0, F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS])))
+        F.when((tcol == 0) & (F.col("decision") == "DECLINED"), F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS]))
         .when(tcol == 4, decline_reasons(F.col("narrative")))
     )
     return out.withColumn("decline_reasons", reasons).drop("_ok")
