@@ -561,3 +561,68 @@ def queries() -> dict[str, Q]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1]}
+
+
+# ============================================================ model (MLlib; rows-only checks)
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf):
+    from kreditflow.plans import training as TR
+
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = TR.train(spark, sf)
+    return _TRAINED[key]
+
+
+@register("ml_05_07_bootstrap_scores", None)
+def ml_05_07_bootstrap_scores(spark, sf):
+    """ML-01..05, ML-07: balanced bootstrap GBT scored over every clean row."""
+    from kreditflow.plans import training as TR
+
+    return TR.bootstrap_scores(spark, sf)
+
+
+@register("ml_06_09_test_scores", None)
+def ml_06_09_test_scores(spark, sf):
+    """ML-06..09: final model on the test split, raw and calibrated probability."""
+    from kreditflow.plans import model as MM
+
+    t = _trained(spark, sf)
+    return MM.calibrate(t.calibration, MM.score(t.model, t.test)).select("loan_id", "target", "raw_prob", "cal_prob", "pred_label")
+
+
+@register("ml_agg_20_22_test_metrics", None)
+def ml_agg_20_22_test_metrics(spark, sf):
+    """AGG-20/21/22 on the fitted model's test scores (scores rounded to 6 places)."""
+    from kreditflow.plans import model as MM
+
+    t = _trained(spark, sf)
+    return E.ranking_metrics(MM.score(t.model, t.test), score="raw_prob", places=6)
+
+
+@register("agg_27_feature_importance", None)
+def agg_27_feature_importance(spark, sf):
+    from kreditflow.plans import model as MM
+
+    return MM.feature_importance(_trained(spark, sf).model)
+
+
+@register("ml_10_agg_28_attribution_summary", None)
+def ml_10_agg_28_attribution_summary(spark, sf):
+    """ML-10 + AGG-28: tree attributions for every test row, summarised per feature."""
+    from kreditflow.plans import model as MM
+    from kreditflow.plans import treeshap as TS
+
+    t = _trained(spark, sf)
+    trees, weights = TS.tree_paths(spark, t.model.stages[-1], scratch_path(spark, "gbt_nodes"))
+    return TS.attribution_summary(TS.attribute(MM.score(t.model, t.test), MM.MODEL_COLS, trees, weights))
+
+
+@register("dec_10_model_decision_summary", None)
+def dec_10_model_decision_summary(spark, sf):
+    """DEC-10 with the fitted and calibrated model over every application."""
+    from kreditflow.plans import training as TR
+
+    return PD.decision_summary(TR.model_decisions(spark, sf, _trained(spark, sf)))
