@@ -626,3 +626,66 @@ def dec_10_model_decision_summary(spark, sf):
     from kreditflow.plans import training as TR
 
     return PD.decision_summary(TR.model_decisions(spark, sf, _trained(spark, sf)))
+
+
+# ============================================================ streaming
+@register("str_01_stream_decisions", LOG_SQL + f"SELECT {', '.join(LOG_COLS)}, commit_version FROM logged")
+def str_01_stream_decisions(spark, sf):
+    """STR-01: applications streamed one decision year per micro-batch; each
+    batch is committed as log version = batch id, budget carried across batches."""
+    from kreditflow.streaming import decisions as SD
+
+    src = scratch_path(spark, "applications_stream")
+    SD.stage_applications(spark, sf, src)
+    log = SD.stream_decisions(spark, src, scratch_path(spark, "stream_log"), scratch_path(spark, "stream_ckpt"))
+    return log.read().select(*LOG_COLS, "commit_version")
+
+
+def budget_events(spark, sf) -> DataFrame:
+    """Tier-3 requests plus repayments/defaults of the resolved ones (6-month term)."""
+    rows = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") == 3)
+    req = rows.select("pool_id", F.col("loan_id").alias("seq"), F.col("decided_at").alias("ts"), F.lit("REQUEST").alias("event_type"),
+                      F.col("applicant_id"), F.col("trial_amount").alias("amount"))
+    res = rows.filter(F.col("loan_status").isin(*K.KNOWN_STATUSES)).select(
+        "pool_id", F.col("loan_id").alias("seq"), F.add_months("decided_at", 6).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("loan_status") == K.REPAID_STATUS, F.lit("REPAYMENT")).otherwise(F.lit("DEFAULT")).alias("event_type"),
+        F.col("applicant_id"), F.col("trial_amount").alias("amount"))
+    return req.unionByName(res)
+
+
+@register("dec_06_07_budget_fold", None)
+def dec_06_07_budget_fold(spark, sf):
+    """DEC-06/07: ordered fold of requests, repayments (waitlist sweeps) and defaults per pool."""
+    return B.fold_events(budget_events(spark, sf))
+
+
+@register("agg_30_budget_status_fold", None)
+def agg_30_budget_status_fold(spark, sf):
+    return B.status_from_fold(B.fold_events(budget_events(spark, sf)))
+
+
+@register("str_02_stream_budget", None)
+def str_02_stream_budget(spark, sf):
+    """STR-02: the same fold as a stateful stream (one micro-batch per event file)."""
+    from kreditflow.streaming import decisions as SD
+
+    src = scratch_path(spark, "budget_events")
+    ev = budget_events(spark, sf).withColumn("_y", F.year("ts"))
+    for (y,) in ev.select("_y").distinct().orderBy("_y").collect():
+        ev.filter(F.col("_y") == y).drop("_y").coalesce(1).write.mode("overwrite").parquet(f"{src}/y={y}")
+    stream = spark.readStream.schema(B.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "budget_stream_out")
+    q = (SD.stream_budget(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "budget_stream_ckpt")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(B.FOLD_SCHEMA).parquet(out)
+
+
+@register("str_03_windowed_approval", LOG_SQL + """, d AS (SELECT CAST(decided_at AS TIMESTAMP) AS ts, CAST(decision = 'APPROVED' AS INTEGER) AS ok FROM logged),
+w AS (SELECT to_timestamp((CAST(floor(epoch(ts) / 86400) AS BIGINT) - k) * 86400)::TIMESTAMP AS window_start, ok FROM d, range(7) r(k))
+SELECT window_start, count(*) AS n, CAST(sum(ok) AS BIGINT) AS approved, round(sum(ok) / count(*), 6) AS approval_rate FROM w GROUP BY window_start""")
+def str_03_windowed_approval(spark, sf):
+    """STR-03 (batch form of the watermarked stream): approval rate per sliding 7-day window."""
+    from kreditflow.streaming import decisions as SD
+
+    return SD.windowed_approval(_logged(spark, sf).read())

@@ -41,6 +41,7 @@ def approve_in_order(
     pool_col: str = "pool_id",
     order_cols: tuple[str, ...] = ("decided_at", "loan_id"),
     amount_col: str = "trial_amount",
+    initial_spent: DataFrame | None = None,
 ) -> DataFrame:
     """DEC-05: adds ``budget_status`` (APPROVED / WAITLISTED) and
     ``budget_remaining`` (after the request if approved, as found if not)."""
@@ -48,6 +49,8 @@ def approve_in_order(
     pos = F.struct(*[F.col(c) for c in order])
     rows = range_buckets(requests, [pool_col], order).withColumn("_pos", pos)
     spent = rows.sparkSession.createDataFrame([], f"{pool_col} {requests.schema[pool_col].dataType.simpleString()}, _spent double")
+    if initial_spent is not None:  # carried over from earlier batches (streaming)
+        spent = initial_spent.select(pool_col, F.col("_spent0").cast("double").alias("_spent"))
 
     open_rows = rows
     decided: list[DataFrame] = []
@@ -87,6 +90,10 @@ def approve_in_order(
         out = out.unionByName(d)
     out = out.withColumn("_appr", F.when(F.col("budget_status") == "APPROVED", F.col(amount_col)).otherwise(F.lit(0.0)))
     out = prefix_sum(out, [pool_col], order, "_appr", "_deployed")
+    if initial_spent is not None:
+        out = out.join(initial_spent.select(pool_col, "_spent0"), pool_col, "left").withColumn(
+            "_deployed", F.col("_deployed") + F.coalesce("_spent0", F.lit(0.0))
+        ).drop("_spent0")
     return out.withColumn("budget_remaining", pround(F.lit(budget) - F.col("_deployed"), 2)).drop(
         "_appr", "_deployed", "_pos", BUCKET
     )
