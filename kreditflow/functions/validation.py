@@ -56,6 +56,25 @@ def validation_errors(df: DataFrame) -> Column:
     return F.array_compact(F.array(*msgs))
 
 
+def is_valid(df: DataFrame) -> Column:
+    """Same rules as ``validation_errors`` as one boolean (no message text),
+    cheap enough to sit in pushed-down filters."""
+    conds: list[Column] = []
+    for f in K.REQUIRED_FIELDS:
+        if f not in df.columns:
+            return F.lit(False)
+        conds.append(F.col(f).isNotNull())
+    for f, (lo, hi) in K.VALID_RANGES.items():
+        v, bad = _numeric(df, f)
+        conds.append(~bad & (v >= lo) & (v <= hi))
+    for f, allowed in K.VALID_CATEGORIES.items():
+        conds.append(F.upper(F.col(f).cast("string")).isin(*allowed))
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return F.coalesce(out, F.lit(False))
+
+
 def with_validation(df: DataFrame) -> DataFrame:
     """SCL-14: attach ``validation_errors`` and ``is_valid``."""
     return df.withColumn("validation_errors", validation_errors(df)).withColumn(

@@ -17,7 +17,7 @@ from kreditflow import constants as K
 from kreditflow.functions import offers as OF
 from kreditflow.functions.distance import distance_score
 from kreditflow.functions.text import min_plan, selected_reason
-from kreditflow.functions.validation import validation_errors
+from kreditflow.functions.validation import is_valid, validation_errors
 from kreditflow.operators import budget as B
 from kreditflow.operators.narrative import add_narrative, decline_reasons, final_confidence
 
@@ -54,7 +54,7 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
             "model_version": model_version,
         }
     )
-    out = out.withColumn("_ok", F.col("model_version").isNotNull() & (F.size("validation_errors") == 0))
+    out = out.withColumn("_ok", F.col("model_version").isNotNull() & is_valid(df))
     out = out.withColumn("distance_score", F.when(F.col("_ok") & (p < K.APPROVAL_THRESHOLD), distance_score()))
     out = out.withColumn("tier", F.when(~F.col("_ok"), F.lit(0)).otherwise(tier(p, F.col("distance_score"))))
     out = out.withColumn("repay_probability", F.when(F.col("_ok"), pround(p, 4)))
