@@ -103,17 +103,29 @@ def crosstab_share(clean: DataFrame, cat: str = "home_ownership") -> DataFrame:
     )
 
 
-def correlation_matrix(clean: DataFrame, cols: list[str]) -> DataFrame:
-    """AGG-08: pairwise-complete Pearson correlations, all pairs in one aggregate."""
+def correlation_matrix(clean: DataFrame, cols: list[str], chunk: int = 24) -> DataFrame:
+    """AGG-08: pairwise-complete Pearson correlations.
+
+    Pairs are aggregated in chunks: one aggregate per chunk keeps the
+    generated code small (a single 120-pair aggregate overflows codegen and
+    runs interpreted); every chunk is a cheap column-pruned scan.
+    """
     pairs = list(combinations_with_replacement(cols, 2))
-    wide = clean.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs])
-    items = []
-    for a, b in pairs:
-        v = pround(F.col(f"{a}__{b}"), 6)
-        items.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), v.alias("corr")))
-        if a != b:
-            items.append(F.struct(F.lit(b).alias("f1"), F.lit(a).alias("f2"), v.alias("corr")))
-    return wide.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    parts = []
+    for i in range(0, len(pairs), chunk):
+        sub = pairs[i:i + chunk]
+        wide = clean.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in sub])
+        items = []
+        for a, b in sub:
+            v = pround(F.col(f"{a}__{b}"), 6)
+            items.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), v.alias("corr")))
+            if a != b:
+                items.append(F.struct(F.lit(b).alias("f1"), F.lit(a).alias("f2"), v.alias("corr")))
+        parts.append(wide.select(F.explode(F.array(*items)).alias("s")).select("s.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def class_means(clean: DataFrame, features: list[str]) -> DataFrame:
