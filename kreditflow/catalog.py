@@ -689,3 +689,15 @@ def str_03_windowed_approval(spark, sf):
     from kreditflow.streaming import decisions as SD
 
     return SD.windowed_approval(_logged(spark, sf).read())
+
+
+@register("src_01_raw_csv_roundtrip", O.with_(O.LOANS) + "SELECT * FROM loans")
+def src_01_raw_csv_roundtrip(spark, sf):
+    """SRC-01/SRC-03: the loan table written as CSV with a header and read back
+    with an explicit schema (no inference pass)."""
+    from kreditflow.sources.tables import LOAN_CSV_SCHEMA
+
+    path = scratch_path(spark, "loans_csv")
+    loans(spark, sf).write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return (spark.read.schema(LOAN_CSV_SCHEMA).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .option("mode", "FAILFAST").csv(path))

@@ -51,6 +51,29 @@ RAW_LOAN_SCHEMA = T.StructType(
 )
 
 
+# Schema of the derived loan table when stored as text.
+LOAN_CSV_SCHEMA = T.StructType(
+    [
+        T.StructField("loan_id", T.LongType()),
+        T.StructField("pool_id", T.IntegerType()),
+        T.StructField("decided_at", T.TimestampNTZType()),
+        T.StructField("loan_status", T.StringType()),
+        T.StructField("grade", T.StringType()),
+        T.StructField("dti", T.DoubleType()),
+        T.StructField("revol_util", T.DoubleType()),
+        T.StructField("pub_rec", T.DoubleType()),
+        T.StructField("annual_inc", T.DoubleType()),
+        T.StructField("open_acc", T.DoubleType()),
+        T.StructField("mort_acc", T.DoubleType()),
+        T.StructField("revol_bal", T.DoubleType()),
+        T.StructField("emp_length", T.StringType()),
+        T.StructField("home_ownership", T.StringType()),
+        T.StructField("issue_d", T.StringType()),
+        T.StructField("earliest_cr_line", T.StringType()),
+    ]
+)
+
+
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_LOAN_SCHEMA) -> DataFrame:
     """SRC-01: raw loan CSV with a header and an explicit schema.
 
