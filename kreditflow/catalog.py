@@ -701,3 +701,25 @@ def src_01_raw_csv_roundtrip(spark, sf):
     loans(spark, sf).write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return (spark.read.schema(LOAN_CSV_SCHEMA).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
             .option("mode", "FAILFAST").csv(path))
+
+
+@register("ml_11_12_tuning", None)
+def ml_11_12_tuning(spark, sf):
+    """ML-11/12/13: seeded random parameter search scored on a validation
+    share, best parameters refitted on train+validation, test AUC once."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from kreditflow.plans import model as MM
+    from kreditflow.plans import training as TR
+
+    clean = C.clean_loans(spark, sf)
+    scores = TR.bootstrap_scores(spark, sf, max_iter=10).checkpoint(eager=True)
+    tset = S.stratified_split(S.training_set(clean, scores, score="prob"), [("trainval", 0.85), ("test", 1.0)], salt=42)
+    tvs = MM.tune(tset.filter(F.col("split") == "trainval"), trials=2, max_iter=10)
+    best = tvs.bestModel
+    test = best.transform(tset.filter(F.col("split") == "test").withColumn("target", F.col("target").cast("double")))
+    test_auc = BinaryClassificationEvaluator(rawPredictionCol="raw_gbt", labelCol="target").evaluate(test)
+    gbt_model = best.stages[-1]
+    row = [(len(tvs.validationMetrics), float(max(tvs.validationMetrics)), float(test_auc),
+            int(gbt_model.getOrDefault("maxDepth")), float(gbt_model.getOrDefault("stepSize")))]
+    return spark.createDataFrame(row, "trials int, best_validation_auc double, test_auc double, max_depth int, step_size double")
