@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kreditflow.llm.common import documents, id_text, materialize
 
 IDF_BAND = (3.0, 6.2)
-#: Subsets of each density 1/2, 1/4, ... 1/256; the first subset is the whole lexicon.
+#: Subsets of each density 1/4, 1/8, ... 1/512; the first subset is the whole lexicon.
 DENSITIES, EACH = 8, 4
 SUBSETS = 1 + DENSITIES * EACH - 1
 RANGE_ROWS = 500_000
@@ -46,7 +46,7 @@ def _mask(term: Column) -> Column:
     """32 bits: bit 0 always, bit j with the density of subset j."""
     bits = F.lit(1).cast("long")
     for j in range(1, SUBSETS + 1):
-        power = (j - 1) // EACH + 1
+        power = (j - 1) // EACH + 2
         hit = F.xxhash64(term, F.lit(j)).bitwiseAND(F.lit(2**power - 1)) == 0
         bits = bits + F.when(hit, F.lit(2**j).cast("long")).otherwise(F.lit(0).cast("long"))
     return bits
@@ -71,10 +71,12 @@ def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame
     low = lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")
     fallback = low(F.xxhash64("n", "x", "lo"))
     first = F.when(F.size("codes") > 0, low(F.xxhash64("codes"))).otherwise(fallback)
-    subsets = [first]
-    for j in range(1, SUBSETS + 1):
-        own = F.filter("codes", lambda c, b=2**j: c.bitwiseAND(F.lit(b).cast("long")) != 0)
-        subsets.append(F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0])
+
+    def subset(j: int) -> Column:
+        own = F.filter("codes", lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0)
+        return F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0]
+
+    subsets = [first, *map(subset, range(1, SUBSETS + 1))]
     return got.select(*keys, F.array(*subsets).alias("fp"))
 
 
