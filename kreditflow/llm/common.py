@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,8 +51,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def parts_for(n_bytes: int, each: int = 64 << 20, least: int = 1) -> int:
-    return max(least, math.ceil(n_bytes / each))
+def computed_once(value: Column) -> Column:
+    """The same value, which filters above it read instead of repeating its expression below it.
+
+    The optimizer moves a filter below a projection by copying the columns' expressions into it, and so an
+    array built once would be built again inside every lambda that reads it.  It never copies what is not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 # ---------------------------------------------------------------- blocks of texts

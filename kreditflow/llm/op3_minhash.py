@@ -31,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kreditflow.llm.common import documents, id_text, materialize
+from kreditflow.llm.common import documents, id_text, materialize, words_of
 from kreditflow.llm.components import components
 
 SHINGLE_WORDS, PERCENT = 2, 80
@@ -128,14 +128,14 @@ def _sketches(k: int, r: int, bands: int):
             full = [s for s in sets if len(s)]
             flat = band_hashes(sketch(full, r * bands), r, bands).reshape(-1) if full else np.empty(0, np.int64)
             ends = np.cumsum([0] + [bands if len(s) else 0 for s in sets]).astype(np.int32)
-            cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "key", "bands"])
+            cols = [*(pa.array(x, pa.int64()) for x in zip(*ids, strict=True)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n_shingles", "key", "bands"])
 
         ids, keys, sets, held = [], [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, h in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 words = split_words(text)
-                ids.append(doc)
+                ids.append((doc, h))
                 keys.append(class_key(words))
                 sets.append(shingle_hashes(words, k, table))
                 held += len(words) + 100
@@ -183,10 +183,11 @@ def _verify(k: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, h, n_shingles, label) of every row: h is the text's hash, label its component (null without words)."""
     src = id_text(docs, id_col, text_col)
-    rows = materialize(src.mapInArrow(_sketches(shingle_words, band_rows, bands), "doc_id long, n_shingles long, key binary, bands array<long>"), "minhash-rows")
+    hashed = src.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = materialize(hashed.mapInArrow(_sketches(shingle_words, band_rows, bands), "doc_id long, h long, n_shingles long, key binary, bands array<long>"), "minhash-rows")
     unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(2**32))
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.coalesce("node", unnamed)), "minhash-classes")
@@ -224,10 +225,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = materialize(linked(pairs), "minhash-more")
     labels = components(links.union(more), "minhash-components")
 
-    named = at_key.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "key").join(materialize(named, "minhash-named"), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).when(F.col("component_id") < NO_ID, F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = at_key.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+    return rows.select("doc_id", "h", "n_shingles", "key").join(materialize(named, "minhash-named"), "key", "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    found = components_of(docs, id_col, text_col, **parameters)
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") < NO_ID, F.col("label"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, once; rows without words stay."""
+    found = components_of(docs, id_col, text_col, **parameters)
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("h"))
+    winners = materialize(found.filter("label is not null").groupBy("label").agg(F.min(place).alias("p")).select("p.i", "p.h"), "minhash-winners")
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("i"), F.xxhash64(whole).alias("h"), words_of(whole).alias("w"))
+    rows = rows.select("row", "i", "h", (F.size("w") == 0).alias("bare"))
+    first = F.row_number().over(Window.partitionBy("i", "h").orderBy("i"))
+    once = rows.filter("not bare").join(winners, ["i", "h"]).withColumn("copy", first).filter("copy = 1")
+    return once.select("row").union(rows.filter("bare").select("row")).select("row.*")
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

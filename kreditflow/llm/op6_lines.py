@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kreditflow.llm.common import SPACE, documents, materialize, words_of
+from kreditflow.llm.common import SPACE, computed_once, documents, materialize, words_of
 
 MIN_WORDS = 50
 LAST_ID = 2**63 - 1
@@ -126,7 +126,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.when(_has_word(text), text).otherwise(""))
     n_lines = F.size(F.filter("lines", _has_word)).cast("long")
-    return out.select("row", kept.alias("kept_text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select("row", computed_once(kept).alias("kept_text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_lines(spark, sf_dir: str) -> DataFrame:

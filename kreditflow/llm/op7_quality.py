@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kreditflow.llm.common import SPACE, documents, words_of
+from kreditflow.llm.common import SPACE, computed_once, documents, words_of
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -91,7 +91,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: list = RULES) -> DataF
     m = measures(docs, F.col(text_col).cast("string"))
     base = (F.col("q.n_words") < MIN_WORDS) | (F.col("q.n_repeat_words") * 100 > F.col("q.n_words") * MAX_REPEAT_PERCENT)
     m = m.select("row", "q", base.alias("base_failed"), compile_rules(rules).alias("broken"))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return m.withColumn("kept", computed_once(~F.col("base_failed") & (F.size("broken") == 0)))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
