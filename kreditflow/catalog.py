@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kreditflow.functions.numeric import pround
@@ -110,21 +110,21 @@ def scl_11_14_validation(spark, sf):
     return v.select("loan_id", F.size("validation_errors").alias("n_errors"), "is_valid")
 
 
-@register("jn_01_plans_long", O.with_(O.LOANS, O.feats_cte()) + "SELECT loan_id, o.offer, o.amount, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) AS monthly, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) <= " + O.ROOM + " AS fits FROM feats CROSS JOIN (VALUES ('A', 500e0, 6e0, 0.09e0), ('B', 1000e0, 12e0, 0.12e0), ('C', 2500e0, 24e0, 0.15e0), ('D', 5000e0, 36e0, 0.19e0)) o(offer, amount, term_months, apr) WHERE dti IS NOT NULL")
+@register("jn_01_plans_long", O.with_(O.LOANS, O.feats_cte()) + "SELECT loan_id, o.offer, o.amount, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) AS monthly, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) <= " + O.ROOM0 + " AS fits FROM feats CROSS JOIN (VALUES ('A', 500e0, 6e0, 0.09e0), ('B', 1000e0, 12e0, 0.12e0), ('C', 2500e0, 24e0, 0.15e0), ('D', 5000e0, 36e0, 0.19e0)) o(offer, amount, term_months, apr)")
 def jn_01_plans_long(spark, sf):
     """JN-01 / SCL-15 / SCL-16: every applicant against every offer, as an
     ``explode`` of the four-offer array (a generator, no join)."""
-    a = C.applicants(spark, sf).filter(F.col("dti").isNotNull())
-    room = OF.headroom(F.col("annual_inc"), F.col("dti"))
+    a = C.applicants(spark, sf)
+    room = OF.headroom(F.coalesce("annual_inc", F.lit(0.0)), F.coalesce("dti", F.lit(0.0)))
     x = a.select("loan_id", room.alias("room"), F.explode(OF.offers_array()).alias("o"))
     pmt = OF.monthly_payment(F.col("o.amount"), F.col("o.apr"), F.col("o.term_months").cast("double"))
     return x.select("loan_id", F.col("o.offer").alias("offer"), F.col("o.amount").alias("amount"), pmt.alias("monthly"), (pmt <= F.col("room")).alias("fits"))
 
 
-@register("scl_16_headroom", O.with_(O.LOANS, O.feats_cte()) + f"SELECT loan_id, round({O.ROOM}, 2) AS dti_headroom FROM feats WHERE dti IS NOT NULL")
+@register("scl_16_headroom", O.with_(O.LOANS, O.feats_cte()) + f"SELECT loan_id, round({O.ROOM0}, 2) AS dti_headroom FROM feats")
 def scl_16_headroom(spark, sf):
-    a = C.applicants(spark, sf).filter(F.col("dti").isNotNull())
-    return a.select("loan_id", pround(OF.headroom(F.col("annual_inc"), F.col("dti")), 2).alias("dti_headroom"))
+    a = C.applicants(spark, sf)
+    return a.select("loan_id", pround(OF.headroom(F.coalesce("annual_inc", F.lit(0.0)), F.coalesce("dti", F.lit(0.0))), 2).alias("dti_headroom"))
 
 
 @register("scl_17_distance", O.DEC + "SELECT loan_id, dist AS distance_score FROM scored_all")
@@ -427,7 +427,7 @@ def agg_15_brier(spark, sf):
 
 
 @register("agg_16_reliability_curve", O.BASE + """, edges AS (SELECT quantile_cont(repay_prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM scored),
-bk AS (SELECT s.*, len(list_filter(e, lambda x: x <= s.repay_prob)) AS bin FROM scored s, edges)
+bk AS (SELECT s.*, len(list_filter(e, lambda x: x < s.repay_prob)) AS bin FROM scored s, edges)
 SELECT bin, round(avg(target), 6) AS fraction_pos, round(avg(repay_prob), 6) AS mean_pred FROM bk GROUP BY bin""")
 def agg_16_reliability_curve(spark, sf):
     return E.reliability_curve(C.scored(spark, sf))
@@ -505,32 +505,46 @@ def set_01_training_set(spark, sf):
     return S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf)).select("loan_id", "target", "side")
 
 
-def _split_sql(salt: int, cuts: list[tuple[str, float]]) -> str:
-    u = f"({O.h('loan_id', salt)}) % 10000"
-    whens = " ".join(f"WHEN {u} < {int(round(c * 10000))} THEN '{n}'" for n, c in cuts)
-    return f"CASE {whens} END"
+def _split_sql(src: str, salt: int, cuts: list[tuple[str, float]]) -> str:
+    """Rows of ``src`` with their split: exact sizes within each class, in order of the key's hash."""
+    whens = " ".join(f"WHEN rn <= floor({c!r}e0 * n + 0.5e0) THEN '{n}'" for n, c in cuts)
+    return f"(SELECT *, CASE {whens} END AS split FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {O.h('loan_id', salt)}, loan_id) AS rn, count(*) OVER (PARTITION BY target) AS n FROM {src}) ranked) parts"
+
+
+def _tset(spark, sf) -> DataFrame:
+    return S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf))
 
 
-@register("spl_04_train_test_split", SAMPLE_BASE + f"SELECT split, target, count(*) AS n FROM (SELECT target, {_split_sql(42, S.TRAIN_TEST)} AS split FROM tset) GROUP BY split, target")
+@register("spl_04_train_test_split", SAMPLE_BASE + f"SELECT split, target, count(*) AS n FROM {_split_sql('tset', 42, S.TRAIN_TEST)} GROUP BY split, target")
 def spl_04_train_test_split(spark, sf):
-    t = S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf))
-    return S.stratified_split(t, S.TRAIN_TEST, salt=42).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+    return S.stratified_split(_tset(spark, sf), S.TRAIN_TEST, salt=42).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("spl_05_three_way_split", SAMPLE_BASE + f"SELECT split, target, count(*) AS n FROM (SELECT target, {_split_sql(7, S.TRAIN_VAL_TEST)} AS split FROM tset) GROUP BY split, target")
+@register("spl_05_three_way_split", SAMPLE_BASE + f"SELECT split, target, count(*) AS n FROM {_split_sql('tset', 7, S.TRAIN_VAL_TEST)} GROUP BY split, target")
 def spl_05_three_way_split(spark, sf):
-    t = S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf))
-    return S.stratified_split(t, S.TRAIN_VAL_TEST, salt=7).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+    return S.stratified_split(_tset(spark, sf), S.TRAIN_VAL_TEST, salt=7).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("spl_04_06_split_shares", O.BASE + ", r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS plan, split, target, count(*) AS c FROM {_split_sql('clean', salt, cuts)} GROUP BY split, target" for n, salt, cuts in (("80/20", 42, S.TRAIN_TEST), ("70/15/15", 7, S.TRAIN_VAL_TEST), ("70/30", 99, S.CAL_SPLIT))) + ") SELECT plan, split, target, c AS n, round(c / sum(c) OVER (PARTITION BY plan, target), 4) AS share FROM r")
+def spl_04_06_split_shares(spark, sf):
+    """Shares of every split in each class over the clean table."""
+    c, out = C.clean_loans(spark, sf).select("loan_id", "target"), None
+    for name, salt, cuts in (("80/20", 42, S.TRAIN_TEST), ("70/15/15", 7, S.TRAIN_VAL_TEST), ("70/30", 99, S.CAL_SPLIT)):
+        g = S.stratified_split(c, cuts, salt=salt).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+        g = g.select(F.lit(name).alias("plan"), "split", "target", "n")
+        out = g if out is None else out.unionByName(g)
+    total = F.sum("n").over(Window.partitionBy("plan", "target"))  # a handful of rows
+    return out.withColumn("share", pround(F.col("n") / total, 4))
 
 
-@register("set_02_train_plus_validation", SAMPLE_BASE + f"SELECT target, count(*) AS n FROM (SELECT target, {_split_sql(7, S.TRAIN_VAL_TEST)} AS split FROM tset) WHERE split IN ('train', 'validation') GROUP BY target")
+@register("set_02_train_plus_validation", SAMPLE_BASE + f"SELECT target, count(*) AS n FROM {_split_sql('tset', 7, S.TRAIN_VAL_TEST)} WHERE split IN ('train', 'validation') GROUP BY target")
 def set_02_train_plus_validation(spark, sf):
-    t = S.stratified_split(S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf)), S.TRAIN_VAL_TEST, salt=7)
+    t = S.stratified_split(_tset(spark, sf), S.TRAIN_VAL_TEST, salt=7)
     tv = t.filter(F.col("split") == "train").unionByName(t.filter(F.col("split") == "validation"))
     return tv.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("spl_06_calibration_split", O.BASE + f"SELECT split, target, count(*) AS n FROM (SELECT target, {_split_sql(99, S.CAL_SPLIT)} AS split FROM clean) GROUP BY split, target")
+@register("spl_06_calibration_split", O.BASE + f"SELECT split, target, count(*) AS n FROM {_split_sql('clean', 99, S.CAL_SPLIT)} GROUP BY split, target")
 def spl_06_calibration_split(spark, sf):
     return S.stratified_split(C.clean_loans(spark, sf), S.CAL_SPLIT, salt=99).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
 
@@ -542,9 +556,10 @@ def jn_02_semi_join(spark, sf):
     return S.semi_join_keys(c, keys).select("loan_id", "annual_inc")
 
 
-@register("lim_01_first_rows", SAMPLE_BASE + f"SELECT loan_id, target FROM (SELECT loan_id, target, {_split_sql(42, S.TRAIN_TEST)} AS split FROM tset) WHERE split = 'test' ORDER BY loan_id LIMIT 500")
+@register("lim_01_first_rows", O.BASE + f"SELECT loan_id, target FROM {_split_sql('clean', 42, S.TRAIN_TEST)} WHERE split = 'test' ORDER BY loan_id LIMIT 500")
 def lim_01_first_rows(spark, sf):
-    t = S.stratified_split(S.training_set(C.clean_loans(spark, sf), _scored_with_prob(spark, sf)), S.TRAIN_TEST, salt=42)
+    """The first 500 rows of the clean table's test split, which holds more."""
+    t = S.stratified_split(C.clean_loans(spark, sf).select("loan_id", "target"), S.TRAIN_TEST, salt=42)
     return S.first_rows(t.filter(F.col("split") == "test").select("loan_id", "target"), 500)
 
 
@@ -560,7 +575,7 @@ def queries() -> dict[str, Q]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v[1] for k, v in REGISTRY.items() if v[1]}
+    return {k: O.exact_rounds(v[1]) for k, v in REGISTRY.items() if v[1]}
 
 
 # ============================================================ model (MLlib; rows-only checks)

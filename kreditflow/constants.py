@@ -42,7 +42,6 @@ APPROVAL_THRESHOLD = 0.75
 REPAID_MODEL_THRESHOLD = 0.50
 DISTANCE_TIER2_THRESHOLD = 0.75
 DISTANCE_TIER3_THRESHOLD = 0.40
-GRADE_APPROVAL_THRESHOLD = 0.87
 CONFIDENT_DEFAULTER_PROB = 0.35
 
 # FIXED VALUES: validation (required fields, inclusive ranges, categories)
@@ -125,7 +124,7 @@ DEFAULT_DECLINE_REASON = "Overall credit profile did not meet lending criteria."
 FAILSAFE_REASONS = [
     "Our loan assessment system is temporarily unavailable.",
     "Please try again shortly.",
-    "If this persists, contact ClearLend support.",
+    "If this persists, contact support.",
 ]
 DRIFT_ALERT = 0.10
 COST_FALSE_POSITIVE = 3

@@ -1,10 +1,11 @@
-"""Rounding that follows the binary value of a double.
+"""Rounding by the exact value of a double.
 
-Spark's ``round`` rounds half-up on the shortest decimal text of a double
-(``1254.715`` -> ``1254.72``), whereas Python and most SQL engines round the
-binary value (1254.714999... -> ``1254.71``).  ``pround`` scales, rounds half
-away from zero and scales back with plain IEEE operations, so it matches the
-binary-value rounding of the reference.
+Spark's ``round`` and number formats round the shortest decimal text of a
+double (``12.35`` -> ``12.4``); the decision rules round the binary value
+(12.3499999... -> 12.3) and break exact ties to the even digit.  ``pround``
+does so with plain IEEE arithmetic: it scales the value, recovers the error of
+that product (a two-product by splitting the factors), and lets the error
+decide where the scaled value lies exactly between two digits.
 """
 
 from __future__ import annotations
@@ -12,10 +13,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Splits a double into two halves of 26 bits.
+_SPLIT = 134217729.0
+
+
+def let(value: Column, body) -> Column:
+    """``body(x)`` with ``value`` evaluated once: the expression appears once in the plan."""
+    return F.transform(F.array(value), body)[0]
+
 
 def pround(x: Column | str, places: int = 0) -> Column:
-    c = F.col(x) if isinstance(x, str) else x
-    m = float(10 ** places)
-    y = c * F.lit(m)
-    r = F.when(y >= 0, F.floor(y + F.lit(0.5))).otherwise(-F.floor(-y + F.lit(0.5)))
-    return (r / F.lit(m)).cast("double")
+    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+    m = 10.0**places
+    m_hi = (_SPLIT * m) - ((_SPLIT * m) - m)
+    m_lo = m - m_hi
+
+    def body(v: Column) -> Column:
+        y, t = v * m, v * _SPLIT
+        high = t - (t - v)
+        low = v - high
+        error = ((high * m_hi - y) + high * m_lo + low * m_hi) + low * m_lo
+        whole = F.floor(y).cast("double")
+        above = y - whole - 0.5
+        even = whole - F.floor(whole / 2.0) * 2.0 == 0.0
+        up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & ~even)))
+        rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / m
+        # beyond 2^52 / m a double has no such digits
+        return F.when(v.isNull(), F.lit(None).cast("double")).when(F.isnan(v) | (F.abs(y) >= 2.0**52), v).otherwise(rounded)
+
+    return let(c, body)

@@ -1,7 +1,7 @@
 """Decision texts: narrative notes, minimum-plan path, selection reason.
 
-Numbers are rounded first and formatted second, so the printed digit does not
-depend on how a formatter breaks ties.
+Numbers are rounded first, by their exact value, and formatted second, so the
+printed digit does not depend on how a formatter breaks ties.
 """
 
 from __future__ import annotations
@@ -33,60 +33,38 @@ def fmt_pct(v: Column) -> Column:
 FORMATTERS = {"1f": fmt_1f, "0f": fmt_0f, "comma": fmt_comma, "pct": fmt_pct}
 
 
-def _lit_map(d: dict) -> Column:
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+def _filled(template: str, kind: str, value: Column) -> Column:
+    """A template with its number; templates without one are plain text."""
+    if "{v}" not in template:
+        return F.lit(template)
+    before, after = template.split("{v}", 1)
+    return F.concat(F.lit(before), FORMATTERS[kind](value), F.lit(after))
 
 
-def _split(tpl: str) -> tuple[str, str]:
-    return tuple(tpl.split("{v}", 1)) if "{v}" in tpl else (tpl, "")  # type: ignore[return-value]
+def note(feature: str, shap: Column, value: Column) -> Column:
+    """SCL-21: note of one feature, whose templates and number format are known while the plan is built.
 
-
-def _formatted(kind: Column, value: Column) -> Column:
-    return (
-        F.when(kind == "1f", fmt_1f(value))
-        .when(kind == "0f", fmt_0f(value))
-        .when(kind == "comma", fmt_comma(value))
-        .when(kind == "pct", fmt_pct(value))
-    )
-
-
-def note(feature: Column, shap: Column, value: Column) -> Column:
-    """SCL-21: note for one narrative step.
-
-    Templates are looked up in literal maps (prefix, suffix, whether a value
-    is printed), so the expression stays small enough for whole-stage
-    codegen.  Special cases: employment of zero years, utilisation pressure
-    below 0.30 on the negative side, a neutral note for zero attribution, and
-    a generic note when a value the template needs is missing.
+    Special cases: employment of zero years, utilisation pressure below 0.30 on
+    the negative side, a neutral note for zero attribution, and a generic note
+    when a value that the template needs is missing.
     """
-    pos_pre = _lit_map({f: _split(t)[0] for f, t in K.POSITIVE_TEMPLATES.items()})
-    pos_suf = _lit_map({f: _split(t)[1] for f, t in K.POSITIVE_TEMPLATES.items()})
-    neg_pre = _lit_map({f: _split(t)[0] for f, t in K.NEGATIVE_TEMPLATES.items()})
-    neg_suf = _lit_map({f: _split(t)[1] for f, t in K.NEGATIVE_TEMPLATES.items()})
-    pos_has = F.array(*[F.lit(f) for f, t in K.POSITIVE_TEMPLATES.items() if "{v}" in t or f in ("emp_length", "credit_utilization_pressure")])
-    neg_has = F.array(*[F.lit(f) for f, t in K.NEGATIVE_TEMPLATES.items() if "{v}" in t or f in ("emp_length", "credit_utilization_pressure")])
-    kind = F.try_element_at(_lit_map(K.NOTE_FORMATS), feature)
-    txt = F.coalesce(_formatted(kind, value), F.lit(""))
-    known = F.array_contains(F.array(*[F.lit(f) for f in K.ALL_FEATURES]), feature)
-    mp, ms = F.try_element_at(pos_pre, feature), F.try_element_at(pos_suf, feature)
-    np_, ns = F.try_element_at(neg_pre, feature), F.try_element_at(neg_suf, feature)
-    m_pre, m_suf = _split(K.PRESSURE_MANAGEABLE)
-    pos = (
-        F.when(~known, F.concat(feature, F.lit(" contributed positively")))
-        .when(F.array_contains(pos_has, feature) & value.isNull(), F.concat(feature, F.lit(" contributed positively")))
-        .when((feature == "emp_length") & (value == 0), F.lit(K.EMP_ZERO_POSITIVE))
-        .when(F.array_contains(pos_has, feature), F.concat(mp, txt, ms))
-        .otherwise(mp)
-    )
-    neg = (
-        F.when(~known, F.concat(feature, F.lit(" raised concern")))
-        .when(F.array_contains(neg_has, feature) & value.isNull(), F.concat(feature, F.lit(" contributed negatively")))
-        .when((feature == "emp_length") & (value == 0), F.lit(K.EMP_ZERO_NEGATIVE))
-        .when((feature == "credit_utilization_pressure") & (value < K.PRESSURE_SPLIT), F.concat(F.lit(m_pre), txt, F.lit(m_suf)))
-        .when(F.array_contains(neg_has, feature), F.concat(np_, txt, ns))
-        .otherwise(np_)
-    )
-    return F.when(shap > 0, pos).when(shap < 0, neg).otherwise(F.concat(feature, F.lit(" had negligible impact")))
+    if feature not in K.NOTE_FORMATS:
+        pos, neg = F.lit(f"{feature} contributed positively"), F.lit(f"{feature} raised concern")
+    else:
+        kind = K.NOTE_FORMATS[feature]
+        pos = _filled(K.POSITIVE_TEMPLATES[feature], kind, value)
+        neg = _filled(K.NEGATIVE_TEMPLATES[feature], kind, value)
+        special = feature in ("emp_length", "credit_utilization_pressure")
+        if feature == "emp_length":
+            pos = F.when(value == 0, F.lit(K.EMP_ZERO_POSITIVE)).otherwise(pos)
+            neg = F.when(value == 0, F.lit(K.EMP_ZERO_NEGATIVE)).otherwise(neg)
+        if feature == "credit_utilization_pressure":
+            neg = F.when(value < K.PRESSURE_SPLIT, _filled(K.PRESSURE_MANAGEABLE, kind, value)).otherwise(neg)
+        if special or "{v}" in K.POSITIVE_TEMPLATES[feature]:
+            pos = F.when(value.isNull(), F.lit(f"{feature} contributed positively")).otherwise(pos)
+        if special or "{v}" in K.NEGATIVE_TEMPLATES[feature]:
+            neg = F.when(value.isNull(), F.lit(f"{feature} contributed negatively")).otherwise(neg)
+    return F.when(shap > 0, pos).when(shap < 0, neg).otherwise(F.lit(f"{feature} had negligible impact"))
 
 
 def min_plan(decision: Column, repay_prob: Column) -> Column:

@@ -1,8 +1,8 @@
 """Tiered decisions (DEC-01, DEC-02, DEC-10, DEC-11, SCL-22/23) and the
 47-column decision record.
 
-The whole decision is one narrow plan per row except the trial-loan budget,
-which needs arrival order per pool: tier-3 rows are split off, budgeted, and
+The core columns are one narrow plan per row, stored once.  The trial-loan
+budget needs arrival order per pool: tier-3 rows are split off, budgeted, and
 unioned back (a union is narrow; no join of the full table).
 """
 
@@ -20,6 +20,7 @@ from kreditflow.functions.text import min_plan, selected_reason
 from kreditflow.functions.validation import is_valid, validation_errors
 from kreditflow.operators import budget as B
 from kreditflow.operators.narrative import add_narrative, decline_reasons, final_confidence
+from kreditflow.session import scratch_path
 
 
 def tier(repay_prob: Column, distance: Column) -> Column:
@@ -39,59 +40,74 @@ def tier_label(t: Column) -> Column:
     return expr
 
 
-def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column, model_version: Column) -> DataFrame:
-    """Per-row part of DEC-10: validation, tier, offer, narrative, reasons.
+CORE = ["model_version", "valid", "distance_score", "tier", "repay_probability", "offer_tier", "trial_amount", "decision"]
+
+
+def core_columns(df: DataFrame, prob_col: str, model_version: Column) -> DataFrame:
+    """The columns that every later filter, text and report reads (``CORE``).
 
-    ``prob_col`` is the score used for the decision (calibrated when present),
-    ``attr_col`` the per-feature attributions on the raw log-odds scale.
-    Tier-3 rows get ``decision = 'PENDING'`` until the budget runs.
+    ``prob_col`` is the score used for the decision (calibrated when present).
     """
-    p = F.col(prob_col)
-    out = df.withColumns(
-        {
-            "applicant_id": F.col("loan_id").cast("string"),
-            "validation_errors": validation_errors(df),
-            "model_version": model_version,
-        }
+    p, tcol = F.col(prob_col), F.col("tier")
+    out = df.withColumn("model_version", model_version)
+    out = out.withColumn("valid", F.col("model_version").isNotNull() & is_valid(df))
+    out = out.withColumn("distance_score", F.when(F.col("valid") & (p < K.APPROVAL_THRESHOLD), distance_score()))
+    out = out.withColumn("tier", F.when(~F.col("valid"), F.lit(0)).otherwise(tier(p, F.col("distance_score"))))
+    offer = F.when(tcol.isin(1, 2), OF.select_offer(tcol, p, F.col("distance_score"), F.col("annual_inc"), F.col("dti"))).when(tcol == 3, F.lit("A"))
+    decision = (
+        F.when(F.col("model_version").isNull(), F.lit("DECLINED"))
+        .when(tcol == 0, F.lit("ERROR"))
+        .when(tcol.isin(1, 2), F.lit("APPROVED"))
+        .when(tcol == 3, F.lit("PENDING"))
+        .otherwise(F.lit("DECLINED"))
     )
-    out = out.withColumn("_ok", F.col("model_version").isNotNull() & is_valid(df))
-    out = out.withColumn("distance_score", F.when(F.col("_ok") & (p < K.APPROVAL_THRESHOLD), distance_score()))
-    out = out.withColumn("tier", F.when(~F.col("_ok"), F.lit(0)).otherwise(tier(p, F.col("distance_score"))))
-    out = out.withColumn("repay_probability", F.when(F.col("_ok"), pround(p, 4)))
-    has_model = F.col("model_version").isNotNull()
-    tcol = F.col("tier")
-    offer = F.when(tcol.isin(1, 2), OF.select_offer(tcol, p, F.col("distance_score"), F.col("annual_inc"), F.col("dti"))).when(
-        tcol == 3, F.lit("A")
-    )
-    out = out.withColumns(
+    return out.withColumns(
         {
-            "decision": F.when(~has_model, F.lit("DECLINED"))
-            .when(tcol == 0, F.lit("ERROR"))
-            .when(tcol.isin(1, 2), F.lit("APPROVED"))
-            .when(tcol == 3, F.lit("PENDING"))
-            .otherwise(F.lit("DECLINED")),
-            "tier_label": F.when(~has_model, F.lit(K.SYSTEM_ERROR_LABEL)).otherwise(tier_label(tcol)),
+            "repay_probability": F.when(F.col("valid"), pround(p, 4)),
             "offer_tier": offer,
+            "trial_amount": F.when(tcol == 3, OF.trial_amount(F.col("distance_score"))),
+            "decision": decision,
         }
     )
-    out = out.withColumn("model_version", F.coalesce(F.col("model_version"), F.lit("UNKNOWN")))
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder and read back: later plans hold columns instead of expression trees."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column, model_version: Column) -> DataFrame:
+    """Per-row part of DEC-10: validation, tier, offer, narrative, reasons.
+
+    The core columns are stored once; offers' terms, narrative and reasons are
+    derived from them, and only for the rows and columns that a query reads.
+    ``attr_col`` holds the attributions on the raw log-odds scale.  Tier-3 rows
+    get ``decision = 'PENDING'`` until the budget runs.
+    """
+    out = store(core_columns(df, prob_col, model_version), "decision_core")
+    has_model, tcol = F.col("model_version").isNotNull(), F.col("tier")
     has_offer = F.col("offer_tier").isNotNull()
-    out = add_narrative(out, attr_col, base_logit, when=F.col("_ok"))
+    out = add_narrative(out, attr_col, base_logit, when=F.col("valid"))
+    reasons = (
+        F.when(~has_model, F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS]))
+        .when(tcol == 4, decline_reasons(F.col("narrative")))
+    )
     out = out.withColumns(
         {
+            "applicant_id": F.col("loan_id").cast("string"),
+            "validation_errors": validation_errors(df),
+            "tier_label": F.when(~has_model, F.lit(K.SYSTEM_ERROR_LABEL)).otherwise(tier_label(tcol)),
             "offer_amount": F.when(has_offer, OF.amount_of(F.col("offer_tier"))),
             "offer_term": F.when(has_offer, OF.term_text(F.col("offer_tier"))),
             "offer_apr": F.when(has_offer, OF.apr_text(F.col("offer_tier"))),
             "monthly_payment": F.when(has_offer, OF.payment_of(F.col("offer_tier"))),
-            "trial_amount": F.when(tcol == 3, OF.trial_amount(F.col("distance_score"))),
-            "final_confidence": F.when(F.col("_ok"), final_confidence(F.col(attr_col), base_logit)),
+            "final_confidence": F.when(F.col("valid"), final_confidence(F.col(attr_col), base_logit)),
+            "decline_reasons": reasons,
         }
     )
-    reasons = (
-        F.when((tcol == 0) & (F.col("decision") == "DECLINED"), F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS]))
-        .when(tcol == 4, decline_reasons(F.col("narrative")))
-    )
-    return out.withColumn("decline_reasons", reasons).drop("_ok")
+    return out.withColumn("model_version", F.coalesce(F.col("model_version"), F.lit("UNKNOWN"))).drop("valid")
 
 
 def apply_budget(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:

@@ -122,12 +122,12 @@ def brier(scored: DataFrame, label: str = "target", score: str = "repay_prob") -
 
 
 def reliability_curve(scored: DataFrame, bins: int = 10, **kw) -> DataFrame:
-    """AGG-16: quantile strategy; bin = number of interior edges <= score
-    (duplicates kept); empty bins are absent."""
+    """AGG-16: quantile strategy; bin = number of interior edges below the score
+    (a score equal to an edge is in the lower bin; duplicates kept); empty bins are absent."""
     hist = score_histogram(scored, **kw)
     qs = [i / bins for i in range(bins + 1)]
     hist = hist.withColumn("_edges", F.slice(quantile_edges(hist, qs), 2, bins - 1))
-    b = F.size(F.filter(F.col("_edges"), lambda e: e <= F.col("score")))
+    b = F.size(F.filter(F.col("_edges"), lambda e: e < F.col("score")))
     g = hist.groupBy(b.alias("bin")).agg((F.sum("pos") / F.sum("n")).alias("fp"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mp"))
     return g.select("bin", pround("fp", 6).alias("fraction_pos"), pround("mp", 6).alias("mean_pred"))
 

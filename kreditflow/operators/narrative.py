@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import pround
+from kreditflow.functions.numeric import let, pround
 
 from kreditflow import constants as K
 from kreditflow.functions.text import note
@@ -22,53 +22,47 @@ def to_pct(logit: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)) * F.lit(100.0)
 
 
-def sort_by_impact(attr: Column) -> Column:
-    """SRT-03: by |shap| descending, ties in model feature order."""
+def sorted_terms(attr: Column) -> Column:
+    """SRT-03: terms by |shap| descending, ties in model feature order, each with its note.
 
-    def cmp(l, r):
-        return (
-            F.when(F.abs(l["shap"]) > F.abs(r["shap"]), F.lit(-1))
-            .when(F.abs(l["shap"]) < F.abs(r["shap"]), F.lit(1))
-            .when(l["idx"] < r["idx"], F.lit(-1))
-            .when(l["idx"] > r["idx"], F.lit(1))
-            .otherwise(F.lit(0))
-        )
-
-    return F.array_sort(attr, cmp)
+    ``attr`` holds one term per model feature in model order, so each feature's
+    note is a static expression outside any lambda; the sort needs no comparator.
+    """
+    terms = []
+    for i, f in enumerate(K.ALL_FEATURES):
+        x = F.get(attr, i)
+        shap, value = x["shap"], x["value"]
+        terms.append(F.struct((-F.abs(shap)).alias("order"), F.lit(i).alias("idx"), F.lit(f).alias("feature"), shap.alias("shap"), value.alias("value"), note(f, shap, value).alias("note")))
+    return F.sort_array(F.array(*terms))
 
 
 def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str = "narrative", when: Column | None = None) -> DataFrame:
     """WIN-02: running log-odds over the sorted terms, one struct per step:
     ``step, feature, shap, impact_pct, running_prob, direction, note, value``.
 
-    One left-to-right ``aggregate`` over the sorted terms carries the running
-    log-odds and appends a step per term, so the sort and the running sum
-    appear once in the plan however often Catalyst inlines the column.
+    Only the running log-odds are folded; the sorted terms and the fold are
+    each bound once, so their expressions appear once in the plan.
     """
-    step_type = (
-        "struct<step:int,feature:string,shap:double,impact_pct:double,running_prob:double,"
-        "direction:string,note:string,value:double>"
-    )
-
-    def merge(acc, x):
-        prev = acc["run"]
-        new = prev + x["shap"]
-        new_pct = to_pct(new)
-        st = F.struct(
-            (F.size(acc["steps"]) + 1).alias("step"),
+
+    def steps(terms: Column) -> Column:
+        zero = F.array(base_logit.cast("double"))
+        run = F.aggregate(terms, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["shap"])))
+        return let(F.transform(run, to_pct), lambda pct: F.transform(terms, lambda x, i: step(x, i, F.get(pct, i), F.get(pct, i + 1))))
+
+    def step(x: Column, i: Column, before: Column, after: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("step"),
             x["feature"].alias("feature"),
             pround(x["shap"], 4).alias("shap"),
-            pround(new_pct - to_pct(prev), 2).alias("impact_pct"),
-            pround(new_pct, 2).alias("running_prob"),
+            pround(after - before, 2).alias("impact_pct"),
+            pround(after, 2).alias("running_prob"),
             F.when(x["shap"] > 0, F.lit("positive")).when(x["shap"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
-            note(x["feature"], x["shap"], x["value"]).alias("note"),
+            x["note"].alias("note"),
             pround(x["value"], 4).alias("value"),
         )
-        return F.struct(new.alias("run"), F.concat(acc["steps"], F.array(st)).alias("steps"))
 
-    zero = F.struct(base_logit.cast("double").alias("run"), F.array().cast(f"array<{step_type}>").alias("steps"))
-    steps = F.aggregate(sort_by_impact(F.col(attr_col)), zero, merge, lambda acc: acc["steps"])
-    return df.withColumn(out_col, F.when(when, steps) if when is not None else steps)
+    told = let(sorted_terms(F.col(attr_col)), steps)
+    return df.withColumn(out_col, F.when(when, told) if when is not None else told)
 
 
 def final_confidence(attr: Column, base_logit: Column) -> Column:

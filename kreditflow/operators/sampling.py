@@ -4,7 +4,7 @@ No ``rand()``: every choice is a function of the key and a salt, so retries,
 lost executors and reruns reproduce the same rows.
 
 Exact-n selection takes the n smallest (hash, key) pairs without a global
-sort: a histogram of the top hash bits (at most 32,768 rows) locates the
+sort: a histogram of the top hash bits (at most 65,536 rows) locates the
 bucket that holds the n-th row; rows of earlier buckets are kept outright and
 only that single bucket is ranked.
 """
@@ -14,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOD = 2147483647  # FIXED VALUE: hash modulus (a prime)
-MULT = 999983  # FIXED VALUE: hash multiplier (a prime)
+#: Hash values of one histogram bucket: at most 65,536 buckets.
 SHIFT_BUCKETS = 65536
 
 
 def key_hash(key: Column, salt: int) -> Column:
-    """Integer hash in [0, 2^31-1); the same arithmetic in any SQL engine."""
-    return ((key + F.lit(salt)) * F.lit(MULT)) % F.lit(MOD)
+    """The first 32 bits of md5('salt:key'): independent for every salt, and the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(salt)), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
 def take_smallest(df: DataFrame, n: int, key: str, salt: int) -> DataFrame:
@@ -71,20 +70,35 @@ def training_set(clean: DataFrame, scored: DataFrame, cutoff: float = 0.35, scor
     return clean.join(side_keys, key, "inner")
 
 
-def split_label(key: Column, salt: int, cuts: list[tuple[str, float]]) -> Column:
-    """Assign a split by key hash: ``cuts`` = [(name, upper share), ...]."""
-    u = key_hash(key, salt) % F.lit(10000)
-    expr = None
-    for name, upper in cuts:
-        cond = u < F.lit(int(round(upper * 10000)))
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr
-
-
-def stratified_split(df: DataFrame, cuts: list[tuple[str, float]], salt: int, key: str = "loan_id") -> DataFrame:
-    """SPL-04/05/06: per-row hash threshold.  Independent of row order and
-    partitioning, so every class gets the same expected shares."""
-    return df.withColumn("split", split_label(F.col(key), salt, cuts))
+def stratified_split(df: DataFrame, cuts: list[tuple[str, float]], salt: int, key: str = "loan_id", strata: str = "target") -> DataFrame:
+    """SPL-04/05/06: exact sizes within every class.
+
+    Rows of a class are taken in order of (key hash, key); ``cuts`` = [(name,
+    upper share), ...] cut that order at round(share * size).  A histogram of
+    hash buckets per class (at most 65,536 rows each) tells on which side of
+    every cut a bucket lies; only buckets that a cut runs through are ranked.
+    """
+    h = df.withColumn("_h", key_hash(F.col(key), salt)).withColumn("_hb", F.floor(F.col("_h") / F.lit(SHIFT_BUCKETS)))
+    by = Window.partitionBy(strata)
+    cum = F.sum("_c").over(by.orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0))
+    counts = h.groupBy(strata, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_upto", cum).withColumn("_n", F.sum("_c").over(by)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    limits = [(name, F.floor(F.lit(upper) * F.col("_n") + F.lit(0.5))) for name, upper in cuts]
+    cut_inside = F.lit(False)
+    for _, k in limits:
+        cut_inside = cut_inside | ((F.col("_before") < k) & (k < F.col("_upto")))
+    placed = h.join(F.broadcast(counts.withColumn("_edge", cut_inside)), [strata, "_hb"])  # classes x 65,536 rows at most
+
+    def label(place: Column) -> Column:
+        expr = None
+        for name, k in limits:
+            expr = F.when(place <= k, F.lit(name)) if expr is None else expr.when(place <= k, F.lit(name))
+        return expr
+
+    inside = F.row_number().over(Window.partitionBy(strata, "_hb").orderBy("_h", key))
+    whole = placed.filter(~F.col("_edge")).withColumn("split", label(F.col("_upto")))
+    edge = placed.filter(F.col("_edge")).withColumn("split", label(F.col("_before") + inside))
+    return whole.unionByName(edge).select(*df.columns, "split")
 
 
 TRAIN_TEST = [("train", 0.80), ("test", 1.0)]

@@ -7,6 +7,8 @@ written as ``1e0`` literals so both engines use IEEE arithmetic.
 
 from __future__ import annotations
 
+import re
+
 from kreditflow import constants as K
 
 EMP_CASE = "CASE emp_length " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.EMP_LENGTH_MAP.items()) + " END"
@@ -48,6 +50,25 @@ def feats_cte(ref_date: str | None = None) -> str:
 )"""
 
 
+def exact_rounds(sql: str) -> str:
+    """Every ``round(x, n)`` as the printed digits of x, which follow its exact value and break ties to even."""
+    out, at = [], 0
+    for m in re.finditer(r"(?<![\w])round\(", sql):
+        if m.start() < at:
+            continue
+        depth, i, comma = 1, m.end(), None
+        while depth:
+            ch = sql[i]
+            depth += (ch in "([") - (ch in ")]")
+            comma = i if ch == "," and depth == 1 else comma
+            i += 1
+        places = sql[comma + 1 : i - 1].strip()
+        inner = exact_rounds(sql[m.end() : comma])
+        out += [sql[at : m.start()], f"CAST(printf('%.{places}f', CAST({inner} AS DOUBLE)) AS DOUBLE)"]
+        at = i
+    return "".join(out) + sql[at:]
+
+
 FEATURES = ", ".join(K.ALL_FEATURES)
 CLEAN = f"clean AS (SELECT loan_id, pool_id, decided_at, {FEATURES}, thin_file, target FROM feats WHERE target IS NOT NULL)"
 PROB = "round(1e0/(1e0+exp(-(4.4e0 - 0.12e0*coalesce(dti, 22.5e0) - 0.015e0*coalesce(revol_util, 50e0) - 0.5e0*pub_rec + annual_inc/60000e0))), 4)"
@@ -63,7 +84,7 @@ BASE_FIXED = with_(LOANS, feats_cte("2020-01-01"), CLEAN, SCORED)
 
 
 def h(key: str, salt: int) -> str:
-    return f"((({key}) + {salt}) * 999983) % 2147483647"
+    return f"CAST(concat('0x', substr(md5(concat('{salt}:', CAST({key} AS VARCHAR))), 1, 8)) AS BIGINT)"
 
 
 # --------------------------------------------------------------------- decisions
@@ -100,6 +121,10 @@ def _pmt(label: str) -> str:
 ROOM = "greatest(0e0, annual_inc/12*0.40e0 - annual_inc/12*(dti/100))"
 
 
+#: As the log record computes it: missing values count as 0.
+ROOM0 = "greatest(0e0, coalesce(annual_inc, 0e0)/12*0.40e0 - coalesce(annual_inc, 0e0)/12*(coalesce(dti, 0e0)/100))"
+
+
 def _first_fit(labels: list[str], room: str = "room") -> str:
     whens = " ".join(f"WHEN {_pmt(l)} <= {room} THEN '{l}'" for l in labels)
     return f"CASE {whens} ELSE 'A' END"
@@ -141,10 +166,10 @@ DEC = with_(LOANS, feats_cte(), *DEC_CTES)
 # --------------------------------------------------------------------- narrative
 def _fmt(kind: str, v: str) -> str:
     return {
-        "1f": f"printf('%.1f', round({v}, 1))",
-        "0f": f"printf('%.0f', round({v}, 0))",
-        "comma": f"format('{{:,.0f}}', round({v}, 0))",
-        "pct": f"printf('%.1f', round({v}*100, 1))",
+        "1f": f"printf('%.1f', {v})",
+        "0f": f"printf('%.0f', {v})",
+        "comma": f"format('{{:,.0f}}', CAST(printf('%.0f', {v}) AS DOUBLE))",
+        "pct": f"printf('%.1f', {v}*100)",
     }[kind]
 
 
@@ -226,8 +251,8 @@ NARR = with_(LOANS, feats_cte(), *DEC_CTES, *NARR_CTES)
 
 def _min_plan_sql() -> str:
     dti, ru, pub, inc = "coalesce(dti, 100e0)", "coalesce(revol_util, 100e0)", "coalesce(pub_rec, 0e0)", "coalesce(annual_inc, 0e0)"
-    c1 = f"CASE WHEN {dti} > 35 THEN concat('reduce debt-to-income ratio below 35% (currently ', printf('%.1f', round({dti}, 1)), '%)') END"
-    c2 = f"CASE WHEN {ru} > 80 THEN concat('reduce credit utilisation below 80% (currently ', printf('%.1f', round({ru}, 1)), '%)') END"
+    c1 = f"CASE WHEN {dti} > 35 THEN concat('reduce debt-to-income ratio below 35% (currently ', printf('%.1f', {dti}), '%)') END"
+    c2 = f"CASE WHEN {ru} > 80 THEN concat('reduce credit utilisation below 80% (currently ', printf('%.1f', {ru}), '%)') END"
     c3 = "CASE WHEN coalesce(repay_prob, 0e0) < 0.60e0 THEN 'improve overall credit profile' END"
     conds = f"concat_ws(' and ', {c1}, {c2}, {c3})"
     blocked_pub, blocked_inc = f"{pub} >= 3", f"{inc} < 15000"
@@ -261,7 +286,7 @@ def offer_cols_sql() -> str:
 
 
 def record_sql() -> str:
-    room0 = "greatest(0e0, coalesce(annual_inc, 0e0)/12*0.40e0 - coalesce(annual_inc, 0e0)/12*(coalesce(dti, 0e0)/100))"
+    room0 = ROOM0
     plan_cols = []
     for l, amount, _t, _a in K.OFFERS:
         p = l.lower()
