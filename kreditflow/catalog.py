@@ -192,13 +192,25 @@ def scl_22_decision_record(spark, sf):
 
 
 # ============================================================ decision log
+def _with_batch(rec: DataFrame) -> DataFrame:
+    """Decision years numbered 0, 1, 2, ... in order, whichever they are."""
+    rec = rec.withColumn("_year", F.year(F.to_timestamp("decided_at")))
+    years = rec.select("_year").distinct().withColumn("_batch", F.row_number().over(Window.orderBy("_year")) - 1)  # a row per year
+    return rec.join(F.broadcast(years), "_year").drop("_year")
+
+
+_LOGS: dict = {}
+
+
 def _logged(spark, sf) -> L.VersionedTable:
-    """Decisions committed one version per decision year (1995 -> version 0)."""
-    rec = D.decision_record(PD.surrogate_decisions(spark, sf), extra=["pool_id"])
-    rec = rec.withColumn("_batch", F.year(F.to_timestamp("decided_at")) - F.lit(1995))
-    t = L.VersionedTable(spark, scratch_path(spark, "decision_log"))
-    t.append_batches(rec, "_batch", operation="WRITE", time_col="decided_at")
-    return t
+    """Decisions committed one version per decision year, once for each session and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LOGS:
+        rec = _with_batch(D.decision_record(PD.surrogate_decisions(spark, sf), extra=["pool_id"]))
+        t = L.VersionedTable(spark, scratch_path(spark, "decision_log"))
+        t.append_batches(rec, "_batch", operation="WRITE", time_col="decided_at")
+        _LOGS[key] = t
+    return _LOGS[key]
 
 
 LOG_COLS = ["applicant_id", "decided_at", "decision", "tier", "repay_probability", "offer_tier", "pool_id"]
@@ -234,8 +246,7 @@ def src_12_history(spark, sf):
 def src_05_schema_merge(spark, sf):
     """SRC-05: versions 0..3 written without ``pool_id``, 4.. with it; the
     merged read has NULL where a commit lacked the column."""
-    rec = D.decision_record(PD.surrogate_decisions(spark, sf), extra=["pool_id"])
-    rec = rec.withColumn("_batch", F.year(F.to_timestamp("decided_at")) - F.lit(1995))
+    rec = _logged(spark, sf).read().withColumn("_batch", F.col("commit_version")).drop("commit_version")
     t = L.VersionedTable(spark, scratch_path(spark, "decision_log_merge"))
     t.append_batches(rec.filter(F.col("_batch") <= 3).drop("pool_id"), "_batch", time_col="decided_at")
     t.append_batches(rec.filter(F.col("_batch") > 3).withColumn("_batch", F.col("_batch") - 4), "_batch", time_col="decided_at")
@@ -650,21 +661,23 @@ def str_01_stream_decisions(spark, sf):
     batch is committed as log version = batch id, budget carried across batches."""
     from kreditflow.streaming import decisions as SD
 
-    src = scratch_path(spark, "applications_stream")
-    SD.stage_applications(spark, sf, src)
-    log = SD.stream_decisions(spark, src, scratch_path(spark, "stream_log"), scratch_path(spark, "stream_ckpt"))
+    src, out, ckpt = (scratch_path(spark, f"stream_{n}") for n in ("applications", "log", "checkpoint"))
+    apps = D.store(C.applicants(spark, sf), "stream_apps")
+    log = None
+    for r in apps.select(F.year("decided_at").alias("y")).distinct().orderBy("y").collect():  # a handful of years
+        SD.stage_applications(apps, src, r["y"])
+        log = SD.stream_decisions(spark, src, apps.schema, out, ckpt)
     return log.read().select(*LOG_COLS, "commit_version")
 
 
 def budget_events(spark, sf) -> DataFrame:
-    """Tier-3 requests plus repayments/defaults of the resolved ones (6-month term)."""
-    rows = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") == 3)
-    req = rows.select("pool_id", F.col("loan_id").alias("seq"), F.col("decided_at").alias("ts"), F.lit("REQUEST").alias("event_type"),
-                      F.col("applicant_id"), F.col("trial_amount").alias("amount"))
-    res = rows.filter(F.col("loan_status").isin(*K.KNOWN_STATUSES)).select(
-        "pool_id", F.col("loan_id").alias("seq"), F.add_months("decided_at", 6).cast("timestamp_ntz").alias("ts"),
-        F.when(F.col("loan_status") == K.REPAID_STATUS, F.lit("REPAYMENT")).otherwise(F.lit("DEFAULT")).alias("event_type"),
-        F.col("applicant_id"), F.col("trial_amount").alias("amount"))
+    """Tier-3 requests, and repayments and defaults of the trial loans that were approved, at the end of their term."""
+    dec = PD.surrogate_decisions(spark, sf).filter(F.col("tier") == 3)
+    req = dec.select("pool_id", F.col("loan_id").alias("seq"), F.col("decided_at").alias("ts"), F.lit("REQUEST").alias("event_type"),
+                     F.col("applicant_id"), F.col("trial_amount").alias("amount"))
+    res = outcomes_frame(spark, sf).filter(F.col("tier") == 3).select(
+        "pool_id", F.col("applicant_id").cast("long").alias("seq"), F.col("resolved_at").alias("ts"),
+        F.when(F.col("outcome") == "REPAID", F.lit("REPAYMENT")).otherwise(F.lit("DEFAULT")).alias("event_type"), "applicant_id", "amount")
     return req.unionByName(res)
 
 

@@ -4,7 +4,8 @@ DEC-05, requests only.  Sequential rule per pool in arrival order: approve a
 request when the remaining budget covers it, else waitlist it.  Remaining
 budget only falls, so once an amount ``a`` fails every later request of at
 least ``a`` fails too.  With the four ladder amounts this gives at most four
-failure points, found by rounds of parallel prefix sums:
+failure points, found by rounds of parallel prefix sums (one round for each
+distinct amount at most):
 
   round: running sum of the still-open requests (bucketed, see ``ordered``);
          the first request whose running total passes the budget fails;
@@ -13,8 +14,15 @@ failure points, found by rounds of parallel prefix sums:
          amount as the new cap.
 
 DEC-06/07/13 interleave repayments (which refill the budget and sweep the
-waitlist), defaults and resets: an ordered fold per pool, run as a sorted
-``mapInPandas`` stream (memory is the fold state, not the pool).
+waitlist), defaults and resets.  Between two resets the approvals of one amount
+are its first requests: a waiting one does not fit, the budget only falls until
+a repayment, and a sweep serves equal amounts in order of arrival, so a later
+equal request never overtakes.  Each approval spends its amount, so at most
+(start budget + all repayments) / amount requests of an amount can ever be
+approved, which is a property of the data and not a cap.  Requests are ranked by
+bucketed prefix counts; only those within that bound are folded in order with
+the repayments, and all others are known to wait: their rows take the fold's
+state as of their arrival, again by prefix operations over buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kreditflow.functions.numeric import pround
@@ -32,8 +40,6 @@ from pyspark.sql import types as T
 from kreditflow import constants as K
 from kreditflow.operators.ordered import BUCKET, prefix_sum, range_buckets
 
-MAX_ROUNDS = 8
-
 
 def approve_in_order(
     requests: DataFrame,
@@ -55,7 +61,7 @@ def approve_in_order(
     open_rows = rows
     decided: list[DataFrame] = []
     keep = list(rows.columns)
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round settles one amount for good in each pool that fails
         o = open_rows.join(spent, pool_col, "left").withColumn("_spent", F.coalesce("_spent", F.lit(0.0)))
         o = prefix_sum(o, [pool_col], order, amount_col, "_ps")
         over = F.col("_spent") + F.col("_ps") > F.lit(budget)
@@ -82,8 +88,6 @@ def approve_in_order(
         spent = o.filter(F.col("_failed")).groupBy(pool_col).agg(F.first("_spent_next").alias("_spent"))
         if open_rows.isEmpty():
             break
-    else:  # pragma: no cover - bounded by the number of distinct amounts
-        raise RuntimeError("budget rounds did not converge")
 
     out = decided[0]
     for d in decided[1:]:
@@ -143,6 +147,7 @@ FOLD_SCHEMA = T.StructType(
         T.StructField("amount_defaulted", T.DoubleType()),
         T.StructField("remaining", T.DoubleType()),
         T.StructField("waitlist_size", T.LongType()),
+        T.StructField("step", T.IntegerType()),  # place among the rows of one event
     ]
 )
 
@@ -150,20 +155,29 @@ FOLD_SCHEMA = T.StructType(
 class PoolState:
     """Budget state of one pool (the fold's accumulator)."""
 
-    __slots__ = ("total", "deployed", "repaid", "defaulted", "waitlist", "approved")
+    __slots__ = ("total", "deployed", "repaid", "defaulted", "waiting", "size", "arrivals", "approved")
 
     def __init__(self, total: float = K.DEFAULT_POOL_BUDGET):
         self.reset(total)
 
     def reset(self, total: float) -> None:
         self.total, self.deployed, self.repaid, self.defaulted = float(total), 0.0, 0.0, 0.0
-        self.waitlist: deque = deque()
-        self.approved = 0
+        self.waiting: dict[float, deque] = {}  # amount -> (arrival, event) in order
+        self.size = self.arrivals = self.approved = 0
 
     @property
     def remaining(self) -> float:
         return self.total - self.deployed
 
+    def wait(self, ev: dict) -> None:
+        self.waiting.setdefault(float(ev["amount"] or 0.0), deque()).append((self.arrivals, ev))
+        self.arrivals += 1
+        self.size += 1
+
+    def waitlist(self) -> list[dict]:
+        """Waiting requests in order of arrival."""
+        return [ev for _, ev in sorted((x for q in self.waiting.values() for x in q), key=lambda x: x[0])]
+
     def apply(self, ev: dict) -> list[dict]:
         """Apply one event; returns output rows (the event, plus any waitlist
         approvals it triggers)."""
@@ -175,28 +189,27 @@ class PoolState:
                 self.approved += 1
                 out.append(self._row(ev, "APPROVED"))
             else:
-                self.waitlist.append(ev)
+                self.wait(ev)
                 out.append(self._row(ev, "WAITLISTED"))
         elif kind == "REPAYMENT":
             self.repaid += amt
             self.total += amt
             out.append(self._row(ev, "RECORDED"))
-            keep: deque = deque()
-            while self.waitlist:
-                w = self.waitlist.popleft()
-                if self.remaining >= float(w["amount"]):
-                    self.deployed += float(w["amount"])
-                    self.approved += 1
-                    out.append(self._row({**w, "seq": ev["seq"], "ts": ev["ts"], "event_type": "WAITLIST_APPROVAL"}, "APPROVED"))
-                else:
-                    keep.append(w)
-            self.waitlist = keep
+            # what doesn't fit now can't fit later in the sweep: the earliest of the first of each amount that fits is next
+            while fits := [q for a, q in self.waiting.items() if q and a <= self.remaining]:
+                _, w = min(fits, key=lambda q: q[0][0]).popleft()
+                self.size -= 1
+                self.deployed += float(w["amount"] or 0.0)
+                self.approved += 1
+                out.append(self._row({**w, "seq": ev["seq"], "ts": ev["ts"], "event_type": "WAITLIST_APPROVAL"}, "APPROVED"))
         elif kind == "DEFAULT":
             self.defaulted += amt
             out.append(self._row(ev, "RECORDED"))
         elif kind == "RESET":
             self.reset(amt)
             out.append(self._row(ev, "RESET"))
+        for step, row in enumerate(out):
+            row["step"] = step
         return out
 
     def _row(self, ev: dict, status: str) -> dict:
@@ -204,36 +217,65 @@ class PoolState:
             "pool_id": ev["pool_id"], "seq": ev["seq"], "ts": ev["ts"], "event_type": ev["event_type"],
             "applicant_id": ev["applicant_id"], "amount": ev["amount"], "status": status,
             "total_budget": self.total, "amount_deployed": self.deployed, "amount_repaid": self.repaid,
-            "amount_defaulted": self.defaulted, "remaining": self.remaining, "waitlist_size": len(self.waitlist),
+            "amount_defaulted": self.defaulted, "remaining": self.remaining, "waitlist_size": self.size,
         }
 
 
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (pool_id, ts, seq); state is kept per pool."""
-    states: dict = {}
+    """Rows arrive sorted by (pool_id, ts, seq); the state of one pool is held at a time."""
+    pool, st = None, PoolState()
     for pdf in batches:
         out: list[dict] = []
         for ev in pdf.to_dict("records"):
-            st = states.get(ev["pool_id"])
-            if st is None:
-                st = states[ev["pool_id"]] = PoolState()
-            out.extend(st.apply(ev))
+            if ev["pool_id"] != pool:
+                pool, st = ev["pool_id"], PoolState()
+            out.extend({**row, "_bucket": ev["_bucket"], "_period": ev["_period"]} for row in st.apply(ev))
         if out:
-            yield pd.DataFrame(out, columns=[f.name for f in FOLD_SCHEMA.fields])
+            yield pd.DataFrame(out, columns=[*[f.name for f in FOLD_SCHEMA.fields], "_bucket", "_period"])
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """DEC-06 / DEC-07 / DEC-13: ordered fold of REQUEST, REPAYMENT, DEFAULT and
-    RESET events per pool.  One hash shuffle by pool, a sort inside each
-    partition, then a streaming pass: the pandas batches are bounded by
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``, only the fold state
-    (totals and the waitlist) is held."""
+def fold_events(events: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
+    """DEC-06 / DEC-07 / DEC-13: REQUEST, REPAYMENT, DEFAULT and RESET events in order per pool."""
+    order, state = ["ts", "seq"], ["total_budget", "amount_deployed", "amount_repaid", "amount_defaulted", "remaining", "waitlist_size"]
     ev = events.select(*[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA.fields])
-    return (
-        ev.repartition("pool_id")
-        .sortWithinPartitions("pool_id", "ts", "seq")
-        .mapInPandas(_fold_partition, FOLD_SCHEMA)
-    )
+    rows = range_buckets(ev, ["pool_id"], order)
+    is_kind = lambda k: (F.col("event_type") == k).cast("long")
+    rows = prefix_sum(rows.withColumn("_reset", is_kind("RESET")), ["pool_id"], order, "_reset", "_period").drop("_reset")
+    # what each period can spend: its start and all repayments
+    value = F.coalesce("amount", F.lit(0.0))
+    start = F.when(F.col("_period") == 0, F.lit(budget)).otherwise(F.max(F.when(F.col("event_type") == "RESET", value)))
+    pots = rows.groupBy("pool_id", "_period").agg((start + F.sum(F.when(F.col("event_type") == "REPAYMENT", value).otherwise(0.0))).alias("_pot"))
+    asked = rows.filter(F.col("event_type") == "REQUEST").withColumns({"_one": F.lit(1), "_value": value})
+    asked = prefix_sum(asked, ["pool_id", "_period", "_value"], order, "_one", "_rank").join(pots, ["pool_id", "_period"])
+    asked = asked.withColumn("_may", F.col("_rank") * F.col("_value") <= F.col("_pot")).select(*rows.columns, "_may").checkpoint(eager=True)
+
+    chosen = asked.filter("_may").drop("_may").unionByName(rows.filter(F.col("event_type") != "REQUEST"))
+    kind = T.StructType([*FOLD_SCHEMA.fields, rows.schema[BUCKET], rows.schema["_period"]])
+    folded = chosen.repartition("pool_id").sortWithinPartitions("pool_id", *order).mapInPandas(_fold_partition, kind)
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in FOLD_SCHEMA.fields if f.name in state]
+    waiting = asked.filter(~F.col("_may")).select(*rows.columns, F.lit("WAITLISTED").alias("status"), *empty, F.lit(0).alias("step"))
+    every = folded.unionByName(waiting).withColumn("_late", F.col("total_budget").isNull().cast("long")).checkpoint(eager=True)
+
+    # the state as of each waiting row: the last one in its bucket, or of an earlier bucket
+    place = [*order, "step"]
+    known = F.when(F.col("_late") == 0, F.struct(*state))
+    ends = every.filter(F.col("_late") == 0).groupBy("pool_id", BUCKET).agg(F.max_by(F.struct(*state), F.struct(*place)).alias("_end"))
+    every = every.join(_carried(ends, every), ["pool_id", BUCKET], "left")
+    here = Window.partitionBy("pool_id", BUCKET).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    every = every.withColumn("_state", F.coalesce(F.last(known, ignorenulls=True).over(here), F.col("_before")))
+    # requests that wait outside the fold count in the waitlist until the next reset
+    every = prefix_sum(every, ["pool_id", "_period"], place, "_late", "_extra")
+    fresh = {"total_budget": F.lit(budget), "remaining": F.lit(budget)}
+    out = {c: F.coalesce(F.col("_state").getField(c), fresh.get(c, F.lit(0.0))) for c in state}
+    out["waitlist_size"] = (F.coalesce(F.col("_state.waitlist_size"), F.lit(0)) + F.col("_extra")).cast("long")
+    return every.withColumns(out).select(*[f.name for f in FOLD_SCHEMA.fields])
+
+
+def _carried(ends: DataFrame, every: DataFrame) -> DataFrame:
+    """(pool_id, bucket, _before): the last state of a pool in earlier buckets; a row per pool and bucket."""
+    all_buckets = every.select("pool_id", BUCKET).distinct().join(ends, ["pool_id", BUCKET], "left")
+    w = Window.partitionBy("pool_id").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return all_buckets.select("pool_id", BUCKET, F.last("_end", ignorenulls=True).over(w).alias("_before"))
 
 
 def status_from_requests(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET, pool_col: str = "pool_id") -> DataFrame:
@@ -252,7 +294,7 @@ def status_from_fold(folded: DataFrame) -> DataFrame:
     """AGG-30 over the fold: last state per pool plus counts and repay rate."""
     last = F.max_by(
         F.struct("total_budget", "amount_deployed", "amount_repaid", "amount_defaulted", "remaining", "waitlist_size"),
-        F.struct("ts", "seq", F.col("event_type") == "WAITLIST_APPROVAL"),
+        F.struct("ts", "seq", "step"),
     )
     s = folded.groupBy("pool_id").agg(last.alias("s"), F.count_if(F.col("status") == "APPROVED").alias("approved"))
     resolved = F.col("s.amount_repaid") + F.col("s.amount_defaulted")

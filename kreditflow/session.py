@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,33 +31,28 @@ def build_session(master: str | None = None, app: str = "kreditflow", shuffle_pa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    tune_session(spark)
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
-def tune_session(spark: SparkSession) -> None:
-    """Runtime SQL settings the decision plans rely on.
-
-    Decisions are long chains of derived columns; filtering on one of them
-    (e.g. tier-3 rows for the budget) makes constraint propagation copy the
-    whole expression tree into inferred predicates, which blows the generated
-    code past the 64 KB method limit and falls back to interpretation.  The
-    documented switch turns that inference off.
-    """
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+def prepare_session(spark: SparkSession) -> None:
+    """What every query needs of a session: a shared folder, and the package on the workers."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when the
-    session has none (local tests) a private folder is created.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  Only a local
+    session without one (tests) gets a private folder; on a cluster, where
+    executors don't see each other's folders, that would lose data.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -64,11 +60,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="kreditflow-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that functions find it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="kreditflow-code-"), "kreditflow.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("kreditflow", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -76,11 +94,6 @@ def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     return f"{base}/kreditflow/{leaf}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local-filesystem checks."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem, so it works on any store."""
     jvm = spark.sparkContext._jvm
@@ -89,6 +102,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
-def env_flag(name: str, default: bool = False) -> bool:
-    v = os.environ.get(name)
-    return default if v is None else v.lower() in ("1", "true", "yes")
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder (none if it doesn't exist)."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of this package's own tables."""
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -5,7 +5,7 @@ STR-01  applications arrive as files; each micro-batch is decided and
         idempotent (dynamic partition overwrite of that version; a batch whose
         commit row exists is skipped), so a restarted query after executor or
         driver loss does not duplicate decisions.  The pool budget carries
-        across batches through a small per-pool state table.
+        across batches through a small per-pool state table, committed first.
 STR-02  the budget fold as a stateful operator per pool
         (``applyInPandasWithState``), events ordered by (ts, seq) in a batch.
 STR-03  approval rate per sliding 7-day window with a watermark.
@@ -14,12 +14,12 @@ STR-03  approval rate per sliding 7-day window with a watermark.
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from kreditflow import constants as K
@@ -32,60 +32,50 @@ from kreditflow.sources.decision_log import VersionedTable
 # --------------------------------------------------------------------- STR-01
 
 
-def stage_applications(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Write the applications as one file per decision year, oldest first,
-    so a file stream sees them in arrival order."""
-    apps = C.applicants(spark, sf_dir).withColumn("_y", F.year("decided_at"))
-    years = [r["_y"] for r in apps.select("_y").distinct().orderBy("_y").collect()]  # a handful of years
-    for y in years:
-        apps.filter(F.col("_y") == y).drop("_y").coalesce(1).write.mode("overwrite").parquet(f"{path}/year={y}")
+def stage_applications(apps: DataFrame, path: str, year: int) -> None:
+    """Write one year's applications, over as many files as there are, for the stream to find."""
+    apps.filter(F.year("decided_at") == year).write.mode("append").parquet(path)
 
 
-def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state_path: str, budget: float) -> None:
-    spark = batch.sparkSession
-    done = log.commits().filter(F.col("version") == batch_id).limit(1).count() > 0
-    if done:  # replay of a committed batch
+def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: VersionedTable, budget: float) -> None:
+    if any(v == batch_id for v, _ in log._committed()):  # replay of a committed batch
         return
     rows = D.decide_rows(
         batch.withColumns({"repay_prob": C.surrogate_prob(), "attr": C.surrogate_attributions()}),
         "repay_prob", "attr", F.lit(C.surrogate_base_logit()), F.lit("surrogate-linear-1"),
     )
     pending = F.col("decision") == "PENDING"
-    state = VersionedTable(spark, state_path)
-    spent = state.read().groupBy("pool_id").agg(F.max_by("spent", "commit_version").alias("_spent0")) if state.latest_version() is not None else None
+    # what the batches before this one have spent: the newest earlier version holds every pool
+    spent = None
+    if any(v < batch_id for v, _ in state._committed()):
+        old = state.read(batch_id - 1)
+        newest = max(v for v, _ in state._committed(batch_id - 1))
+        spent = old.filter(F.col("commit_version") == newest).select("pool_id", F.col("spent").alias("_spent0"))
     t3 = rows.filter(pending)
-    req = t3.select("loan_id", "pool_id", "decided_at", "trial_amount")
-    res = B.approve_in_order(req, budget=budget, initial_spent=spent)
-    t3 = t3.join(res.select("loan_id", "budget_status", "budget_remaining"), "loan_id").withColumn("decision", F.col("budget_status")).drop("budget_status")
-    dec = rows.filter(~pending).withColumn("budget_remaining", F.lit(None).cast("double")).unionByName(t3)
-    rec = D.decision_record(dec, extra=["pool_id"])
-    _append_version(log, rec, batch_id)
-    # spent per pool after the batch = budget - remaining after its last request
+    res = B.approve_in_order(t3.select("loan_id", "pool_id", "decided_at", "trial_amount"), budget=budget, initial_spent=spent)
     last = res.groupBy("pool_id").agg(F.max_by(F.lit(budget) - F.col("budget_remaining"), F.struct("decided_at", "loan_id")).alias("spent"))
     if spent is not None:
         carried = spent.join(last.select("pool_id"), "pool_id", "left_anti").select("pool_id", F.col("_spent0").alias("spent"))
         last = last.unionByName(carried)
-    _append_version(state, last, batch_id)
-
+    # state first: a crash between the two commits replays the batch, which then finds the spending of the
+    # batches before it again and writes the same decisions
+    state.append(last, operation="STREAMING UPDATE", version=batch_id)
+    t3 = t3.join(res.select("loan_id", "budget_status", "budget_remaining"), "loan_id").withColumn("decision", F.col("budget_status")).drop("budget_status")
+    dec = rows.filter(~pending).withColumn("budget_remaining", F.lit(None).cast("double")).unionByName(t3)
+    log.append(D.decision_record(dec, extra=["pool_id"]), operation="STREAMING UPDATE", version=batch_id)
 
-def _append_version(t: VersionedTable, df: DataFrame, version: int) -> None:
-    import datetime as dt
 
-    out = df.withColumn("commit_version", F.lit(version))
-    t._write(out)
-    n = t.spark.read.parquet(f"{t.data_path}/commit_version={version}").count()
-    t._commit([(version, dt.datetime.now(), "STREAMING UPDATE", n)])
+STATE_FIELDS = T.StructType([T.StructField("pool_id", T.IntegerType()), T.StructField("spent", T.DoubleType())])
 
 
-def stream_decisions(spark: SparkSession, source: str, log_path: str, checkpoint: str, budget: float = K.DEFAULT_POOL_BUDGET) -> VersionedTable:
-    """STR-01: run until the staged files are consumed (``availableNow``)."""
-    schema = spark.read.parquet(source).schema
+def stream_decisions(spark: SparkSession, source: str, schema: T.StructType, log_path: str, checkpoint: str, budget: float = K.DEFAULT_POOL_BUDGET) -> VersionedTable:
+    """STR-01: decide what has arrived since the last call, as one micro-batch, and commit it."""
     log = VersionedTable(spark, log_path)
-    state_path = log_path.rstrip("/") + "_budget_state"
+    state = VersionedTable(spark, log_path.rstrip("/") + "_budget_state", STATE_FIELDS)
     q = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        spark.readStream.schema(schema).parquet(source)
         .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, bid: _decide_batch(df, bid, log, state_path, budget))
+        .foreachBatch(lambda df, bid: _decide_batch(df, bid, log, state, budget))
         .trigger(availableNow=True)
         .start()
     )
@@ -103,14 +93,15 @@ def _budget_state_fn(key, pdfs: Iterator[pd.DataFrame], state):
     if state.exists:
         total, deployed, repaid, defaulted, wl = state.get
         st.total, st.deployed, st.repaid, st.defaulted = total, deployed, repaid, defaulted
-        st.waitlist = deque(json.loads(wl, object_hook=_revive))
+        for ev in json.loads(wl, object_hook=_revive):
+            st.wait(ev)
     rows = []
     batch = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
     if len(batch):
         batch = batch.sort_values(["ts", "seq"])
         for ev in batch.to_dict("records"):
             rows.extend(st.apply(ev))
-    state.update((st.total, st.deployed, st.repaid, st.defaulted, json.dumps(list(st.waitlist), default=str)))
+    state.update((st.total, st.deployed, st.repaid, st.defaulted, json.dumps(st.waitlist(), default=str)))
     if rows:
         yield pd.DataFrame(rows, columns=[f.name for f in B.FOLD_SCHEMA.fields])
 

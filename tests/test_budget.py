@@ -44,3 +44,57 @@ def test_fold_replay(spark):
     assert out[(7, "REQUEST", "d")] == "APPROVED"
     st = {r.pool_id: r for r in B.status_from_fold(B.fold_events(df)).collect()}[1]
     assert st.total_budget == 1000.0 and st.amount_deployed == 500.0
+
+
+def plain(state, ev):
+    """Who is approved by an event: the rule as it is told, over one list."""
+    amount, done = ev["amount"], []
+    if ev["event_type"] == "RESET":
+        state[:] = [amount, []]
+    elif ev["event_type"] == "REQUEST":
+        if state[0] >= amount:
+            state[0] -= amount
+            done.append(ev["applicant_id"])
+        else:
+            state[1].append(ev)
+    elif ev["event_type"] == "REPAYMENT":
+        state[0] += amount
+        for w in list(state[1]):
+            if state[0] >= w["amount"]:
+                state[0] -= w["amount"]
+                done.append(w["applicant_id"])
+                state[1].remove(w)
+    return done
+
+
+def test_parallel_fold_equals_the_sequential_rule(spark):
+    """Random events with resets and small budgets: every output row and state, in order."""
+    rnd = random.Random(11)
+    base = dt.datetime(2020, 1, 1)
+    events = []
+    for i in range(1500):
+        kind = rnd.choices(["REQUEST", "REPAYMENT", "DEFAULT", "RESET"], [20, 4, 2, 0.1])[0]
+        amount = rnd.choice([300.0, 350.0, 400.0, 500.0]) if kind != "RESET" else rnd.choice([900.0, 2000.0, 4000.0])
+        events.append((rnd.choice([1, 1, 1, 2, 3]), i, base + dt.timedelta(days=rnd.randrange(200)), kind, f"a{i}", amount))
+    events += [(p, -1, base - dt.timedelta(days=1), "RESET", None, 1500.0) for p in (1, 2)]
+    want, states = [], {}
+    simple = {}
+    for pool, seq, ts, kind, who, amount in sorted(events, key=lambda e: (e[0], e[2], e[1])):
+        ev = dict(zip(B.EVENT_SCHEMA.fieldNames(), (pool, seq, ts, kind, who, amount)))
+        rows = states.setdefault(pool, B.PoolState()).apply(ev)
+        want += [tuple(r[f] for f in B.FOLD_SCHEMA.fieldNames()) for r in rows]
+        assert [r["applicant_id"] for r in rows if r["status"] == "APPROVED"] == plain(simple.setdefault(pool, [10000.0, []]), ev)
+    df = spark.createDataFrame(events, B.EVENT_SCHEMA).repartition(7)
+    got = [tuple(r) for r in B.fold_events(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[3] == "WAITLIST_APPROVAL" for r in want) > 50
+    last = {r.pool_id: r for r in B.status_from_fold(B.fold_events(df)).collect()}
+    for pool, st in states.items():
+        assert (last[pool].amount_deployed, last[pool].remaining, last[pool].waitlisted) == (st.deployed, st.remaining, st.size)
+
+
+def test_more_amounts_than_eight(spark):
+    rows = [(1, dt.datetime(2020, 1, 1), i, 100.0 + 7 * (i % 23)) for i in range(400)]
+    df = spark.createDataFrame(rows, "pool_id int, decided_at timestamp_ntz, loan_id long, trial_amount double")
+    got = {r.loan_id: (r.budget_status, r.budget_remaining) for r in B.approve_in_order(df, budget=9000.0).collect()}
+    assert got == sequential(rows, 9000.0)
