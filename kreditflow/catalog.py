@@ -30,6 +30,7 @@ from kreditflow.plans import decisions as PD
 from kreditflow.session import scratch_path
 from kreditflow.sources import decision_log as L
 from kreditflow.sources.loans import loans
+from kreditflow.sources.tables import write_clean
 
 Q = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Q, str | None]] = {}
@@ -62,7 +63,7 @@ def flt_01_known_outcomes(spark, sf):
 def src_02_clean_roundtrip(spark, sf):
     """PRJ-01/02/04 + SCL-01..09 + SRC-03 sink + SRC-02 scan."""
     path = scratch_path(spark, "clean_loans")
-    C.clean_loans(spark, sf).write.mode("overwrite").parquet(path)
+    write_clean(C.clean_loans(spark, sf), path)
     return spark.read.parquet(path)
 
 
@@ -110,6 +111,40 @@ def scl_11_14_validation(spark, sf):
     return v.select("loan_id", F.size("validation_errors").alias("n_errors"), "is_valid")
 
 
+def _validation_texts_sql() -> str:
+    """Messages of the text form of the applications, in rule order."""
+    num = {"dti": "TRY_CAST(dti_text AS DOUBLE)", "annual_inc": "inc"}
+    parts = []
+    for f in K.REQUIRED_FIELDS:
+        col = {"dti": "dti_text", "annual_inc": "inc", "home_ownership": "home"}.get(f, f)
+        parts.append(f"CASE WHEN {col} IS NULL THEN 'Missing required field: {f}' END")
+    for f, (lo, hi) in K.VALID_RANGES.items():
+        v = num.get(f, f"CAST({f} AS DOUBLE)")
+        text = f"CASE WHEN {v} = floor({v}) THEN concat(CAST(CAST({v} AS BIGINT) AS VARCHAR), '.0') ELSE CAST({v} AS VARCHAR) END"
+        bad = "WHEN dti_text IS NOT NULL AND TRY_CAST(dti_text AS DOUBLE) IS NULL THEN concat('dti must be a number, got: ', dti_text) " if f == "dti" else ""
+        parts.append(f"CASE {bad}WHEN {v} < {lo} OR {v} > {hi} THEN concat('{f} value ', {text}, ' is outside valid range [{lo}, {hi}]') END")
+    allowed = K.VALID_CATEGORIES["home_ownership"]
+    listing = "[" + ", ".join(f"''{a}''" for a in allowed) + "]"
+    parts.append(f"CASE WHEN home IS NOT NULL AND upper(home) NOT IN ({', '.join(repr(a) for a in allowed)}) THEN concat('home_ownership must be one of {listing}, got: ', home) END")
+    return O.with_(O.LOANS, O.feats_cte()) + f""", x AS (SELECT *, CASE WHEN loan_id % 53 = 0 THEN 'n/a' WHEN loan_id % 59 = 0 THEN '250.5' ELSE CAST(dti AS VARCHAR) END AS dti_text,
+  CASE WHEN loan_id % 61 = 0 THEN 500e0 ELSE annual_inc END AS inc, CASE WHEN loan_id % 67 = 0 THEN 'CASTLE' WHEN loan_id % 71 = 0 THEN 'rent' ELSE home_ownership END AS home FROM feats)
+SELECT loan_id, concat_ws(' | ', {', '.join(parts)}) AS errors FROM x"""
+
+
+@register("scl_11_13_validation_texts", _validation_texts_sql())
+def scl_11_13_validation_texts(spark, sf):
+    """Messages themselves, over applications as text: no numbers, values out of range, unknown categories."""
+    from kreditflow.functions.validation import validation_errors
+
+    k = F.col("loan_id")
+    a = C.applicants(spark, sf).withColumns({
+        "dti": F.when(k % 53 == 0, F.lit("n/a")).when(k % 59 == 0, F.lit("250.5")).otherwise(F.col("dti").cast("string")),
+        "annual_inc": F.when(k % 61 == 0, F.lit(500.0)).otherwise(F.col("annual_inc")),
+        "home_ownership": F.when(k % 67 == 0, F.lit("CASTLE")).when(k % 71 == 0, F.lit("rent")).otherwise(F.col("home_ownership")),
+    })
+    return a.select("loan_id", F.concat_ws(" | ", validation_errors(a)).alias("errors"))
+
+
 @register("jn_01_plans_long", O.with_(O.LOANS, O.feats_cte()) + "SELECT loan_id, o.offer, o.amount, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) AS monthly, round(o.amount*(o.apr/12)/(1e0-pow(1e0+o.apr/12, -o.term_months)), 2) <= " + O.ROOM0 + " AS fits FROM feats CROSS JOIN (VALUES ('A', 500e0, 6e0, 0.09e0), ('B', 1000e0, 12e0, 0.12e0), ('C', 2500e0, 24e0, 0.15e0), ('D', 5000e0, 36e0, 0.19e0)) o(offer, amount, term_months, apr)")
 def jn_01_plans_long(spark, sf):
     """JN-01 / SCL-15 / SCL-16: every applicant against every offer, as an
@@ -132,6 +167,23 @@ def scl_17_distance(spark, sf):
     return C.applicants(spark, sf).select("loan_id", distance_score().alias("distance_score"))
 
 
+def _distance_terms_sql() -> str:
+    parts = []
+    for f, d in K.DEFAULTER_PROFILE.items():
+        v = f"coalesce(CAST({f} AS DOUBLE), CAST('{d!r}' AS DOUBLE))"
+        raw = f"(({d!r}e0 - {v})/{d!r}e0)" if f in K.LOWER_IS_BETTER else f"(({v} - {d!r}e0)/{d!r}e0)"
+        c = f"greatest(-1e0, least(1e0, {raw}))"
+        parts.append(f"SELECT loan_id, '{f}' AS feature, {v} AS applicant_val, {d!r}e0 AS defaulter_avg, round({c}, 4) AS raw_distance, round({c} * {K.FEATURE_WEIGHTS[f]!r}e0, 4) AS weighted, {c} > 0 AS better FROM feats")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("scl_17_distance_terms", O.with_(O.LOANS, O.feats_cte()) + _distance_terms_sql())
+def scl_17_distance_terms(spark, sf):
+    from kreditflow.functions.distance import distance_terms
+
+    return C.applicants(spark, sf).select("loan_id", F.explode(distance_terms()).alias("t")).select("loan_id", "t.*")
+
+
 @register("scl_18_surrogate_score", O.DEC + "SELECT loan_id, repay_prob FROM scored_all")
 def scl_18_surrogate_score(spark, sf):
     return C.applicants(spark, sf).select("loan_id", C.surrogate_prob().alias("repay_prob"))
@@ -151,7 +203,17 @@ def dec_01_02_tier_offer(spark, sf):
 def dec_03_narrative(spark, sf):
     d = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") > 0)
     s = d.select("loan_id", F.explode("narrative").alias("s"))
-    return s.select("loan_id", "s.step", "s.feature", "s.shap", "s.impact_pct", "s.running_prob", "s.direction", "s.note")
+    return s.select("loan_id", "s.step", "s.feature", "s.shap", "s.impact_pct", "s.running_prob", "s.value", "s.direction", "s.note")
+
+
+@register("dec_03_narrative_all_terms", O.TEXTS + "SELECT * FROM steps")
+def dec_03_narrative_all_terms(spark, sf):
+    """WIN-02 / SCL-21 over all applications with a surrogate in which all 14 features count: every template and special case."""
+    from kreditflow.operators.narrative import add_narrative
+
+    a = C.applicants(spark, sf).withColumn("attr", C.text_attributions())
+    s = add_narrative(a, "attr", F.lit(C.surrogate_base_logit())).select("loan_id", F.explode("narrative").alias("s"))
+    return s.select("loan_id", "s.step", "s.feature", "s.shap", "s.impact_pct", "s.running_prob", "s.value", "s.direction", "s.note")
 
 
 @register("dec_04_decline_reasons", O.NARR + "SELECT * FROM reasons")
@@ -167,6 +229,14 @@ def dec_05_budget(spark, sf):
     return out.select("loan_id", "pool_id", "trial_amount", "budget_status", "budget_remaining")
 
 
+@register("dec_05_budget_messages", O.DEC + """SELECT t.loan_id, CASE WHEN b.budget_status = 'APPROVED'
+  THEN concat('Approved as Tier 3 trial loan — $', printf('%.0f', t.trial_amount), ' at 9% APR over 6 months. Budget remaining: $', format('{:,.2f}', b.budget_remaining))
+  ELSE concat('Tier 3 budget currently exhausted ($', printf('%.2f', b.budget_remaining), ' remaining, need $', printf('%.0f', t.trial_amount), '). You have been added to the waitlist and will be reconsidered as repayments come in.') END AS message
+FROM t3 t JOIN budget b ON t.loan_id = b.loan_id""")
+def dec_05_budget_messages(spark, sf):
+    return PD.surrogate_decisions(spark, sf).filter(F.col("tier") == 3).select("loan_id", "message")
+
+
 @register("agg_30_budget_status", O.DEC + "SELECT t.pool_id, 10000e0 AS total_budget, round(sum(CASE WHEN b.budget_status = 'APPROVED' THEN t.trial_amount ELSE 0e0 END), 2) AS amount_deployed, round(10000e0 - sum(CASE WHEN b.budget_status = 'APPROVED' THEN t.trial_amount ELSE 0e0 END), 2) AS remaining, count(*) FILTER (WHERE b.budget_status = 'APPROVED') AS approved, count(*) FILTER (WHERE b.budget_status <> 'APPROVED') AS waitlisted FROM t3 t JOIN budget b ON t.loan_id = b.loan_id GROUP BY t.pool_id")
 def agg_30_budget_status(spark, sf):
     rows = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") == 3)
@@ -602,6 +672,21 @@ def _trained(spark, sf):
     return _TRAINED[key]
 
 
+def _preprocessed_sql() -> str:
+    num = [f"coalesce(CAST({f} AS DOUBLE), (SELECT quantile_cont(CAST({f} AS DOUBLE), 0.5) FROM clean)) AS f_{f}" for f in K.ALL_NUM]
+    return O.BASE + f""", cats AS (SELECT home_ownership AS c, count(*) AS n, row_number() OVER (ORDER BY home_ownership) - 1 AS code FROM clean WHERE home_ownership IS NOT NULL GROUP BY home_ownership)
+SELECT loan_id, {', '.join(num)}, coalesce((SELECT CAST(code AS DOUBLE) FROM cats WHERE c = coalesce(home_ownership, (SELECT c FROM cats ORDER BY n DESC, c LIMIT 1))), -1e0) AS f_home_ownership FROM clean"""
+
+
+@register("ml_01_03_preprocessed", _preprocessed_sql())
+def ml_01_03_preprocessed(spark, sf):
+    """ML-01/02/03, JN-03: median and mode imputation and category codes, fitted on the clean table."""
+    from kreditflow.plans import model as MM
+
+    clean = C.clean_loans(spark, sf)
+    return MM.fit_preprocessor(clean).transformer().transform(clean).select("loan_id", *MM.MODEL_COLS)
+
+
 @register("ml_05_07_bootstrap_scores", None)
 def ml_05_07_bootstrap_scores(spark, sf):
     """ML-01..05, ML-07: balanced bootstrap GBT scored over every clean row."""
@@ -619,6 +704,22 @@ def ml_06_09_test_scores(spark, sf):
     return MM.calibrate(t.calibration, MM.score(t.model, t.test)).select("loan_id", "target", "raw_prob", "cal_prob", "pred_label")
 
 
+@register("ml_08_calibration_report", None)
+def ml_08_calibration_report(spark, sf):
+    """AGG-13..16 before and after calibration: buckets, gap, Brier score and reliability of raw and calibrated scores."""
+    from kreditflow.plans import model as MM
+
+    t = _trained(spark, sf)
+    scored = D.store(MM.calibrate(t.calibration, MM.score(t.model, t.test)).select("loan_id", "target", "raw_prob", "cal_prob"), "calibration_report")
+    out = None
+    for name in ("raw_prob", "cal_prob"):
+        rows = E.calibration_table(scored, score=name).join(E.reliability_curve(scored, score=name).withColumnRenamed("bin", "_bin"), F.col("bucket") == F.col("_bin") + 1, "left").drop("_bin")
+        gap, brier = E.calibration_gap(scored, score=name), E.brier(scored, score=name)
+        rows = rows.select(F.lit(name).alias("score"), "*", gap.select("mean_abs_gap").scalar().alias("mean_abs_gap"), gap.select("verdict").scalar().alias("verdict"), brier.scalar().alias("brier"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("ml_agg_20_22_test_metrics", None)
 def ml_agg_20_22_test_metrics(spark, sf):
     """AGG-20/21/22 on the fitted model's test scores (scores rounded to 6 places)."""
@@ -719,6 +820,24 @@ def str_03_windowed_approval(spark, sf):
     return SD.windowed_approval(_logged(spark, sf).read())
 
 
+@register("str_03_stream_windows", LOG_SQL + """, d AS (SELECT CAST(decided_at AS TIMESTAMP) AS ts, CAST(decision = 'APPROVED' AS INTEGER) AS ok FROM logged),
+w AS (SELECT to_timestamp((CAST(floor(epoch(ts) / 86400) AS BIGINT) - k) * 86400)::TIMESTAMP AS window_start, ok FROM d, range(7) r(k))
+SELECT window_start, count(*) AS n, CAST(sum(ok) AS BIGINT) AS approved, round(sum(ok) / count(*), 6) AS approval_rate FROM w
+GROUP BY window_start HAVING window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM d) - INTERVAL 1 DAY""")
+def str_03_stream_windows(spark, sf):
+    """STR-03 as a stream with a watermark: the windows that the watermark has closed."""
+    from kreditflow.streaming import decisions as SD
+
+    src = scratch_path(spark, "windows_source")
+    log = _logged(spark, sf).read().select("decided_at", "decision")
+    log.write.parquet(src)
+    out = scratch_path(spark, "windows_out")
+    q = (SD.windowed_approval(spark.readStream.schema(log.schema).parquet(src)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "windows_ckpt")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("window_start timestamp_ntz, n long, approved long, approval_rate double").parquet(out)
+
+
 @register("src_01_raw_csv_roundtrip", O.with_(O.LOANS) + "SELECT * FROM loans")
 def src_01_raw_csv_roundtrip(spark, sf):
     """SRC-01/SRC-03: the loan table written as CSV with a header and read back
@@ -731,6 +850,21 @@ def src_01_raw_csv_roundtrip(spark, sf):
             .option("mode", "FAILFAST").csv(path))
 
 
+NAN_COLS = ["dti", "revol_util", "revol_bal"]
+
+
+@register("src_01_nan_is_missing", O.with_(O.LOANS) + "SELECT loan_id, " + ", ".join(f"CASE WHEN loan_id % 17 = 0 THEN NULL ELSE {c} END AS {c}" for c in NAN_COLS) + " FROM loans")
+def src_01_nan_is_missing(spark, sf):
+    """SRC-01: NaN in the file counts as missing from the scan on."""
+    from kreditflow.sources.tables import LOAN_CSV_SCHEMA, read_raw_csv
+
+    path = scratch_path(spark, "loans_nan_csv")
+    raw = loans(spark, sf)
+    raw = raw.withColumns({c: F.when(F.col("loan_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col(c)) for c in NAN_COLS})
+    raw.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return read_raw_csv(spark, path, LOAN_CSV_SCHEMA).select("loan_id", *NAN_COLS)
+
+
 @register("ml_11_12_tuning", None)
 def ml_11_12_tuning(spark, sf):
     """ML-11/12/13: seeded random parameter search scored on a validation

@@ -184,6 +184,15 @@ SURROGATE_TERMS = [  # feature, coefficient, value used when NULL, baseline valu
     ("annual_inc", 1.0 / 60000.0, None, 70000.0),
 ]
 
+# FIXED VALUES: a second surrogate in which every feature counts, for the texts (feature, coefficient, baseline)
+TEXT_TERMS = [
+    ("dti", -0.02, 22.5), ("revol_util", -0.01, 50.0), ("pub_rec", -0.3, 0.5), ("annual_inc", 0.00001, 70000.0),
+    ("debt_burden", -0.0004, 1300.0), ("credit_utilization_pressure", -0.9, 0.35), ("has_public_record", -0.15, 0.5), ("high_dti_low_income", -0.25, 0.5),
+    ("emp_length", 0.03, 5.5), ("open_acc", -0.013, 12.5), ("mort_acc", 0.07, 2.5), ("credit_history_years", 0.011, 18.5), ("revol_bal", -0.00002, 20000.0),
+]
+TEXT_HOME = 0.12  # owners and mortgagors; minus this for the others
+TEXT_MISSING = 0.03  # for a missing value
+
 # FIXED VALUES: the registered model (registry literals)
 REGISTRY_VERSIONS = [
     # version, roc_auc, pr_auc, ks_stat, deployed_at, status

@@ -90,3 +90,19 @@ def surrogate_attributions() -> Column:
             )
         )
     return F.array(*items)
+
+
+def text_attributions() -> Column:
+    """Terms of a second linear surrogate in which all features count; its signs turn round for odd loans,
+    so that every template is met on both sides."""
+    way = F.when(F.col("loan_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    linear = {f: (c, b) for f, c, b in K.TEXT_TERMS}
+    items = []
+    for i, f in enumerate(K.ALL_FEATURES):
+        if f == "home_ownership":
+            shap, value = F.when(F.col(f).isin("OWN", "MORTGAGE"), F.lit(K.TEXT_HOME)).otherwise(F.lit(-K.TEXT_HOME)), F.lit(None).cast("double")
+        else:
+            value = F.col(f).cast("double")
+            shap = F.coalesce(F.lit(linear[f][0]) * (value - F.lit(linear[f][1])), F.lit(K.TEXT_MISSING))
+        items.append(F.struct(F.lit(i).alias("idx"), F.lit(f).alias("feature"), (way * shap).alias("shap"), value.alias("value")))
+    return F.array(*items)

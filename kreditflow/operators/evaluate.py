@@ -19,10 +19,9 @@ from kreditflow import constants as K
 DECILES = [i / 10 for i in range(11)]
 
 
-def score_histogram(scored: DataFrame, label: str = "target", score: str = "repay_prob", places: int | None = None) -> DataFrame:
-    """``score, n, pos, neg`` (``places`` rounds an unbounded model score)."""
-    s = pround(F.col(score), places) if places is not None else F.col(score)
-    return scored.groupBy(s.alias("score")).agg(
+def score_histogram(scored: DataFrame, label: str = "target", score: str = "repay_prob", places: int = 4) -> DataFrame:
+    """``score, n, pos, neg``; scores are rounded to ``places``, which bounds the histogram."""
+    return scored.groupBy(pround(F.col(score), places).alias("score")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(label)).cast("long").alias("pos"),
         F.sum(1 - F.col(label)).cast("long").alias("neg"),

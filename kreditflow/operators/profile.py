@@ -14,11 +14,24 @@ from pyspark.sql import functions as F
 from kreditflow.functions.numeric import pround
 
 from kreditflow import constants as K
+from kreditflow.operators.ordered import prefix_sum, range_buckets
 
 
-def median_expr(c: Column, exact: bool = True, accuracy: int = 100000) -> Column:
-    """Median: exact (interpolated, as pandas) or approximate for scale."""
-    return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, 0.5, accuracy).cast("double")
+def exact_medians(long: DataFrame) -> DataFrame:
+    """(feature, median) of (feature, value) rows, exact and interpolated.
+
+    Equal values are counted first; the counts are summed in order over range
+    buckets, so the row that holds a middle rank is found without any task
+    seeing all values of a feature.
+    """
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sum(range_buckets(counts, ["feature"], ["value"]), ["feature"], ["value"], "_c", "_upto")
+    total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))  # a row per feature
+    ranked = ranked.join(total, "feature")
+    holds = lambda k: (F.col("_upto") - F.col("_c") <= k) & (k < F.col("_upto"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    got = ranked.filter(holds(low) | holds(high)).groupBy("feature").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
+    return got.select("feature", (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
 
 
 def class_balance(clean: DataFrame) -> DataFrame:
@@ -31,17 +44,11 @@ def default_rate(clean: DataFrame) -> DataFrame:
     return clean.agg(pround(F.avg((F.col("target") == 0).cast("int")), 6).alias("default_rate"))
 
 
-def feature_mean_median(clean: DataFrame, features: list[str], exact: bool = True) -> DataFrame:
+def feature_mean_median(clean: DataFrame, features: list[str]) -> DataFrame:
     """AGG-03: mean and median per feature (NULL skipped), long form."""
-    aggs = []
-    for f in features:
-        aggs += [F.avg(f).alias(f"{f}__mean"), median_expr(F.col(f), exact).alias(f"{f}__median")]
-    wide = clean.agg(*aggs)
-    return wide.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(f).alias("feature"), pround(F.col(f"{f}__mean"), 6).alias("mean"), pround(F.col(f"{f}__median"), 6).alias("median")) for f in features])
-        ).alias("s")
-    ).select("s.*")
+    long = long_values(clean, features, [])
+    means = long.groupBy("feature").agg(F.avg("value").alias("mean"))
+    return means.join(exact_medians(long), "feature").select("feature", pround("mean", 6).alias("mean"), pround("median", 6).alias("median"))
 
 
 def flag_prevalence(clean: DataFrame, flags: list[str]) -> DataFrame:
@@ -103,29 +110,19 @@ def crosstab_share(clean: DataFrame, cat: str = "home_ownership") -> DataFrame:
     )
 
 
-def correlation_matrix(clean: DataFrame, cols: list[str], chunk: int = 24) -> DataFrame:
-    """AGG-08: pairwise-complete Pearson correlations.
+def correlation_matrix(clean: DataFrame, cols: list[str]) -> DataFrame:
+    """AGG-08: pairwise-complete Pearson correlations in one scan.
 
-    Pairs are aggregated in chunks: one aggregate per chunk keeps the
-    generated code small (a single 120-pair aggregate overflows codegen and
-    runs interpreted); every chunk is a cheap column-pruned scan.
+    Each row is an array of values that meets every pair of columns; the pairs
+    are the groups of one small aggregate, combined within each task.
     """
-    pairs = list(combinations_with_replacement(cols, 2))
-    parts = []
-    for i in range(0, len(pairs), chunk):
-        sub = pairs[i:i + chunk]
-        wide = clean.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in sub])
-        items = []
-        for a, b in sub:
-            v = pround(F.col(f"{a}__{b}"), 6)
-            items.append(F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), v.alias("corr")))
-            if a != b:
-                items.append(F.struct(F.lit(b).alias("f1"), F.lit(a).alias("f2"), v.alias("corr")))
-        parts.append(wide.select(F.explode(F.array(*items)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations_with_replacement(range(len(cols)), 2)])
+    rows = clean.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).select("v", F.explode(pairs).alias("p"))
+    got = rows.groupBy("p.i", "p.j").agg(F.corr(F.get("v", F.col("p.i")), F.get("v", F.col("p.j"))).alias("r"))
+    names = F.array(*[F.lit(c) for c in cols])
+    both = F.array(F.struct("i", "j"), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    out = got.select(pround("r", 6).alias("corr"), F.explode(F.array_compact(both)).alias("p"))
+    return out.select(F.get(names, F.col("p.i")).alias("f1"), F.get(names, F.col("p.j")).alias("f2"), "corr")
 
 
 def class_means(clean: DataFrame, features: list[str]) -> DataFrame:
@@ -142,10 +139,10 @@ def grade_counts(raw_known: DataFrame) -> DataFrame:
     return raw_known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).orderBy("grade")
 
 
-def medians(clean: DataFrame, features: list[str], exact: bool = True) -> DataFrame:
-    """AGG-33: one pass for every numeric feature."""
-    wide = clean.agg(*[median_expr(F.col(f), exact).alias(f) for f in features])
-    return wide.unpivot([], features, "feature", "median")
+def medians(clean: DataFrame, features: list[str]) -> DataFrame:
+    """AGG-33: median of every numeric feature; NULL for one without values."""
+    names = clean.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(exact_medians(long_values(clean, features, [])), "feature", "left")
 
 
 def most_frequent(clean: DataFrame, cat: str = "home_ownership") -> DataFrame:

@@ -233,7 +233,7 @@ NARR_CTES = [
     f"""running AS (SELECT *, {BASE_LOGIT} + sum(shap) OVER (PARTITION BY loan_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_new FROM ranked)""",
     f"""steps AS (SELECT loan_id, step, feature, round(shap, 4) AS shap,
         round({PCT.format(x='run_new')} - {PCT.format(x='run_new - shap')}, 2) AS impact_pct,
-        round({PCT.format(x='run_new')}, 2) AS running_prob,
+        round({PCT.format(x='run_new')}, 2) AS running_prob, round(value, 4) AS value,
         CASE WHEN shap > 0 THEN 'positive' WHEN shap < 0 THEN 'negative' ELSE 'neutral' END AS direction,
         {_note_case()} AS note
       FROM running)""",
@@ -249,6 +249,23 @@ NARR_CTES = [
 NARR = with_(LOANS, feats_cte(), *DEC_CTES, *NARR_CTES)
 
 
+def _text_terms_sql() -> str:
+    parts = []
+    linear = {f: (c, b) for f, c, b in K.TEXT_TERMS}
+    way = "(CASE WHEN loan_id % 2 = 0 THEN 1e0 ELSE -1e0 END)"
+    for i, f in enumerate(K.ALL_FEATURES):
+        if f == "home_ownership":
+            shap, value = f"CASE WHEN home_ownership IN ('OWN', 'MORTGAGE') THEN {K.TEXT_HOME!r}e0 ELSE -{K.TEXT_HOME!r}e0 END", "CAST(NULL AS DOUBLE)"
+        else:
+            value = f"CAST({f} AS DOUBLE)"
+            shap = f"coalesce(CAST('{linear[f][0]!r}' AS DOUBLE) * ({value} - CAST('{linear[f][1]!r}' AS DOUBLE)), {K.TEXT_MISSING!r}e0)"
+        parts.append(f"SELECT loan_id, {i} AS idx, '{f}' AS feature, {way} * ({shap}) AS shap, {value} AS value FROM feats")
+    return "\nUNION ALL ".join(parts)
+
+
+TEXTS = with_(LOANS, feats_cte(), f"terms AS ({_text_terms_sql()})", *NARR_CTES[1:4])
+
+
 def _min_plan_sql() -> str:
     dti, ru, pub, inc = "coalesce(dti, 100e0)", "coalesce(revol_util, 100e0)", "coalesce(pub_rec, 0e0)", "coalesce(annual_inc, 0e0)"
     c1 = f"CASE WHEN {dti} > 35 THEN concat('reduce debt-to-income ratio below 35% (currently ', printf('%.1f', {dti}), '%)') END"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from kreditflow.functions.features import nan_to_null
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -77,15 +79,18 @@ LOAN_CSV_SCHEMA = T.StructType(
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_LOAN_SCHEMA) -> DataFrame:
     """SRC-01: raw loan CSV with a header and an explicit schema.
 
-    Malformed numbers become NULL (PERMISSIVE), the same as a tolerant parse.
+    Malformed numbers become NULL (PERMISSIVE), the same as a tolerant parse,
+    and so does NaN, which aggregates would otherwise count as a value.
     """
-    return (
+    raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("nanValue", "NaN")
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
+    return nan_to_null(raw, [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)])
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
