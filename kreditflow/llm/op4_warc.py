@@ -36,6 +36,7 @@ CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
 CAPTURES_PER_FILE = 20_000
+NO_ID = 2**63 - 1
 DATE = "2000-01-01T00:00:00Z"
 RECORD_FIELDS = ("warc_type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest")
 HEADERS = dict(zip(RECORD_FIELDS, ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-payload-digest"), strict=True))
@@ -62,25 +63,24 @@ def captures(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Pages with payload, digest, the number of the copy among repeated rows, and the page that they revisit."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
+        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("k"),
         F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
-    shared = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("k", "digest")
+    shared = narrow.groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     shared = materialize(shared, "warc-shared")  # its own table: both sides of the join are plain exchanges, so hot digests split
-    marked = narrow.join(shared, "digest").groupBy("page_id", "digest").agg(F.min("first").alias("first"), F.lit(True).alias("marked"))
-    marked = marked.withColumnRenamed("page_id", "m_page").withColumnRenamed("digest", "m_digest")
-    joined = rows.join(marked, F.col("page_id").eqNullSafe(F.col("m_page")) & (F.col("digest") == F.col("m_digest")), "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    joined = joined.withColumn("copy", copy)
-    main = F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
-    return joined.withColumn("is_revisit", F.coalesce(F.col("marked"), F.lit(False)) & ~main)
+    marked = narrow.join(shared, "digest").groupBy("k", "digest").agg(F.min("first").alias("first"))
+    copy = F.row_number().over(Window.partitionBy("k", "digest").orderBy("url"))  # dealt out as the join is: pages move once
+    joined = rows.join(marked, ["k", "digest"], "left").withColumn("copy", copy)
+    main = (F.col("k") == F.col("first")) & (F.col("copy") == 1)
+    return joined.withColumn("is_revisit", F.col("first").isNotNull() & ~main)
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Gzip WARC files under ``path``."""
     c = captures(pages, min_bytes)
-    own = _urn(F.lit("main"), F.col("page_id"), F.col("digest"), F.col("copy"))
+    own = _urn(F.lit("main"), F.col("k"), F.col("digest"), F.col("copy"))
     target = _urn(F.lit("main"), F.col("first"), F.col("digest"), F.lit(1))
     revisit = F.col("is_revisit")
     status = F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ")
@@ -173,15 +173,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_parse_records, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, fields: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per capture: structs ``main``, ``request`` and ``metadata`` (null where a record is missing).
 
+    ``fields`` names the columns that each struct carries through the joins (all by default).
     ``records`` should be a stored table: it is read once for each kind.
     """
-    whole = F.struct(*[F.col(c) for c in records.columns])
-    main = records.filter(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("key"), whole.alias("main"))
-    asked = records.filter(F.col("warc_type") == "request").select(F.col("concurrent_to").alias("key"), whole.alias("request"))
-    about = records.filter(F.col("warc_type") == "metadata").select(F.col("concurrent_to").alias("key"), whole.alias("metadata"))
+
+    def kind(types: list[str], key: str, name: str) -> DataFrame:
+        own = F.struct(*[F.col(c) for c in (fields or {}).get(name, records.columns)])
+        return records.filter(F.col("warc_type").isin(*types)).select(F.col(key).alias("key"), own.alias(name))
+
+    main = kind(["response", "revisit"], "record_id", "main")
+    asked, about = kind(["request"], "concurrent_to", "request"), kind(["metadata"], "concurrent_to", "metadata")
     return main.join(asked, "key", "left").join(about, "key", "left").drop("key")
 
 
@@ -190,22 +194,33 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"), path)
     records = read_archives(spark, path)
-    # what the report needs of each payload; the payloads themselves are not kept twice
-    records = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha256", F.sha2("payload", 256)).drop("payload")
-    rows = assemble(materialize(records, "warc-records")).select(
-        F.regexp_extract("metadata.head", r"page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
+    # what the report needs of each record; payloads and heads are not kept twice
+    records = records.select(
+        "warc_type",
+        "record_id",
+        "concurrent_to",
+        "refers_to",
+        "target_uri",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.unhex(F.sha2("payload", 256)).alias("sha256"),
+        F.when(F.col("warc_type") == "metadata", F.regexp_extract("head", r"page-id: (-?\d+)", 1)).try_cast("long").alias("page_id"),
+    )
+    fields = {"main": ["record_id", "warc_type", "refers_to", "payload_bytes", "sha256"], "request": ["target_uri"], "metadata": ["page_id"]}
+    rows = assemble(materialize(records, "warc-records"), fields).select(
+        F.col("metadata.page_id").alias("page_id"),
         F.col("main.record_id").alias("record_id"),
         F.col("main.warc_type").alias("record_type"),
         F.col("main.refers_to").alias("refers_id"),
         F.col("main.payload_bytes").alias("payload_bytes"),
-        F.col("main.sha256").alias("payload_digest"),
+        F.col("main.sha256").alias("sha256"),
         F.col("request.target_uri").alias("target_uri"),
     )
     rows = materialize(rows, "warc-captures")
     responses = rows.filter("record_type = 'response'")
-    named = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    named = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "sha256")
     revisits = rows.filter("record_type = 'revisit'").select("page_id", "refers_id", "record_type", "target_uri").join(named, "refers_id", "left")
-    shape = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
+    digest = F.lower(F.hex("sha256")).alias("payload_digest")
+    shape = ["page_id", "payload_bytes", digest, "record_type", "refers_to", "target_uri"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*shape).unionByName(revisits.select(*shape))
 
 
