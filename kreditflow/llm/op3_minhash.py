@@ -10,11 +10,12 @@ independent hash functions.
 Banding: the sketch is cut into bands; with r = 6 coordinates in each of 60
 bands, two sets of similarity 0.8 share no band with probability
 (1 - 0.8^6)^60 = 1.2e-8.  Equal word sequences are one class from the start.
-In every shared band each member is compared with a pivot (another one in each
-band), on the full sets.  Links are joined to components; bands whose members
-then still belong to several components have their remaining pairs of different
-components compared as well.  So no link between candidates is lost, while a
-group of copies, once connected, makes no further pairs.
+In every shared band each member is compared with the band's most central one, on
+the full sets, and links are joined to components.  Bands of which other members
+still differ are settled by an exact prefix filter over these members' full
+sets: pairs of different components that share one of the rarest shingles of
+one of them.  So no link between candidates is lost, while a group of copies,
+once connected, makes no more pairs.
 
 A null text or one without words has no shingles and is linked with nothing;
 rows without an id take part and come last, component_id is null when no member
@@ -183,6 +184,39 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _listed(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, table = zstandard.ZstdDecompressor(), WordHashes()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = [shingle_hashes(unpacker.decompress(w.as_py()).split(), k, table).view(np.int64) for w in part.column(1)]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets))], ["node", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(shingles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, label, n, size) with different labels that can be linked; none is missed.
+
+    If sets of na and nb shingles have t in common, any na - t + 1 shingles of the first meet the second.  The rarest
+    are taken of the member of the smaller component; those that no other text has come first and meet nothing.
+    """
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    own = materialize(shingles.join(often, "shingle").join(nodes, "node"), "minhash-common")
+    by = Window.partitionBy("node")
+    place = F.row_number().over(by.orderBy("c", "shingle")) + F.col("n") - F.count("*").over(by)
+    first = own.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("size").alias("sa"), place.alias("place"))
+    first = first.filter(F.col("place") <= F.col("na") - F.ceil(F.col("na") * percent / 100) + 1)
+    other = own.select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("size").alias("sb"))
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    smaller = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("la") < F.col("lb")))
+    pairs = first.join(other, "shingle").filter((F.col("la") != F.col("lb")) & smaller & sized & (F.col("place") <= F.col("na") - least + 1))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, h, n_shingles, label) of every row: h is the text's hash, label its component (null without words)."""
     src = id_text(docs, id_col, text_col)
@@ -192,14 +226,17 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.coalesce("node", unnamed)), "minhash-classes")
 
-    # shared bands, each with a pivot of its own: the least node after exclusive or with the band's random number
+    # shared bands, each with a pivot: the member that shares most bands with others, the most central of near copies
     member = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.col("band"))).alias("m"), F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(shared.select("band", F.col("m").bitwiseXOR(F.col("band")).alias("pivot")), "minhash-bands")
-    member = materialize(member.join(shared, "band"), "minhash-members")
+    shared = member.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    member = materialize(member.join(materialize(shared, "minhash-bands"), "band"), "minhash-shared")
+    degree = materialize(member.groupBy("node").agg(F.sum("size").alias("degree")), "minhash-degree")
+    pivots = member.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("top"))
+    pivots = materialize(pivots.select("band", F.col("top.node").alias("pivot")), "minhash-pivots")
+    member = materialize(member.drop("size").join(pivots, "band"), "minhash-members")
 
     at_key = classes.select("key", "node", "n")
-    wanted = member.select("node").distinct().join(at_key, "node").select("key", "node", "n")
+    wanted = degree.select("node").join(at_key, "node").select("key", "node", "n")
     texts = src.mapInArrow(_keyed_texts, "key binary, words binary").join(wanted, "key").dropDuplicates(["node"]).select("node", "n", "words")
     texts = materialize(texts, "minhash-texts")
 
@@ -210,20 +247,22 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         full = pairs.join(right, "b").join(left, "a").filter(near)
         return full.select("a", "b", "wa", "wb").mapInArrow(_verify(shingle_words, percent), "a long, b long")
 
-    stars = member.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(linked(stars), "minhash-links")
-    labels = materialize(components(links, "minhash-components"), "minhash-labels")
-
-    labelled = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    unsettled = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi and size > 2").select("band")
-    rest = materialize(labelled.filter("node <> pivot").join(unsettled, "band").select("band", "node", "n", "label"), "minhash-unsettled")
-    one = rest.select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    two = rest.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.col("na") <= F.col("nb")) & (F.col("na") * 100 >= F.col("nb") * percent)
-    order = (F.col("na") < F.col("nb")) | (F.col("a") < F.col("b"))
-    pairs = one.join(two, "band").filter((F.col("la") != F.col("lb")) & near & order).select("a", "b").distinct()
-    more = materialize(linked(pairs), "minhash-more")
-    labels = components(links.union(more), "minhash-components")
+    def joined(links: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links with those of more pairs, and the components' labels."""
+        more = materialize(linked(pairs.distinct()), "minhash-links")
+        links = more if links is None else links.union(more)
+        return links, materialize(components(links, "minhash-components"), "minhash-labels")
+
+    # every member with the pivots of its bands
+    links, labels = joined(None, member.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    # bands of which two other members are still of different components
+    rest = member.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    span = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    rest = rest.join(span, "band").select("node", "label", "n").distinct()
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    rest = materialize(rest.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1))), "minhash-rest")
+    shingles = texts.select("node", "words").join(rest.select("node"), "node").mapInArrow(_listed(shingle_words), "node long, shingle long")
+    links, labels = joined(links, _prefix_pairs(materialize(shingles, "minhash-shingles"), rest, percent))
 
     named = at_key.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     return rows.select("doc_id", "h", "n_shingles", "key").join(materialize(named, "minhash-named"), "key", "left").drop("key")
