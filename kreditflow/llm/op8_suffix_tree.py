@@ -12,10 +12,11 @@ suffixes of a kept context are kept.  Next tokens lose a discount, and the rest
 the distribution follows the suffix's, so every state sums to one.  A token is
 scored in the longest context of the tree that ends before it.
 
-Counts cover the whole training part and are gathered by Spark: texts are stored
-once as compressed blocks; each block lists its distinct tokens with counts, these
-are summed by token, and the sums go back to the blocks that hold the token, where
-the texts are scored.  Tokens are compared by 64-bit hashes.
+Counts cover the whole training part and are gathered by Spark: texts are split
+once and stored as compressed blocks of token numbers; each block lists its
+distinct tokens with counts, these are summed by token, and the sums go back to
+the blocks that hold the token, where the texts are scored.  Tokens are compared
+by 64-bit hashes.
 
 A null or empty text is one end token; rows without an id are numbered as the
 empty text; repeated rows are learned and scored each; an empty table gives an
@@ -30,15 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kreditflow.llm.common import documents, id_text, materialize, text_blocks, unpack_blob
+from kreditflow.llm.common import documents, id_text, iter_blocks, materialize
 
 MODULUS, HELD_OUT = 7, 2
 DEPTH = 2
 P_MIN, GAMMA = 2e-4, 5e-3
 DISCOUNT = 0.5
+#: Tokens of one vectorised step.
+SLICE_TOKENS = 1_000_000
 #: Hashes that no word has by intent: text start and end.
 START, END = (np.uint64(xxhash.xxh64_intdigest(b"\0" + x)) for x in (b"start", b"end"))
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -48,21 +52,12 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % MODULUS == HELD_OUT
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+class _Numbers(dict):
+    """Token -> its number in the block, in order of appearance."""
 
-
-def tokens(text: str, table: dict) -> np.ndarray:
-    """Hashes of the words and of the end."""
-    words = text.encode().lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    def __missing__(self, token: bytes) -> int:
+        self[token] = n = len(self)
+        return n
 
 
 def deeper(context: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -71,16 +66,6 @@ def deeper(context: np.ndarray, before: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def contexts(toks: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length, the hash of the context before every token (of the end of a shorter past: the start mark)."""
-    past = np.concatenate([np.full(depth, START, np.uint64), toks[:-1]])
-    n, out = len(toks), []
-    for d in range(1, depth + 1):
-        last = past[depth - 1 : depth - 1 + n] if d == 1 else deeper(out[-1], past[depth - d : depth - d + n])
-        out.append(last)
-    return out
-
-
 def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Place of each x among the keys, -1 where it is none of them."""
     if not len(sorted_keys):
@@ -89,67 +74,129 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], add, out) -> Iterator[pa.RecordBatch]:
-    """add(ids, texts) for each blob; out(block) when a block ends."""
-    at = None
-    for b in batches:
-        for block, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if at is not None and block != at:
-                yield from out(at)
-            at = block
-            add(*unpack_blob(blob.as_py()))
+# ---------------------------------------------------------------- blocks of numbered tokens
+BLOCK = "block long, texts int, words binary, ids binary, sizes binary, toks binary"
+
+
+def _zip(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+
+
+def _unzip(blob, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), kind)
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a block as numbers of its distinct tokens, and the hash of each of these."""
+    at, numbers, docs, parts = None, _Numbers(), [], []
+    end = b"\0end"
+
+    def out() -> pa.RecordBatch:
+        words = np.fromiter((END if w == end else xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        missing = np.array([d is None for d in docs])
+        ids = np.array([0 if d is None else d for d in docs], np.int64)
+        cols = [_zip(words), _zip(np.concatenate([ids, missing])), _zip(np.array([len(p) for p in parts], np.int64)), _zip(np.concatenate(parts))]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(docs)], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["block", "texts", "words", "ids", "sizes", "toks"])
+
+    for block, ids, texts in iter_blocks(batches):
+        if at is not None and block != at:
+            yield out()
+            numbers, docs, parts = _Numbers(), [], []
+        at = block
+        for i, t in zip(ids, texts, strict=True):
+            own = t.encode().lower().split()
+            own.append(end)
+            docs.append(i)
+            parts.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
     if at is not None:
-        yield from out(at)
+        yield out()
+
+
+class Slice:
+    """Some whole texts of a block: token numbers, and where each text starts."""
+
+    def __init__(self, toks: np.ndarray, sizes: np.ndarray):
+        self.toks, self.sizes = toks, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def past(self, words: np.ndarray, back: int) -> np.ndarray:
+        """Hash of the token ``back`` places before each one; the start mark before a text."""
+        out = np.full(len(self.toks), START, np.uint64)
+        out[back:] = words[self.toks[:-back]] if back < len(self.toks) else START
+        inside = np.arange(len(self.toks)) - np.repeat(self.starts, self.sizes)
+        out[inside < back] = START
+        return out
+
+    def contexts(self, words: np.ndarray, depth: int) -> list[np.ndarray]:
+        """For each length up to ``depth``, the hash of the tokens before every token."""
+        out = [self.past(words, 1)]
+        for d in range(2, depth + 1):
+            out.append(deeper(out[-1], self.past(words, d)))
+        return out
+
+
+class Block:
+    """A stored block: document ids (None where missing), distinct tokens, and its texts in slices."""
+
+    def __init__(self, row: dict):
+        n = row["texts"].as_py()
+        both = _unzip(row["ids"], np.int64)
+        self.ids = [None if m else int(i) for i, m in zip(both[:n], both[n:], strict=True)]
+        self.words, self.sizes, self.toks = _unzip(row["words"], np.uint64), _unzip(row["sizes"], np.int64), _unzip(row["toks"], np.uint32)
+        self.train = np.array([not is_held_out(i) for i in self.ids])
+
+    def slices(self, train_only: bool) -> Iterator[Slice]:
+        """About SLICE_TOKENS at a time; a longer text is a slice of its own."""
+        ends = np.cumsum(self.sizes)
+        at = 0
+        while at < len(self.sizes):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at] - self.sizes[at]) + SLICE_TOKENS, "right")))
+            toks, sizes = self.toks[ends[at] - self.sizes[at] : ends[to - 1]], self.sizes[at:to]
+            if train_only:
+                keep = self.train[at:to]
+                toks, sizes = toks[np.repeat(keep, sizes)], sizes[keep]
+            if len(sizes):
+                yield Slice(toks, sizes)
+            at = to
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            row = {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
+            yield row["block"].as_py(), Block(row)
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, parts = _Hashes(), []
-
-    def add(ids: list, texts: list) -> None:
-        seen = [tokens(t, table) for t in texts]
-        train = np.repeat([not is_held_out(i) for i in ids], [len(s) for s in seen])
-        words, at = np.unique(np.concatenate(seen), return_inverse=True)
-        parts.append((words, np.bincount(at, train, len(words)).astype(np.int64)))
+    """(block, place, word, n): a block's distinct tokens with their training counts."""
+    for number, block in _blocks(batches):
+        n = np.bincount(block.toks, np.repeat(block.train, block.sizes), len(block.words)).astype(np.int64)
+        place = np.arange(len(n), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int64)), pa.array(place), pa.array(block.words.view(np.int64)), pa.array(n)], ["block", "place", "word", "n"])
 
-    def out(block: int) -> Iterator[pa.RecordBatch]:
-        words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
-        parts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(words.view(np.int64)), pa.array(n)], ["block", "word", "n"])
 
-    return _by_block(batches, add, out)
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
 def _context_counts(candidates: np.ndarray, symbols: np.ndarray, depth: int):
     """Counts of (candidate context of one length, next token), both as places in sorted lists."""
+    # place 0 stands for all next tokens too rare to be kept, so that a context's sum is its count
+    width = len(symbols) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts = _Hashes(), []
-        width = max(1, len(symbols) + 1)
-
-        def add(ids: list, texts: list) -> None:
-            pairs = []
-            for i, t in zip(ids, texts, strict=True):
-                if not is_held_out(i):
-                    toks = tokens(t, table)
-                    pairs.append((contexts(toks, depth)[-1], toks))
-            if not pairs:
-                return
-            c = _find(candidates, np.concatenate([x for x, _ in pairs]))
-            own = c >= 0
-            s = _find(symbols, np.concatenate([x for _, x in pairs])[own])
-            # place 0 stands for all next tokens too rare to be kept, so that a context's sum is its count
-            parts.append(np.unique(c[own] * width + s + 1, return_counts=True))
-
-        def out(_: int) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            symbol = _find(symbols, block.words) + 1
+            parts = []
+            for part in block.slices(train_only=True):
+                c = _find(candidates, part.contexts(block.words, depth)[-1])
+                own = c >= 0
+                parts.append(np.unique(c[own] * width + symbol[part.toks[own]], return_counts=True))
             if parts:
-                keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-                parts.clear()
+                keys, n = _sum(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["context", "symbol", "n"])
 
-        return _by_block(batches, add, out)
-
     return run
 
 
@@ -201,19 +248,16 @@ class Tree:
         for upper, at in zip(self.levels[:-1][::-1], self.levels[1:][::-1], strict=True):
             upper.kept[at.suffix[at.kept]] = True
 
-    def score(self, toks: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Probability of each token; ``root``: its probability without context."""
-        p, symbol = root, _find(self.symbols, toks)
-        for at, keys in zip(self.levels, contexts(toks, len(self.levels)) if self.levels else [], strict=True):
-            c = _find(at.keys, keys)
-            inside = c >= 0
-            inside[inside] = at.kept[c[inside]]
-            found = np.full(len(toks), -1, np.int64)
-            known = inside & (symbol >= 0)
-            found[known] = _find(at.codes(len(self.symbols)), c[known] * len(self.symbols) + symbol[known])
-            below = p.copy()
-            below[inside] *= at.rest[c[inside]]
-            p = np.where(found >= 0, at.entry_p[found] if len(at.entry_p) else 0.0, below)
+    def score(self, part: Slice, words: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Probability of each token; ``symbol`` and ``root``: place and probability without context of a block's tokens."""
+        p, own, width = root[part.toks], symbol[part.toks], len(self.symbols)
+        for at, keys in zip(self.levels, part.contexts(words, max(1, len(self.levels))), strict=False):
+            inside = np.flatnonzero((c := _find(at.keys, keys)) >= 0)
+            inside = inside[at.kept[c[inside]]]
+            c = c[inside]
+            lower = p[inside] * at.rest[c]
+            found = np.where(own[inside] >= 0, _find(at.codes(width), c * width + own[inside]), -1)
+            p[inside] = np.where(found >= 0, at.entry_p[found], lower) if len(at.entry_p) else lower
         return p
 
 
@@ -253,32 +297,20 @@ def _longer(blocks: DataFrame, at: Level, first_words: np.ndarray, depth: int, l
     """Sorted contexts of depth + 1 tokens that occur often enough, and the places of their suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts = _Hashes(), []
-
-        def add(ids: list, texts: list) -> None:
-            got = []
-            for i, t in zip(ids, texts, strict=True):
-                if not is_held_out(i):
-                    toks = tokens(t, table)
-                    both = contexts(toks, depth + 1)
-                    past = np.concatenate([np.full(depth + 1, START, np.uint64), toks[:-1]])[: len(toks)]
-                    got.append((both[-2], past, both[-1]))
-            if got:
-                short, past, long = (np.concatenate(x) for x in zip(*got, strict=True))
-                s = _find(at.keys, short)
-                own = (s >= 0) & (_find(first_words, past) >= 0)
-                words, where, n = np.unique(long[own], return_index=True, return_counts=True)
-                parts.append((words, s[own][where], n))
-
-        def out(_: int) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches):
+            parts, suffixes = [], {}
+            for part in block.slices(train_only=True):
+                short, long = part.contexts(block.words, depth + 1)[-2:]
+                place = _find(at.keys, short)
+                own = place >= 0
+                own[own] = _find(first_words, part.past(block.words, depth + 1)[own]) >= 0
+                keys, where, n = np.unique(long[own], return_index=True, return_counts=True)
+                parts.append((keys, n))
+                suffixes |= dict(zip(keys.tolist(), place[own][where].tolist(), strict=True))
             if parts:
-                words, where, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-                n = np.bincount(back, np.concatenate([p[2] for p in parts]), len(words)).astype(np.int64)
-                suffix = np.concatenate([p[1] for p in parts])[where]
-                parts.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(suffix), pa.array(n)], ["context", "suffix", "n"])
-
-        return _by_block(batches, add, out)
+                keys, n = _sum(parts)
+                suffix = np.fromiter(map(suffixes.__getitem__, keys.tolist()), np.int64, len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(suffix), pa.array(n)], ["context", "suffix", "n"])
 
     often = blocks.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, least))
     t = often.toArrow()  # at most 1 / P_MIN rows
@@ -291,23 +323,23 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(shared):
-    def run(blobs: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         tree, n, v = shared.value
-        table = _Hashes()
-        words, c = counts.column("word").to_numpy().view(np.uint64), counts.column("c").to_numpy()
-        order = np.argsort(words)
-        words, c = words[order], c[order]
         rows: list[tuple] = []
-        for blob in blobs.column("blob"):
-            for doc, text in zip(*unpack_blob(blob.as_py()), strict=True):
-                toks = tokens(text, table)
-                at = _find(words, toks)
-                if (at < 0).any():
-                    raise RuntimeError("a block holds a token that its counts lack")
-                own = c[at]
-                root = (own + 1) / (n + v + 1)
-                p = tree.score(toks, root)
-                rows.append((doc, is_held_out(doc), len(toks), int((own > 0).sum()), n, float(np.log10(root).sum()), float(np.log10(p).sum())))
+        for _, block in _blocks(blocks.to_batches()):
+            own = np.full(len(block.words), -1, np.int64)
+            own[counts.column("place").to_numpy()] = counts.column("c").to_numpy()
+            if (own < 0).any():
+                raise RuntimeError("a block holds a token that its counts lack")
+            root, symbol = (own + 1) / (n + v + 1), _find(tree.symbols, block.words)
+            log_root, at = np.log10(root), 0
+            for part in block.slices(train_only=False):
+                known = np.add.reduceat((own > 0)[part.toks].astype(np.int64), part.starts)
+                base = np.add.reduceat(log_root[part.toks], part.starts)
+                full = np.add.reduceat(np.log10(tree.score(part, block.words, symbol, root)), part.starts)
+                for k, size in enumerate(part.sizes.tolist()):
+                    rows.append((block.ids[at + k], not block.train[at + k], size, int(known[k]), n, float(base[k]), float(full[k])))
+                at += len(part.sizes)
         cols = list(zip(*rows, strict=True)) or [()] * 7
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -319,14 +351,14 @@ def _score(shared):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Learn from the documents that aren't held out, and score all."""
     spark = docs.sparkSession
-    blocks = materialize(text_blocks(id_text(docs, id_col, text_col)), "suffix-blocks")
-    listed = materialize(blocks.mapInArrow(_vocabulary, "block long, word long, n long"), "suffix-listed")
+    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, BLOCK), "suffix-blocks")
+    listed = materialize(blocks.mapInArrow(_vocabulary, "block long, place int, word long, n long"), "suffix-listed")
     words = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "suffix-words")
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()[0]  # two numbers
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     tree = learn(blocks, words, n, v, depth)
     shared = spark.sparkContext.broadcast((tree, n, v))
-    counts = listed.select("block", "word").join(words, "word")
+    counts = listed.select("block", "place", "word").join(words, "word").select("block", "place", "c")
     return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score(shared), SCORED)
 
 
