@@ -865,23 +865,65 @@ def src_01_nan_is_missing(spark, sf):
     return read_raw_csv(spark, path, LOAN_CSV_SCHEMA).select("loan_id", *NAN_COLS)
 
 
+#: Trials of the registered search (``model.tune`` runs 100 by default): each is a whole fit with early stopping.
+REGISTERED_TRIALS = 4
+
+
 @register("ml_11_12_tuning", None)
 def ml_11_12_tuning(spark, sf):
-    """ML-11/12/13: seeded random parameter search scored on a validation
-    share, best parameters refitted on train+validation, test AUC once."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
+    """ML-11/12/13: parameter search on the 70/15/15 parts, refit on train and validation, one test; a row of tuning_runs."""
     from kreditflow.plans import model as MM
     from kreditflow.plans import training as TR
 
-    clean = C.clean_loans(spark, sf)
-    scores = TR.bootstrap_scores(spark, sf, max_iter=10).checkpoint(eager=True)
-    tset = S.stratified_split(S.training_set(clean, scores, score="prob"), [("trainval", 0.85), ("test", 1.0)], salt=42)
-    tvs = MM.tune(tset.filter(F.col("split") == "trainval"), trials=2, max_iter=10)
-    best = tvs.bestModel
-    test = best.transform(tset.filter(F.col("split") == "test").withColumn("target", F.col("target").cast("double")))
-    test_auc = BinaryClassificationEvaluator(rawPredictionCol="raw_gbt", labelCol="target").evaluate(test)
-    gbt_model = best.stages[-1]
-    row = [(len(tvs.validationMetrics), float(max(tvs.validationMetrics)), float(test_auc),
-            int(gbt_model.getOrDefault("maxDepth")), float(gbt_model.getOrDefault("stepSize")))]
-    return spark.createDataFrame(row, "trials int, best_validation_auc double, test_auc double, max_depth int, step_size double")
+    _, tr, va, te = TR.training_parts(spark, sf, salt=7)
+    best = MM.tune(tr, va, trials=REGISTERED_TRIALS)
+    test = E.ranking_metrics(MM.score(best.model, te), score="raw_prob", places=6).first()
+    schema = "trials int, best_validation_auc double, test_auc double, max_depth int, step_size double, max_iter int, min_info_gain double, subsample double, feature_subset string, min_instances int"
+    p = best.params
+    row = (best.trials, best.validation_auc, float(test["roc_auc"]), p["max_depth"], p["step"], p["max_iter"], p["min_info_gain"], p["subsample"], p["feature_subset"], p["min_instances"])
+    runs = L.VersionedTable(spark, scratch_path(spark, "tuning_runs"))
+    runs.append(spark.createDataFrame([row], schema), operation="TUNE")
+    return runs.read().drop(L.VERSION_COL)
+
+
+@register("ml_14_saved_model", None)
+def ml_14_saved_model(spark, sf):
+    """ML-14 / SRC-07 / SRC-14: save, log the version, resolve the active one, load it, and score as the fitted model does."""
+    from kreditflow.plans import model as MM
+
+    t = _trained(spark, sf)
+    path = scratch_path(spark, "models")
+    MM.save(t.model, f"{path}/{t.version}")
+    m = E.ranking_metrics(MM.score(t.model, t.test), score="raw_prob", places=6).first()
+    reg = L.ModelRegistry(spark, scratch_path(spark, "model_versions"))
+    reg.log_version(t.version, float(m["roc_auc"]), float(m["average_precision"]), float(m["ks_stat"]))
+    active = reg.active().first()["version"]
+    again = MM.score(MM.load(f"{path}/{active}"), t.test).select("loan_id", F.col("raw_prob").alias("loaded_prob"))
+    return MM.score(t.model, t.test).select("loan_id", "raw_prob").join(again, "loan_id")
+
+
+def _grade_auc_sql() -> str:
+    return GRADE_BASE + """, hist AS (SELECT grade, repay_prob AS score, count(*) AS n, sum(target) AS pos, sum(1 - target) AS neg FROM gs GROUP BY grade, repay_prob),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY grade ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pos, sum(pos) OVER (PARTITION BY grade) AS tot_pos, sum(neg) OVER (PARTITION BY grade) AS tot_neg FROM hist),
+auc AS (SELECT grade, round(sum(neg * ((cum_pos - pos) + pos / 2e0)) / (any_value(tot_pos) * any_value(tot_neg)), 6) AS roc_auc FROM cum GROUP BY grade),
+best AS (SELECT grade, roc_auc FROM auc ORDER BY roc_auc DESC, grade LIMIT 1)
+SELECT grade AS version, roc_auc, (SELECT max(grade) FROM auc) AS active_first, (SELECT grade FROM best) AS active_after_rollback,
+  round(roc_auc - (SELECT roc_auc FROM best), 4) AS improvement, CASE WHEN roc_auc > (SELECT roc_auc FROM best) THEN 'retrain' ELSE 'keep' END AS verdict FROM auc"""
+
+
+@register("src_13_15_registry", _grade_auc_sql())
+def src_13_15_registry(spark, sf):
+    """SRC-07/13/15, AGG-32: the score's ROC-AUC on each grade logged as a version; active pointer, rollback to the best, comparison."""
+    import datetime as dt
+
+    scored = D.store(_grade_scored(spark, sf).select("grade", "target", "repay_prob"), "grade_scored")
+    reg = L.ModelRegistry(spark, scratch_path(spark, "grade_versions"))
+    auc = {r["grade"]: E.ranking_metrics(scored.filter(F.col("grade") == r["grade"])).first()["roc_auc"] for r in scored.select("grade").distinct().collect()}  # seven grades
+    for i, g in enumerate(sorted(auc)):
+        reg.log_version(g, auc[g], None, None, dt.datetime(2020, 1, 1 + i))
+    first = reg.active().first()["version"]
+    reg.rollback(min(auc, key=lambda g: (-auc[g], g)), dt.datetime(2020, 2, 1))
+    versions = reg.table.read()
+    logged = versions.filter(F.col("deployed_at") < F.lit(dt.datetime(2020, 2, 1))).select("version", "roc_auc")
+    out = M.compare_models(logged, versions)
+    return out.select("version", "roc_auc", F.lit(first).alias("active_first"), F.col("active_version").alias("active_after_rollback"), "improvement", "verdict")

@@ -75,12 +75,9 @@ def stress_scoreboard(results: DataFrame) -> DataFrame:
 
 def compare_models(candidate: DataFrame, versions: DataFrame) -> DataFrame:
     """AGG-32: candidate metrics against the active model (latest ACTIVE row)."""
-    active = versions.filter(F.col("status") == "ACTIVE")
-    active_version = active.agg(F.max_by("version", "deployed_at")).scalar()
-    active_auc = active.agg(F.max_by("roc_auc", "deployed_at")).scalar()
-    delta = F.col("roc_auc") - active_auc
-    return candidate.select(
-        "*", active_version.alias("active_version"), active_auc.alias("active_roc_auc"),
-        pround(delta, 4).alias("improvement"),
-        F.when(delta > 0, F.lit("retrain")).otherwise(F.lit("keep")).alias("verdict"),
+    active = versions.filter(F.col("status") == "ACTIVE").agg(
+        F.max_by("version", "deployed_at").alias("active_version"), F.max_by("roc_auc", "deployed_at").alias("active_roc_auc")
     )
+    both = candidate.withColumn("_one", F.lit(1)).join(F.broadcast(active.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")  # one row
+    delta = F.col("roc_auc") - F.col("active_roc_auc")
+    return both.withColumns({"improvement": pround(delta, 4), "verdict": F.when(delta > 0, F.lit("retrain")).otherwise(F.lit("keep"))})

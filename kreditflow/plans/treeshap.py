@@ -20,7 +20,7 @@ expectations, so the result is exact and additive:
 base + sum(phi) = 2F(x).
 
 The node tables are read from the saved model (small: trees x 2^depth rows)
-and broadcast; rows stream through ``mapInPandas`` in Arrow batches.
+and broadcast; keys and features stream through ``mapInArrow``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,31 +109,28 @@ def shap_values(x: np.ndarray, trees: list, weights: list[float]) -> tuple[np.nd
 
 
 def attribute(df: DataFrame, model_cols: list[str], trees: list, weights: list[float]) -> DataFrame:
-    """Append ``attr`` (the narrative's input) to every row; no join, the
-    input columns pass through the same Arrow batch."""
-    from pyspark.sql import types as T
+    """Append ``attr`` (the narrative's input) to every row.
 
+    Python sees a number per row and the model's columns, and returns lists of
+    numbers; the rows themselves are joined to the result by the number, and the
+    structs are built by Spark.
+    """
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((trees, weights))
-    feats = K.ALL_FEATURES
+    rows = df.withColumn("_row", F.col("loan_id"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr, ws = bc.value
-        for pdf in batches:
-            x = pdf[model_cols].to_numpy(dtype=float)
+        for b in batches:
+            x = np.column_stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(b.num_columns - 1)]).astype(float)
             phi, _ = shap_values(x, tr, ws)
-            pdf["attr"] = [
-                [{"idx": j, "feature": feats[j], "shap": float(phi[r, j]), "value": float(x[r, j])} for j in range(len(feats))]
-                for r in range(len(pdf))
-            ]
-            yield pdf
-
-    attr_type = T.ArrayType(T.StructType([
-        T.StructField("idx", T.IntegerType()), T.StructField("feature", T.StringType()),
-        T.StructField("shap", T.DoubleType()), T.StructField("value", T.DoubleType()),
-    ]))
-    schema = T.StructType(df.schema.fields + [T.StructField("attr", attr_type)])
-    return df.mapInPandas(run, schema)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m).reshape(-1))) for m in (phi, x)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["_row", "_phi", "_x"])
+
+    got = rows.select("_row", *model_cols).mapInArrow(run, "_row long, _phi array<double>, _x array<double>")
+    terms = [F.struct(F.lit(j).alias("idx"), F.lit(f).alias("feature"), F.get("_phi", j).alias("shap"), F.get("_x", j).alias("value")) for j, f in enumerate(K.ALL_FEATURES)]
+    return rows.join(got, "_row").withColumn("attr", F.array(*terms)).drop("_row", "_phi", "_x")
 
 
 def base_value(trees: list, weights: list[float]) -> float:

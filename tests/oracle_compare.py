@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 
 import duckdb
@@ -60,7 +61,7 @@ if __name__ == "__main__":
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
-    spark = build_session("local[8]", shuffle_partitions=8)
+    spark = build_session(os.environ.get("MASTER", "local[8]"), shuffle_partitions=8)
     con = duck(sf_dir)
     qs, os_ = queries(), oracle_sql()
     bad = 0

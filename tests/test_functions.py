@@ -2,6 +2,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kreditflow.functions import text as TX
+
 from kreditflow import constants as K
 from kreditflow.functions import offers as OF
 from kreditflow.functions.distance import distance_score
@@ -61,6 +63,14 @@ def test_validation_messages(spark):
     ]
 
 
-def test_pround_matches_binary_rounding(spark):
-    r = spark.range(1).select(pround(F.lit(1254.715), 2).alias("a"), pround(F.lit(-0.125), 2).alias("b")).first()
-    assert r.a == 1254.71 and r.b == -0.13
+def test_pround_and_formats_equal_python(spark):
+    """Both fixture grids, ties, and values between two digits, as Python rounds and prints them."""
+    values = [i / 100 for i in range(10_000)] + [i / 8 for i in range(-80, 80)] + [i / 1000 for i in range(3000)] + [1254.715, -0.125, 12.25, 12.35, 1.115, 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    for places in (0, 1, 2, 4, 6):
+        assert all(r.r == round(r.v, places) for r in df.select("v", pround("v", places).alias("r")).collect())
+    small = df.filter("v >= 0 AND v < 1e15")
+    for r in small.select("v", TX.fmt_1f(F.col("v")).alias("a"), TX.fmt_0f(F.col("v")).alias("b"), TX.fmt_comma(F.col("v")).alias("c"), TX.fmt_pct(F.col("v")).alias("d")).collect():
+        assert (r.a, r.b, r.c, r.d) == (f"{r.v:.1f}", f"{r.v:.0f}", f"{r.v:,.0f}", f"{r.v * 100:.1f}")
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(pround("v", 2).alias("r")).collect()
+    assert odd[0].r is None and odd[1].r != odd[1].r

@@ -3,16 +3,30 @@ from pyspark.sql import functions as F
 
 from kreditflow.catalog import budget_events, queries
 from kreditflow.operators import budget as B
+from kreditflow.session import scratch_path
+from kreditflow.streaming import decisions as SD
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stream_budget_equals_batch_fold(spark):
-    q = queries()
-    cols = ["pool_id", "seq", "event_type", "applicant_id", "status", "remaining"]
-    stream = {tuple(r) for r in q["str_02_stream_budget"](spark, SF).select(*cols).collect()}
-    batch = {tuple(r) for r in B.fold_events(budget_events(spark, SF)).select(*cols).collect()}
+    """With budgets reset so low that requests wait and sweeps approve them."""
+    events = budget_events(spark, SF)
+    low = events.select("pool_id").distinct().select(
+        "pool_id", F.lit(-1).cast("long").alias("seq"), F.lit("1990-01-01").cast("timestamp_ntz").alias("ts"), F.lit("RESET").alias("event_type"),
+        F.lit(None).cast("string").alias("applicant_id"), F.lit(900.0).alias("amount"))
+    events = low.unionByName(events).select(*[F.col(f.name).cast(f.dataType) for f in B.EVENT_SCHEMA.fields]).checkpoint(eager=True)
+    src, out = scratch_path(spark, "stream-events"), scratch_path(spark, "stream-fold")
+    for (y,) in events.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect():
+        events.filter(F.year("ts") == y).write.mode("append").parquet(src)
+        q = (SD.stream_budget(spark.readStream.schema(B.EVENT_SCHEMA).parquet(src)).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", out + "-ckpt").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    cols = ["pool_id", "seq", "event_type", "applicant_id", "status", "remaining", "waitlist_size", "step"]
+    stream = {tuple(r) for r in spark.read.schema(B.FOLD_SCHEMA).parquet(out).select(*cols).collect()}
+    batch = {tuple(r) for r in B.fold_events(events).select(*cols).collect()}
     assert stream == batch
+    assert sum(r[4] == "WAITLISTED" for r in batch) > 10 and any(r[2] == "WAITLIST_APPROVAL" for r in batch)
 
 
 def test_stream_decisions_equal_batch_log(spark):
