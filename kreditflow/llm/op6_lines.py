@@ -121,7 +121,9 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = materialize(repeated_lines(keyed), "lines")
     gone = later_copies(lines, min_words).join(lines.select("k", "h", "pos", "line_no"), ["k", "h", "pos"])
     gone = materialize(gone.groupBy("k", "h").agg(F.collect_list("line_no").alias("gone")), "lines-gone")
-    out = keyed.join(gone, ["k", "h"], "left").withColumn("lines", F.split("t", "\n"))
+    # a merge join at any size: the deletions have no bound that would allow a broadcast; the text travels once, in its row
+    out = keyed.drop("t").join(gone.hint("merge"), ["k", "h"], "left")
+    out = out.withColumn("t", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))).withColumn("lines", F.split("t", "\n"))
     out = out.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))))
     text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.when(_has_word(text), text).otherwise(""))
