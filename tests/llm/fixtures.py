@@ -8,6 +8,7 @@ SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, row string, k long, h long, key string, block long, "
     "word string, ids string, node long, label string, kept string, piece int, length long, bucket int, lines string, t string, w string, band long"
 )
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 CLASH = ["x", 7, 7, "x", 7, "x", "x", 7, "x", "x", 7, 7, 7, "x", "x", "x", 7]
 
 
