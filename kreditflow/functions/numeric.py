@@ -22,6 +22,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed_once(value: Column) -> Column:
+    """The same value, which filters and generators above it read instead of repeating its expression.
+
+    The optimizer moves conditions below a projection by copying the columns'
+    expressions into them, but never copies what is not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def pround(x: Column | str, places: int = 0) -> Column:
     c = (F.col(x) if isinstance(x, str) else x).cast("double")
     m = 10.0**places

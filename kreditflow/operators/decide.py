@@ -92,7 +92,7 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
     out = add_narrative(out, attr_col, base_logit, when=F.col("valid"))
     reasons = (
         F.when(~has_model, F.array(*[F.lit(r) for r in K.FAILSAFE_REASONS]))
-        .when(tcol == 4, decline_reasons(F.col("narrative")))
+        .when(tcol == 4, decline_reasons(F.col(attr_col)))
     )
     out = out.withColumns(
         {

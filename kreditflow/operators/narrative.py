@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import let, pround
+from kreditflow.functions.numeric import computed_once, let, pround
 
 from kreditflow import constants as K
 from kreditflow.functions.text import note
@@ -36,7 +36,7 @@ def sorted_terms(attr: Column) -> Column:
     return F.sort_array(F.array(*terms))
 
 
-def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str = "narrative", when: Column | None = None) -> DataFrame:
+def narrative(attr: Column, base_logit: Column) -> Column:
     """WIN-02: running log-odds over the sorted terms, one struct per step:
     ``step, feature, shap, impact_pct, running_prob, direction, note, value``.
 
@@ -61,8 +61,13 @@ def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str
             pround(x["value"], 4).alias("value"),
         )
 
-    told = let(sorted_terms(F.col(attr_col)), steps)
-    return df.withColumn(out_col, F.when(when, told) if when is not None else told)
+    return let(sorted_terms(attr), steps)
+
+
+def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str = "narrative", when: Column | None = None) -> DataFrame:
+    """Adds the narrative, computed once for what reads it."""
+    told = narrative(F.col(attr_col), base_logit)
+    return df.withColumn(out_col, computed_once(F.when(when, told) if when is not None else told))
 
 
 def final_confidence(attr: Column, base_logit: Column) -> Column:
@@ -70,7 +75,7 @@ def final_confidence(attr: Column, base_logit: Column) -> Column:
     return pround(to_pct(F.aggregate(attr, base_logit, lambda acc, x: acc + x["shap"])), 2)
 
 
-def decline_reasons(steps: Column) -> Column:
-    """DEC-04 / WIN-03: first three negative notes, padded with the default."""
-    neg = F.transform(F.filter(steps, lambda s: s["direction"] == "negative"), lambda s: s["note"])
+def decline_reasons(attr: Column) -> Column:
+    """DEC-04 / WIN-03: first three negative notes, padded with the default; only the sorted terms are needed."""
+    neg = F.transform(F.filter(sorted_terms(attr), lambda s: s["shap"] < 0), lambda s: s["note"])
     return F.slice(F.concat(F.slice(neg, 1, 3), F.array_repeat(F.lit(K.DEFAULT_DECLINE_REASON), 3)), 1, 3)

@@ -44,3 +44,42 @@ def test_treeshap_equals_brute_force():
     for r in range(len(x)):
         assert np.allclose(phi[r], brute(x[r], trees, weights, 3), atol=1e-12)
         assert np.isclose(phi[r].sum() + base, _value(x[r], {0, 1, 2}, trees, weights))
+
+
+def test_fitted_model_attributions_calibration_and_categories(spark):
+    """On a fitted GBT: attributions add up to the raw log-odds, the calibrated score rises with the raw one,
+    and a category with a quote passes the preprocessor."""
+    from pyspark.sql import functions as F
+
+    from kreditflow.operators import clean as C
+    from kreditflow.plans import model as M
+    from kreditflow.session import scratch_path
+
+    clean = C.clean_loans(spark, "/root/testdata/sf0.001")
+    clean = clean.withColumn("home_ownership", F.when(F.col("loan_id") % 5 == 0, F.lit("OWNER'S")).otherwise(F.col("home_ownership"))).checkpoint(eager=True)
+    model = M.fit(clean.filter("loan_id % 4 <> 0"), M.gbt(max_depth=3, max_iter=6, validation_col="is_validation"), clean.filter("loan_id % 4 = 0"))
+    scored = M.score(model, clean)
+    trees, weights = TS.tree_paths(spark, model.stages[-1], scratch_path(spark, "test_nodes"))
+    got = TS.attribute(scored, M.MODEL_COLS, trees, weights).select("raw_prob", "attr.shap", "attr.feature").collect()
+    base = TS.base_value(trees, weights)
+    assert len(got) == clean.count()
+    for r in got:
+        assert np.isclose(base + sum(r.shap), np.log(r.raw_prob / (1 - r.raw_prob)), atol=1e-9)
+    summary = TS.attribution_summary(TS.attribute(scored, M.MODEL_COLS, trees, weights)).collect()
+    assert {r.feature for r in summary} == set(got[0].feature)
+    importance = M.feature_importance(model).collect()
+    assert np.isclose(sum(r.importance for r in importance), 1.0) and [r.importance for r in importance] == sorted((r.importance for r in importance), reverse=True)
+    cal = M.calibrate(M.fit_calibration(scored), scored).select("raw_prob", "cal_prob").orderBy("raw_prob").collect()
+    assert all(a.cal_prob <= b.cal_prob + 1e-12 for a, b in zip(cal, cal[1:]))
+    codes = {r.home_ownership: r.f_home_ownership for r in scored.select("home_ownership", "f_home_ownership").distinct().collect()}
+    assert codes["OWNER'S"] >= 0
+
+
+def test_search_space_covers_the_ranges():
+    from kreditflow.plans import model as M
+
+    space = M.search_space(200)
+    assert space == M.search_space(200)
+    assert {s["max_depth"] for s in space} == set(range(3, 9)) and {s["min_instances"] for s in space} == set(range(1, 11))
+    assert min(s["step"] for s in space) < 0.02 and max(s["step"] for s in space) > 0.25
+    assert min(s["max_iter"] for s in space) >= 100 and max(s["max_iter"] for s in space) <= 500
