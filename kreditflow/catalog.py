@@ -244,7 +244,7 @@ def agg_30_budget_status(spark, sf):
     return B.status_from_requests(out)
 
 
-@register("dec_10_decision_summary", O.DEC + "SELECT tier, decision, offer_tier, count(*) AS n, sum(CASE WHEN decision = 'APPROVED' THEN (CASE WHEN tier = 3 THEN trial_amount ELSE " + "(CASE offer_tier WHEN 'A' THEN 500e0 WHEN 'B' THEN 1000e0 WHEN 'C' THEN 2500e0 WHEN 'D' THEN 5000e0 END) END) ELSE 0e0 END) AS approved_amount, round(avg(CASE WHEN tier > 0 THEN repay_prob END), 6) AS mean_repay_prob FROM dec GROUP BY tier, decision, offer_tier")
+@register("dec_10_decision_summary", O.DEC + "SELECT tier, decision, offer_tier, count(*) AS n, sum(CASE WHEN decision = 'APPROVED' THEN (CASE WHEN tier = 3 THEN trial_amount ELSE " + "(CASE offer_tier WHEN 'A' THEN 500e0 WHEN 'B' THEN 1000e0 WHEN 'C' THEN 2500e0 WHEN 'D' THEN 5000e0 END) END) ELSE 0e0 END) AS approved_amount, round(sum(CASE WHEN tier > 0 THEN CAST(floor(repay_prob * 10000 + 0.5e0) AS BIGINT) END) / (count(CASE WHEN tier > 0 THEN 1 END) * 10000e0), 6) AS mean_repay_prob FROM dec GROUP BY tier, decision, offer_tier")
 def dec_10_decision_summary(spark, sf):
     return PD.decision_summary(PD.surrogate_decisions(spark, sf))
 

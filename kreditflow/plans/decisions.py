@@ -39,5 +39,6 @@ def decision_summary(dec: DataFrame) -> DataFrame:
     return dec.groupBy("tier", "decision", "offer_tier").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(approved, amount).otherwise(F.lit(0.0))).alias("approved_amount"),
-        pround(F.avg("repay_probability"), 6).alias("mean_repay_prob"),
+        # scores have four places: their sum in units of the last one is exact in any order
+        pround(F.sum(F.floor(F.col("repay_probability") * 10000 + 0.5)) / (F.count("repay_probability") * 10000.0), 6).alias("mean_repay_prob"),
     )
