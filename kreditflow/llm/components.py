@@ -14,7 +14,7 @@ def _both_ways(links: DataFrame) -> DataFrame:
 
 def _star(near: DataFrame, keep) -> DataFrame:
     """Hang the neighbours of every u on the smallest of them and u."""
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "links-least")
     return near.join(least, "u").filter(keep).select(F.col("v").alias("x"), "m").filter("x <> m").distinct()
 
 
@@ -22,7 +22,9 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, label) of every node in ``links`` (columns a, b): label is the smallest node that links reach.
 
     Each round rewrites the links table, which shrinks to one link per node;
-    only a count and a checksum of it reach the driver.
+    only a count and a checksum of it reach the driver.  The least neighbours
+    are tables of their own, so both sides of their joins are plain exchanges
+    and a hub with a large part of all links is split over tasks.
     """
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     known = None
@@ -31,7 +33,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         large = _star(_both_ways(links), F.col("v") > F.col("u")).select(F.col("x").alias("a"), F.col("m").alias("b"))
         # small star: neighbours not above u, and u itself
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "links-least")
         hung = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         links = materialize(hung.distinct(), name)
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).collect()[0]

@@ -203,7 +203,7 @@ def _prefix_pairs(shingles: DataFrame, nodes: DataFrame, percent: int) -> DataFr
     If sets of na and nb shingles have t in common, any na - t + 1 shingles of the first meet the second.  The rarest
     are taken of the member of the smaller component; those that no other text has come first and meet nothing.
     """
-    often = shingles.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1")
+    often = materialize(shingles.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1"), "minhash-often")
     own = materialize(shingles.join(often, "shingle").join(nodes, "node"), "minhash-common")
     by = Window.partitionBy("node")
     place = F.row_number().over(by.orderBy("c", "shingle")) + F.col("n") - F.count("*").over(by)
@@ -258,8 +258,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # bands of which two other members are still of different components
     rest = member.filter("node <> pivot").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     span = rest.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    rest = rest.join(span, "band").select("node", "label", "n").distinct()
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    rest = rest.join(materialize(span, "minhash-span"), "band").select("node", "label", "n").distinct()
+    sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size")), "minhash-sizes")
     rest = materialize(rest.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1))), "minhash-rest")
     shingles = texts.select("node", "words").join(rest.select("node"), "node").mapInArrow(_listed(shingle_words), "node long, shingle long")
     links, labels = joined(links, _prefix_pairs(materialize(shingles, "minhash-shingles"), rest, percent))
