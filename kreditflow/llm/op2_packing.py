@@ -31,7 +31,7 @@ from kreditflow.llm.common import documents, id_text, materialize
 
 TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.json", 2, 1024
 #: Pieces of a ranking bucket.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
