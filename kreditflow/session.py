@@ -88,30 +88,39 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
-    """A path under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    """A path for a written table under the shared folder, in a folder of the application that goes when it ends."""
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kreditflow-{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        jpath, fs = _file_system(spark, home)
+        fs.mkdirs(jpath)
+        fs.deleteOnExit(jpath)
     leaf = f"{name}-{uuid.uuid4().hex[:12]}" if unique else name
-    return f"{base}/kreditflow/{leaf}"
+    return f"{home}/{leaf}"
+
+
+_HOMES: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The path and its Hadoop FileSystem, whatever the store."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem, so it works on any store."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    jpath, fs = _file_system(spark, path)
     return bool(fs.exists(jpath))
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder (none if it doesn't exist)."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    jpath, fs = _file_system(spark, path)
     return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of this package's own tables."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    jpath, fs = _file_system(spark, path)
+    fs.delete(jpath, True)
