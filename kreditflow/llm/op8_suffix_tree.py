@@ -1,22 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Tokens are lower-cased words and one end per text.  The root is the smoothed
-distribution of single tokens over the whole training part.  A context (the last
-one or two tokens) is a candidate if it makes up at least P_MIN of the training
-tokens, and keeps next tokens of at least GAMMA of its occurrences; so there are
-at most 1 / P_MIN candidates of a length with 1 / GAMMA next tokens each, whatever
-the corpus, and the tree may be broadcast.  A candidate stays in the tree if its
-next-token distribution diverges from its suffix's: its count times the
-Kullback-Leibler divergence must exceed half a log count for each kept token; the
-suffixes of a kept context are kept.  Next tokens lose a discount, and the rest of
-the distribution follows the suffix's, so every state sums to one.  A token is
-scored in the longest context of the tree that ends before it.
-
-Counts cover the whole training part and are gathered by Spark: texts are split
-once and stored as compressed blocks of token numbers; each block lists its
-distinct tokens with counts, these are summed by token, and the sums go back to
-the blocks that hold the token, where the texts are scored.  Tokens are compared
-by 64-bit hashes.
+distribution of single tokens over the whole training part.  A context is a
+candidate if it occurs MIN_COUNT times, and has the next tokens that follow it
+MIN_COUNT times, so the model grows with the corpus.  A candidate stays in the
+tree if its next-token distribution diverges from its suffix's: its count times
+the Kullback-Leibler divergence must exceed half a log count for each of its next
+tokens.  A level extends the contexts kept at the level before.  Next tokens lose
+a discount, and the rest of the distribution follows the suffix's, so every state
+sums to one.  A token is scored in the longest context of the tree that ends
+before it.
+
+Counts cover the whole training part and are gathered by Spark; nothing of the
+tree reaches the driver or is broadcast.  Texts are split once and stored as
+compressed blocks of token numbers; each block lists its distinct tokens with
+counts, these are summed by token, and the sums go back to the blocks that hold
+the token.  For each level a block deals out its distinct (context, next token)
+pairs by hash, packed; each part sums them and answers every block.  One block of
+those that hold a pair writes it as a row, the rows are tested by context, and the
+contexts that stay go back to the blocks by a join.  Tokens, contexts and pairs
+are compared by 64-bit hashes.
 
 A null or empty text is one end token; rows without an id are numbered as the
 empty text; repeated rows are learned and scored each; an empty table gives an
@@ -25,8 +28,10 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +44,14 @@ from kreditflow.llm.common import documents, id_text, iter_blocks, materialize
 
 MODULUS, HELD_OUT = 7, 2
 DEPTH = 2
-P_MIN, GAMMA = 2e-4, 5e-3
+#: Times that a context, and a next token in it, must occur; P_MIN is a further least share of the training tokens.
+MIN_COUNT = 2
+P_MIN = 0.0
 DISCOUNT = 0.5
-#: Tokens of one vectorised step.
-SLICE_TOKENS = 1_000_000
-#: Hashes that no word has by intent: text start and end.
-START, END = (np.uint64(xxhash.xxh64_intdigest(b"\0" + x)) for x in (b"start", b"end"))
+#: Text of one block, and the pairs that one task sums at most.
+TEXT_BYTES, PART_PAIRS = 16 << 20, 4_000_000
+#: Hashes that no word has by intent: text start and end, and any next token.
+START, END, TOTAL = (np.uint64(xxhash.xxh64_intdigest(b"\0" + x)) for x in (b"start", b"end", b"total"))
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,16 +81,49 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of each x among them, and where one of each stands."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    some = order[new]
+    return x[some], at, some
+
+
 # ---------------------------------------------------------------- blocks of numbered tokens
-BLOCK = "block long, texts int, words binary, ids binary, sizes binary, toks binary"
+PACKED = "block long, kind string, level int, part int, data binary"
 
 
 def _zip(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    """Compressed by byte planes: the high bytes of small numbers and of sorted hashes' steps are alike."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unzip(blob: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
 
+def _bundle(*arrays: np.ndarray) -> bytes:
+    parts = [_zip(a) for a in arrays]
+    return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
-def _unzip(blob, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), kind)
+
+def _unbundle(data: bytes, *kinds) -> list[np.ndarray]:
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(data, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(_unzip(data[at : at + size], kind))
+        at += size
+    return out
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["block", "kind", "level", "part", "data"])
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +131,16 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, numbers, docs, parts = None, _Numbers(), [], []
     end = b"\0end"
 
-    def out() -> pa.RecordBatch:
+    def out() -> list[pa.RecordBatch]:
         words = np.fromiter((END if w == end else xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         missing = np.array([d is None for d in docs])
         ids = np.array([0 if d is None else d for d in docs], np.int64)
-        cols = [_zip(words), _zip(np.concatenate([ids, missing])), _zip(np.array([len(p) for p in parts], np.int64)), _zip(np.concatenate(parts))]
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(docs)], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["block", "texts", "words", "ids", "sizes", "toks"])
+        data = _bundle(words, ids, missing, np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
+        return _packed([(at, "texts", 0, 0, data)]).to_batches()
 
-    for block, ids, texts in iter_blocks(batches):
+    for block, ids, texts in iter_blocks(batches, TEXT_BYTES):
         if at is not None and block != at:
-            yield out()
+            yield from out()
             numbers, docs, parts = _Numbers(), [], []
         at = block
         for i, t in zip(ids, texts, strict=True):
@@ -109,257 +149,291 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(i)
             parts.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
     if at is not None:
-        yield out()
+        yield from out()
 
 
-class Slice:
-    """Some whole texts of a block: token numbers, and where each text starts."""
+class Block:
+    """A stored block: document ids (None where missing), distinct tokens, and its texts as token numbers."""
 
-    def __init__(self, toks: np.ndarray, sizes: np.ndarray):
-        self.toks, self.sizes = toks, sizes
-        self.starts = np.cumsum(sizes) - sizes
+    def __init__(self, data: bytes):
+        self.words, ids, missing, self.sizes, self.toks = _unbundle(data, np.uint64, np.int64, np.bool_, np.int64, np.uint32)
+        self.ids = [None if m else int(i) for i, m in zip(ids, missing, strict=True)]
+        self.train = np.array([not is_held_out(i) for i in self.ids])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def past(self, words: np.ndarray, back: int) -> np.ndarray:
-        """Hash of the token ``back`` places before each one; the start mark before a text."""
-        out = np.full(len(self.toks), START, np.uint64)
-        out[back:] = words[self.toks[:-back]] if back < len(self.toks) else START
-        inside = np.arange(len(self.toks)) - np.repeat(self.starts, self.sizes)
-        out[inside < back] = START
-        return out
 
-    def contexts(self, words: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each length up to ``depth``, the hash of the tokens before every token."""
-        out = [self.past(words, 1)]
-        for d in range(2, depth + 1):
-            out.append(deeper(out[-1], self.past(words, d)))
-        return out
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, place, word, n): a block's distinct tokens with their training counts."""
+    for b in batches:
+        for number, data in zip(b.column(0).to_pylist(), b.column(4), strict=True):
+            block = Block(data.as_py())
+            n = np.bincount(block.toks, np.repeat(block.train, block.sizes), len(block.words)).astype(np.int64)
+            place = np.arange(len(n), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int64)), pa.array(place), pa.array(block.words.view(np.int64)), pa.array(n)], ["block", "place", "word", "n"])
+
+
+class Walk:
+    """A block's tokens on the way down the tree: the probability of each in the longest context so far."""
+
+    def __init__(self, rows: pa.Table, n: int, v: int):
+        self.number = rows.column("block")[0].as_py()
+        held: dict = {}
+        for kind, level, part, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "part", "data")), strict=True):
+            held.setdefault((kind, level), []).append((part, data))
+        self.held = {k: [data for _, data in sorted(x)] for k, x in held.items()}
+        self.block = Block(self.held["texts", 0][0])
+        self.c = np.full(len(self.block.words), -1, np.int64)
+        if ("known", 0) in self.held:
+            place, c = _unbundle(self.held["known", 0][0], np.int32, np.int64)
+            self.c[place] = c
+        if (self.c < 0).any():
+            raise RuntimeError("a block holds a token that its counts lack")
+        toks = self.block.toks
+        self.p = ((self.c + 1) / (n + v + 1))[toks]
+        self.inside = np.arange(len(toks)) - np.repeat(self.block.starts, self.block.sizes)
+        self.train = np.repeat(self.block.train, self.block.sizes)
+        # tokens whose context of this length is in the tree, its hash, and whether they are a next token of it
+        self.pos, self.context, self.own, self.level = np.arange(len(toks)), np.zeros(len(toks), np.uint64), np.ones(len(toks), bool), 0
+
+    def extend(self) -> None:
+        """Contexts of one token more, and the (context, next token) pairs that may occur often enough."""
+        words, toks = self.block.words, self.block.toks
+        self.level += 1
+        before = np.where(self.inside[self.pos] >= self.level, words[toks[self.pos - self.level]], START)
+        self.longer = before if self.level == 1 else deeper(self.context, before)
+        self.contexts, self.at, self.some = _distinct(self.longer)
+        # a pair is as rare as its suffix's at most
+        self.listed = np.flatnonzero(self.own)
+        self.pairs, self.pair_at, self.pair_some = _distinct(deeper(self.longer[self.listed], words[toks[self.pos[self.listed]]]))
+        sent = np.concatenate([self.pairs, deeper(self.contexts, np.full(len(self.contexts), TOTAL))])
+        self.order = np.argsort(sent)
+        self.keys = sent[self.order]
+
+    def counts(self) -> np.ndarray:
+        """Training counts of the keys."""
+        train = self.train[self.pos].astype(np.float64)
+        n = np.concatenate([np.bincount(self.pair_at, train[self.listed], len(self.pairs)), np.bincount(self.at, train, len(self.contexts))])
+        return n[self.order].astype(np.int64)
+
+    def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts in the corpus, 0 under MIN_COUNT, of pairs and of contexts; the pairs that this block writes."""
+        got = [_unbundle(data, np.int64, np.bool_) for data in self.held.get(("sums", self.level), [])]
+        n, mine = (np.concatenate([x[i] for x in got]) if got else np.empty(0, kind) for i, kind in enumerate((np.int64, bool)))
+        if len(n) != len(self.keys):
+            raise RuntimeError("a block's pairs and their sums differ")
+        back, cut = np.empty(len(n), np.int64), len(self.pairs)
+        back[self.order] = np.arange(len(n))
+        return n[back[:cut]], n[back[cut:]], mine[back[:cut]]
+
+    def advance(self) -> None:
+        """Score in the contexts that the tree keeps, and go on with their tokens."""
+        pair_n, total, _ = self.answers()
+        rest = np.full(len(self.contexts), np.nan)
+        for data in self.held.get(("rest", self.level), []):
+            place, share = _unbundle(data, np.int32, np.float64)
+            rest[place] = share
+        n = np.zeros(len(self.pos), np.int64)
+        n[self.listed] = pair_n[self.pair_at]
+        kept = ~np.isnan(rest[self.at])
+        at, n, self.pos, self.context = self.at[kept], n[kept], self.pos[kept], self.longer[kept]
+        self.own = n > 0
+        self.p[self.pos] = np.where(self.own, (n - DISCOUNT) / np.maximum(total[at], 1), rest[at] * self.p[self.pos])
+
+
+def _replay(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
+    walk = Walk(rows, n, v)
+    for _ in range(depth):
+        walk.extend()
+        walk.advance()
+    return walk
+
+
+# ---------------------------------------------------------------- one level of the tree
+def _deal(n: int, v: int, level: int, parts: int):
+    """A block's keys with their training counts, a run of the sorted keys to each part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        walk = _replay(rows, n, v, level - 1)
+        walk.extend()
+        count = walk.counts()
+        part = ((walk.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                out.append((walk.number, "pairs", level, int(part[a]), _bundle(np.diff(walk.keys[a:b], prepend=np.uint64(0)), count[a:b])))
+        return _packed(out)
 
+    return run
 
-class Block:
-    """A stored block: document ids (None where missing), distinct tokens, and its texts in slices."""
 
-    def __init__(self, row: dict):
-        n = row["texts"].as_py()
-        both = _unzip(row["ids"], np.int64)
-        self.ids = [None if m else int(i) for i, m in zip(both[:n], both[n:], strict=True)]
-        self.words, self.sizes, self.toks = _unzip(row["words"], np.uint64), _unzip(row["sizes"], np.int64), _unzip(row["toks"], np.uint32)
-        self.train = np.array([not is_held_out(i) for i in self.ids])
+def _add(rows: pa.Table) -> pa.Table:
+    """Sums of a part's keys over all blocks, answered to each block; the first block with a key writes it."""
+    got = [_unbundle(data.as_py(), np.uint64, np.int64) for data in rows.column("data")]
+    sizes = [len(k) for k, _ in got]
+    keys, at, some = _distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]))
+    n = np.bincount(at, np.concatenate([c for _, c in got]), len(keys)).astype(np.int64)
+    n[n < MIN_COUNT] = 0
+    mine = np.zeros(len(at), bool)
+    mine[some] = n > 0
+    out, a = [], 0
+    for block, level, part, size in zip(*(rows.column(c).to_pylist() for c in ("block", "level", "part")), sizes, strict=True):
+        out.append((block, "sums", level, part, _bundle(n[at[a : a + size]], mine[a : a + size])))
+        a += size
+    return _packed(out)
+
+
+LISTED = "block long, place int, context long, suffix long, symbol long, n long, total long, above double"
+
+
+def _list(n: int, v: int, level: int):
+    """Rows of two kinds: the pairs that this block writes, and (block, place, context) of all its contexts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        walk = _replay(rows, n, v, level - 1)
+        walk.extend()
+        pair_n, total, mine = walk.answers()
+        k = walk.listed[walk.pair_some[mine]]
+        place = np.flatnonzero(total)
+        signed = lambda x: pa.array(x.view(np.int64))
+        none = lambda size, kind: pa.nulls(size, kind)
+        pairs = [none(len(k), pa.int64()), none(len(k), pa.int32()), signed(walk.longer[k]), signed(walk.context[k]), signed(walk.block.words[walk.block.toks[walk.pos[k]]]),
+                 pa.array(pair_n[mine]), pa.array(total[walk.at[k]]), pa.array(walk.p[walk.pos[k]])]
+        size = len(place)
+        own = [pa.array(np.full(size, walk.number, np.int64)), pa.array(place.astype(np.int32)), signed(walk.contexts[place]), *(none(size, pa.int64()) for _ in range(4)), none(size, pa.float64())]
+        names = [c.split()[0] for c in LISTED.split(", ")]
+        return pa.concat_tables([pa.table(pairs, names=names), pa.table(own, names=names)])
 
-    def slices(self, train_only: bool) -> Iterator[Slice]:
-        """About SLICE_TOKENS at a time; a longer text is a slice of its own."""
-        ends = np.cumsum(self.sizes)
-        at = 0
-        while at < len(self.sizes):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at] - self.sizes[at]) + SLICE_TOKENS, "right")))
-            toks, sizes = self.toks[ends[at] - self.sizes[at] : ends[to - 1]], self.sizes[at:to]
-            if train_only:
-                keep = self.train[at:to]
-                toks, sizes = toks[np.repeat(keep, sizes)], sizes[keep]
-            if len(sizes):
-                yield Slice(toks, sizes)
-            at = to
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            row = {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
-            yield row["block"].as_py(), Block(row)
+    return run
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, word, n): a block's distinct tokens with their training counts."""
-    for number, block in _blocks(batches):
-        n = np.bincount(block.toks, np.repeat(block.train, block.sizes), len(block.words)).astype(np.int64)
-        place = np.arange(len(n), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int64)), pa.array(place), pa.array(block.words.view(np.int64)), pa.array(n)], ["block", "place", "word", "n"])
-
-
-def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-
-
-def _context_counts(candidates: np.ndarray, symbols: np.ndarray, depth: int):
-    """Counts of (candidate context of one length, next token), both as places in sorted lists."""
-    # place 0 stands for all next tokens too rare to be kept, so that a context's sum is its count
-    width = len(symbols) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches):
-            symbol = _find(symbols, block.words) + 1
-            parts = []
-            for part in block.slices(train_only=True):
-                c = _find(candidates, part.contexts(block.words, depth)[-1])
-                own = c >= 0
-                parts.append(np.unique(c[own] * width + symbol[part.toks[own]], return_counts=True))
-            if parts:
-                keys, n = _sum(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys // width), pa.array(keys % width), pa.array(n)], ["context", "symbol", "n"])
+def _pack(kind: str, level: int, value: str, of):
+    def run(rows: pa.Table) -> pa.Table:
+        data = _bundle(rows.column("place").to_numpy().astype(np.int32), rows.column(value).to_numpy().astype(of))
+        return _packed([(rows.column("block")[0].as_py(), kind, level, 0, data)])
 
     return run
 
 
-class Level:
-    """Contexts of one length: sorted hashes, counts, suffix places, kept next tokens."""
+def tested(pairs: DataFrame, least: float) -> DataFrame:
+    """(context, suffix, total, rest) of the contexts that stay: the share that the suffix's distribution gets."""
+    p = (F.col("n") - DISCOUNT) / F.col("total")
+    sums = pairs.filter(F.col("total") >= least).groupBy("context").agg(
+        F.first("suffix").alias("suffix"), F.max("total").alias("total"), F.count("*").alias("m"), F.sum(p).alias("mass"),
+        F.sum("above").alias("mass_above"), F.sum(p * F.log(p / F.col("above"))).alias("gain"))
+    left, left_above = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mass", "mass_above"))
+    divergence = F.col("gain") + left * F.log(left / left_above)
+    kept = F.col("total") * divergence > 0.5 * F.col("m") * F.log(F.greatest("total", F.lit(2)))
+    return sums.filter(kept).select("context", "suffix", "total", ((1 - F.col("mass")) / left_above).alias("rest"))
 
-    def __init__(self, keys: np.ndarray, suffix: np.ndarray):
-        self.keys, self.suffix = keys, suffix
-        self.total = np.zeros(len(keys))
-        self.entry_context = self.entry_symbol = np.empty(0, np.int64)
-        self.entry_n = self.entry_p = np.empty(0)
-        self.rest = np.ones(len(keys))
-        self.kept = np.zeros(len(keys), bool)
 
-    def codes(self, width: int) -> np.ndarray:
-        return self.entry_context * width + self.entry_symbol
+class Level:
+    """Contexts of one length: sorted hashes, suffix places, next tokens."""
 
+    def __init__(self, contexts: pa.Table, pairs: pa.Table, symbols: np.ndarray, above: np.ndarray):
+        hashes = lambda t, c: t.column(c).to_numpy().view(np.uint64)
+        order = np.argsort(hashes(contexts, "context"))
+        self.keys, self.rest = hashes(contexts, "context")[order], contexts.column("rest").to_numpy()[order]
+        self.suffix = _find(above, hashes(contexts, "suffix")[order]) if len(above) else np.zeros(len(order), np.int64)
+        self.kept = np.ones(len(order), bool)
+        codes = _find(self.keys, hashes(pairs, "context")) * len(symbols) + _find(symbols, hashes(pairs, "symbol"))
+        order = np.argsort(codes)
+        self.codes, self.entry_p = codes[order], ((pairs.column("n").to_numpy() - DISCOUNT) / pairs.column("total").to_numpy())[order]
 
-class Tree:
-    """Sorted arrays of a bounded size: what scoring needs."""
 
-    def __init__(self, symbols: np.ndarray, root: np.ndarray):
-        self.symbols, self.root, self.levels = symbols, root, []
+class Tree:
+    """The tree's tables by level: kept contexts, and their (context, symbol, n); ``answers`` are what blocks need of them."""
+
+    def __init__(self, words: DataFrame, n: int, v: int):
+        self.words, self.n, self.v, self.tables, self.answers = words, n, v, [], []
+
+    # The tree as arrays, to look at a small one; scoring doesn't use them.
+    @cached_property
+    def _root(self) -> tuple[np.ndarray, np.ndarray]:
+        t = self.words.filter("c > 0").toArrow()
+        hashes, c = t.column("word").to_numpy().view(np.uint64), t.column("c").to_numpy()
+        order = np.argsort(hashes)
+        return hashes[order], (c[order] + 1) / (self.n + self.v + 1)
+
+    symbols = property(lambda self: self._root[0])
+    root = property(lambda self: self._root[1])
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        out: list[Level] = []
+        for contexts, pairs in self.tables:
+            own = pairs.join(contexts.select("context"), "context", "left_semi").toArrow()
+            out.append(Level(contexts.toArrow(), own, self.symbols, out[-1].keys if out else np.empty(0, np.uint64)))
+        return out
 
     def prob(self, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """P(symbol | context) for places of contexts of a length (level 0: the root) and known symbols."""
         if level == 0:
             return self.root[symbol]
         at = self.levels[level - 1]
-        found = _find(at.codes(len(self.symbols)), context * len(self.symbols) + symbol)
+        found = _find(at.codes, context * len(self.symbols) + symbol)
         below = at.rest[context] * self.prob(level - 1, at.suffix[context], symbol)
         return np.where(found >= 0, at.entry_p[found] if len(at.entry_p) else 0.0, below)
 
-    def fit(self, level: int) -> None:
-        """Discounted probabilities, the share that the suffix's distribution gets, and the divergence test."""
-        at = self.levels[level - 1]
-        total = np.maximum(at.total, 1)
-        c = at.entry_context
-        at.entry_p = (at.entry_n - DISCOUNT) / total[c]
-        above = self.prob(level - 1, at.suffix[c], at.entry_symbol)
-        mass, mass_above = np.bincount(c, at.entry_p, len(at.keys)), np.bincount(c, above, len(at.keys))
-        at.rest = (1 - mass) / np.maximum(1 - mass_above, 1e-12)
-        left, left_above = np.maximum(1 - mass, 1e-12), np.maximum(1 - mass_above, 1e-12)
-        divergence = np.bincount(c, at.entry_p * np.log(at.entry_p / above), len(at.keys)) + left * np.log(left / left_above)
-        at.kept = at.total * divergence > 0.5 * np.bincount(c, minlength=len(at.keys)) * np.log(np.maximum(total, 2))
-
-    def prune(self) -> None:
-        """Keep what passed the test, and the suffixes of what is kept."""
-        for upper, at in zip(self.levels[:-1][::-1], self.levels[1:][::-1], strict=True):
-            upper.kept[at.suffix[at.kept]] = True
-
-    def score(self, part: Slice, words: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Probability of each token; ``symbol`` and ``root``: place and probability without context of a block's tokens."""
-        p, own, width = root[part.toks], symbol[part.toks], len(self.symbols)
-        for at, keys in zip(self.levels, part.contexts(words, max(1, len(self.levels))), strict=False):
-            inside = np.flatnonzero((c := _find(at.keys, keys)) >= 0)
-            inside = inside[at.kept[c[inside]]]
-            c = c[inside]
-            lower = p[inside] * at.rest[c]
-            found = np.where(own[inside] >= 0, _find(at.codes(width), c * width + own[inside]), -1)
-            p[inside] = np.where(found >= 0, at.entry_p[found], lower) if len(at.entry_p) else lower
-        return p
-
-
-def learn(blocks: DataFrame, words: DataFrame, n: int, v: int, depth: int = DEPTH) -> Tree:
-    """The tree; ``words`` (word, c) are the training counts, n their sum and v their number."""
-    floor = max(1.0, GAMMA * P_MIN * n)  # a kept next token can't be rarer than this
-    often = words.filter(F.col("c") >= floor).toArrow()  # at most 1 / (GAMMA * P_MIN) rows
-    hashes, c = often.column("word").to_numpy().view(np.uint64), often.column("c").to_numpy()
-    order = np.argsort(hashes)
-    symbols, c = hashes[order], c[order]
-    tree = Tree(symbols, (c + 1) / (n + v + 1))
-    parents = np.append(symbols[(c >= P_MIN * n) & (symbols != END)], START)
-    keys, suffix = np.sort(parents), np.zeros(len(parents), np.int64)
-    first_words = keys
+
+def _together(tables: list[DataFrame]):
+    """All packed rows of a block in one group."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("block")
+
+
+def learn(blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int, tokens: int, depth: int = DEPTH) -> Tree:
+    """The tree; ``words`` (word, c) are the training counts, n their sum and v their number; ``known`` gives each block its own."""
+    tree, least = Tree(words, n, v), max(MIN_COUNT, P_MIN * n)
+    parts = max(1, math.ceil(tokens / PART_PAIRS))
     for d in range(1, depth + 1):
-        at = Level(keys, suffix)
-        tree.levels.append(at)
-        if len(keys):
-            counted = blocks.mapInArrow(_context_counts(keys, symbols, d), "context long, symbol long, n long")
-            counted = materialize(counted.groupBy("context", "symbol").agg(F.sum("n").alias("n")), f"suffix-tree{d}")
-            totals = counted.groupBy("context").agg(F.sum("n").alias("total"))
-            kept = counted.filter("symbol > 0").join(totals, "context").filter(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * GAMMA))
-            t = totals.toArrow()  # a row for each candidate
-            at.total[t.column("context").to_numpy()] = t.column("total").to_numpy()
-            e = kept.select("context", (F.col("symbol") - 1).alias("symbol"), "n").orderBy("context", "symbol").toArrow()  # at most 1 / GAMMA for each candidate
-            at.entry_context, at.entry_symbol, at.entry_n = (e.column(i).to_numpy() for i in range(3))
-            tree.fit(d)
-        if d == depth:
+        so_far = [blocks, known, *tree.answers]
+        dealt = _together(so_far).applyInArrow(_deal(n, v, d, parts), PACKED)
+        sums = materialize(dealt.groupBy("part").applyInArrow(_add, PACKED), f"suffix-sums{d}")
+        listed = materialize(_together([*so_far, sums]).applyInArrow(_list(n, v, d), LISTED), f"suffix-listed{d}")
+        pairs = listed.filter("block IS NULL").select("context", "suffix", "symbol", "n", "total", "above")
+        contexts = materialize(tested(pairs, least), f"suffix-contexts{d}")
+        if contexts.isEmpty():
             break
-        # one token more in front: (before, context) as often as a candidate must be, both candidates themselves
-        keys, suffix = _longer(blocks, at, first_words, d, P_MIN * n)
-    tree.prune()
+        back = listed.filter("block IS NOT NULL").select("block", "place", "context").join(contexts.select("context", "rest"), "context")
+        rest = materialize(back.groupBy("block").applyInArrow(_pack("rest", d, "rest", np.float64), PACKED), f"suffix-rest{d}")
+        tree.tables.append((contexts, pairs))
+        tree.answers += [sums, rest]
     return tree
 
 
-def _longer(blocks: DataFrame, at: Level, first_words: np.ndarray, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted contexts of depth + 1 tokens that occur often enough, and the places of their suffixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches):
-            parts, suffixes = [], {}
-            for part in block.slices(train_only=True):
-                short, long = part.contexts(block.words, depth + 1)[-2:]
-                place = _find(at.keys, short)
-                own = place >= 0
-                own[own] = _find(first_words, part.past(block.words, depth + 1)[own]) >= 0
-                keys, where, n = np.unique(long[own], return_index=True, return_counts=True)
-                parts.append((keys, n))
-                suffixes |= dict(zip(keys.tolist(), place[own][where].tolist(), strict=True))
-            if parts:
-                keys, n = _sum(parts)
-                suffix = np.fromiter(map(suffixes.__getitem__, keys.tolist()), np.int64, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(suffix), pa.array(n)], ["context", "suffix", "n"])
-
-    often = blocks.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, least))
-    t = often.toArrow()  # at most 1 / P_MIN rows
-    keys, suffix = t.column("context").to_numpy().view(np.uint64), t.column("suffix").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], suffix[order]
-
-
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shared):
-    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        tree, n, v = shared.value
-        rows: list[tuple] = []
-        for _, block in _blocks(blocks.to_batches()):
-            own = np.full(len(block.words), -1, np.int64)
-            own[counts.column("place").to_numpy()] = counts.column("c").to_numpy()
-            if (own < 0).any():
-                raise RuntimeError("a block holds a token that its counts lack")
-            root, symbol = (own + 1) / (n + v + 1), _find(tree.symbols, block.words)
-            log_root, at = np.log10(root), 0
-            for part in block.slices(train_only=False):
-                known = np.add.reduceat((own > 0)[part.toks].astype(np.int64), part.starts)
-                base = np.add.reduceat(log_root[part.toks], part.starts)
-                full = np.add.reduceat(np.log10(tree.score(part, block.words, symbol, root)), part.starts)
-                for k, size in enumerate(part.sizes.tolist()):
-                    rows.append((block.ids[at + k], not block.train[at + k], size, int(known[k]), n, float(base[k]), float(full[k])))
-                at += len(part.sizes)
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
+def _score(n: int, v: int, depth: int):
+    def run(rows: pa.Table) -> pa.Table:
+        walk = Walk(rows, n, v)
+        block, toks = walk.block, walk.block.toks
+        base = np.add.reduceat(np.log10(walk.p), block.starts)
+        for _ in range(depth):
+            walk.extend()
+            walk.advance()
+        full = np.add.reduceat(np.log10(walk.p), block.starts)
+        known = np.add.reduceat((walk.c > 0)[toks].astype(np.int64), block.starts)
+        cols = [pa.array(block.ids, pa.int64()), pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(full)]
+        return pa.table(cols, names=[c.split()[0] for c in SCORED.split(", ")])
 
     return run
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Learn from the documents that aren't held out, and score all."""
-    spark = docs.sparkSession
-    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, BLOCK), "suffix-blocks")
+    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
     listed = materialize(blocks.mapInArrow(_vocabulary, "block long, place int, word long, n long"), "suffix-listed")
     words = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "suffix-words")
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()[0]  # two numbers
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    tree = learn(blocks, words, n, v, depth)
-    shared = spark.sparkContext.broadcast((tree, n, v))
     counts = listed.select("block", "place", "word").join(words, "word").select("block", "place", "c")
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score(shared), SCORED)
+    known = materialize(counts.groupBy("block").applyInArrow(_pack("known", 0, "c", np.int64), PACKED), "suffix-known")
+    tree = learn(blocks, known, words, n, v, n * MODULUS // (MODULUS - 1), depth)
+    return _together([blocks, known, *tree.answers]).applyInArrow(_score(n, v, len(tree.tables)), SCORED)
 
 
 def op8_suffix_tree(spark, sf_dir: str) -> DataFrame:

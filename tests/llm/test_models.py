@@ -122,6 +122,68 @@ def test_suffix_tree_states_sum_to_one_and_are_closed(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def brute_tree(texts, depth):
+    """Kept contexts of each length and every text's score, by direct counting."""
+    toks = [(i, [*(t or "").encode().lower().split(), 0]) for i, t in texts]
+    train = [w for i, w in toks if not S.is_held_out(i)]
+    c = Counter(x for w in train for x in w)
+    n, v = sum(c.values()), len(c)
+    levels = []
+
+    def prob(w, k):
+        p = (c[w[k]] + 1) / (n + v + 1)
+        for d, kept in enumerate(levels, 1):
+            x = context(w, k, d)
+            if x not in kept:
+                break
+            total, follow, rest = kept[x]
+            p = (follow[w[k]] - 0.5) / total if w[k] in follow else rest * p
+        return p
+
+    def context(w, k, d):
+        return tuple(w[j] if j >= 0 else -1 for j in range(k - d, k))
+
+    while len(levels) < depth:
+        d, found, above = len(levels) + 1, {}, {}
+        for w in train:
+            for k in range(len(w)):
+                x = context(w, k, d)
+                if d == 1 or x[1:] in levels[-1]:
+                    found.setdefault(x, Counter())[w[k]] += 1
+                    above[x, w[k]] = (w, k)
+        kept = {}
+        for x, follow in found.items():
+            total, follow = sum(follow.values()), {s: m for s, m in follow.items() if m > 1}
+            p = {s: (m - 0.5) / total for s, m in follow.items()}
+            q = {s: prob(*above[x, s]) for s in follow}
+            left, under = (max(1 - sum(y.values()), 1e-12) for y in (p, q))
+            gain = sum(p[s] * math.log(p[s] / q[s]) for s in p) + left * math.log(left / under)
+            if total > 1 and total * gain > 0.5 * len(p) * math.log(total):
+                kept[x] = (total, follow, (1 - sum(p.values())) / under)
+        if not kept:
+            break
+        levels.append(kept)
+    return levels, Counter((i, round(sum(math.log10(prob(w, k)) for k in range(len(w))), 6)) for i, w in toks)
+
+
+def test_suffix_tree_keeps_rare_contexts(spark):
+    import random
+
+    rng = random.Random(5)
+    often = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(rng.choice(often) for _ in range(100))) for i in range(300)]
+    rare = [i for i, _ in texts if not S.is_held_out(i)][:3]  # three of 25,000 tokens
+    texts = [(i, t + " scarce pair" if i in rare else t) for i, t in texts]
+    new = next(i for i, _ in texts if S.is_held_out(i))
+    texts = [(i, "scarce pair" if i == new else t) for i, t in texts]
+    got = S.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), depth=2).collect()
+    levels, want = brute_tree(texts, 2)
+    assert (b"scarce",) in levels[0]
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+    own = next(r for r in got if r.doc_id == new)
+    assert own.score > own.base_score + 3
+
+
 # ---------------------------------------------------------------- languages
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.001"
