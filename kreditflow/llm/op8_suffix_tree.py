@@ -6,10 +6,10 @@ candidate if it occurs MIN_COUNT times, and has the next tokens that follow it
 MIN_COUNT times, so the model grows with the corpus.  A candidate stays in the
 tree if its next-token distribution diverges from its suffix's: its count times
 the Kullback-Leibler divergence must exceed half a log count for each of its next
-tokens.  A level extends the contexts kept at the level before.  Next tokens lose
-a discount, and the rest of the distribution follows the suffix's, so every state
-sums to one.  A token is scored in the longest context of the tree that ends
-before it.
+tokens.  A level extends the contexts kept at the level before, and levels grow
+until one keeps none, whatever their length.  Next tokens lose a discount, and the
+rest of the distribution follows the suffix's, so every state sums to one.  A
+token is scored in the longest context of the tree that ends before it.
 
 Counts cover the whole training part and are gathered by Spark; nothing of the
 tree reaches the driver or is broadcast.  Texts are split once and stored as
@@ -32,6 +32,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ from pyspark.sql import functions as F
 from kreditflow.llm.common import documents, id_text, iter_blocks, materialize
 
 MODULUS, HELD_OUT = 7, 2
-DEPTH = 2
 #: Times that a context, and a next token in it, must occur; P_MIN is a further least share of the training tokens.
 MIN_COUNT = 2
 P_MIN = 0.0
@@ -255,13 +255,13 @@ def _deal(n: int, v: int, level: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
         walk = _replay(rows, n, v, level - 1)
         walk.extend()
-        count = walk.counts()
+        sums = walk.counts()
         part = ((walk.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
-                out.append((walk.number, "pairs", level, int(part[a]), _bundle(np.diff(walk.keys[a:b], prepend=np.uint64(0)), count[a:b])))
+                out.append((walk.number, "pairs", level, int(part[a]), _bundle(np.diff(walk.keys[a:b], prepend=np.uint64(0)), sums[a:b])))
         return _packed(out)
 
     return run
@@ -384,11 +384,11 @@ def _together(tables: list[DataFrame]):
     return out.groupBy("block")
 
 
-def learn(blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int, tokens: int, depth: int = DEPTH) -> Tree:
+def learn(blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int, tokens: int, depth: int | None = None) -> Tree:
     """The tree; ``words`` (word, c) are the training counts, n their sum and v their number; ``known`` gives each block its own."""
     tree, least = Tree(words, n, v), max(MIN_COUNT, P_MIN * n)
     parts = max(1, math.ceil(tokens / PART_PAIRS))
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         so_far = [blocks, known, *tree.answers]
         dealt = _together(so_far).applyInArrow(_deal(n, v, d, parts), PACKED)
         sums = materialize(dealt.groupBy("part").applyInArrow(_add, PACKED), f"suffix-sums{d}")
@@ -423,8 +423,8 @@ def _score(n: int, v: int, depth: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """Learn from the documents that aren't held out, and score all."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
+    """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
     blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
     listed = materialize(blocks.mapInArrow(_vocabulary, "block long, place int, word long, n long"), "suffix-listed")
     words = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "suffix-words")

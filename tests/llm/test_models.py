@@ -184,6 +184,26 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert own.score > own.base_score + 3
 
 
+def test_suffix_tree_grows_past_two_tokens(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for i in range(150):
+        w = [rng.choice("ab") for _ in range(4)]
+        while len(w) < 80:
+            w.append("a" if rng.random() < 0.5 + 0.12 * sum(1 if x == "a" else -1 for x in w[-4:]) else "b")  # each of four tokens back tells of the next
+        texts.append((i, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    levels, want = brute_tree(texts, 99)
+    assert len(levels) >= 4
+    rows = S.score_texts(docs).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in rows) == want
+    two = {r.doc_id: r.score for r in S.score_texts(docs, depth=2).collect()}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(two[r.doc_id] for r in held) + 0.01 * sum(r.n_tokens for r in held)
+
+
 # ---------------------------------------------------------------- languages
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.001"
