@@ -1,7 +1,8 @@
 """I-Match document fingerprints, in DataFrame operations alone.
 
 Terms are the lower-cased runs of letters and digits.  The lexicon keeps terms
-whose inverse document frequency ln(N / df) lies in a band.  Its size has a
+whose inverse document frequency ln(N / df) lies in a band, counted over distinct
+texts, so that copies don't push their terms out of it.  Its size has a
 bound that the data cannot exceed: the document frequencies sum to N times the
 mean number of distinct terms, and each kept one is at least N * exp(-high), so
 there are at most mean * exp(high) terms (about 150,000 for 300 distinct terms
@@ -14,8 +15,9 @@ hashes among the subsets that either of them meets.
 The next document is found without a global sort in one task: ids are dealt out
 by range, each range looks one row ahead, and the ranges' first rows link them.
 
-A null or empty text has no terms; a text without lexicon terms is
-fingerprinted by all its distinct terms instead; documents without an id come
+A null or empty text has no terms; a text with few lexicon terms (under FEW, or
+under FEW_SHARE of its distinct terms), such as one of many near copies, is
+fingerprinted by all its distinct terms in the same subsets instead; documents without an id come
 last; rows repeated with the same id and text count as one document and return
 one row each; an empty table gives an empty result; extra columns are ignored.
 """
@@ -27,12 +29,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kreditflow.llm.common import documents, id_text, materialize
+from kreditflow.llm.common import computed_once, documents, id_text, materialize
 
 IDF_BAND = (3.0, 6.2)
 #: Subsets of each density 1/4, 1/8, ... 1/512; the first subset is the whole lexicon.
 DENSITIES, EACH = 8, 4
 SUBSETS = 1 + DENSITIES * EACH - 1
+#: Fewer lexicon terms than FEW, or than this share of a text's distinct terms, don't stand for it.
+FEW, FEW_SHARE = 8, 1 / 8
 RANGE_ROWS = 500_000
 NO_ID = -(2**63)
 
@@ -52,31 +56,45 @@ def _mask(term: Column) -> Column:
     return bits
 
 
+def _code(term: Column) -> Column:
+    """The subsets' bits under 31 bits of the term's hash."""
+    return F.shiftleft(F.xxhash64(term).bitwiseAND(F.lit(2**31 - 1)), 32) + _mask(term)
+
+
 def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(term, code) of the terms in the band; a code holds the subsets' bits under 31 bits of the term's hash."""
-    n = texts.agg(F.count("*").alias("n"))
-    df = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = n.collect()[0]["n"]  # one number
+    """(term, code) of the terms in the band; documents are counted over distinct texts."""
+    hashed = texts.select("text", F.xxhash64("text").alias("h"))
+    copies = materialize(hashed.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "imatch-copies")
+    more = copies.agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("n")).collect()[0]["n"]  # one number
+    total = texts.count() - more
+    # each text counts once: all rows, less the further copies of one row of each
+    one = hashed.join(copies, "h").groupBy("h").agg(F.first("text").alias("text"), (1 - F.first("m")).alias("w"))
+    rows = hashed.select("text", F.lit(1).cast("long").alias("w")).unionByName(one.select("text", "w"))
+    df = rows.select("w", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("w").alias("df"))
     idf = F.log(F.lit(float(total)) / F.col("df"))
     kept = df.filter(idf.between(*band)).select("term")
-    return kept.select("term", (F.shiftleft(F.xxhash64("term").bitwiseAND(F.lit(2**31 - 1)), 32) + _mask(F.col("term"))).alias("code"))
+    return kept.select("term", _code(F.col("term")).alias("code"))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame:
     """``fp`` (array of SUBSETS + 1 hashes, null where a text has no term of the subset) for each key."""
     rows = texts.select(*keys, F.explode_outer(terms_of(F.col("text"))).alias("term"))
     rows = rows.join(F.broadcast(lex), "term", "left")
-    every = F.xxhash64("term")
-    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("code")).alias("codes"), F.count("term").alias("n"), F.bit_xor(every).alias("x"), F.min(every).alias("lo"))
+    # terms outside the lexicon have the sign bit
+    code = F.when(F.col("term").isNotNull(), F.coalesce("code", _code(F.col("term")).bitwiseOR(F.lit(NO_ID))))
+    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("every"))
+    inside = F.filter("every", lambda c: c >= 0)
+    got = got.select(*keys, "every", computed_once(inside).alias("inside"))
+    few = F.size("inside") < F.greatest(F.lit(float(FEW)), F.size("every") * F.lit(FEW_SHARE))
+    own = F.sort_array(F.transform("every", lambda c: c.bitwiseAND(F.lit(2**63 - 1))))
+    got = got.select(*keys, computed_once(F.when(few, own).otherwise(F.col("inside"))).alias("codes"))
     low = lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")
-    fallback = low(F.xxhash64("n", "x", "lo"))
-    first = F.when(F.size("codes") > 0, low(F.xxhash64("codes"))).otherwise(fallback)
 
     def subset(j: int) -> Column:
         own = F.filter("codes", lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0)
         return F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0]
 
-    subsets = [first, *map(subset, range(1, SUBSETS + 1))]
+    subsets = [low(F.xxhash64("codes")), *map(subset, range(1, SUBSETS + 1))]
     return got.select(*keys, F.array(*subsets).alias("fp"))
 
 

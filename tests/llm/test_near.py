@@ -1,9 +1,11 @@
 """Near-duplicates, fingerprints and line runs against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kreditflow.llm import op3_minhash as M
 from kreditflow.llm import op5_imatch as I
@@ -113,6 +115,27 @@ def test_fingerprints_of_edited_and_next_texts(spark, tmp_path):
     assert I.op5_imatch(spark, X.stored(X.empty(spark), tmp_path)).collect() == []
 
 
+def test_fingerprints_in_a_hot_group_of_copies(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    hot = [word() for _ in range(300)]
+    near = [(i, " ".join([*hot, f"other{i}"])) for i in range(40)]  # one word differs
+    common = [word() for _ in range(30)]  # in 10 % of the others
+    rest = [(100 + i, " ".join([word() for _ in range(20)] + [w for k, w in enumerate(common) if (i + k) % 10 == 0])) for i in range(80)]
+    docs = spark.createDataFrame(near + [(40, " ".join([*hot, common[0]]))] + rest, "doc_id long, text string")
+    fps = I.fingerprints(docs, ["doc_id"], I.lexicon(docs)).cache()
+    pairs = fps.alias("a").join(fps.alias("b")).filter("a.doc_id < b.doc_id AND a.doc_id < 41")
+    got = pairs.select("a.doc_id", F.col("b.doc_id").alias("other"), I.likeness(F.col("a.fp"), F.col("b.fp")).alias("x")).collect()
+    assert all(r.x > 0.5 for r in got if r.other <= 40)
+    assert all(r.x < 0.2 for r in got if r.other >= 100)
+
+
+def test_lexicon_counts_distinct_texts(spark):
+    texts = [("alpha beta",)] * 500 + [(f"gamma{i} delta",) for i in range(100)]
+    df = spark.createDataFrame(texts, "text string")
+    assert {r.term for r in I.lexicon(df, (3.0, 6.2)).collect()} == {"alpha", "beta", *(f"gamma{i}" for i in range(100))}
+
+
 def test_next_documents_wrap_and_cross_ranges(spark, monkeypatch):
     monkeypatch.setattr(I, "RANGE_ROWS", 3)
     rows = spark.createDataFrame([(i * 5, i % 2, 4) for i in range(20)], "k long, h long, n long")
