@@ -4,8 +4,9 @@ Texts are cut into blocks (runs of about 32 MB of one task).  Each block lists
 its distinct words; the (block, word) rows are dealt out by word and sorted, so
 every distinct word is encoded once in the whole corpus, and its ids go back to
 each block that holds it.  There a text's words are replaced by their ids in
-order of position.  Texts travel compressed.  Decoding joins ids to the
-vocabulary's pieces (a table as large as the vocabulary, never the data).
+order of position.  Texts travel compressed.  Decoding looks ids up in the
+vocabulary's pieces, which each task loads (as large as the vocabulary, never the
+data); it is not a join.
 
 Null and empty texts give no ids and an empty decoded text; repeated rows are
 encoded each on their own; an empty table gives an empty result; extra columns
