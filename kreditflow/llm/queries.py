@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kreditflow.llm.op1_bpe import op1_bpe
 from kreditflow.llm.op10_language import op10_language
+from kreditflow.llm.op11_pivots import op11_pivots
+from kreditflow.llm.op12_centroids import op12_centroids
+from kreditflow.llm.op13_whitening import op13_whitening
 from kreditflow.llm.op2_packing import op2_packing
 from kreditflow.llm.op3_minhash import op3_minhash
 from kreditflow.llm.op4_warc import SQL as WARC_SQL
@@ -31,5 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_counts": op9_counts,
     "op10_language": op10_language,
+    "op11_pivots": op11_pivots,
+    "op12_centroids": op12_centroids,
+    "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {"op4_warc": WARC_SQL, "op6_lines": LINES_SQL, "op7_quality": QUALITY_SQL}
