@@ -8,7 +8,7 @@ in the sample come first, which keeps lists short), and the pivots that two memb
 Members without a partner in a list leave it; the vectors of the others are joined to them and compared in double
 precision, a list in blocks of at most BLOCK rows.  A task writes a spanning forest of the links it finds, never pairs.
 Blocks of a long list are compared with each other only as far as the components found so far differ.  At last all
-vectors of a component are compared with each other, in pairs of blocks, and every link is counted; so a link can be
+vectors of a component are compared with each other, in pairs of blocks of COUNT_BLOCK, and every link is counted; so a link can be
 missed only between components that no retrieved link joins.
 
 Pivots are fitted on at most SAMPLE distinct vectors of the table, in order of their hash, each at a cosine under
@@ -41,7 +41,7 @@ COSINE = 0.95
 NEAREST, SHARED = 9, 4
 PIVOTS = (64, 4096)
 SAMPLE, SAMPLE_BYTES, APART = 16_384, 32 << 20, 0.7
-BLOCK = 1024
+BLOCK, COUNT_BLOCK = 1024, 256
 #: Products nearer to the threshold than this are computed again in a fixed order.
 CLOSE = 1e-9
 
@@ -280,17 +280,17 @@ def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _across(lists: DataFrame, labels: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
     """Rows of lists of several parts, dealt to (key, i, j): the members outside the list's largest component against all."""
-    own = lists.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = lists.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = materialize(own, "pivot-long")
     counted = own.groupBy("key", "label").agg(F.count("*").alias("c"))
     largest = counted.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"))
-    mixed = largest.filter("top.c < size").select("key", F.col("top.label").alias("major"), F.ceil((F.col("size") - F.col("top.c")) / block).alias("mb"))
+    mixed = largest.filter("top.c < size").select("key", "size", F.col("top.label").alias("major"), F.ceil((F.col("size") - F.col("top.c")) / block).alias("mb"))
     rows = own.join(materialize(mixed, "pivot-mixed"), "key").join(vectors, "node")
     every = F.ceil(F.col("size") / block)
-    at = F.xxhash64("node")
+    at, zero = F.xxhash64("node"), F.lit(0).cast("long")
     cols = [F.col(c) for c in ("label", "node", "vector")]
-    minor = rows.filter("label <> major").select("key", F.pmod(at, "mb").alias("i"), F.explode(F.sequence(F.lit(0), (every - 1).cast("int"))).cast("long").alias("j"), F.lit(0).alias("side"), *cols)
-    major = rows.select("key", F.explode(F.sequence(F.lit(0), (F.col("mb") - 1).cast("int"))).cast("long").alias("i"), F.pmod(at, every).alias("j"), F.lit(1).alias("side"), *cols)
+    minor = rows.filter("label <> major").select("key", F.pmod(at, "mb").alias("i"), F.explode(F.sequence(zero, every - 1)).alias("j"), F.lit(0).alias("side"), *cols)
+    major = rows.select("key", F.explode(F.sequence(zero, F.col("mb") - 1)).alias("i"), F.pmod(at, every).alias("j"), F.lit(1).alias("side"), *cols)
     return _grouped(minor.union(major), "key", "i", "j")
 
 
@@ -333,7 +333,7 @@ def link_counts(classes: DataFrame, labels: DataFrame, least: float, block: int)
     return counted.groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, nearest_pivots: int = NEAREST, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, nearest_pivots: int = NEAREST, shared: int = SHARED, block: int = BLOCK, count_block: int = COUNT_BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     own = id_vector(rows, id_col, vec_col)
     valid = finite(F.col("vector")) & F.exists("vector", lambda x: x != 0)
@@ -350,7 +350,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     labels = linked_nodes(classes, classes.count(), cosine, nearest_pivots, shared, block, same)
     first = labels.join(classes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("first"))
     joined = labels.join(materialize(first, "pivot-firsts"), "label").select("node", "first")
-    counts = link_counts(classes, labels, cosine, block)
+    counts = link_counts(classes, labels, cosine, count_block)
     of_node = classes.select("node", "first_id", "w").join(joined, "node", "left").join(counts, "node", "left")
     of_node = materialize(of_node.select("node", F.coalesce("first", "first_id").alias("first"), (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n")), "pivot-nodes")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("first"))

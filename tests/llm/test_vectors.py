@@ -90,7 +90,7 @@ def links(data, least=0.95):
 @pytest.mark.parametrize("block", [P.BLOCK, 8])
 def test_links_equal_all_pairs(spark, block):
     data = rows()
-    got = P.near_vectors(table(spark, data), block=block).collect()
+    got = P.near_vectors(table(spark, data), block=block, count_block=block).collect()
     assert Counter(map(tuple, got)) == links(data)
 
 
