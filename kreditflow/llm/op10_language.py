@@ -8,7 +8,8 @@ likelihoods of its n-grams, then the languages are taken in order of proportion
 and the set with the best penalised likelihood (half a log count for each free
 parameter) is chosen.  The prediction is the largest language of that set.
 
-A null text or one without a letter is ``und`` with score 0, as is every text if
+A null text or one without a letter (a character of category L; number signs such as Roman or circled ones are none) is
+``und`` with score 0, as is every text if
 no language was learned; ties go to the language first in the alphabet; rows
 without an id count as if their id were the empty text; repeated rows are learned
 and predicted each; an empty table gives an empty result; extra columns are ignored.
@@ -16,11 +17,11 @@ and predicted each; an empty table gives an empty result; extra columns are igno
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 MAX_STEPS, TOLERANCE, LEAST_SHARE = 40, 1e-3, 0.02
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Other ASCII characters than letters become spaces.
 _SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
