@@ -18,9 +18,9 @@ one of them.  So no link between candidates is lost, while a group of copies,
 once connected, makes no more pairs.
 
 A null text or one without words has no shingles and is linked with nothing;
-rows without an id take part and come last, component_id is null when no member
-has an id; repeated rows share their component; an empty table gives an empty
-result; extra columns are ignored.  The largest 2^32 ids are reserved.
+rows without an id take part, component_id is null when no member has an id;
+repeated rows share their component, and so do different texts under one id; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ from kreditflow.llm.components import components
 
 SHINGLE_WORDS, PERCENT = 2, 80
 BAND_ROWS, BANDS = 6, 60
-NO_ID = 2**63 - 2**32
 #: Words of one vectorised step of sketching.
 STEP_WORDS = 400_000
 
@@ -218,13 +217,14 @@ def _prefix_pairs(shingles: DataFrame, nodes: DataFrame, percent: int) -> DataFr
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, band_rows: int = BAND_ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, h, n_shingles, label) of every row: h is the text's hash, label its component (null without words)."""
+    """(doc_id, h, n_shingles, label, first) of every row: h is the text's hash, label its component's number, first the
+    smallest id in it (both null without words)."""
     src = id_text(docs, id_col, text_col)
     hashed = src.select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = materialize(hashed.mapInArrow(_sketches(shingle_words, band_rows, bands), "doc_id long, h long, n_shingles long, key binary, bands array<long>"), "minhash-rows")
-    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(2**32))
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = materialize(classes.withColumn("node", F.coalesce("node", unnamed)), "minhash-classes")
+    # equal word sequences are one node, whatever their ids
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
 
     # shared bands, each with a pivot: the member that shares most bands with others, the most central of near copies
     member = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -264,14 +264,25 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles = texts.select("node", "words").join(rest.select("node"), "node").mapInArrow(_listed(shingle_words), "node long, shingle long")
     links, labels = joined(links, _prefix_pairs(materialize(shingles, "minhash-shingles"), rest, percent))
 
-    named = at_key.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    return rows.select("doc_id", "h", "n_shingles", "key").join(materialize(named, "minhash-named"), "key", "left").drop("key")
+    # different texts under one id: their nodes are one component
+    ids = rows.filter("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
+    shared_ids = materialize(rows.filter("key is not null").select("doc_id", "key").join(ids.select("doc_id"), "doc_id"), "minhash-ids")
+    if not shared_ids.isEmpty():
+        of_id = shared_ids.join(at_key, "key").select("doc_id", "node")
+        same = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
+        labels = materialize(components(links.union(same), "minhash-components"), "minhash-labels")
+
+    named = classes.select("key", "node", "first_id").join(labels, "node", "left").select("key", "first_id", F.coalesce("label", "node").alias("label"))
+    named = materialize(named, "minhash-named")
+    first = materialize(named.groupBy("label").agg(F.min("first_id").alias("first")), "minhash-first")
+    named = materialize(named.join(first, "label").select("key", "label", "first"), "minhash-known")
+    return rows.select("doc_id", "h", "n_shingles", "key").join(named, "key", "left").drop("key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     found = components_of(docs, id_col, text_col, **parameters)
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") < NO_ID, F.col("label"))
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
