@@ -4,10 +4,14 @@ Each page becomes a capture of three records: a request, a response (or a
 revisit that names the response with the same payload), and metadata with the
 page's number; request and metadata name the main record in WARC-Concurrent-To.
 Archives are gzip files of whole records, written by Spark's own committed
-writer into the shared folder.  The reader streams an archive record by record
-by its Content-Length, so a payload that contains a record's first line is
-harmless and memory holds one record.  Assembly joins the three kinds through
-the concurrent-to identifiers and emits one nested row per capture.
+writer into the shared folder.  The reader streams a gzip archive (of one member
+or of one for each record) record by record by its Content-Length, whatever 1.x
+version its first line names, so a payload that contains a record's first line
+is harmless and memory holds one record.  Bytes that no record covers, such as
+a record cut off or one without a length, come back as a row of type UNCOVERED
+with these bytes as its payload (all but the bare letters MARK at the very end of
+a file, which the line reader doesn't hand on).  Assembly joins the three kinds through the
+concurrent-to identifiers and emits one nested row per capture.
 
 Equal payloads are found by digest: the smallest page number of each digest
 with more than one page is aggregated before the shuffle, and only the
@@ -22,6 +26,7 @@ revisit it; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from kreditflow.llm.common import materialize
 from kreditflow.session import scratch_path
 
-VERSION = "WARC/1.1\r\n"
+MARK = "WARC/1."
+VERSION = MARK + "1\r\n"
+UNCOVERED = "uncovered"
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
@@ -113,63 +120,75 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
 
 # ---------------------------------------------------------------- reading
 def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments between record starts, in order of a file; a record ends where its Content-Length says."""
-    mark = VERSION.encode()
+    """Fragments between version marks, in order of a file; a record ends where its Content-Length says."""
+    mark = MARK.encode()
     at, held, need = None, b"", 0
     rows: list[tuple] = []
-    size = 0
 
     def head_of(record: bytes) -> tuple[dict[str, str], int]:
+        """Header fields and the place of the block; 0 if it isn't complete yet, -1 if this is no record."""
+        if not re.match(rb"\d+\r\n", record):
+            return {}, -1
         end = record.find(b"\r\n\r\n")
         fields = {}
-        if end >= 0:
-            for line in record[:end].split(b"\r\n"):
-                name, _, value = line.partition(b":")
-                fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-        return fields, end + 4 if end >= 0 else -1
-
-    def parse(record: bytes) -> tuple:
-        fields, start = head_of(record)
-        block = record[start : start + int(fields.get("content-length", 0))]
+        for line in record[:end].split(b"\r\n")[1:] if end >= 0 else ():
+            name, _, value = line.partition(b":")
+            fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        if end >= 0 and not fields.get("content-length", "").isdecimal():
+            return fields, -1
+        return fields, end + 4 if end >= 0 else 0
+
+    def parse(record: bytes, fields: dict[str, str], start: int, end: int) -> None:
+        block = record[start:end]
         head, payload = block, None
         if fields.get("content-type", "").startswith("application/http"):
             head, _, payload = block.partition(b"\r\n\r\n")
             if fields.get("warc-type") != "response":
                 payload = None
-        return (*[fields.get(HEADERS[c]) for c in RECORD_FIELDS], head.decode("utf-8", "replace"), payload)
+        rows.append((*[fields.get(HEADERS[c]) for c in RECORD_FIELDS], head.decode("utf-8", "replace"), payload))
+        report(record[end:])
+
+    def report(left: bytes) -> None:
+        if left.strip(b"\r\n"):
+            rows.append((UNCOVERED, *[None] * len(RECORD_FIELDS), left))
 
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         kinds = [pa.string()] * 7 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*RECORD_FIELDS, "head", "payload"])
 
+    size, fields, start = 0, {}, 0
     for b in batches:
         for path, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if path != at:
+                report(held)
                 at, held, need = path, b"", 0
-            if held:
-                held += mark + part
-            elif part:
-                held = part
-            else:
+                report(part)  # what stands before the first mark
                 continue
+            held = held + mark + part if held else part
             if not need:
                 fields, start = head_of(held)
-                need = start + int(fields.get("content-length", 0)) if start > 0 else 0
-            if need and len(held) >= need:
-                rows.append(parse(held))
-                size += len(held)
-                held, need = b"", 0
-                if size >= 8 << 20:
-                    yield out()
-                    rows, size = [], 0
+                need = start + int(fields["content-length"]) if start > 0 else 0
+            if start < 0:
+                report(mark + held)
+            elif not need or len(held) < need:
+                continue
+            else:
+                parse(held, fields, start, need)
+            size += len(held)
+            held, need = b"", 0
+            if size >= 8 << 20 and rows:
+                yield out()
+                rows.clear()
+                size = 0
+    report(held)
     if rows:
         yield out()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the gzip archives under ``path``."""
-    lines = spark.read.option("lineSep", VERSION).text(path)
+    lines = spark.read.option("lineSep", MARK).text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_parse_records, RECORDS)
 
 
