@@ -8,17 +8,17 @@ mean number of distinct terms, and each kept one is at least N * exp(-high), so
 there are at most mean * exp(high) terms (about 150,000 for 300 distinct terms
 a document), whatever N is; only such a table is broadcast.  Every lexicon term
 belongs at random (by hash) to lexicon subsets of falling density.  A text's
-sorted distinct lexicon terms are hashed once for each subset; a fingerprint is
-the list of these hashes, and two fingerprints are as alike as the share of equal
-hashes among the subsets that either of them meets.
+sorted distinct lexicon terms are hashed once for each subset.  The same is done
+with all its distinct terms and OWN of the subsets, which speak for texts with few
+lexicon terms, such as one of many near copies.  A fingerprint is the list of all
+these hashes, each at its place whatever the text, and two fingerprints are as
+alike as the share of equal hashes among the places that either of them fills.
 
 The next document is found without a global sort in one task: ids are dealt out
 by range, each range looks one row ahead, and the ranges' first rows link them.
 
-A null or empty text has no terms; a text with few lexicon terms (under FEW, or
-under FEW_SHARE of its distinct terms), such as one of many near copies, is
-fingerprinted by all its distinct terms in the same subsets instead; documents without an id come
-last; rows repeated with the same id and text count as one document and return
+A null or empty text has no terms and fills one place, the hash of all its terms;
+documents without an id come last; rows repeated with the same id and text count as one document and return
 one row each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -35,8 +35,8 @@ IDF_BAND = (3.0, 6.2)
 #: Subsets of each density 1/4, 1/8, ... 1/512; the first subset is the whole lexicon.
 DENSITIES, EACH = 8, 4
 SUBSETS = 1 + DENSITIES * EACH - 1
-#: Fewer lexicon terms than FEW, or than this share of a text's distinct terms, don't stand for it.
-FEW, FEW_SHARE = 8, 1 / 8
+#: Subsets that are taken of all terms of a text too.
+OWN = tuple(range(SUBSETS + 1))
 RANGE_ROWS = 500_000
 NO_ID = -(2**63)
 
@@ -77,29 +77,25 @@ def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
 
 
 def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame:
-    """``fp`` (array of SUBSETS + 1 hashes, null where a text has no term of the subset) for each key."""
+    """``fp`` for each key: hashes of the subsets of the lexicon, then of the OWN subsets of all terms; null where a text has none of it."""
     rows = texts.select(*keys, F.explode_outer(terms_of(F.col("text"))).alias("term"))
     rows = rows.join(F.broadcast(lex), "term", "left")
     # terms outside the lexicon have the sign bit
     code = F.when(F.col("term").isNotNull(), F.coalesce("code", _code(F.col("term")).bitwiseOR(F.lit(NO_ID))))
     got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("every"))
-    inside = F.filter("every", lambda c: c >= 0)
-    got = got.select(*keys, "every", computed_once(inside).alias("inside"))
-    few = F.size("inside") < F.greatest(F.lit(float(FEW)), F.size("every") * F.lit(FEW_SHARE))
-    own = F.sort_array(F.transform("every", lambda c: c.bitwiseAND(F.lit(2**63 - 1))))
-    got = got.select(*keys, computed_once(F.when(few, own).otherwise(F.col("inside"))).alias("codes"))
+    got = got.select(*keys, "every", computed_once(F.filter("every", lambda c: c >= 0)).alias("inside"))
     low = lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
-    def subset(j: int) -> Column:
-        own = F.filter("codes", lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0)
+    def subset(codes: str, j: int) -> Column:
+        own = F.filter(codes, lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0) if j else F.col(codes)
         return F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0]
 
-    subsets = [low(F.xxhash64("codes")), *map(subset, range(1, SUBSETS + 1))]
-    return got.select(*keys, F.array(*subsets).alias("fp"))
+    places = [*(subset("inside", j) for j in range(SUBSETS + 1)), low(F.xxhash64("every")), *(subset("every", j) for j in OWN[1:])]
+    return got.select(*keys, F.array(*places).alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that either fingerprint meets; the first subset always counts."""
+    """Share of equal hashes among the places that either fingerprint fills; that of all terms is filled always."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda t: t))
     either = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x, y).isNotNull()), lambda t: t))
     return same.cast("double") / either
