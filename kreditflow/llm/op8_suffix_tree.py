@@ -50,8 +50,10 @@ P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
 TEXT_BYTES, PART_PAIRS = 16 << 20, 4_000_000
-#: Hashes that no word has by intent: text start and end, and any next token.
-START, END, TOTAL = (np.uint64(xxhash.xxh64_intdigest(b"\0" + x)) for x in (b"start", b"end", b"total"))
+#: Text start and end, and any next token, are hashed from bytes that no word can be, as words hold no space.
+START, END, TOTAL = (np.uint64(xxhash.xxh64_intdigest(b" " + x)) for x in (b"start", b"end", b"total"))
+#: Sums of doubles that decide are taken in whole units, so that their order doesn't matter.
+UNITS = 2.0**40
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,9 +62,9 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 class _Numbers(dict):
-    """Token -> its number in the block, in order of appearance."""
+    """Token -> its number in the block, in order of appearance; the end is None."""
 
-    def __missing__(self, token: bytes) -> int:
+    def __missing__(self, token: bytes | None) -> int:
         self[token] = n = len(self)
         return n
 
@@ -129,10 +131,9 @@ def _packed(rows: list[tuple]) -> pa.Table:
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of a block as numbers of its distinct tokens, and the hash of each of these."""
     at, numbers, docs, parts = None, _Numbers(), [], []
-    end = b"\0end"
 
     def out() -> list[pa.RecordBatch]:
-        words = np.fromiter((END if w == end else xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+        words = np.fromiter((END if w is None else xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
         missing = np.array([d is None for d in docs])
         ids = np.array([0 if d is None else d for d in docs], np.int64)
         data = _bundle(words, ids, missing, np.array([len(p) for p in parts], np.int64), np.concatenate(parts))
@@ -145,7 +146,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = block
         for i, t in zip(ids, texts, strict=True):
             own = t.encode().lower().split()
-            own.append(end)
+            own.append(None)
             docs.append(i)
             parts.append(np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own)))
     if at is not None:
@@ -318,9 +319,10 @@ def _pack(kind: str, level: int, value: str, of):
 def tested(pairs: DataFrame, least: float) -> DataFrame:
     """(context, suffix, total, rest) of the contexts that stay: the share that the suffix's distribution gets."""
     p = (F.col("n") - DISCOUNT) / F.col("total")
+    total = lambda x: F.sum(F.rint(x * UNITS).cast("long")) / UNITS
     sums = pairs.filter(F.col("total") >= least).groupBy("context").agg(
-        F.first("suffix").alias("suffix"), F.max("total").alias("total"), F.count("*").alias("m"), F.sum(p).alias("mass"),
-        F.sum("above").alias("mass_above"), F.sum(p * F.log(p / F.col("above"))).alias("gain"))
+        F.first("suffix").alias("suffix"), F.max("total").alias("total"), F.count("*").alias("m"), total(p).alias("mass"),
+        total(F.col("above")).alias("mass_above"), total(p * F.log(p / F.col("above"))).alias("gain"))
     left, left_above = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mass", "mass_above"))
     divergence = F.col("gain") + left * F.log(left / left_above)
     kept = F.col("total") * divergence > 0.5 * F.col("m") * F.log(F.greatest("total", F.lit(2)))
