@@ -1,10 +1,13 @@
 """Near-duplicates, fingerprints and line runs against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
 import numpy as np
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from kreditflow.llm import op3_minhash as M
@@ -27,7 +30,8 @@ def classes(texts, k, percent=80):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and both * 100 >= percent * len(sets[i] | sets[j]):
+            one_id = sets[i] and sets[j] and texts[i][0] is not None and texts[i][0] == texts[j][0]
+            if one_id or (sets[i] and both * 100 >= percent * len(sets[i] | sets[j])):
                 root[find(i)] = find(j)
     low = {}
     for i, (doc, _) in enumerate(texts):
@@ -46,6 +50,16 @@ def test_near_duplicates_equal_all_pairs(spark, tmp_path):
     assert M.op3_minhash(spark, X.stored(X.empty(spark), tmp_path)).collect() == []
 
 
+def test_different_texts_under_one_id_lose_no_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " q"), (3, b + " q"), (4, "alone here"), (5, a + " r"), (5, "alone there too"), (6, "alone there too")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 1)}
+    big = [(2**63 - 1, a), (2**63 - 2**31, a + " q"), (None, b), (None, b + " q")]
+    got = M.near_duplicates(spark.createDataFrame(big, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(2**63 - 1, 2**63 - 2**31, False), (2**63 - 2**31, 2**63 - 2**31, True), (None, None, True), (None, None, True)])
+
+
 def chain(n=40):
     """Texts of which each is linked with its neighbours alone, and a hub of near copies."""
     words = [f"w{i}" for i in range(300)]
@@ -115,6 +129,69 @@ def test_fingerprints_of_edited_and_next_texts(spark, tmp_path):
     assert I.op5_imatch(spark, X.stored(X.empty(spark), tmp_path)).collect() == []
 
 
+def brute_prints(texts):
+    """Fingerprint of every text by plain counting, sorting and hashing; the chain of seeds is Spark's."""
+    hashed = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed=seed)
+    terms = [sorted({w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}) for t in texts]
+    distinct = {t: set(w) for t, w in zip(texts, terms, strict=True)}
+    df = Counter(w for own in distinct.values() for w in own)
+    low, high = I.IDF_BAND
+    inside = {w for w, n in df.items() if low <= math.log(len(distinct) / n) <= high}
+
+    def code(w):
+        h = hashed(w.encode())
+        bits = 1
+        for j in range(1, I.SUBSETS + 1):
+            x = hashed(j.to_bytes(4, "little"), h)
+            bits |= (x & (2 ** ((j - 1) // I.EACH + 2) - 1) == 0) << j
+        return ((h & (2**31 - 1)) << 32) + bits - (0 if w in inside else 1 << 63)
+
+    def of(codes):
+        h = 42
+        for c in codes:
+            h = hashed((c % (1 << 64)).to_bytes(8, "little"), h)
+        return h & (2**31 - 1)
+
+    out = []
+    for own in terms:
+        every = sorted(map(code, own))
+        lex = [c for c in every if c >= 0]
+        picks = [lex if j == 0 else [c for c in lex if c >> j & 1] for j in range(I.SUBSETS + 1)] + [[c for c in every if c % (1 << 64) >> j & 1] for j in I.OWN[1:]]
+        prints = [of(c) if c else None for c in picks]
+        out.append([*prints[: I.SUBSETS + 1], of(every), *prints[I.SUBSETS + 1 :]])
+    return out
+
+
+def test_fingerprints_and_likeness_equal_direct_computation(spark):
+    rng = random.Random(12)
+    common = ["".join(rng.choice("abcdefghé") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    texts += [" ".join(f"s{i}x{j}" for j in range(30)) for i in range(5)] + ["", "Élan ÉLAN 42! mid-word", texts[3], texts[3], "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = I.lexicon(docs)
+    assert lex.count() > 100
+    got = {r.doc_id: list(r.fp) for r in I.fingerprints(docs, ["doc_id"], lex).collect()}
+    want = brute_prints(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    pairs = spark.createDataFrame([(want[i], want[i + 1]) for i in range(len(want) - 1)], "a array<int>, b array<int>")
+    like = [r.x for r in pairs.select(I.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    plain = [sum(x is not None and x == y for x, y in zip(a, b, strict=True)) / sum(x is not None or y is not None for x, y in zip(a, b, strict=True)) for a, b in zip(want, want[1:], strict=False)]
+    assert Counter(like) == Counter(plain)
+
+
+def test_fingerprints_do_not_switch_with_the_number_of_lexicon_terms(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    shared = [word() for _ in range(8)]  # in the band: each in one text in 25
+    rest = [(100 + i, " ".join([word() for _ in range(30)] + ([shared[i % 8]] if i % 3 == 0 else []))) for i in range(200)]
+    for few in range(9):  # from no lexicon term to eight of 37
+        body = [word() for _ in range(37 - few)] + shared[:few]
+        docs = spark.createDataFrame([(0, " ".join(body)), (1, " ".join([*body[:-1], word()])), *rest], "doc_id long, text string")
+        fps = I.fingerprints(docs, ["doc_id"], I.lexicon(docs)).filter("doc_id < 2")
+        x = fps.alias("a").join(fps.alias("b")).filter("a.doc_id < b.doc_id").select(I.likeness(F.col("a.fp"), F.col("b.fp"))).collect()[0][0]
+        assert x > 0.25
+
+
 def test_fingerprints_in_a_hot_group_of_copies(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
