@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import pround
+from kreditflow.functions.numeric import double, pround_sql, text
 
 from kreditflow import constants as K
 
 
-def _term(feature: str) -> dict[str, Column]:
+def _term(feature: str) -> dict[str, str]:
+    """Columns of a feature's term as SQL text."""
     d = K.DEFAULTER_PROFILE[feature]
     w = K.FEATURE_WEIGHTS.get(feature, 0.04)
-    v = F.coalesce(F.col(feature).cast("double"), F.lit(d))
+    v = f"coalesce(CAST({feature} AS DOUBLE), {double(d)})"
+    raw = "0D"
     if d > 0:
-        raw = (F.lit(d) - v) / F.lit(d) if feature in K.LOWER_IS_BETTER else (v - F.lit(d)) / F.lit(d)
-    else:
-        raw = F.lit(0.0)
-    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+        raw = f"({double(d)} - {v}) / {double(d)}" if feature in K.LOWER_IS_BETTER else f"({v} - {double(d)}) / {double(d)}"
+    clamped = f"greatest(-1D, least(1D, {raw}))"
     return {
-        "feature": F.lit(feature),
+        "feature": text(feature),
         "applicant_val": v,
-        "defaulter_avg": F.lit(d),
-        "raw_distance": pround(clamped, 4),
-        "weighted": pround(clamped * F.lit(w), 4),
-        "better": clamped > 0,
+        "defaulter_avg": double(d),
+        "raw_distance": pround_sql(clamped, 4),
+        "weighted": pround_sql(f"{clamped} * {double(w)}", 4),
+        "better": f"{clamped} > 0",
     }
 
 
 def distance_terms() -> Column:
     """Per-feature terms as ``array<struct<feature, applicant_val, defaulter_avg,
     raw_distance, weighted, better>>`` in profile order."""
-    return F.array(*[F.struct(*[c.alias(n) for n, c in _term(f).items()]) for f in K.DEFAULTER_PROFILE])
+    structs = ["named_struct(" + ", ".join(f"'{n}', {c}" for n, c in _term(f).items()) + ")" for f in K.DEFAULTER_PROFILE]
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def distance_score() -> Column:
     """Sum of the 4-place rounded weighted terms, mapped to 0..1 and rounded."""
-    total = reduce(lambda a, b: a + b, [_term(f)["weighted"] for f in K.DEFAULTER_PROFILE])
-    return pround((total + F.lit(1.0)) / F.lit(2.0), 4)
+    total = " + ".join(_term(f)["weighted"] for f in K.DEFAULTER_PROFILE)
+    return F.expr(pround_sql(f"(({total}) + 1D) / 2D", 4))

@@ -10,6 +10,8 @@ decide where the scaled value lies exactly between two digits.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,11 +19,6 @@ from pyspark.sql import functions as F
 _SPLIT = 134217729.0
 
 
-def let(value: Column, body) -> Column:
-    """``body(x)`` with ``value`` evaluated once: the expression appears once in the plan."""
-    return F.transform(F.array(value), body)[0]
-
-
 def computed_once(value: Column) -> Column:
     """The same value, which filters and generators above it read instead of repeating its expression.
 
@@ -31,23 +28,48 @@ def computed_once(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
-def pround(x: Column | str, places: int = 0) -> Column:
-    c = (F.col(x) if isinstance(x, str) else x).cast("double")
+def double(x: float) -> str:
+    """A double as SQL text."""
+    return f"{float(x)!r}D"
+
+
+def text(s: str) -> str:
+    """A string as SQL text."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=None)
+def _rounding(places: int) -> str:
+    """The rounding of one value as a lambda."""
     m = 10.0**places
     m_hi = (_SPLIT * m) - ((_SPLIT * m) - m)
     m_lo = m - m_hi
+    y, t = f"(v * {double(m)})", f"(v * {double(_SPLIT)})"
+    high = f"({t} - ({t} - v))"
+    low = f"(v - {high})"
+    error = f"(({high} * {double(m_hi)} - {y}) + {low} * {double(m_hi)})"
+    if m_lo:
+        error = f"((({high} * {double(m_hi)} - {y}) + {high} * {double(m_lo)} + {low} * {double(m_hi)}) + {low} * {double(m_lo)})"
+    whole = f"CAST(floor({y}) AS DOUBLE)"
+    above = f"({y} - {whole} - 0.5D)"
+    odd = f"({whole} - floor({whole} / 2D) * 2D <> 0D)"
+    up = f"{above} > 0D OR ({above} = 0D AND ({error} > 0D OR ({error} = 0D AND {odd})))"
+    # beyond 2^52 / m a double has no such digits
+    return f"v -> CASE WHEN v IS NULL THEN CAST(NULL AS DOUBLE) WHEN isnan(v) OR abs({y}) >= {double(2.0**52)} THEN v ELSE ({whole} + CASE WHEN {up} THEN 1D ELSE 0D END) / {double(m)} END"
+
+
+def given(value: Column, body: str) -> Column:
+    """``body``, a lambda in SQL text, of ``value``, which appears in the plan once.
+
+    Text is parsed by the JVM in one call; the same tree built from Python columns takes a call for every node.
+    """
+    return F.call_function("transform", F.array(value), F.expr(body))[0]
+
+
+def pround(x: Column | str, places: int = 0) -> Column:
+    return given((F.col(x) if isinstance(x, str) else x).cast("double"), _rounding(places))
+
 
-    def body(v: Column) -> Column:
-        y, t = v * m, v * _SPLIT
-        high = t - (t - v)
-        low = v - high
-        error = ((high * m_hi - y) + high * m_lo + low * m_hi) + low * m_lo
-        whole = F.floor(y).cast("double")
-        above = y - whole - 0.5
-        even = whole - F.floor(whole / 2.0) * 2.0 == 0.0
-        up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & ~even)))
-        rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / m
-        # beyond 2^52 / m a double has no such digits
-        return F.when(v.isNull(), F.lit(None).cast("double")).when(F.isnan(v) | (F.abs(y) >= 2.0**52), v).otherwise(rounded)
-
-    return let(c, body)
+def pround_sql(x: str, places: int = 0) -> str:
+    """``pround`` of SQL text as SQL text."""
+    return f"get(transform(array(CAST({x} AS DOUBLE)), {_rounding(places)}), 0)"

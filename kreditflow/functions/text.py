@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import pround
+from kreditflow.functions.numeric import double, pround, pround_sql, text
 
 from kreditflow import constants as K
 
@@ -30,41 +30,46 @@ def fmt_pct(v: Column) -> Column:
     return F.format_string("%.1f", pround(v * F.lit(100), 1))
 
 
-FORMATTERS = {"1f": fmt_1f, "0f": fmt_0f, "comma": fmt_comma, "pct": fmt_pct}
+FORMATS = {
+    "1f": lambda v: f"format_string('%.1f', {pround_sql(v, 1)})",
+    "0f": lambda v: f"format_string('%.0f', {pround_sql(v, 0)})",
+    "comma": lambda v: f"format_number({pround_sql(v, 0)}, 0)",
+    "pct": lambda v: f"format_string('%.1f', {pround_sql(f'{v} * 100D', 1)})",
+}
 
 
-def _filled(template: str, kind: str, value: Column) -> Column:
+def _filled(template: str, kind: str, value: str) -> str:
     """A template with its number; templates without one are plain text."""
     if "{v}" not in template:
-        return F.lit(template)
+        return text(template)
     before, after = template.split("{v}", 1)
-    return F.concat(F.lit(before), FORMATTERS[kind](value), F.lit(after))
+    return f"concat({text(before)}, {FORMATS[kind](value)}, {text(after)})"
 
 
-def note(feature: str, shap: Column, value: Column) -> Column:
-    """SCL-21: note of one feature, whose templates and number format are known while the plan is built.
+def note_sql(feature: str, shap: str, value: str) -> str:
+    """SCL-21: note of one feature as SQL text; its templates and number format are known while the plan is built.
 
     Special cases: employment of zero years, utilisation pressure below 0.30 on
     the negative side, a neutral note for zero attribution, and a generic note
     when a value that the template needs is missing.
     """
     if feature not in K.NOTE_FORMATS:
-        pos, neg = F.lit(f"{feature} contributed positively"), F.lit(f"{feature} raised concern")
+        pos, neg = text(f"{feature} contributed positively"), text(f"{feature} raised concern")
     else:
         kind = K.NOTE_FORMATS[feature]
         pos = _filled(K.POSITIVE_TEMPLATES[feature], kind, value)
         neg = _filled(K.NEGATIVE_TEMPLATES[feature], kind, value)
         special = feature in ("emp_length", "credit_utilization_pressure")
         if feature == "emp_length":
-            pos = F.when(value == 0, F.lit(K.EMP_ZERO_POSITIVE)).otherwise(pos)
-            neg = F.when(value == 0, F.lit(K.EMP_ZERO_NEGATIVE)).otherwise(neg)
+            pos = f"CASE WHEN {value} = 0 THEN {text(K.EMP_ZERO_POSITIVE)} ELSE {pos} END"
+            neg = f"CASE WHEN {value} = 0 THEN {text(K.EMP_ZERO_NEGATIVE)} ELSE {neg} END"
         if feature == "credit_utilization_pressure":
-            neg = F.when(value < K.PRESSURE_SPLIT, _filled(K.PRESSURE_MANAGEABLE, kind, value)).otherwise(neg)
+            neg = f"CASE WHEN {value} < {double(K.PRESSURE_SPLIT)} THEN {_filled(K.PRESSURE_MANAGEABLE, kind, value)} ELSE {neg} END"
         if special or "{v}" in K.POSITIVE_TEMPLATES[feature]:
-            pos = F.when(value.isNull(), F.lit(f"{feature} contributed positively")).otherwise(pos)
+            pos = f"CASE WHEN {value} IS NULL THEN {text(f'{feature} contributed positively')} ELSE {pos} END"
         if special or "{v}" in K.NEGATIVE_TEMPLATES[feature]:
-            neg = F.when(value.isNull(), F.lit(f"{feature} contributed negatively")).otherwise(neg)
-    return F.when(shap > 0, pos).when(shap < 0, neg).otherwise(F.lit(f"{feature} had negligible impact"))
+            neg = f"CASE WHEN {value} IS NULL THEN {text(f'{feature} contributed negatively')} ELSE {neg} END"
+    return f"CASE WHEN {shap} > 0 THEN {pos} WHEN {shap} < 0 THEN {neg} ELSE {text(f'{feature} had negligible impact')} END"
 
 
 def min_plan(decision: Column, repay_prob: Column) -> Column:

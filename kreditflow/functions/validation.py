@@ -7,72 +7,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kreditflow import constants as K
+from kreditflow.functions.numeric import text
 
 
-def py_float_text(v: Column) -> Column:
+def py_float_text(v: str) -> str:
     """Text of a double the way Python prints a float (``250.0``, ``12.5``)."""
-    integral = (v == F.floor(v)) & (F.abs(v) < F.lit(1e16))
-    return F.when(integral, F.concat(F.floor(v).cast("bigint").cast("string"), F.lit(".0"))).otherwise(v.cast("string"))
+    return f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1E16D THEN concat(CAST(CAST(floor({v}) AS BIGINT) AS STRING), '.0') ELSE CAST({v} AS STRING) END"
 
 
-def _numeric(df: DataFrame, field: str) -> tuple[Column, Column]:
-    """(value as double, bad-number flag) for a numeric or text column."""
-    dtype = df.schema[field].dataType
-    c = F.col(field)
-    if isinstance(dtype, T.StringType):
-        v = F.expr(f"try_cast(trim(`{field}`) AS DOUBLE)")
-        return v, c.isNotNull() & v.isNull()
-    return c.cast("double"), F.lit(False)
+def _numeric(df: DataFrame, field: str) -> tuple[str, str | None]:
+    """(value as double, bad-number flag) for a numeric or text column; a number is never bad."""
+    if isinstance(df.schema[field].dataType, T.StringType):
+        v = f"try_cast(trim(`{field}`) AS DOUBLE)"
+        return v, f"(`{field}` IS NOT NULL AND {v} IS NULL)"
+    return f"CAST(`{field}` AS DOUBLE)", None
 
 
 def validation_errors(df: DataFrame) -> Column:
     """All rule violations in rule order: presence, ranges, categories."""
-    msgs: list[Column] = []
+    msgs: list[str] = []
     for f in K.REQUIRED_FIELDS:
-        if f in df.columns:
-            msgs.append(F.when(F.col(f).isNull(), F.lit(f"Missing required field: {f}")))
-        else:
-            msgs.append(F.lit(f"Missing required field: {f}"))
+        missing = text(f"Missing required field: {f}")
+        msgs.append(f"CASE WHEN `{f}` IS NULL THEN {missing} END" if f in df.columns else missing)
     for f, (lo, hi) in K.VALID_RANGES.items():
         if f not in df.columns:
             continue
         v, bad = _numeric(df, f)
-        msgs.append(
-            F.when(bad, F.concat(F.lit(f"{f} must be a number, got: "), F.col(f).cast("string"))).when(
-                (v < lo) | (v > hi),
-                F.concat(F.lit(f"{f} value "), py_float_text(v), F.lit(f" is outside valid range [{lo}, {hi}]")),
-            )
-        )
+        not_number = f"WHEN {bad} THEN concat({text(f'{f} must be a number, got: ')}, CAST(`{f}` AS STRING)) " if bad else ""
+        msgs.append(f"CASE {not_number}WHEN {v} < {lo} OR {v} > {hi} THEN concat({text(f'{f} value ')}, {py_float_text(v)}, {text(f' is outside valid range [{lo}, {hi}]')}) END")
     for f, allowed in K.VALID_CATEGORIES.items():
         if f not in df.columns:
             continue
         listing = "[" + ", ".join(f"'{a}'" for a in allowed) + "]"
-        msgs.append(
-            F.when(
-                F.col(f).isNotNull() & ~F.upper(F.col(f).cast("string")).isin(*allowed),
-                F.concat(F.lit(f"{f} must be one of {listing}, got: "), F.col(f).cast("string")),
-            )
-        )
-    return F.array_compact(F.array(*msgs))
+        known = ", ".join(text(a) for a in allowed)
+        msgs.append(f"CASE WHEN `{f}` IS NOT NULL AND upper(CAST(`{f}` AS STRING)) NOT IN ({known}) THEN concat({text(f'{f} must be one of {listing}, got: ')}, CAST(`{f}` AS STRING)) END")
+    return F.expr(f"array_compact(array({', '.join(msgs)}))")
 
 
 def is_valid(df: DataFrame) -> Column:
     """Same rules as ``validation_errors`` as one boolean (no message text),
     cheap enough to sit in pushed-down filters."""
-    conds: list[Column] = []
+    conds: list[str] = []
     for f in K.REQUIRED_FIELDS:
         if f not in df.columns:
             return F.lit(False)
-        conds.append(F.col(f).isNotNull())
+        conds.append(f"`{f}` IS NOT NULL")
     for f, (lo, hi) in K.VALID_RANGES.items():
         v, bad = _numeric(df, f)
-        conds.append(~bad & (v >= lo) & (v <= hi))
+        conds.append((f"NOT {bad} AND " if bad else "") + f"{v} >= {lo} AND {v} <= {hi}")
     for f, allowed in K.VALID_CATEGORIES.items():
-        conds.append(F.upper(F.col(f).cast("string")).isin(*allowed))
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return F.coalesce(out, F.lit(False))
+        conds.append(f"upper(CAST(`{f}` AS STRING)) IN ({', '.join(text(a) for a in allowed)})")
+    return F.expr(f"coalesce({' AND '.join(conds)}, false)")
 
 
 def with_validation(df: DataFrame) -> DataFrame:

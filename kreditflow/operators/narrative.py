@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import computed_once, let, pround
+from kreditflow.functions.numeric import computed_once, given, pround, pround_sql, text
 
 from kreditflow import constants as K
-from kreditflow.functions.text import note
+from kreditflow.functions.text import note_sql
 
 
 def to_pct(logit: Column) -> Column:
@@ -26,14 +26,28 @@ def sorted_terms(attr: Column) -> Column:
     """SRT-03: terms by |shap| descending, ties in model feature order, each with its note.
 
     ``attr`` holds one term per model feature in model order, so each feature's
-    note is a static expression outside any lambda; the sort needs no comparator.
+    note is a static expression; the sort needs no comparator.
     """
     terms = []
     for i, f in enumerate(K.ALL_FEATURES):
-        x = F.get(attr, i)
-        shap, value = x["shap"], x["value"]
-        terms.append(F.struct((-F.abs(shap)).alias("order"), F.lit(i).alias("idx"), F.lit(f).alias("feature"), shap.alias("shap"), value.alias("value"), note(f, shap, value).alias("note")))
-    return F.sort_array(F.array(*terms))
+        shap, value = f"get(a, {i}).shap", f"get(a, {i}).value"
+        terms.append(f"named_struct('order', -abs({shap}), 'idx', {i}, 'feature', {text(f)}, 'shap', {shap}, 'value', {value}, 'note', {note_sql(f, shap, value)})")
+    return given(attr, f"a -> sort_array(array({', '.join(terms)}))")
+
+
+#: Running log-odds after 0, 1, ... terms of ``s.t``, as percentages; then a struct for each term.
+_STEPS = f"""s -> get(transform(array(transform(
+  aggregate(s.t, array(s.b), (acc, x) -> concat(acc, array(element_at(acc, -1) + x.shap))),
+  l -> least(1D, greatest(0D, 1D / (1D + exp(-l)))) * 100D)),
+  pct -> transform(s.t, (x, i) -> named_struct(
+    'step', i + 1,
+    'feature', x.feature,
+    'shap', {pround_sql('x.shap', 4)},
+    'impact_pct', {pround_sql('get(pct, i + 1) - get(pct, i)', 2)},
+    'running_prob', {pround_sql('get(pct, i + 1)', 2)},
+    'direction', CASE WHEN x.shap > 0 THEN 'positive' WHEN x.shap < 0 THEN 'negative' ELSE 'neutral' END,
+    'note', x.note,
+    'value', {pround_sql('x.value', 4)}))), 0)"""
 
 
 def narrative(attr: Column, base_logit: Column) -> Column:
@@ -43,25 +57,7 @@ def narrative(attr: Column, base_logit: Column) -> Column:
     Only the running log-odds are folded; the sorted terms and the fold are
     each bound once, so their expressions appear once in the plan.
     """
-
-    def steps(terms: Column) -> Column:
-        zero = F.array(base_logit.cast("double"))
-        run = F.aggregate(terms, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["shap"])))
-        return let(F.transform(run, to_pct), lambda pct: F.transform(terms, lambda x, i: step(x, i, F.get(pct, i), F.get(pct, i + 1))))
-
-    def step(x: Column, i: Column, before: Column, after: Column) -> Column:
-        return F.struct(
-            (i + 1).alias("step"),
-            x["feature"].alias("feature"),
-            pround(x["shap"], 4).alias("shap"),
-            pround(after - before, 2).alias("impact_pct"),
-            pround(after, 2).alias("running_prob"),
-            F.when(x["shap"] > 0, F.lit("positive")).when(x["shap"] < 0, F.lit("negative")).otherwise(F.lit("neutral")).alias("direction"),
-            x["note"].alias("note"),
-            pround(x["value"], 4).alias("value"),
-        )
-
-    return let(sorted_terms(attr), steps)
+    return given(F.struct(sorted_terms(attr).alias("t"), base_logit.cast("double").alias("b")), _STEPS)
 
 
 def add_narrative(df: DataFrame, attr_col: str, base_logit: Column, out_col: str = "narrative", when: Column | None = None) -> DataFrame:
@@ -75,7 +71,10 @@ def final_confidence(attr: Column, base_logit: Column) -> Column:
     return pround(to_pct(F.aggregate(attr, base_logit, lambda acc, x: acc + x["shap"])), 2)
 
 
+_REASONS = f"""t -> slice(concat(slice(transform(filter(t, s -> s.shap < 0), s -> s.note), 1, 3),
+  array_repeat({text(K.DEFAULT_DECLINE_REASON)}, 3)), 1, 3)"""
+
+
 def decline_reasons(attr: Column) -> Column:
     """DEC-04 / WIN-03: first three negative notes, padded with the default; only the sorted terms are needed."""
-    neg = F.transform(F.filter(sorted_terms(attr), lambda s: s["shap"] < 0), lambda s: s["note"])
-    return F.slice(F.concat(F.slice(neg, 1, 3), F.array_repeat(F.lit(K.DEFAULT_DECLINE_REASON), 3)), 1, 3)
+    return given(sorted_terms(attr), _REASONS)
