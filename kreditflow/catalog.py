@@ -225,7 +225,7 @@ def dec_04_decline_reasons(spark, sf):
 @register("dec_05_budget", O.DEC + "SELECT t.loan_id, t.pool_id, t.trial_amount, b.budget_status, b.budget_remaining FROM t3 t JOIN budget b ON t.loan_id = b.loan_id")
 def dec_05_budget(spark, sf):
     rows = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") == 3)
-    out = B.approve_in_order(rows.select("loan_id", "pool_id", "decided_at", "trial_amount"))
+    out = B.approve_in_order(rows.select("pool_id", *D.ARRIVAL, "trial_amount"), order_cols=D.ARRIVAL)
     return out.select("loan_id", "pool_id", "trial_amount", "budget_status", "budget_remaining")
 
 
@@ -240,7 +240,7 @@ def dec_05_budget_messages(spark, sf):
 @register("agg_30_budget_status", O.DEC + "SELECT t.pool_id, 10000e0 AS total_budget, round(sum(CASE WHEN b.budget_status = 'APPROVED' THEN t.trial_amount ELSE 0e0 END), 2) AS amount_deployed, round(10000e0 - sum(CASE WHEN b.budget_status = 'APPROVED' THEN t.trial_amount ELSE 0e0 END), 2) AS remaining, count(*) FILTER (WHERE b.budget_status = 'APPROVED') AS approved, count(*) FILTER (WHERE b.budget_status <> 'APPROVED') AS waitlisted FROM t3 t JOIN budget b ON t.loan_id = b.loan_id GROUP BY t.pool_id")
 def agg_30_budget_status(spark, sf):
     rows = PD.surrogate_decision_rows(spark, sf).filter(F.col("tier") == 3)
-    out = B.approve_in_order(rows.select("loan_id", "pool_id", "decided_at", "trial_amount"))
+    out = B.approve_in_order(rows.select("pool_id", *D.ARRIVAL, "trial_amount"), order_cols=D.ARRIVAL)
     return B.status_from_requests(out)
 
 
@@ -774,40 +774,53 @@ def str_01_stream_decisions(spark, sf):
 def budget_events(spark, sf) -> DataFrame:
     """Tier-3 requests, and repayments and defaults of the trial loans that were approved, at the end of their term."""
     dec = PD.surrogate_decisions(spark, sf).filter(F.col("tier") == 3)
-    req = dec.select("pool_id", F.col("loan_id").alias("seq"), F.col("decided_at").alias("ts"), F.lit("REQUEST").alias("event_type"),
-                     F.col("applicant_id"), F.col("trial_amount").alias("amount"))
-    res = outcomes_frame(spark, sf).filter(F.col("tier") == 3).select(
-        "pool_id", F.col("applicant_id").cast("long").alias("seq"), F.col("resolved_at").alias("ts"),
-        F.when(F.col("outcome") == "REPAID", F.lit("REPAYMENT")).otherwise(F.lit("DEFAULT")).alias("event_type"), "applicant_id", "amount")
-    return req.unionByName(res)
+    dec = D.store(dec.select("pool_id", "loan_id", "decided_at", "applicant_id", "trial_amount", "decision", "loan_status"), "trial_loans")
+    own = [F.col("loan_id").alias("seq"), "applicant_id", F.col("trial_amount").alias("amount")]
+    req = dec.select("pool_id", F.col("decided_at").alias("ts"), F.lit("REQUEST").alias("event_type"), *own)
+    settled = dec.filter((F.col("decision") == "APPROVED") & F.col("loan_status").isin(*K.KNOWN_STATUSES)).select(
+        "pool_id", F.add_months("decided_at", 6).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("loan_status") == K.REPAID_STATUS, F.lit("REPAYMENT")).otherwise(F.lit("DEFAULT")).alias("event_type"), *own)
+    return req.unionByName(settled).select(*[f.name for f in B.EVENT_SCHEMA.fields])
 
 
-@register("dec_06_07_budget_fold", None)
+def reset_events(events: DataFrame) -> DataFrame:
+    """DEC-13: at the start of each year of requests a pool's budget is set anew, to 100 for every request of that year."""
+    asked = events.filter(F.col("event_type") == "REQUEST").groupBy("pool_id", F.year("ts").cast("long").alias("_y")).agg((F.count("*") * 100.0).alias("amount"))
+    start = F.make_date(F.col("_y").cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+    return asked.select("pool_id", (-F.col("_y")).alias("seq"), start.alias("ts"), F.lit("RESET").alias("event_type"), F.lit(None).cast("string").alias("applicant_id"), "amount")
+
+
+@register("dec_06_07_budget_fold", O.fold_sql(False) + O.FOLDED)
 def dec_06_07_budget_fold(spark, sf):
     """DEC-06/07: ordered fold of requests, repayments (waitlist sweeps) and defaults per pool."""
     return B.fold_events(budget_events(spark, sf))
 
 
-@register("agg_30_budget_status_fold", None)
+@register("dec_13_budget_resets", O.fold_sql(True) + O.FOLDED)
+def dec_13_budget_resets(spark, sf):
+    """DEC-06/07/13: the same with yearly resets to tight budgets, so that requests wait and sweeps approve them."""
+    events = D.store(budget_events(spark, sf), "budget_events")
+    return B.fold_events(events.unionByName(reset_events(events)))
+
+
+@register("agg_30_budget_status_fold", O.fold_sql(True) + O.FOLD_STATUS)
 def agg_30_budget_status_fold(spark, sf):
-    return B.status_from_fold(B.fold_events(budget_events(spark, sf)))
+    events = D.store(budget_events(spark, sf), "budget_events")
+    return B.status_from_fold(B.fold_events(events.unionByName(reset_events(events))))
 
 
-@register("str_02_stream_budget", None)
+@register("str_02_stream_budget", O.fold_sql(True) + O.FOLDED)
 def str_02_stream_budget(spark, sf):
-    """STR-02: the same fold as a stateful stream (one micro-batch per event file)."""
+    """STR-02: the same fold as a stateful stream, triggered for each year of events as it is staged."""
     from kreditflow.streaming import decisions as SD
 
-    src = scratch_path(spark, "budget_events")
-    ev = budget_events(spark, sf).withColumn("_y", F.year("ts"))
-    for (y,) in ev.select("_y").distinct().orderBy("_y").collect():
-        ev.filter(F.col("_y") == y).drop("_y").coalesce(1).write.mode("overwrite").parquet(f"{src}/y={y}")
-    stream = spark.readStream.schema(B.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    out = scratch_path(spark, "budget_stream_out")
-    q = (SD.stream_budget(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "budget_stream_ckpt")).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.schema(B.FOLD_SCHEMA).parquet(out)
+    src, out, ckpt = (scratch_path(spark, f"budget_{n}") for n in ("source", "out", "checkpoint"))
+    events = D.store(budget_events(spark, sf), "budget_events")
+    events = D.store(events.unionByName(reset_events(events)).withColumn("_y", F.year("ts")), "budget_staged")
+    for (y,) in events.select("_y").distinct().orderBy("_y").collect():  # a handful of years
+        events.filter(F.col("_y") == y).drop("_y").write.mode("append").parquet(src)
+        folded = SD.run_budget_stream(spark, src, out, ckpt)
+    return folded
 
 
 @register("str_03_windowed_approval", LOG_SQL + """, d AS (SELECT CAST(decided_at AS TIMESTAMP) AS ts, CAST(decision = 'APPROVED' AS INTEGER) AS ok FROM logged),

@@ -19,10 +19,17 @@ are its first requests: a waiting one does not fit, the budget only falls until
 a repayment, and a sweep serves equal amounts in order of arrival, so a later
 equal request never overtakes.  Each approval spends its amount, so at most
 (start budget + all repayments) / amount requests of an amount can ever be
-approved, which is a property of the data and not a cap.  Requests are ranked by
-bucketed prefix counts; only those within that bound are folded in order with
-the repayments, and all others are known to wait: their rows take the fold's
-state as of their arrival, again by prefix operations over buckets.
+approved, which is a property of the data and not a cap.
+
+So the fold is taken apart.  Defaults touch nothing but their own total, which
+is a prefix sum.  Every (pool, period between resets) is a group of its own.  In
+it, requests are ranked by bucketed prefix counts; only those within the bound
+above are folded in order with the repayments.  A group is folded in ranges of
+RANGE_EVENTS: a round folds one range of every group, each in a task, and hands
+on the totals and, for each amount, how many of its requests are approved.  The
+next round reads of the earlier requests only those that the money of its own
+range can reach, by their rank.  All other requests are known to wait: their
+rows take the fold's state as of their arrival, again by prefix operations.
 """
 
 from __future__ import annotations
@@ -50,7 +57,9 @@ def approve_in_order(
     initial_spent: DataFrame | None = None,
 ) -> DataFrame:
     """DEC-05: adds ``budget_status`` (APPROVED / WAITLISTED) and
-    ``budget_remaining`` (after the request if approved, as found if not)."""
+    ``budget_remaining`` (after the request if approved, as found if not).
+
+    ``order_cols`` must tell all rows of a pool apart."""
     order = list(order_cols)
     pos = F.struct(*[F.col(c) for c in order])
     rows = range_buckets(requests, [pool_col], order).withColumn("_pos", pos)
@@ -153,9 +162,9 @@ FOLD_SCHEMA = T.StructType(
 
 
 class PoolState:
-    """Budget state of one pool (the fold's accumulator)."""
+    """Budget state of one pool (the fold's accumulator), by the rule as it is told."""
 
-    __slots__ = ("total", "deployed", "repaid", "defaulted", "waiting", "size", "arrivals", "approved")
+    __slots__ = ("total", "deployed", "repaid", "defaulted", "waiting", "size", "arrivals", "approvals")
 
     def __init__(self, total: float = K.DEFAULT_POOL_BUDGET):
         self.reset(total)
@@ -163,7 +172,8 @@ class PoolState:
     def reset(self, total: float) -> None:
         self.total, self.deployed, self.repaid, self.defaulted = float(total), 0.0, 0.0, 0.0
         self.waiting: dict[float, deque] = {}  # amount -> (arrival, event) in order
-        self.size = self.arrivals = self.approved = 0
+        self.approvals: dict[float, int] = {}  # amount -> how many
+        self.size = self.arrivals = 0
 
     @property
     def remaining(self) -> float:
@@ -174,9 +184,18 @@ class PoolState:
         self.arrivals += 1
         self.size += 1
 
-    def waitlist(self) -> list[dict]:
-        """Waiting requests in order of arrival."""
-        return [ev for _, ev in sorted((x for q in self.waiting.values() for x in q), key=lambda x: x[0])]
+    def heads(self) -> list[tuple[int, float]]:
+        """(arrival, amount) of the first waiting request of each amount."""
+        return [(q[0][0], a) for a, q in self.waiting.items() if q]
+
+    def pop(self, amount: float) -> dict:
+        """The first waiting request of an amount leaves the waitlist."""
+        self.size -= 1
+        return self.waiting[amount].popleft()[1]
+
+    def approve(self, amount: float) -> None:
+        self.deployed += amount
+        self.approvals[amount] = self.approvals.get(amount, 0) + 1
 
     def apply(self, ev: dict) -> list[dict]:
         """Apply one event; returns output rows (the event, plus any waitlist
@@ -185,8 +204,7 @@ class PoolState:
         out = []
         if kind == "REQUEST":
             if self.remaining >= amt:
-                self.deployed += amt
-                self.approved += 1
+                self.approve(amt)
                 out.append(self._row(ev, "APPROVED"))
             else:
                 self.wait(ev)
@@ -196,11 +214,10 @@ class PoolState:
             self.total += amt
             out.append(self._row(ev, "RECORDED"))
             # what doesn't fit now can't fit later in the sweep: the earliest of the first of each amount that fits is next
-            while fits := [q for a, q in self.waiting.items() if q and a <= self.remaining]:
-                _, w = min(fits, key=lambda q: q[0][0]).popleft()
-                self.size -= 1
-                self.deployed += float(w["amount"] or 0.0)
-                self.approved += 1
+            while fits := [h for h in self.heads() if h[1] <= self.remaining]:
+                first = min(fits)[1]
+                w = self.pop(first)
+                self.approve(first)
                 out.append(self._row({**w, "seq": ev["seq"], "ts": ev["ts"], "event_type": "WAITLIST_APPROVAL"}, "APPROVED"))
         elif kind == "DEFAULT":
             self.defaulted += amt
@@ -221,54 +238,121 @@ class PoolState:
         }
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows arrive sorted by (pool_id, ts, seq); the state of one pool is held at a time."""
-    pool, st = None, PoolState()
-    for pdf in batches:
-        out: list[dict] = []
-        for ev in pdf.to_dict("records"):
-            if ev["pool_id"] != pool:
-                pool, st = ev["pool_id"], PoolState()
-            out.extend({**row, "_bucket": ev["_bucket"], "_period": ev["_period"]} for row in st.apply(ev))
-        if out:
-            yield pd.DataFrame(out, columns=[*[f.name for f in FOLD_SCHEMA.fields], "_bucket", "_period"])
+#: Events of one group that a task folds before the state is handed on.
+RANGE_EVENTS = 100_000
+#: Rows of a group on the way into a round: its state, earlier requests that may be served, its events.
+STATE, WAITING, EVENT = 0, 1, 2
+HANDED = "_bucket int, _period long, _rank long, _kind int, _amounts array<double>, _approvals array<long>"
+
+
+def _fold_groups(budget: float):
+    """Rows arrive sorted by (pool_id, _period, _kind, ts, seq); the state of one group is held at a time and written at its end."""
+    fields = [f.name for f in FOLD_SCHEMA.fields]
+    names = [*fields, *(c.split()[0] for c in HANDED.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, st, out = None, PoolState(budget), []
+
+        def handed() -> dict:
+            end = {**st._row(dict.fromkeys(fields), "STATE"), "pool_id": group[0], "step": 0}
+            return {**end, "_period": group[1], "_kind": STATE, "_amounts": list(st.approvals), "_approvals": list(st.approvals.values())}
+
+        for pdf in batches:
+            for ev in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+                if (ev["pool_id"], ev["_period"]) != group:
+                    if group is not None:
+                        out.append(handed())
+                    group, st = (ev["pool_id"], ev["_period"]), PoolState(budget)
+                if ev["_kind"] == STATE:
+                    st.total, st.deployed, st.repaid, st.size = ev["total_budget"], ev["amount_deployed"], ev["amount_repaid"], ev["waitlist_size"]
+                    st.approvals = dict(zip(ev["_amounts"], ev["_approvals"], strict=True))
+                elif ev["_kind"] == WAITING:
+                    st.wait(ev)
+                    st.size -= 1  # the state has counted it
+                else:
+                    out.extend({**row, "_bucket": ev["_bucket"], "_period": ev["_period"], "_kind": EVENT, "_amounts": None, "_approvals": None} for row in st.apply(ev))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if group is not None:
+            yield pd.DataFrame([handed()], columns=names)
+
+    return run
+
+
+def _fold_ranges(kept: DataFrame, budget: float) -> DataFrame:
+    """Folded rows of the events ``kept`` (with _rank and _range in their group), a range of every group in each round."""
+    group, order = ["pool_id", "_period"], ["ts", "seq"]
+    last = kept.agg(F.max("_range")).first()[0]  # one number
+    kind = T.StructType([*FOLD_SCHEMA.fields, *T.StructType.fromDDL(HANDED).fields])
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in kind.fields}
+    shaped = lambda df, k: df.select(*[F.lit(k).alias(n) if n == "_kind" else F.col(n) if n in df.columns else c.alias(n) for n, c in empty.items()])
+    done, state = [], None
+    for at in range((last or 0) + 1):
+        now = kept.filter(F.col("_range") == at)
+        rows = shaped(now, EVENT)
+        if state is not None:
+            money = now.groupBy(*group).agg(F.sum(F.when(F.col("event_type") == "REPAYMENT", F.coalesce("amount", F.lit(0.0))).otherwise(0.0)).alias("_money"))
+            state = state.join(money, group)
+            reach = state.select(*group, (F.col("remaining") + F.col("_money")).alias("_reach"), "_amounts", "_approvals")
+            early = kept.filter((F.col("_range") < at) & (F.col("event_type") == "REQUEST")).join(reach, group)
+            # requests of the amount that are approved so far come first
+            served = F.coalesce(F.get("_approvals", (F.array_position("_amounts", F.col("_value")) - 1).cast("int")), F.lit(0))
+            early = early.filter((F.col("_rank") > served) & ((F.col("_rank") - served) * F.col("_value") <= F.col("_reach")))
+            rows = rows.unionByName(shaped(state, STATE)).unionByName(shaped(early.drop("_amounts", "_approvals"), WAITING))
+        folded = rows.repartition(*group).sortWithinPartitions(*group, "_kind", *order).mapInPandas(_fold_groups(budget), kind).checkpoint(eager=True)
+        done.append(folded.filter(F.col("_kind") == EVENT))
+        state = folded.filter(F.col("_kind") == STATE)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
-def fold_events(events: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
+def fold_events(events: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET, range_events: int = RANGE_EVENTS) -> DataFrame:
     """DEC-06 / DEC-07 / DEC-13: REQUEST, REPAYMENT, DEFAULT and RESET events in order per pool."""
-    order, state = ["ts", "seq"], ["total_budget", "amount_deployed", "amount_repaid", "amount_defaulted", "remaining", "waitlist_size"]
+    order, state = ["ts", "seq"], ["total_budget", "amount_deployed", "amount_repaid", "remaining", "waitlist_size"]
+    group, value = ["pool_id", "_period"], F.coalesce("amount", F.lit(0.0))
     ev = events.select(*[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA.fields])
     rows = range_buckets(ev, ["pool_id"], order)
     is_kind = lambda k: (F.col("event_type") == k).cast("long")
-    rows = prefix_sum(rows.withColumn("_reset", is_kind("RESET")), ["pool_id"], order, "_reset", "_period").drop("_reset")
+    rows = prefix_sum(rows.withColumn("_reset", is_kind("RESET")), ["pool_id"], order, "_reset", "_period").drop("_reset").withColumn("_value", value)
     # what each period can spend: its start and all repayments
-    value = F.coalesce("amount", F.lit(0.0))
-    start = F.when(F.col("_period") == 0, F.lit(budget)).otherwise(F.max(F.when(F.col("event_type") == "RESET", value)))
-    pots = rows.groupBy("pool_id", "_period").agg((start + F.sum(F.when(F.col("event_type") == "REPAYMENT", value).otherwise(0.0))).alias("_pot"))
-    asked = rows.filter(F.col("event_type") == "REQUEST").withColumns({"_one": F.lit(1), "_value": value})
-    asked = prefix_sum(asked, ["pool_id", "_period", "_value"], order, "_one", "_rank").join(pots, ["pool_id", "_period"])
-    asked = asked.withColumn("_may", F.col("_rank") * F.col("_value") <= F.col("_pot")).select(*rows.columns, "_may").checkpoint(eager=True)
-
-    chosen = asked.filter("_may").drop("_may").unionByName(rows.filter(F.col("event_type") != "REQUEST"))
-    kind = T.StructType([*FOLD_SCHEMA.fields, rows.schema[BUCKET], rows.schema["_period"]])
-    folded = chosen.repartition("pool_id").sortWithinPartitions("pool_id", *order).mapInPandas(_fold_partition, kind)
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in FOLD_SCHEMA.fields if f.name in state]
-    waiting = asked.filter(~F.col("_may")).select(*rows.columns, F.lit("WAITLISTED").alias("status"), *empty, F.lit(0).alias("step"))
-    every = folded.unionByName(waiting).withColumn("_late", F.col("total_budget").isNull().cast("long")).checkpoint(eager=True)
-
-    # the state as of each waiting row: the last one in its bucket, or of an earlier bucket
+    start = F.when(F.col("_period") == 0, F.lit(budget)).otherwise(F.max(F.when(F.col("event_type") == "RESET", F.col("_value"))))
+    pots = rows.groupBy(*group).agg((start + F.sum(F.when(F.col("event_type") == "REPAYMENT", F.col("_value")).otherwise(0.0))).alias("_pot"))
+    asked = rows.filter(F.col("event_type") == "REQUEST").withColumn("_one", F.lit(1))
+    asked = prefix_sum(asked, [*group, "_value"], order, "_one", "_rank").join(pots, group)
+    asked = asked.withColumn("_may", F.col("_rank") * F.col("_value") <= F.col("_pot")).select(*rows.columns, "_rank", "_may").checkpoint(eager=True)
+
+    moving = rows.filter(F.col("event_type").isin("REPAYMENT", "RESET")).withColumn("_rank", F.lit(None).cast("long"))
+    kept = asked.filter("_may").drop("_may").unionByName(moving).withColumn("_one", F.lit(1))
+    kept = prefix_sum(kept, group, order, "_one", "_n").withColumn("_range", F.floor((F.col("_n") - 1) / range_events).cast("int"))
+    kept = kept.select(*[f.name for f in EVENT_SCHEMA.fields], BUCKET, "_period", "_value", "_rank", "_range").checkpoint(eager=True)
+    fields = [f.name for f in FOLD_SCHEMA.fields]
+    folded = _fold_ranges(kept, budget).select(*fields, BUCKET, "_period")
+
+    # rows outside the fold
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in FOLD_SCHEMA.fields if f.name in [*state, "amount_defaulted"]]
+    outside = lambda df, status: df.select(*[f.name for f in EVENT_SCHEMA.fields], BUCKET, "_period", F.lit(status).alias("status"), *empty, F.lit(0).alias("step"))
+    every = folded.unionByName(outside(asked.filter(~F.col("_may")), "WAITLISTED")).unionByName(outside(rows.filter(F.col("event_type") == "DEFAULT"), "RECORDED"))
+    waits = F.col("total_budget").isNull() & (F.col("event_type") == "REQUEST")
+    every = every.withColumns({"_late": waits.cast("long"), "_lost": F.when(F.col("event_type") == "DEFAULT", value).otherwise(0.0)}).checkpoint(eager=True)
+
+    # the state as of each of them: the last one in its bucket, or of an earlier bucket
     place = [*order, "step"]
-    known = F.when(F.col("_late") == 0, F.struct(*state))
-    ends = every.filter(F.col("_late") == 0).groupBy("pool_id", BUCKET).agg(F.max_by(F.struct(*state), F.struct(*place)).alias("_end"))
+    known = F.when(F.col("total_budget").isNotNull(), F.struct(*state))
+    ends = every.filter(F.col("total_budget").isNotNull()).groupBy("pool_id", BUCKET).agg(F.max_by(F.struct(*state), F.struct(*place)).alias("_end"))
     every = every.join(_carried(ends, every), ["pool_id", BUCKET], "left")
     here = Window.partitionBy("pool_id", BUCKET).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumn("_state", F.coalesce(F.last(known, ignorenulls=True).over(here), F.col("_before")))
-    # requests that wait outside the fold count in the waitlist until the next reset
-    every = prefix_sum(every, ["pool_id", "_period"], place, "_late", "_extra")
+    # requests that wait outside the fold count in the waitlist, and defaults add up, until the next reset
+    every = prefix_sum(every, group, place, "_late", "_extra")
+    every = prefix_sum(every, group, place, "_lost", "_defaulted")
     fresh = {"total_budget": F.lit(budget), "remaining": F.lit(budget)}
     out = {c: F.coalesce(F.col("_state").getField(c), fresh.get(c, F.lit(0.0))) for c in state}
+    out["amount_defaulted"] = F.col("_defaulted").cast("double")
     out["waitlist_size"] = (F.coalesce(F.col("_state.waitlist_size"), F.lit(0)) + F.col("_extra")).cast("long")
-    return every.withColumns(out).select(*[f.name for f in FOLD_SCHEMA.fields])
+    return every.withColumns(out).select(*fields)
 
 
 def _carried(ends: DataFrame, every: DataFrame) -> DataFrame:

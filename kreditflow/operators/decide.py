@@ -40,6 +40,10 @@ def tier_label(t: Column) -> Column:
     return expr
 
 
+#: Number of a row, given when the core is stored: ids may be missing or repeated.
+ROW = "_row"
+#: Order in which requests meet the budget.
+ARRIVAL = ("decided_at", "loan_id", ROW)
 CORE = ["model_version", "valid", "distance_score", "tier", "repay_probability", "offer_tier", "trial_amount", "decision"]
 
 
@@ -86,7 +90,7 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
     ``attr_col`` holds the attributions on the raw log-odds scale.  Tier-3 rows
     get ``decision = 'PENDING'`` until the budget runs.
     """
-    out = store(core_columns(df, prob_col, model_version), "decision_core")
+    out = store(core_columns(df, prob_col, model_version).withColumn(ROW, F.monotonically_increasing_id()), "decision_core")
     has_model, tcol = F.col("model_version").isNotNull(), F.col("tier")
     has_offer = F.col("offer_tier").isNotNull()
     out = add_narrative(out, attr_col, base_logit, when=F.col("valid"))
@@ -113,23 +117,23 @@ def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column,
 def apply_budget(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
     """Resolve PENDING tier-3 rows through the pool budget (DEC-05).
 
-    Only the four key columns go through the budget rounds (their
-    checkpoints stay narrow and column pruning keeps working upstream); the
-    result is joined back to the tier-3 rows only, and unioned with the rest.
+    Only key columns go through the budget rounds (their checkpoints stay
+    narrow and column pruning keeps working upstream); the result is joined back
+    by row number to the tier-3 rows only, and unioned with the rest.
     """
     pending = F.col("decision") == "PENDING"
     rest = decided.filter(~pending).withColumns(
         {"budget_remaining": F.lit(None).cast("double"), "message": F.lit(None).cast("string")}
     )
     t3 = decided.filter(pending)
-    res = B.approve_in_order(t3.select("loan_id", "pool_id", "decided_at", "trial_amount"), budget=budget)
-    t3 = t3.join(res.select("loan_id", "budget_status", "budget_remaining"), "loan_id").withColumns(
+    res = B.approve_in_order(t3.select("pool_id", *ARRIVAL, "trial_amount"), budget=budget, order_cols=ARRIVAL)
+    t3 = t3.join(res.select(ROW, "budget_status", "budget_remaining"), ROW).withColumns(
         {
             "decision": F.col("budget_status"),
             "message": B.budget_message(F.col("budget_status"), F.col("trial_amount"), F.col("budget_remaining")),
         }
     ).drop("budget_status")
-    return rest.unionByName(t3)
+    return rest.unionByName(t3).drop(ROW)
 
 
 def decide(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column, model_version: Column, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:

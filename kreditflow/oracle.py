@@ -325,3 +325,45 @@ WHERE d.tier > 0"""
 
 
 RECORD = NARR + ", rec AS (" + record_sql() + ")\n"
+
+# ---------------------------------------------------------------- budget events (DEC-06/07/13)
+_TRIAL = "SELECT pool_id, loan_id AS seq, CAST(decided_at AS TIMESTAMP) AS ts, 'REQUEST' AS event_type, CAST(loan_id AS VARCHAR) AS applicant_id, trial_amount AS amount FROM dec WHERE tier = 3"
+_SETTLED = """SELECT pool_id, loan_id, CAST(CAST(decided_at AS DATE) + INTERVAL 6 MONTH AS TIMESTAMP), CASE WHEN loan_status = 'Fully Paid' THEN 'REPAYMENT' ELSE 'DEFAULT' END, CAST(loan_id AS VARCHAR), trial_amount
+  FROM dec WHERE tier = 3 AND decision = 'APPROVED' AND loan_status IN ('Fully Paid', 'Charged Off')"""
+_RESETS = """SELECT pool_id, -CAST(year(decided_at) AS BIGINT), make_timestamp(CAST(year(decided_at) AS BIGINT), 1, 1, 0, 0, 0), 'RESET', NULL, 100e0 * count(*)
+  FROM dec WHERE tier = 3 GROUP BY pool_id, year(decided_at)"""
+
+
+def fold_sql(resets: bool) -> str:
+    """The rule told event by event: a row is an event or one approval of a sweep, and carries the waitlist in order of arrival."""
+    events = " UNION ALL ".join([_TRIAL, _SETTLED, *([_RESETS] if resets else [])])
+    return DEC + f""", ev AS ({events}),
+ne AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY ts, seq) AS n FROM ev),
+told AS (
+  SELECT pool_id, CAST(0 AS BIGINT) AS n, 0 AS step, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS applicant_id,
+    CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS status, 10000e0 AS total, 0e0 AS deployed, 0e0 AS repaid, 0e0 AS defaulted, CAST([] AS STRUCT(n BIGINT, amount DOUBLE, who VARCHAR)[]) AS waiting
+  FROM (SELECT DISTINCT pool_id FROM ne)
+  UNION ALL
+  SELECT pool_id, CASE WHEN pops THEN n ELSE n + 1 END, CASE WHEN pops THEN step + 1 ELSE 0 END, CASE WHEN pops THEN seq ELSE e_seq END, CASE WHEN pops THEN ts ELSE e_ts END,
+    CASE WHEN pops THEN 'WAITLIST_APPROVAL' ELSE e_type END, CASE WHEN pops THEN fit.who ELSE e_who END, CASE WHEN pops THEN fit.amount ELSE e_amount END,
+    CASE WHEN pops THEN 'APPROVED' WHEN e_type = 'REQUEST' THEN (CASE WHEN total - deployed >= e_amount THEN 'APPROVED' ELSE 'WAITLISTED' END) WHEN e_type = 'RESET' THEN 'RESET' ELSE 'RECORDED' END,
+    CASE WHEN pops THEN total WHEN e_type = 'RESET' THEN e_amount WHEN e_type = 'REPAYMENT' THEN total + e_amount ELSE total END,
+    CASE WHEN pops THEN deployed + fit.amount WHEN e_type = 'RESET' THEN 0e0 WHEN e_type = 'REQUEST' AND total - deployed >= e_amount THEN deployed + e_amount ELSE deployed END,
+    CASE WHEN pops THEN repaid WHEN e_type = 'RESET' THEN 0e0 WHEN e_type = 'REPAYMENT' THEN repaid + e_amount ELSE repaid END,
+    CASE WHEN pops THEN defaulted WHEN e_type = 'RESET' THEN 0e0 WHEN e_type = 'DEFAULT' THEN defaulted + e_amount ELSE defaulted END,
+    CASE WHEN pops THEN list_filter(waiting, lambda w : w.n <> fit.n) WHEN e_type = 'RESET' THEN []
+      WHEN e_type = 'REQUEST' AND total - deployed < e_amount THEN list_append(waiting, struct_pack(n := n + 1, amount := e_amount, who := e_who)) ELSE waiting END
+  FROM (SELECT t.*, e.seq AS e_seq, e.ts AS e_ts, e.event_type AS e_type, e.applicant_id AS e_who, e.amount AS e_amount, e.n AS e_n, t.fit IS NOT NULL AS pops
+        FROM (SELECT *, CASE WHEN event_type IN ('REPAYMENT', 'WAITLIST_APPROVAL') THEN list_filter(waiting, lambda w : w.amount <= total - deployed)[1] END AS fit FROM told) t
+        LEFT JOIN ne e ON e.pool_id = t.pool_id AND e.n = t.n + 1) x
+  WHERE pops OR e_n IS NOT NULL),
+folded AS (SELECT pool_id, seq, ts, event_type, applicant_id, amount, status, total AS total_budget, deployed AS amount_deployed, repaid AS amount_repaid, defaulted AS amount_defaulted,
+  total - deployed AS remaining, CAST(len(waiting) AS BIGINT) AS waitlist_size, step, n FROM told WHERE n > 0)
+"""
+
+
+FOLDED = "SELECT * EXCLUDE (n) FROM folded"
+FOLD_STATUS = """, closing AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY n DESC, step DESC) AS back FROM folded),
+won AS (SELECT pool_id, count(*) FILTER (WHERE status = 'APPROVED') AS approved FROM folded GROUP BY pool_id)
+SELECT pool_id, total_budget, amount_deployed, remaining, amount_repaid, CASE WHEN amount_repaid + amount_defaulted > 0 THEN round(amount_repaid / (amount_repaid + amount_defaulted), 4) END AS repay_rate,
+  amount_defaulted, approved, waitlist_size AS waitlisted FROM closing JOIN won USING (pool_id) WHERE back = 1"""

@@ -7,20 +7,21 @@ STR-01  applications arrive as files; each micro-batch is decided and
         driver loss does not duplicate decisions.  The pool budget carries
         across batches through a small per-pool state table, committed first.
 STR-02  the budget fold as a stateful operator per pool
-        (``applyInPandasWithState``), events ordered by (ts, seq) in a batch.
+        (``transformWithStateInPandas``) whose waitlist lies in the state store,
+        entry by entry; events ordered by (ts, seq) in a batch.
 STR-03  approval rate per sliding 7-day window with a watermark.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kreditflow import constants as K
 from kreditflow.functions.numeric import pround
@@ -52,15 +53,15 @@ def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: V
         newest = max(v for v, _ in state._committed(batch_id - 1))
         spent = old.filter(F.col("commit_version") == newest).select("pool_id", F.col("spent").alias("_spent0"))
     t3 = rows.filter(pending)
-    res = B.approve_in_order(t3.select("loan_id", "pool_id", "decided_at", "trial_amount"), budget=budget, initial_spent=spent)
-    last = res.groupBy("pool_id").agg(F.max_by(F.lit(budget) - F.col("budget_remaining"), F.struct("decided_at", "loan_id")).alias("spent"))
+    res = B.approve_in_order(t3.select("pool_id", *D.ARRIVAL, "trial_amount"), budget=budget, order_cols=D.ARRIVAL, initial_spent=spent)
+    last = res.groupBy("pool_id").agg(F.max_by(F.lit(budget) - F.col("budget_remaining"), F.struct(*D.ARRIVAL)).alias("spent"))
     if spent is not None:
         carried = spent.join(last.select("pool_id"), "pool_id", "left_anti").select("pool_id", F.col("_spent0").alias("spent"))
         last = last.unionByName(carried)
     # state first: a crash between the two commits replays the batch, which then finds the spending of the
     # batches before it again and writes the same decisions
     state.append(last, operation="STREAMING UPDATE", version=batch_id)
-    t3 = t3.join(res.select("loan_id", "budget_status", "budget_remaining"), "loan_id").withColumn("decision", F.col("budget_status")).drop("budget_status")
+    t3 = t3.join(res.select(D.ROW, "budget_status", "budget_remaining"), D.ROW).withColumn("decision", F.col("budget_status")).drop("budget_status")
     dec = rows.filter(~pending).withColumn("budget_remaining", F.lit(None).cast("double")).unionByName(t3)
     log.append(D.decision_record(dec, extra=["pool_id"]), operation="STREAMING UPDATE", version=batch_id)
 
@@ -85,41 +86,118 @@ def stream_decisions(spark: SparkSession, source: str, schema: T.StructType, log
 
 # --------------------------------------------------------------------- STR-02
 
-STATE_SCHEMA = "total double, deployed double, repaid double, defaulted double, waitlist string"
 
-
-def _budget_state_fn(key, pdfs: Iterator[pd.DataFrame], state):
-    st = B.PoolState()
-    if state.exists:
-        total, deployed, repaid, defaulted, wl = state.get
-        st.total, st.deployed, st.repaid, st.defaulted = total, deployed, repaid, defaulted
-        for ev in json.loads(wl, object_hook=_revive):
-            st.wait(ev)
-    rows = []
-    batch = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
-    if len(batch):
-        batch = batch.sort_values(["ts", "seq"])
-        for ev in batch.to_dict("records"):
-            rows.extend(st.apply(ev))
-    state.update((st.total, st.deployed, st.repaid, st.defaulted, json.dumps(st.waitlist(), default=str)))
-    if rows:
-        yield pd.DataFrame(rows, columns=[f.name for f in B.FOLD_SCHEMA.fields])
-
-
-def _revive(d):
-    if "ts" in d and isinstance(d["ts"], str):
-        d["ts"] = pd.Timestamp(d["ts"])
-    return d
+class StoredState(B.PoolState):
+    """A pool's state whose waitlist lies in the state store: a batch reads and writes only the requests that it serves or adds."""
+
+    __slots__ = ("queues", "stored", "ends", "first")
+
+    def __init__(self, queues, stored):
+        self.queues, self.stored = queues, stored
+        self.ends: dict[float, list[int]] = {}  # amount -> [first waiting place, next place]
+        self.first: dict[float, int] = {}  # amount -> arrival of its first waiting request
+        super().__init__()
+
+    def reset(self, total: float) -> None:
+        super().reset(total)
+        for amount, (head, tail) in self.ends.items():
+            for place in range(head, tail):
+                self.stored.removeKey((amount, place))
+            self.queues.removeKey((amount,))
+        self.ends.clear()
+        self.first.clear()
+
+    def load(self) -> None:
+        for (amount,), (head, tail) in self.queues.iterator():
+            self.ends[amount] = [head, tail]
+            if head < tail:
+                self.first[amount] = self.stored.getValue((amount, head))[0]
+
+    def wait(self, ev: dict) -> None:
+        amount = float(ev["amount"] or 0.0)
+        ends = self.ends.setdefault(amount, [0, 0])
+        self.stored.updateValue((amount, ends[1]), (self.arrivals, ev["applicant_id"], ev["amount"]))
+        if ends[0] == ends[1]:
+            self.first[amount] = self.arrivals
+        ends[1] += 1
+        self.arrivals += 1
+        self.size += 1
+
+    def heads(self) -> list[tuple[int, float]]:
+        return [(arrival, amount) for amount, arrival in self.first.items()]
+
+    def pop(self, amount: float) -> dict:
+        ends = self.ends[amount]
+        _, applicant, asked = self.stored.getValue((amount, ends[0]))
+        self.stored.removeKey((amount, ends[0]))
+        ends[0] += 1
+        self.first.pop(amount)
+        if ends[0] < ends[1]:
+            self.first[amount] = self.stored.getValue((amount, ends[0]))[0]
+        self.size -= 1
+        return {"pool_id": self.pool, "applicant_id": applicant, "amount": asked}
+
+    def save(self) -> None:
+        for amount, ends in self.ends.items():
+            self.queues.updateValue((amount,), tuple(ends))
+
+    pool = None
+
+
+class BudgetProcessor(StatefulProcessor):
+    """The fold of one pool: a value state for its totals, a map of waiting requests by (amount, place), a map of each amount's ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "total double, deployed double, repaid double, defaulted double, size long, arrivals long")
+        self.queues = handle.getMapState("queues", "amount double", "head long, tail long")
+        self.waiting = handle.getMapState("waiting", "amount double, place long", "arrival long, applicant_id string, amount double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pool = type("Pool", (StoredState,), {"pool": key[0]})
+        st = pool(self.queues, self.waiting)
+        if self.totals.exists():
+            st.load()
+            st.total, st.deployed, st.repaid, st.defaulted, st.size, st.arrivals = self.totals.get()
+        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        out = [row for ev in batch.astype(object).where(batch.notna(), None).to_dict("records") for row in st.apply(ev)]
+        st.save()
+        self.totals.update((st.total, st.deployed, st.repaid, st.defaulted, st.size, st.arrivals))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in B.FOLD_SCHEMA.fields])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_budget(events: DataFrame) -> DataFrame:
-    """STR-02: ``groupBy(pool_id).applyInPandasWithState`` over budget events.
-
-    State per pool is the fold accumulator (totals and waitlist); one pool's
-    rows of a micro-batch are folded in (ts, seq) order."""
-    return events.groupBy("pool_id").applyInPandasWithState(
-        _budget_state_fn, B.FOLD_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    """STR-02: the budget fold of every pool as a stateful operator over a stream of events.
+
+    The rows of one pool in a micro-batch are folded in (ts, seq) order; a batch holds what its trigger admits, and
+    batches must come in order of time.  The state of a batch is what it changes, however long the waitlist is.
+    Needs the RocksDB state store (``state_store``)."""
+    return events.groupBy("pool_id").transformWithStateInPandas(BudgetProcessor(), B.FOLD_SCHEMA, "Append", "None")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that the fold needs, while its query is started; the caller's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_budget_stream(spark: SparkSession, source: str, out: str, checkpoint: str) -> DataFrame:
+    """Fold what has arrived under ``source`` since the last call; all rows written so far."""
+    stream = spark.readStream.schema(B.EVENT_SCHEMA).parquet(source)
+    with state_store(spark):
+        q = (stream_budget(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(B.FOLD_SCHEMA).parquet(out)
 
 
 # --------------------------------------------------------------------- STR-03

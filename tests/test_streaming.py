@@ -17,11 +17,9 @@ def test_stream_budget_equals_batch_fold(spark):
         F.lit(None).cast("string").alias("applicant_id"), F.lit(900.0).alias("amount"))
     events = low.unionByName(events).select(*[F.col(f.name).cast(f.dataType) for f in B.EVENT_SCHEMA.fields]).checkpoint(eager=True)
     src, out = scratch_path(spark, "stream-events"), scratch_path(spark, "stream-fold")
-    for (y,) in events.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect():
+    for (y,) in events.select(F.year("ts")).distinct().orderBy(F.year("ts")).collect():  # each call restarts the query from its checkpoint
         events.filter(F.year("ts") == y).write.mode("append").parquet(src)
-        q = (SD.stream_budget(spark.readStream.schema(B.EVENT_SCHEMA).parquet(src)).writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", out + "-ckpt").outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
+        SD.run_budget_stream(spark, src, out, out + "-ckpt")
     cols = ["pool_id", "seq", "event_type", "applicant_id", "status", "remaining", "waitlist_size", "step"]
     stream = {tuple(r) for r in spark.read.schema(B.FOLD_SCHEMA).parquet(out).select(*cols).collect()}
     batch = {tuple(r) for r in B.fold_events(events).select(*cols).collect()}
@@ -29,6 +27,35 @@ def test_stream_budget_equals_batch_fold(spark):
     assert sum(r[4] == "WAITLISTED" for r in batch) > 10 and any(r[2] == "WAITLIST_APPROVAL" for r in batch)
 
 
+def test_stream_state_written_does_not_grow_with_the_waitlist(spark):
+    """Batches that add few requests to waitlists of very different lengths change as much state."""
+    import datetime as dt
+
+    base = dt.datetime(2020, 1, 1)
+    src, out = scratch_path(spark, "long-wait"), scratch_path(spark, "long-wait-fold")
+    ckpt = out + "-ckpt"
+
+    def batch(first, n, kind="REQUEST", amount=400.0):
+        rows = [(1, i, base + dt.timedelta(minutes=i), kind, f"a{i}", amount) for i in range(first, first + n)]
+        spark.createDataFrame(rows, B.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        with SD.state_store(spark):
+            q = SD.stream_budget(spark.readStream.schema(B.EVENT_SCHEMA).parquet(src)).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        changed.append(sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"]))
+        seen.append(spark.read.schema(B.FOLD_SCHEMA).parquet(out).agg(F.max("waitlist_size")).first()[0])
+
+    seen, changed = [], []
+    batch(0, 40)
+    batch(100, 3)
+    batch(1000, 3000)
+    batch(9000, 3)
+    batch(9500, 2, "REPAYMENT", 400.0)
+    assert seen == [15, 18, 3018, 3021, 3021]
+    got = spark.read.schema(B.FOLD_SCHEMA).parquet(out).filter("event_type = 'WAITLIST_APPROVAL'").orderBy("seq").collect()
+    assert [r.applicant_id for r in got] == ["a25", "a26"]
+    assert changed[1] == changed[3] <= 8 < changed[2]  # three requests, whether 15 or 3,018 wait
+
+
 def test_stream_decisions_equal_batch_log(spark):
     q = queries()
     cols = ["applicant_id", "decision", "tier", "commit_version"]
