@@ -11,131 +11,165 @@ product game for feature i in F_L is
 
     v_L * (o_i - z_i) * sum_k  k!(m-k-1)!/m! * e_k(others)
 
-with e_k the elementary symmetric sums that mix o (in S) and z (not in S)
-over the other m-1 features; they come from a short polynomial product.
-Summing over leaves and trees (scaled by 2 * tree weight, the GBT log-odds
-scale) gives the attribution of every feature; the base value is the
-cover-weighted mean of the leaves.  Shapley values over the same
-expectations, so the result is exact and additive:
-base + sum(phi) = 2F(x).
-
-The node tables are read from the saved model (small: trees x 2^depth rows)
-and broadcast; keys and features stream through ``mapInArrow``.
+with e_k the coefficients of the polynomial prod (z_f + o_f t) over the other
+m-1 features.  One walk down each tree keeps the polynomial of the path so far
+for all rows at once: a split extends it by its factor; a split on a feature of
+the path first unwinds that feature's factor; leaves below share what was built
+above them.  At a leaf, each feature's factor is divided out once.  Summing over
+leaves and trees (scaled by 2 * tree weight, the GBT log-odds scale) gives the
+attribution of every feature; the base value is the cover-weighted mean of the
+leaves.  So the result is exact and additive: base + sum(phi) = 2F(x).
+
+The node tables are read from the saved model (small: trees x 2^depth rows) and
+broadcast; whole rows stream through ``mapInArrow`` as a struct and come back
+with their numbers, so nothing is joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kreditflow import constants as K
 
 
-def tree_paths(spark: SparkSession, gbt_model, scratch: str) -> tuple[list, list[float]]:
-    """Leaves of every tree as (value, [(feature, threshold, go_left, cover_ratio)])."""
+@dataclass
+class Node:
+    """A leaf with its value, or a split: rows with x[feature] <= threshold go left, a share ``ratio`` of the cover."""
+
+    value: float = 0.0
+    feature: int = -1
+    threshold: float = 0.0
+    left: Node | None = None
+    right: Node | None = None
+    ratio: float = 0.0
+
+
+def tree_nodes(spark: SparkSession, gbt_model, scratch: str) -> tuple[list[Node], list[float]]:
+    """The root of every tree, and the trees' weights."""
     gbt_model.write().overwrite().save(scratch)
     rows = spark.read.parquet(scratch + "/data").select("treeID", "nodeData.*").collect()  # trees x nodes: bounded by the model
-    weights = list(gbt_model.treeWeights)
-    trees: dict[int, dict[int, dict]] = {}
+    trees: dict[int, dict[int, Row]] = {}
     for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = {
-            "pred": r["prediction"], "count": float(r["rawCount"]), "left": r["leftChild"], "right": r["rightChild"],
-            "feat": r["split"]["featureIndex"] if r["split"] else -1,
-            "thr": (r["split"]["leftCategoriesOrThreshold"] or [0.0])[0] if r["split"] else 0.0,
-        }
-    out = []
-    for tid in sorted(trees):
-        nodes = trees[tid]
-        root = min(nodes)  # node ids are pre-order; the root has the smallest id
-        leaves = []
-
-        def walk(nid, path):
-            n = nodes[nid]
-            if n["left"] < 0:
-                leaves.append((n["pred"], list(path)))
-                return
-            for child, left in ((n["left"], True), (n["right"], False)):
-                ratio = nodes[child]["count"] / n["count"] if n["count"] > 0 else 0.0
-                walk(child, path + [(n["feat"], n["thr"], left, ratio)])
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+
+    def build(nodes: dict, at: int) -> Node:
+        n = nodes[at]
+        if n["leftChild"] < 0:
+            return Node(value=n["prediction"])
+        cover = float(n["rawCount"])
+        ratio = float(nodes[n["leftChild"]]["rawCount"]) / cover if cover > 0 else 0.0
+        return Node(0.0, n["split"]["featureIndex"], (n["split"]["leftCategoriesOrThreshold"] or [0.0])[0], build(nodes, n["leftChild"]), build(nodes, n["rightChild"]), ratio)
 
-        walk(root, [])
-        out.append(leaves)
-    return out, weights
+    # node ids are pre-order: the root has the smallest
+    return [build(trees[t], min(trees[t])) for t in sorted(trees)], list(gbt_model.treeWeights)
 
 
+@lru_cache(maxsize=None)
 def _weights(m: int) -> np.ndarray:
     return np.array([factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)])
 
 
-def shap_values(x: np.ndarray, trees: list, weights: list[float]) -> tuple[np.ndarray, float]:
+def _extended(poly: np.ndarray, z: float, o: np.ndarray) -> np.ndarray:
+    """The polynomial (coefficient, row) times (z + o t)."""
+    out = np.empty((len(poly) + 1, poly.shape[1]))
+    out[:-1] = poly * z
+    out[-1] = 0.0
+    out[1:] += poly * o
+    return out
+
+
+def _unwound(poly: np.ndarray, z: float, o: np.ndarray) -> np.ndarray:
+    """The polynomial divided by (z + o t), with o 0 or 1 and z > 0."""
+    out = np.empty((len(poly) - 1, poly.shape[1]))
+    carry = np.zeros(poly.shape[1])
+    for k in range(len(out) - 1, -1, -1):  # where o is 1: from the highest coefficient down
+        carry = poly[k + 1] - z * carry
+        out[k] = carry
+    return np.where(o > 0, out, poly[:-1] / z)
+
+
+def shap_values(x: np.ndarray, trees: list[Node], weights: list[float]) -> tuple[np.ndarray, float]:
     """Attributions (n x p) on the log-odds scale and the base value."""
     n, p = x.shape
-    phi = np.zeros((n, p))
+    phi = np.zeros((p, n))
     base = 0.0
-    for leaves, w in zip(trees, weights):
+    ones = np.ones((1, n))
+    for root, w in zip(trees, weights, strict=True):
         scale = 2.0 * w
-        for value, path in leaves:
-            feats: dict[int, list] = {}
-            for f, thr, left, ratio in path:
-                feats.setdefault(f, []).append((thr, left, ratio))
-            fl = list(feats)
-            m = len(fl)
-            z = np.array([np.prod([r for _, _, r in feats[f]]) for f in fl]) if m else np.array([])
-            base += scale * value * (np.prod(z) if m else 1.0)
-            if m == 0:
-                continue
-            o = np.ones((n, m))
-            for j, f in enumerate(fl):
-                for thr, left, _ in feats[f]:
-                    o[:, j] *= (x[:, f] <= thr) if left else (x[:, f] > thr)
-            wk = _weights(m)
-            for i in range(m):
-                poly = np.zeros((n, m))
-                poly[:, 0] = 1.0
-                deg = 0
-                for j in range(m):
-                    if j == i:
-                        continue
-                    nxt = poly * z[j]
-                    nxt[:, 1:deg + 2] += poly[:, 0:deg + 1] * o[:, j:j + 1]
-                    poly, deg = nxt, deg + 1
-                phi[:, fl[i]] += scale * value * (o[:, i] - z[i]) * (poly @ wk)
-    return phi, base
-
-
-def attribute(df: DataFrame, model_cols: list[str], trees: list, weights: list[float]) -> DataFrame:
+
+        def walk(node: Node, path: dict[int, tuple[float, np.ndarray]], poly: np.ndarray) -> None:
+            nonlocal base
+            if node.left is None:
+                value = scale * node.value
+                base += value * float(np.prod([z for z, _ in path.values()]))
+                for f, (z, o) in path.items():
+                    # without cover and without o the factor is nothing, and neither is its share
+                    others = _unwound(poly, z, o) if z > 0 else poly[1:]
+                    phi[f] += value * (o - z) * (_weights(len(path)) @ others)
+                return
+            goes = (x[:, node.feature] <= node.threshold).astype(np.float64)
+            for child, ratio, o in ((node.left, node.ratio, goes), (node.right, 1.0 - node.ratio, 1.0 - goes)):
+                z, own, below = ratio, o, {k: v for k, v in path.items() if k != node.feature}
+                rest = poly
+                if node.feature in path:
+                    before, met = path[node.feature]
+                    z, own = ratio * before, o * met
+                    rest = _unwound(poly, before, met) if before > 0 else reduce(lambda q, t: _extended(q, *t), below.values(), ones)
+                below[node.feature] = (z, own)
+                walk(child, below, _extended(rest, z, own))
+
+        walk(root, {}, ones)
+    return phi.T.copy(), base
+
+
+#: Rows of one step of a task.
+STEP_ROWS = 4096
+
+
+def attribute(df: DataFrame, model_cols: list[str], trees: list[Node], weights: list[float]) -> DataFrame:
     """Append ``attr`` (the narrative's input) to every row.
 
-    Python sees a number per row and the model's columns, and returns lists of
-    numbers; the rows themselves are joined to the result by the number, and the
-    structs are built by Spark.
+    Rows pass through Python as one struct; Python reads the model's columns and
+    adds lists of numbers, of which Spark builds the structs.
     """
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((trees, weights))
-    rows = df.withColumn("_row", F.col("loan_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tr, ws = bc.value
-        for b in batches:
-            x = np.column_stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(b.num_columns - 1)]).astype(float)
-            phi, _ = shap_values(x, tr, ws)
-            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m).reshape(-1))) for m in (phi, x)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["_row", "_phi", "_x"])
-
-    got = rows.select("_row", *model_cols).mapInArrow(run, "_row long, _phi array<double>, _x array<double>")
-    terms = [F.struct(F.lit(j).alias("idx"), F.lit(f).alias("feature"), F.get("_phi", j).alias("shap"), F.get("_x", j).alias("value")) for j, f in enumerate(K.ALL_FEATURES)]
-    return rows.join(got, "_row").withColumn("attr", F.array(*terms)).drop("_row", "_phi", "_x")
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                b = batch.slice(at, STEP_ROWS)
+                x = np.column_stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(b.num_columns - 1)]).astype(float)
+                phi, _ = shap_values(x, tr, ws)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m).reshape(-1))) for m in (phi, x)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["row", "phi", "x"])
+
+    rows = df.select(F.struct("*").alias("row"), *[F.col(c).cast("double") for c in model_cols])
+    numbers = T.ArrayType(T.DoubleType())
+    shape = T.StructType([rows.schema["row"], T.StructField("phi", numbers), T.StructField("x", numbers)])
+    got = rows.mapInArrow(run, shape)
+    terms = [F.struct(F.lit(j).alias("idx"), F.lit(f).alias("feature"), F.get("phi", j).alias("shap"), F.get("x", j).alias("value")) for j, f in enumerate(K.ALL_FEATURES)]
+    return got.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.array(*terms).alias("attr"))
+
+
+def base_value(trees: list[Node], weights: list[float]) -> float:
+    """Expected log-odds of the model (cover-weighted)."""
 
+    def mean(node: Node) -> float:
+        return node.value if node.left is None else node.ratio * mean(node.left) + (1.0 - node.ratio) * mean(node.right)
 
-def base_value(trees: list, weights: list[float]) -> float:
-    """Expected log-odds of the model (cover-weighted)."""
-    return shap_values(np.zeros((0, 1 + max((f for leaves in trees for _, path in leaves for f, *_ in path), default=0))), trees, weights)[1]
+    return sum(2.0 * w * mean(root) for root, w in zip(trees, weights, strict=True))
 
 
 def attribution_summary(attr: DataFrame) -> DataFrame:

@@ -120,6 +120,21 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [st.getPath().getName() for st in fs.listStatus(jpath)] if fs.exists(jpath) else []
 
 
+def input_state(spark: SparkSession, *paths: str) -> tuple:
+    """What tells whether files have changed: path, size and time of every file of the paths."""
+    out = []
+    for path in paths:
+        jpath, fs = _file_system(spark, path)
+        if not fs.exists(jpath):
+            out.append((path, None, None))
+            continue
+        files = fs.listFiles(jpath, True)
+        while files.hasNext():
+            st = files.next()
+            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return tuple(sorted(out, key=str))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of this package's own tables."""
     jpath, fs = _file_system(spark, path)

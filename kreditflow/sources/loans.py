@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kreditflow.session import input_state
 from kreditflow.sources.tables import read_table
 
 # FIXED VALUES: fixture derivation (k = o_orderkey)
@@ -45,6 +46,11 @@ LOAN_COLUMNS = {
 }
 
 
+def loans_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The session and the state of the files that ``loans`` reads: a key for what is derived from them once."""
+    return (spark.sparkContext.applicationId, *input_state(spark, *(f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer"))))
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw loan applications: ``orders JOIN customer`` plus the fixture columns.
 

@@ -39,7 +39,7 @@ def stage_applications(apps: DataFrame, path: str, year: int) -> None:
 
 
 def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: VersionedTable, budget: float) -> None:
-    if any(v == batch_id for v, _ in log._committed()):  # replay of a committed batch
+    if log.has(batch_id):  # replay of a committed batch
         return
     rows = D.decide_rows(
         batch.withColumns({"repay_prob": C.surrogate_prob(), "attr": C.surrogate_attributions()}),
@@ -48,10 +48,9 @@ def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: V
     pending = F.col("decision") == "PENDING"
     # what the batches before this one have spent: the newest earlier version holds every pool
     spent = None
-    if any(v < batch_id for v, _ in state._committed()):
-        old = state.read(batch_id - 1)
-        newest = max(v for v, _ in state._committed(batch_id - 1))
-        spent = old.filter(F.col("commit_version") == newest).select("pool_id", F.col("spent").alias("_spent0"))
+    newest = state.latest_version(batch_id - 1)
+    if newest is not None:
+        spent = state.read(newest).filter(F.col("commit_version") == newest).select("pool_id", F.col("spent").alias("_spent0"))
     t3 = rows.filter(pending)
     res = B.approve_in_order(t3.select("pool_id", *D.ARRIVAL, "trial_amount"), budget=budget, order_cols=D.ARRIVAL, initial_spent=spent)
     last = res.groupBy("pool_id").agg(F.max_by(F.lit(budget) - F.col("budget_remaining"), F.struct(*D.ARRIVAL)).alias("spent"))
