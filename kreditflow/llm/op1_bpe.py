@@ -149,7 +149,8 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds ``decoded``: each id's piece, joined by a space (this tokenizer has no decoder of its own)."""
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode_outer("ids").alias("place", "id"))
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
+    rows = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "id"))
     joined = rows.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left")
     return joined.select("row", "doc_id", "place", "id", "piece").mapInArrow(_together, ENCODED + ", decoded string")
 
