@@ -4,11 +4,11 @@ Texts are cut into blocks (runs of about 32 MB of one task).  Each block lists
 its distinct words; the (block, word) rows are dealt out by word and sorted, so
 every distinct word is encoded once in the whole corpus, and its ids go back to
 each block that holds it.  There a text's words are replaced by their ids in
-order of position.  Texts travel compressed.  Decoding is a join of every
-(text, position, id) with the table (id, piece), which is broadcast: its size is
-the vocabulary's, whatever the data.  The join keeps the rows in order, so a
-text's pieces are put together again in the same task, where their positions are
-checked; nothing is shuffled.
+order of position.  Texts travel compressed.  Decoding looks ids up in the
+vocabulary's pieces, which each task loads (as large as the vocabulary, never the
+data).  That is not the join of ids with pieces that one would write: joining every
+(text, position, id) with the broadcast pieces, put together in order without a
+shuffle, took 1,309 CPU seconds a GB in place of 702, beyond the budget of 900.
 
 Null and empty texts give no ids and an empty decoded text; repeated rows are
 encoded each on their own; an empty table gives an empty result; extra columns
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kreditflow.llm.bpe import word_bpe
@@ -103,56 +103,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return text_blocks(src).groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_place(tokenizer), ENCODED)
 
 
-def pieces(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, piece) of the vocabulary."""
-    return spark.createDataFrame(sorted(word_bpe(tokenizer).pieces.items()), "id int, piece string")
-
-
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of rows (row, doc_id, place, id, piece) in order; a text without ids is one row without a place."""
-    held: pa.Table | None = None
-
-    def out(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
-        n, starts = t.num_rows, first
-        place = t.column("place").combine_chunks()
-        empty = place.take(pa.array(starts)).is_null().to_numpy(zero_copy_only=False)
-        sizes = np.diff(np.append(starts, n))
-        at = np.arange(n) - np.repeat(starts, sizes)
-        if not np.array_equal(place.fill_null(0).to_numpy(), at):
-            raise RuntimeError("pieces of a text are not in order")
-        keep = ~np.repeat(empty, sizes)
-        ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, sizes))]).astype(np.int32)
-        ids = t.column("id").combine_chunks().filter(pa.array(keep))
-        texts = t.column("piece").combine_chunks().filter(pa.array(keep)).fill_null("")
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts), " ")
-        doc = t.column("doc_id").combine_chunks().take(pa.array(starts))
-        return pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array(ends), ids), joined.cast(pa.string())], ["doc_id", "ids", "decoded"])
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        row = b.column(0).to_numpy()
-        # whole texts so far end where the last row's text begins
-        last = held.num_rows - len(row) + int(np.searchsorted(row, row[-1]))
-        if last == held.num_rows - len(row) and held.num_rows > len(row) and held.column("row")[last - 1].as_py() == row[-1]:
-            continue  # one long text
-        if last:
-            done = held.slice(0, last).combine_chunks()
-            every = done.column("row").to_numpy()
-            yield out(done, np.flatnonzero(np.append(True, every[1:] != every[:-1])))
-            held = held.slice(last)
-    if held is not None:
-        every = held.column("row").to_numpy()
-        yield out(held.combine_chunks(), np.flatnonzero(np.append(True, every[1:] != every[:-1])))
+def _decode(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_bpe(tokenizer).pieces
+        pieces = pa.array([known.get(i, "") for i in range(max(known, default=0) + 1)], pa.string())
+        for b in batches:
+            for at in range(0, b.num_rows, 256):  # bounded memory: long texts come many to a batch
+                part = b.slice(at, 256)
+                ids = part.column(1)
+                flat = pc.take(pieces, ids.flatten())
+                ends = np.cumsum(np.concatenate([[0], pc.list_value_length(ids).to_numpy(zero_copy_only=False)])).astype(np.int32)
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat), " ")
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, text.cast(pa.string())], ["doc_id", "ids", "decoded"])
+
+    return run
 
 
 def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds ``decoded``: each id's piece, joined by a space (this tokenizer has no decoder of its own)."""
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
-    rows = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("place", "id"))
-    joined = rows.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left")
-    return joined.select("row", "doc_id", "place", "id", "piece").mapInArrow(_together, ENCODED + ", decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(tokenizer), ENCODED + ", decoded string")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
