@@ -6,8 +6,10 @@ small shuffle); wide results are turned long with ``unpivot``.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,10 @@ def exact_medians(long: DataFrame) -> DataFrame:
     buckets, so the row that holds a middle rank is found without any task
     seeing all values of a feature.
     """
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)  # the input is read once
     ranked = prefix_sum(range_buckets(counts, ["feature"], ["value"]), ["feature"], ["value"], "_c", "_upto")
-    total = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))  # a row per feature
-    ranked = ranked.join(total, "feature")
+    total = counts.groupBy("feature").agg(F.sum("_c").alias("_n"))  # a row per feature
+    ranked = ranked.join(F.broadcast(total), "feature")
     holds = lambda k: (F.col("_upto") - F.col("_c") <= k) & (k < F.col("_upto"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
     got = ranked.filter(holds(low) | holds(high)).groupBy("feature").agg(F.max(F.when(holds(low), F.col("value"))).alias("a"), F.max(F.when(holds(high), F.col("value"))).alias("b"))
@@ -110,18 +112,43 @@ def crosstab_share(clean: DataFrame, cat: str = "home_ownership") -> DataFrame:
     )
 
 
+#: Less than this share of the sum of squares is no variance but rounding.
+NO_VARIANCE = 1e-13
+MOMENTS = "i int, j int, n long, x double, y double, xx double, yy double, xy double"
+
+
+def _gram(shift: list[float]):
+    """Pairwise-complete counts, sums, squares and products of a task's columns, about fixed values: a row for each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(shift)
+        total = np.zeros((6, p, p))
+        for b in batches:
+            v = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)]).astype(np.float64) - np.array(shift)
+            here = ~np.isnan(v)
+            x, m = np.where(here, v, 0.0), here.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(p)
+        cols = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[0, i, j].astype(np.int64)), *(pa.array(total[k, i, j]) for k in range(1, 6))]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in MOMENTS.split(", ")])
+
+    return run
+
+
 def correlation_matrix(clean: DataFrame, cols: list[str]) -> DataFrame:
     """AGG-08: pairwise-complete Pearson correlations in one scan.
 
-    Each row is an array of values that meets every pair of columns; the pairs
-    are the groups of one small aggregate, combined within each task.
+    A task turns its rows into one small matrix of moments for all pairs of
+    columns; Spark adds up these matrices, whose size is the columns' alone.
     """
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in combinations_with_replacement(range(len(cols)), 2)])
-    rows = clean.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).select("v", F.explode(pairs).alias("p"))
-    got = rows.groupBy("p.i", "p.j").agg(F.corr(F.get("v", F.col("p.i")), F.get("v", F.col("p.j"))).alias("r"))
+    shift = [float(K.DEFAULTER_PROFILE.get(c, 0.0)) for c in cols]
+    parts = clean.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(_gram(shift), MOMENTS)
+    got = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda s, sq: F.when(F.col(sq) - F.col(s) * F.col(s) / F.col("n") > F.col(sq) * NO_VARIANCE, F.col(sq) - F.col(s) * F.col(s) / F.col("n"))
+    r = F.when(F.col("n") > 1, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy")))
     names = F.array(*[F.lit(c) for c in cols])
     both = F.array(F.struct("i", "j"), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    out = got.select(pround("r", 6).alias("corr"), F.explode(F.array_compact(both)).alias("p"))
+    out = got.select(pround(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), 6).alias("corr"), F.explode(F.array_compact(both)).alias("p"))
     return out.select(F.get(names, F.col("p.i")).alias("f1"), F.get(names, F.col("p.j")).alias("f2"), "corr")
 
 

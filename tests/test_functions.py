@@ -74,3 +74,27 @@ def test_pround_and_formats_equal_python(spark):
         assert (r.a, r.b, r.c, r.d) == (f"{r.v:.1f}", f"{r.v:.0f}", f"{r.v:,.0f}", f"{r.v * 100:.1f}")
     odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(pround("v", 2).alias("r")).collect()
     assert odd[0].r is None and odd[1].r != odd[1].r
+
+
+def test_correlations_with_missing_and_constant_columns(spark):
+    """Pairwise-complete correlations against numpy; NULL where a column does not vary or has no pair."""
+    import random
+
+    import numpy as np
+
+    from kreditflow.operators import profile as P
+
+    rnd = random.Random(1)
+    rows = [(rnd.gauss(1e6, 3.0), None if rnd.random() < 0.3 else rnd.random(), 0.1, None, float(i % 2)) for i in range(500)]
+    cols = ["dti", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r.f1, r.f2): r["corr"] for r in P.correlation_matrix(df, cols).collect()}
+    assert len(got) == 25
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if {a, b} & {"c", "d"}:
+                assert got[a, b] is None
+            else:
+                assert abs(got[a, b] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 2e-6
