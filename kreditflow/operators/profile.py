@@ -112,43 +112,57 @@ def crosstab_share(clean: DataFrame, cat: str = "home_ownership") -> DataFrame:
     )
 
 
-#: Less than this share of the sum of squares is no variance but rounding.
-NO_VARIANCE = 1e-13
-MOMENTS = "i int, j int, n long, x double, y double, xx double, yy double, xy double"
-
-
-def _gram(shift: list[float]):
-    """Pairwise-complete counts, sums, squares and products of a task's columns, about fixed values: a row for each pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = len(shift)
-        total = np.zeros((6, p, p))
-        for b in batches:
-            v = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)]).astype(np.float64) - np.array(shift)
-            here = ~np.isnan(v)
-            x, m = np.where(here, v, 0.0), here.astype(np.float64)
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        i, j = np.triu_indices(p)
-        cols = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[0, i, j].astype(np.int64)), *(pa.array(total[k, i, j]) for k in range(1, 6))]
+#: A deviation of no more than this share of the mean is rounding.
+NO_DEVIATION = 1e-13
+MOMENTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts, means and centred squares and products of two sets of rows together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, w = b[1] - a[1], b[2] - a[2], a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairwise-complete counts, means and centred squares and products of a task's columns: a row for each pair."""
+    total = None
+    for b in batches:
+        v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64)
+        here = ~np.isnan(v)
+        m = here.astype(np.float64)
+        middle = np.where(here, v, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1)
+        x = np.where(here, v - middle, 0.0)
+        n, sx, sy = m.T @ m, x.T @ m, m.T @ x
+        dx, dy = sx / np.maximum(n, 1), sy / np.maximum(n, 1)
+        own = np.stack([n, middle[:, None] + dx, middle[None, :] + dy, (x * x).T @ m - n * dx * dx, m.T @ (x * x) - n * dy * dy, x.T @ x - n * dx * dy])
+        total = own if total is None else _merged(total, own)
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1])
+        cols = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(total[k, i, j]) for k in range(6))]
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in MOMENTS.split(", ")])
 
-    return run
-
 
 def correlation_matrix(clean: DataFrame, cols: list[str]) -> DataFrame:
     """AGG-08: pairwise-complete Pearson correlations in one scan.
 
-    A task turns its rows into one small matrix of moments for all pairs of
-    columns; Spark adds up these matrices, whose size is the columns' alone.
+    A task turns its rows into one small matrix of centred moments for all
+    pairs of columns; Spark puts these together, first the means, then the
+    squares and products about them.
     """
-    shift = [float(K.DEFAULTER_PROFILE.get(c, 0.0)) for c in cols]
-    parts = clean.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(_gram(shift), MOMENTS)
-    got = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    spread = lambda s, sq: F.when(F.col(sq) - F.col(s) * F.col(s) / F.col("n") > F.col(sq) * NO_VARIANCE, F.col(sq) - F.col(s) * F.col(s) / F.col("n"))
-    r = F.when(F.col("n") > 1, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy")))
+    parts = clean.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(_moments, MOMENTS).checkpoint(eager=True)  # a row for each pair and task
+    whole = parts.groupBy("i", "j").agg(F.sum("n").alias("total"), F.try_divide(F.sum(F.col("n") * F.col("x")), F.sum("n")).alias("mx"), F.try_divide(F.sum(F.col("n") * F.col("y")), F.sum("n")).alias("my"))
+    dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    got = parts.filter("n > 0").join(F.broadcast(whole.filter("total > 1")), ["i", "j"]).groupBy("i", "j").agg(
+        F.first("total").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"),
+        F.sum(F.col("xx") + F.col("n") * dx * dx).alias("xx"), F.sum(F.col("yy") + F.col("n") * dy * dy).alias("yy"), F.sum(F.col("xy") + F.col("n") * dx * dy).alias("xy"))
+    varies = lambda sq, mean: F.col(sq) > F.col("n") * F.pow(F.col(mean) * NO_DEVIATION, 2)
+    r = F.when(varies("xx", "mx") & varies("yy", "my"), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    got = whole.select("i", "j").join(got.select("i", "j", r.alias("r")), ["i", "j"], "left")
     names = F.array(*[F.lit(c) for c in cols])
     both = F.array(F.struct("i", "j"), F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    out = got.select(pround(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), 6).alias("corr"), F.explode(F.array_compact(both)).alias("p"))
+    out = got.select(pround(F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))), 6).alias("corr"), F.explode(F.array_compact(both)).alias("p"))
     return out.select(F.get(names, F.col("p.i")).alias("f1"), F.get(names, F.col("p.j")).alias("f2"), "corr")
 
 
