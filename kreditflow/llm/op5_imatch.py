@@ -35,6 +35,8 @@ IDF_BAND = (3.0, 6.2)
 #: Subsets of each density 1/4, 1/8, ... 1/512; the first subset is the whole lexicon.
 DENSITIES, EACH = 8, 4
 SUBSETS = 1 + DENSITIES * EACH - 1
+#: From these subsets on, all sparser ones together hold less than a half and a seventh of the terms.
+SPARSE = (2 * EACH + 1, 4 * EACH + 1)
 #: Subsets that are taken of all terms of a text too.
 OWN = tuple(range(SUBSETS + 1))
 RANGE_ROWS = 500_000
@@ -84,10 +86,19 @@ def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame
     code = F.when(F.col("term").isNotNull(), F.coalesce("code", _code(F.col("term")).bitwiseOR(F.lit(NO_ID))))
     got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("every"))
     got = got.select(*keys, "every", computed_once(F.filter("every", lambda c: c >= 0)).alias("inside"))
+    # the sparse subsets look only at the terms that are in any of them
+    lists = {"every": "every", "inside": "inside"}
+    source = {(c, j): c for c in lists for j in range(SUBSETS + 1)}
+    for first in SPARSE:
+        any_of = F.lit(2**32 - 2**first).cast("long")
+        thinner = {c: f"{c}_{first}" for c in lists}
+        got = got.select("*", *[computed_once(F.filter(lists[c], lambda x: x.bitwiseAND(any_of) != 0)).alias(n) for c, n in thinner.items()])
+        source.update({(c, j): n for c, n in thinner.items() for j in range(first, SUBSETS + 1)})
+        lists = thinner
     low = lambda c: c.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
     def subset(codes: str, j: int) -> Column:
-        own = F.filter(codes, lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0) if j else F.col(codes)
+        own = F.filter(source[codes, j], lambda c: c.bitwiseAND(F.lit(2**j).cast("long")) != 0) if j else F.col(codes)
         return F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0]
 
     places = [*(subset("inside", j) for j in range(SUBSETS + 1)), low(F.xxhash64("every")), *(subset("every", j) for j in OWN[1:])]
