@@ -34,7 +34,7 @@ from kreditflow.llm.common import computed_once, documents, id_text, materialize
 IDF_BAND = (3.0, 6.2)
 #: Subsets of each density 1/4, 1/8, ... 1/512; the first subset is the whole lexicon.
 DENSITIES, EACH = 8, 4
-SUBSETS = 1 + DENSITIES * EACH - 1
+SUBSETS = DENSITIES * EACH - 1
 #: From these subsets on, all sparser ones together hold less than a half and a seventh of the terms.
 SPARSE = (2 * EACH + 1, 4 * EACH + 1)
 #: Subsets that are taken of all terms of a text too.
