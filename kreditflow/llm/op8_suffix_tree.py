@@ -49,11 +49,13 @@ MIN_COUNT = 2
 P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
-TEXT_BYTES, PART_PAIRS = 16 << 20, 4_000_000
+TEXT_BYTES, PART_PAIRS = 16 << 20, 2_000_000
+#: A context that may occur more often than this is summed in that many parts more.
+SALT_AT = 1 << 20
+#: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
+FROM_TEXTS, REACH = 3, 16
 #: Text start and end, and any next token, are hashed from bytes that no word can be, as words hold no space.
-START, END, TOTAL = (np.uint64(xxhash.xxh64_intdigest(b" " + x)) for x in (b"start", b"end", b"total"))
-#: Sums of doubles that decide are taken in whole units, so that their order doesn't matter.
-UNITS = 2.0**40
+START, END = (np.uint64(xxhash.xxh64_intdigest(b" " + x)) for x in (b"start", b"end"))
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,6 +98,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- blocks of numbered tokens
 PACKED = "block long, kind string, level int, part int, data binary"
+_COLUMNS = [c.split()[0] for c in PACKED.split(", ")]
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -174,76 +177,201 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Walk:
-    """A block's tokens on the way down the tree: the probability of each in the longest context so far."""
+    """A block's tokens on the way down the tree.
 
-    def __init__(self, rows: pa.Table, n: int, v: int):
+    ``p`` is the probability of each token in the longest context so far.  A token goes on while its context of this
+    length is in the tree and the next one may be: ``pos`` names it, ``x`` and ``t`` are how often it and anything follow
+    its context (``x`` 0 under MIN_COUNT), and ``longer`` is None before the next contexts are looked at.
+    """
+
+    def __init__(self, rows: pa.Table):
         self.number = rows.column("block")[0].as_py()
-        held: dict = {}
-        for kind, level, part, data in zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "part", "data")), strict=True):
-            held.setdefault((kind, level), []).append((part, data))
-        self.held = {k: [data for _, data in sorted(x)] for k, x in held.items()}
-        self.block = Block(self.held["texts", 0][0])
-        self.c = np.full(len(self.block.words), -1, np.int64)
+        self.held: dict = {}
+        for kind, level, part, data in sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "part", "data")), strict=True), key=lambda r: r[:3]):
+            self.held.setdefault((kind, level), []).append(data)
+
+    def from_texts(self, n: int, v: int) -> Walk:
+        block = Block(self.held["texts", 0][0])
+        c = np.full(len(block.words), -1, np.int64)
         if ("known", 0) in self.held:
-            place, c = _unbundle(self.held["known", 0][0], np.int32, np.int64)
-            self.c[place] = c
-        if (self.c < 0).any():
+            place, counts = _unbundle(self.held["known", 0][0], np.int32, np.int64)
+            c[place] = counts
+        if (c < 0).any():
             raise RuntimeError("a block holds a token that its counts lack")
-        toks = self.block.toks
-        self.p = ((self.c + 1) / (n + v + 1))[toks]
-        self.inside = np.arange(len(toks)) - np.repeat(self.block.starts, self.block.sizes)
-        self.train = np.repeat(self.block.train, self.block.sizes)
-        # tokens whose context of this length is in the tree, its hash, and whether they are a next token of it
-        self.pos, self.context, self.own, self.level = np.arange(len(toks)), np.zeros(len(toks), np.uint64), np.ones(len(toks), bool), 0
-
+        toks, self.ids, self.train, self.sizes = block.toks, block.ids, block.train, block.sizes
+        p = (c + 1) / (n + v + 1)
+        logs = np.log10(p)[toks]
+        self.base = np.add.reduceat(logs, block.starts)
+        self.known = np.add.reduceat((c > 0)[toks].astype(np.int64), block.starts)
+        self.full, self.level, self.words, self.toks = np.zeros(len(self.ids)), 0, block.words, toks
+        self.inside = (np.arange(len(toks)) - np.repeat(block.starts, self.sizes)).astype(np.int32)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        self.pos, self.p, self.x = np.arange(len(toks), dtype=np.int32), p[toks], np.where(c >= MIN_COUNT, c + 1, 0)[toks]
+        self.t, self.context = np.full(len(toks), n + v + 1), np.zeros(len(toks), np.uint64)
+        # a context of one token occurs as often as the token, that of the start as often as the end
+        followed = np.concatenate([[0], c[toks[:-1]]])
+        followed[self.inside == 0] = c[block.words == END]
+        self.rare = followed < MIN_COUNT
+        self.window, self.followed = None, followed[~self.rare]
+        self._go_on(~self.rare)
+        return self
+
+    # ------------------------------------------------------------ the walk of few tokens, stored without its texts
+    def from_state(self) -> Walk:
+        got = _unbundle(self.held["state", 0][0], *(k for _, k in STATE))
+        for (name, _), x in zip(STATE, got, strict=True):
+            setattr(self, name, x)
+        self.level, self.window = int(self.depth[0]), self.window.reshape(-1, REACH)
+        self.ids = [None if m else int(i) for i, m in zip(self.ids, self.missing, strict=True)]
+        self.first, self.rare = int(self.depth[1]), None
+        return self
+
+    def state(self) -> bytes:
+        """Without the texts: each token still walking has itself and the REACH tokens before its context."""
+        first = self.first if self.window is not None else self.level
+        sym = self.sym
+        if self.window is None:
+            back = np.arange(1, REACH + 1, dtype=np.int32) + first
+            used = np.where(self.inside[self.pos][:, None] >= back, self.toks[np.maximum(self.pos[:, None] - back, 0)].astype(np.int64), -1)
+            inside, doc = self.inside[self.pos], self.doc[self.pos]
+        else:
+            used, inside, doc = self.window.astype(np.int64), self.inside, self.doc
+        few, at = np.unique(np.concatenate([sym.astype(np.int64), used.ravel()]), return_inverse=True)
+        few_words = np.where(few < 0, START, self.words[np.maximum(few, 0)])
+        at = at.astype(np.int32) - int(len(few) and few[0] < 0)  # the start stays -1
+        few_words = few_words[few >= 0]
+        cols = {
+            "depth": np.array([self.level, first], np.int64), "ids": np.array([0 if i is None else i for i in self.ids], np.int64),
+            "missing": np.array([i is None for i in self.ids]), "train": self.train, "sizes": self.sizes, "base": self.base, "known": self.known,
+            "full": self.full, "words": few_words, "own_sym": at[: len(sym)], "window": at[len(sym) :], "inside": inside, "doc": doc,
+            "pos": self.pos, "p": self.p, "x": self.x, "t": self.t, "context": self.context}
+        return _bundle(*(np.ascontiguousarray(cols[name], kind) for name, kind in STATE))
+
+    @property
+    def sym(self) -> np.ndarray:
+        return self.toks[self.pos] if self.window is None else self.own_sym
+
+    def _go_on(self, stays: np.ndarray) -> None:
+        """Tokens that end here are scored."""
+        doc = self.doc[self.pos] if self.window is None else self.doc
+        done = ~stays
+        self.full = self.full + np.bincount(doc[done], np.log10(self.p[done]), len(self.full))
+        for name in ("pos", "p", "x", "t", "context", *(() if self.window is None else ("own_sym", "window", "inside", "doc"))):
+            setattr(self, name, getattr(self, name)[stays])
+
+    # ------------------------------------------------------------ a level
     def extend(self) -> None:
         """Contexts of one token more, and the (context, next token) pairs that may occur often enough."""
-        words, toks = self.block.words, self.block.toks
         self.level += 1
-        before = np.where(self.inside[self.pos] >= self.level, words[toks[self.pos - self.level]], START)
+        if self.window is None:
+            inside, doc = self.inside[self.pos], self.doc[self.pos]
+            before = np.where(inside >= self.level, self.words[self.toks[np.maximum(self.pos - self.level, 0)]], START)
+        else:
+            doc, at = self.doc, self.window[:, self.level - self.first - 1]
+            before = np.where(at >= 0, self.words[at] if len(self.words) else START, START)
         self.longer = before if self.level == 1 else deeper(self.context, before)
-        self.contexts, self.at, self.some = _distinct(self.longer)
+        contexts, self.at, some = _distinct(self.longer)
         # a pair is as rare as its suffix's at most
-        self.listed = np.flatnonzero(self.own)
-        self.pairs, self.pair_at, self.pair_some = _distinct(deeper(self.longer[self.listed], words[toks[self.pos[self.listed]]]))
-        sent = np.concatenate([self.pairs, deeper(self.contexts, np.full(len(self.contexts), TOTAL))])
-        self.order = np.argsort(sent)
-        self.keys = sent[self.order]
-
-    def counts(self) -> np.ndarray:
-        """Training counts of the keys."""
-        train = self.train[self.pos].astype(np.float64)
-        n = np.concatenate([np.bincount(self.pair_at, train[self.listed], len(self.pairs)), np.bincount(self.at, train, len(self.contexts))])
-        return n[self.order].astype(np.int64)
+        self.listed = np.flatnonzero(self.x)
+        # a context occurs as often as its suffix at most
+        salts = (self.t if self.level > 1 else self.followed) // SALT_AT + 1
+        order = np.argsort(self.words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sym, at = self.sym[self.listed], self.at[self.listed]
+        sub = ((self.words[sym] >> np.uint64(8)) % salts[self.listed].astype(np.uint64)).astype(np.uint64)
+        self.keys, self.sub, entry_some = contexts, (salts[some] > 1).astype(np.int32), some
+        entry = at
+        if sub.any():
+            own = contexts[at] + sub * _G
+            more, _, k = _distinct(own[sub > 0])
+            spread = np.flatnonzero(sub)[k]
+            keys = np.concatenate([contexts, more])
+            new = np.argsort(keys)
+            self.keys = keys[new]
+            self.sub = np.concatenate([self.sub, 1 + sub[spread].astype(np.int32)])[new]
+            entry_some = np.concatenate([some, self.listed[spread]])[new]
+            entry = np.searchsorted(self.keys, own)
+        self.place = np.searchsorted(self.keys, contexts)
+        codes, self.pair_at, pair_some = _distinct(entry * len(self.words) + rank[sym])
+        self.entry_some, self.pair_some, self.pairs = entry_some, self.listed[pair_some], len(codes)
+        self.entry_pairs = np.bincount(codes // max(1, len(self.words)), minlength=len(self.keys)).astype(np.int32)
+        self.symbols = self.words[order][codes % max(1, len(self.words))] >> np.uint64(16)
+        self.trained = self.train[doc]
+
+    def deal(self, parts: int) -> list[tuple]:
+        """Entries (a context, or a salted part of a frequent one) with their pairs and training counts, a run of keys to each part."""
+        train = self.trained.astype(np.float64)
+        seen = np.zeros(len(self.keys), np.int64)
+        seen[self.place] = np.bincount(self.at, train, len(self.place)).astype(np.int64)
+        n = np.bincount(self.pair_at, train[self.listed], self.pairs).astype(np.int64)
+        part = ((self.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        ends, out = np.concatenate([[0], np.cumsum(self.entry_pairs)]), []
+        t, x = self.t[self.entry_some], self.x[self.pair_some]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                i, j = ends[a], ends[b]
+                step = lambda y: np.diff(y, prepend=np.uint64(0))
+                data = _bundle(step(self.keys[a:b]), self.sub[a:b], self.entry_pairs[a:b], t[a:b], seen[a:b], step(self.symbols[i:j]), n[i:j], x[i:j])
+                out.append((self.number, "pairs", self.level, int(part[a]), data))
+        return out
 
     def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts in the corpus, 0 under MIN_COUNT, of pairs and of contexts; the pairs that this block writes."""
-        got = [_unbundle(data, np.int64, np.bool_) for data in self.held.get(("sums", self.level), [])]
-        n, mine = (np.concatenate([x[i] for x in got]) if got else np.empty(0, kind) for i, kind in enumerate((np.int64, bool)))
-        if len(n) != len(self.keys):
+        """Counts of pairs in the corpus, 0 under MIN_COUNT; total (0: not in the tree) and rest of contexts."""
+        got = [_unbundle(data, np.int64, np.int64, np.float64) for data in self.held.get(("sums", self.level), [])]
+        n, total, share = (np.concatenate([x[i] for x in got]) if got else np.empty(0, k) for i, k in enumerate((np.int64, np.int64, np.float64)))
+        if len(n) != self.pairs or len(total) != len(self.keys):
             raise RuntimeError("a block's pairs and their sums differ")
-        back, cut = np.empty(len(n), np.int64), len(self.pairs)
-        back[self.order] = np.arange(len(n))
-        return n[back[:cut]], n[back[cut:]], mine[back[:cut]]
+        rest = np.zeros(len(total))
+        rest[total > 0] = share
+        total[total < 0] = 0
+        for data in self.held.get(("hot", self.level), []):
+            context, hot_total, hot_rest = _unbundle(data, np.int64, np.int64, np.float64)
+            at = np.searchsorted(self.keys, context.view(np.uint64))
+            total[at], rest[at] = hot_total, hot_rest
+        return n, total[self.place], rest[self.place]
 
     def advance(self) -> None:
         """Score in the contexts that the tree keeps, and go on with their tokens."""
-        pair_n, total, _ = self.answers()
-        rest = np.full(len(self.contexts), np.nan)
-        for data in self.held.get(("rest", self.level), []):
-            place, share = _unbundle(data, np.int32, np.float64)
-            rest[place] = share
+        pair_n, total, rest = self.answers()
         n = np.zeros(len(self.pos), np.int64)
         n[self.listed] = pair_n[self.pair_at]
-        kept = ~np.isnan(rest[self.at])
-        at, n, self.pos, self.context = self.at[kept], n[kept], self.pos[kept], self.longer[kept]
-        self.own = n > 0
-        self.p[self.pos] = np.where(self.own, (n - DISCOUNT) / np.maximum(total[at], 1), rest[at] * self.p[self.pos])
+        # how often the next longer context occurs, as the token before follows its own: 0 is under MIN_COUNT, -1 unknown
+        if self.window is None:
+            grams = np.where(self.rare, 0, -1)
+            grams[self.pos] = n
+            grams = np.concatenate([[-1], grams[:-1]])
+            grams[self.inside == 0] = -1
+            self.rare |= grams == 0
+            grams, inside = grams[self.pos], self.inside[self.pos]
+        else:
+            inside, at = self.inside, _find(self.pos, self.pos - 1)
+            grams = np.where((at >= 0) & (inside > 0), n[at] if len(n) else -1, -1)
+        t = total[self.at]
+        kept = t > 0
+        self.p = np.where(kept, np.where(n > 0, (n - DISCOUNT) / np.maximum(t, 1), rest[self.at] * self.p), self.p)
+        self.x, self.t, self.context = n, t, self.longer
+        # a context that holds the start already has no longer one
+        self._go_on(kept & (grams != 0) & (inside >= self.level))
+
+    def scored(self, n: int) -> pa.Table:
+        doc = self.doc[self.pos] if self.window is None else self.doc
+        full = self.full + np.bincount(doc, np.log10(self.p), len(self.full))
+        cols = [pa.array(self.ids, pa.int64()), pa.array(~self.train), pa.array(self.sizes), pa.array(self.known), pa.array(np.full(len(full), n, np.int64)), pa.array(self.base), pa.array(full)]
+        return pa.table(cols, names=[c.split()[0] for c in SCORED.split(", ")])
 
 
-def _replay(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
-    walk = Walk(rows, n, v)
-    for _ in range(depth):
+#: What is stored of a walk without texts.
+STATE = (("depth", np.int64), ("ids", np.int64), ("missing", np.bool_), ("train", np.bool_), ("sizes", np.int64), ("base", np.float64), ("known", np.int64), ("full", np.float64),
+         ("words", np.uint64), ("own_sym", np.int32), ("window", np.int32), ("inside", np.int32), ("doc", np.int32),
+         ("pos", np.int32), ("p", np.float64), ("x", np.int64), ("t", np.int64), ("context", np.uint64))
+
+
+def _walked(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
+    walk = Walk(rows)
+    walk = walk.from_state() if ("state", 0) in walk.held else walk.from_texts(n, v)
+    while walk.level < depth:
         walk.extend()
         walk.advance()
     return walk
@@ -251,84 +379,98 @@ def _replay(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
 
 # ---------------------------------------------------------------- one level of the tree
 def _deal(n: int, v: int, level: int, parts: int):
-    """A block's keys with their training counts, a run of the sorted keys to each part."""
+    """A block's entries to the parts; past the first levels also its walk without the texts."""
 
     def run(rows: pa.Table) -> pa.Table:
-        walk = _replay(rows, n, v, level - 1)
+        walk = _walked(rows, n, v, level - 1)
+        out = [(walk.number, "state", 0, 0, walk.state())] if level > FROM_TEXTS else []
         walk.extend()
-        sums = walk.counts()
-        part = ((walk.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                out.append((walk.number, "pairs", level, int(part[a]), _bundle(np.diff(walk.keys[a:b], prepend=np.uint64(0)), sums[a:b])))
-        return _packed(out)
+        return _packed(out + walk.deal(parts))
 
     return run
 
 
-def _add(rows: pa.Table) -> pa.Table:
-    """Sums of a part's keys over all blocks, answered to each block; the first block with a key writes it."""
-    got = [_unbundle(data.as_py(), np.uint64, np.int64) for data in rows.column("data")]
-    sizes = [len(k) for k, _ in got]
-    keys, at, some = _distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]))
-    n = np.bincount(at, np.concatenate([c for _, c in got]), len(keys)).astype(np.int64)
-    n[n < MIN_COUNT] = 0
-    mine = np.zeros(len(at), bool)
-    mine[some] = n > 0
-    out, a = [], 0
-    for block, level, part, size in zip(*(rows.column(c).to_pylist() for c in ("block", "level", "part")), sizes, strict=True):
-        out.append((block, "sums", level, part, _bundle(n[at[a : a + size]], mine[a : a + size])))
-        a += size
-    return _packed(out)
+def _kept(total, m, a, b, above, least: float, log, most):
+    """Does the context stay, and the share that the suffix's distribution gets.
+
+    a: sum of the discounted counts, b: of these times their log over the suffix's probability, above: of the latter.
+    """
+    left, left_above = most(1 - a / total, 1e-12), most(1 - above, 1e-12)
+    divergence = (b - log(total) * a) / total + left * log(left / left_above)
+    return (total >= least) & (total * divergence > 0.5 * m * log(most(total, 2.0))), (1 - a / total) / left_above
+
 
+ADDED = PACKED + ", context long, total long, m long, a double, b double, above double"
+_ADDED = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("level", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("context", pa.int64()),
+                    ("total", pa.int64()), ("m", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("above", pa.float64())])
 
-LISTED = "block long, place int, context long, suffix long, symbol long, n long, total long, above double"
 
+def _added(kind: str, **cols) -> pa.Table:
+    size = len(next(iter(cols.values())))
+    cols["kind"] = [kind] * size
+    return pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in _ADDED], schema=_ADDED)
 
-def _list(n: int, v: int, level: int):
-    """Rows of two kinds: the pairs that this block writes, and (block, place, context) of all its contexts."""
+
+def _add(level: int, least: float):
+    """Sums of a part's entries over all blocks, the test of its contexts, and the answer to each block.
+
+    A frequent context's salted entries give partial sums, and a row for each block that asks for their outcome.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        walk = _replay(rows, n, v, level - 1)
-        walk.extend()
-        pair_n, total, mine = walk.answers()
-        k = walk.listed[walk.pair_some[mine]]
-        place = np.flatnonzero(total)
-        signed = lambda x: pa.array(x.view(np.int64))
-        none = lambda size, kind: pa.nulls(size, kind)
-        pairs = [none(len(k), pa.int64()), none(len(k), pa.int32()), signed(walk.longer[k]), signed(walk.context[k]), signed(walk.block.words[walk.block.toks[walk.pos[k]]]),
-                 pa.array(pair_n[mine]), pa.array(total[walk.at[k]]), pa.array(walk.p[walk.pos[k]])]
-        size = len(place)
-        own = [pa.array(np.full(size, walk.number, np.int64)), pa.array(place.astype(np.int32)), signed(walk.contexts[place]), *(none(size, pa.int64()) for _ in range(4)), none(size, pa.float64())]
-        names = [c.split()[0] for c in LISTED.split(", ")]
-        return pa.concat_tables([pa.table(pairs, names=names), pa.table(own, names=names)])
+        kinds = (np.uint64, np.int32, np.int32, np.int64, np.int64, np.uint64, np.int64, np.int64)
+        got = [_unbundle(data.as_py(), *kinds) for data in rows.column("data")]
+        entries, pairs = [len(g[0]) for g in got], [len(g[5]) for g in got]
+        whole = lambda i: np.concatenate([np.cumsum(g[i], dtype=np.uint64) if kinds[i] is np.uint64 else g[i] for g in got])
+        keys, at, some = _distinct(whole(0))
+        subs, t = whole(1), whole(3)[some]
+        sub, total = subs[some], np.bincount(at, whole(4), len(keys)).astype(np.int64)
+        of = np.repeat(at, whole(2))
+        _, pair_at, some = _distinct(deeper(keys[of], whole(5)))
+        n = np.bincount(pair_at, whole(6), len(some)).astype(np.int64)
+        n[n < MIN_COUNT] = 0
+        own = n > 0
+        of, x, less = of[some][own], whole(7)[some][own], n[own] - DISCOUNT
+        above = (x if level == 1 else x - DISCOUNT) / t[of]
+        add = lambda y: np.bincount(of, y, len(keys))
+        m, a, b, under = np.bincount(of, minlength=len(keys)), add(less), add(less * np.log(less / above)), add(above)
+        kept, rest = _kept(np.maximum(total, 1), m, a, b, under, least, np.log, np.maximum)
+        kept &= sub == 0
+        answer, i, j, out = np.where(kept, total, np.where(sub > 0, -1, 0)), 0, 0, []
+        blocks, part = rows.column("block").to_numpy(), rows.column("part")[0].as_py()
+        for e, q in zip(entries, pairs, strict=True):
+            own_at = at[i : i + e]
+            out.append(_bundle(n[pair_at[j : j + q]], answer[own_at], rest[own_at][kept[own_at]]))
+            i, j = i + e, j + q
+        ask = subs == 1
+        salted = np.flatnonzero(sub)
+        context = (keys[salted] - (sub[salted] - 1).astype(np.uint64) * _G).view(np.int64)
+        return pa.concat_tables([
+            _added("sums", block=blocks, level=[level] * len(out), part=[part] * len(out), data=out),
+            _added("kept", total=[int(kept.sum())]),
+            _added("partial", context=context, total=total[salted], m=m[salted], a=a[salted], b=b[salted], above=under[salted]),
+            _added("ask", block=np.repeat(blocks, entries)[ask], context=keys[at[ask]].view(np.int64)),
+        ])
 
     return run
 
 
-def _pack(kind: str, level: int, value: str, of):
+def _frequent(added: DataFrame, least: float) -> DataFrame:
+    """(block, context, total, rest): outcome of the test of salted contexts, for the blocks that ask; exact sums, in whatever order."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,12)")).cast("double").alias(c)
+    sums = added.filter("kind = 'partial'").groupBy("context").agg(F.sum("total").alias("total"), F.sum("m").alias("m"), exact("a"), exact("b"), exact("above"))
+    kept, rest = _kept(*(F.col(c) for c in ("total", "m", "a", "b", "above")), least, F.log, lambda x, y: F.greatest(x, F.lit(y)))
+    return added.filter("kind = 'ask'").select("block", "context").join(sums.filter(kept).select("context", "total", rest.alias("rest")), "context")
+
+
+def _pack(kind: str, level: int, **kinds):
     def run(rows: pa.Table) -> pa.Table:
-        data = _bundle(rows.column("place").to_numpy().astype(np.int32), rows.column(value).to_numpy().astype(of))
+        data = _bundle(*(rows.column(c).to_numpy().astype(k) for c, k in kinds.items()))
         return _packed([(rows.column("block")[0].as_py(), kind, level, 0, data)])
 
     return run
 
 
-def tested(pairs: DataFrame, least: float) -> DataFrame:
-    """(context, suffix, total, rest) of the contexts that stay: the share that the suffix's distribution gets."""
-    p = (F.col("n") - DISCOUNT) / F.col("total")
-    total = lambda x: F.sum(F.rint(x * UNITS).cast("long")) / UNITS
-    sums = pairs.filter(F.col("total") >= least).groupBy("context").agg(
-        F.first("suffix").alias("suffix"), F.max("total").alias("total"), F.count("*").alias("m"), total(p).alias("mass"),
-        total(F.col("above")).alias("mass_above"), total(p * F.log(p / F.col("above"))).alias("gain"))
-    left, left_above = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mass", "mass_above"))
-    divergence = F.col("gain") + left * F.log(left / left_above)
-    kept = F.col("total") * divergence > 0.5 * F.col("m") * F.log(F.greatest("total", F.lit(2)))
-    return sums.filter(kept).select("context", "suffix", "total", ((1 - F.col("mass")) / left_above).alias("rest"))
-
-
 class Level:
     """Contexts of one length: sorted hashes, suffix places, next tokens."""
 
@@ -344,10 +486,23 @@ class Level:
 
 
 class Tree:
-    """The tree's tables by level: kept contexts, and their (context, symbol, n); ``answers`` are what blocks need of them."""
+    """The model: what each block needs to know of each level, a walk to go on from, and the kept levels' number."""
+
+    def __init__(self, blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int):
+        self.blocks, self.known, self.words, self.n, self.v = blocks, known, words, n, v
+        self.answers: list[DataFrame] = []
+        self.depth, self.state = 0, None
 
-    def __init__(self, words: DataFrame, n: int, v: int):
-        self.words, self.n, self.v, self.tables, self.answers = words, n, v, [], []
+    def walks(self, level: int, state: DataFrame | None):
+        """Rows by block to walk to a level: from the texts, or from a walk stored two levels before."""
+        return _together([self.blocks, self.known, *self.answers[:level]] if state is None else [state, *self.answers[level - 1 : level]])
+
+    def scores(self) -> DataFrame:
+        return self.walks(self.depth, self.state).applyInArrow(_score(self.n, self.v, self.depth), SCORED)
+
+    def contexts(self) -> DataFrame:
+        """(level, context, suffix, symbol, n, total, rest): a row for each kept context, and for each next token of its own."""
+        return self.walks(self.depth, None).applyInArrow(_tell(self.n, self.v, self.depth), TOLD).dropDuplicates(["level", "context", "symbol"])
 
     # The tree as arrays, to look at a small one; scoring doesn't use them.
     @cached_property
@@ -363,9 +518,10 @@ class Tree:
     @cached_property
     def levels(self) -> list[Level]:
         out: list[Level] = []
-        for contexts, pairs in self.tables:
-            own = pairs.join(contexts.select("context"), "context", "left_semi").toArrow()
-            out.append(Level(contexts.toArrow(), own, self.symbols, out[-1].keys if out else np.empty(0, np.uint64)))
+        for d in range(1, self.depth + 1):
+            rows = self.contexts().filter(F.col("level") == d)
+            contexts, pairs = rows.filter("symbol IS NULL").toArrow(), rows.filter("symbol IS NOT NULL").toArrow()
+            out.append(Level(contexts, pairs, self.symbols, out[-1].keys if out else np.empty(0, np.uint64)))
         return out
 
     def prob(self, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -388,21 +544,25 @@ def _together(tables: list[DataFrame]):
 
 def learn(blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int, tokens: int, depth: int | None = None) -> Tree:
     """The tree; ``words`` (word, c) are the training counts, n their sum and v their number; ``known`` gives each block its own."""
-    tree, least = Tree(words, n, v), max(MIN_COUNT, P_MIN * n)
+    tree, least = Tree(blocks, known, words, n, v), max(MIN_COUNT, P_MIN * n)
     parts = max(1, math.ceil(tokens / PART_PAIRS))
     for d in count(1) if depth is None else range(1, depth + 1):
-        so_far = [blocks, known, *tree.answers]
-        dealt = _together(so_far).applyInArrow(_deal(n, v, d, parts), PACKED)
-        sums = materialize(dealt.groupBy("part").applyInArrow(_add, PACKED), f"suffix-sums{d}")
-        listed = materialize(_together([*so_far, sums]).applyInArrow(_list(n, v, d), LISTED), f"suffix-listed{d}")
-        pairs = listed.filter("block IS NULL").select("context", "suffix", "symbol", "n", "total", "above")
-        contexts = materialize(tested(pairs, least), f"suffix-contexts{d}")
-        if contexts.isEmpty():
+        again = d <= FROM_TEXTS or (d - FROM_TEXTS - 1) % REACH == 0
+        walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts), PACKED)
+        if d > FROM_TEXTS:
+            walked = materialize(walked, f"suffix-walk{d}")
+            tree.state = walked.filter("kind = 'state'")
+        added = materialize(walked.filter("kind = 'pairs'").groupBy("part").applyInArrow(_add(d, least), ADDED), f"suffix-sums{d}")
+        found = added.agg(F.sum(F.when(F.col("kind") == "kept", F.col("total"))).alias("kept"), F.count(F.when(F.col("kind") == "partial", 1)).alias("partial")).collect()[0]  # two numbers
+        answers, kept = added.filter("kind = 'sums'").select(*_COLUMNS), int(found["kept"] or 0)
+        if found["partial"]:
+            of = _frequent(added, least).groupBy("block").applyInArrow(_pack("hot", d, context=np.int64, total=np.int64, rest=np.float64), PACKED)
+            hot = materialize(of, f"suffix-hot{d}")
+            answers, kept = answers.unionByName(hot), kept + (not hot.isEmpty())
+        if not kept:
             break
-        back = listed.filter("block IS NOT NULL").select("block", "place", "context").join(contexts.select("context", "rest"), "context")
-        rest = materialize(back.groupBy("block").applyInArrow(_pack("rest", d, "rest", np.float64), PACKED), f"suffix-rest{d}")
-        tree.tables.append((contexts, pairs))
-        tree.answers += [sums, rest]
+        tree.depth = d
+        tree.answers.append(answers)
     return tree
 
 
@@ -410,17 +570,27 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(n: int, v: int, depth: int):
+    return lambda rows: _walked(rows, n, v, depth).scored(n)
+
+
+TOLD = "level int, context long, suffix long, symbol long, n long, total long, rest double"
+
+
+def _tell(n: int, v: int, depth: int):
     def run(rows: pa.Table) -> pa.Table:
-        walk = Walk(rows, n, v)
-        block, toks = walk.block, walk.block.toks
-        base = np.add.reduceat(np.log10(walk.p), block.starts)
-        for _ in range(depth):
+        walk, out, names = _walked(rows, n, v, 0), [], [c.split()[0] for c in TOLD.split(", ")]
+        for d in range(1, depth + 1):
             walk.extend()
+            pair_n, total, rest = walk.answers()
+            symbol = walk.words[walk.sym]
+            one = np.unique(walk.at, return_index=True)[1]
+            for at, n_own in ((one[total[walk.at[one]] > 0], None), (walk.pair_some[(pair_n > 0) & (total[walk.at[walk.pair_some]] > 0)], pair_n[(pair_n > 0) & (total[walk.at[walk.pair_some]] > 0)])):
+                signed = [pa.array(x[at].view(np.int64)) for x in (walk.longer, walk.context, symbol)]
+                cols = [pa.array(np.full(len(at), d, np.int32)), *signed[:2], pa.nulls(len(at), pa.int64()) if n_own is None else signed[2],
+                        pa.nulls(len(at), pa.int64()) if n_own is None else pa.array(n_own), pa.array(total[walk.at[at]]), pa.array(rest[walk.at[at]])]
+                out.append(pa.table(cols, names=names))
             walk.advance()
-        full = np.add.reduceat(np.log10(walk.p), block.starts)
-        known = np.add.reduceat((walk.c > 0)[toks].astype(np.int64), block.starts)
-        cols = [pa.array(block.ids, pa.int64()), pa.array(~block.train), pa.array(block.sizes), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(full)]
-        return pa.table(cols, names=[c.split()[0] for c in SCORED.split(", ")])
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 5, pa.float64())], names=names)
 
     return run
 
@@ -433,9 +603,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()[0]  # two numbers
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     counts = listed.select("block", "place", "word").join(words, "word").select("block", "place", "c")
-    known = materialize(counts.groupBy("block").applyInArrow(_pack("known", 0, "c", np.int64), PACKED), "suffix-known")
+    known = materialize(counts.groupBy("block").applyInArrow(_pack("known", 0, place=np.int32, c=np.int64), PACKED), "suffix-known")
     tree = learn(blocks, known, words, n, v, n * MODULUS // (MODULUS - 1), depth)
-    return _together([blocks, known, *tree.answers]).applyInArrow(_score(n, v, len(tree.tables)), SCORED)
+    return tree.scores()
 
 
 def op8_suffix_tree(spark, sf_dir: str) -> DataFrame:
