@@ -49,7 +49,7 @@ MIN_COUNT = 2
 P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
-TEXT_BYTES, PART_PAIRS = 16 << 20, 2_000_000
+TEXT_BYTES, PART_PAIRS = 12 << 20, 2_000_000
 #: A context that may occur more often than this is summed in that many parts more.
 SALT_AT = 1 << 20
 #: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
@@ -86,14 +86,25 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct values, the place of each x among them, and where one of each stands."""
-    order = np.argsort(x)
-    new = np.ones(len(x), bool)
-    new[1:] = x[order[1:]] != x[order[:-1]]
+    """Sorted distinct values, the place of each x among them, and where one of each stands.
+
+    Sorted are the high bits with the place in the low ones, which is faster than to sort places; different
+    values with the same high bits, which are rare among hashes, are sorted in full.
+    """
+    low = max(1, int(len(x)).bit_length())
+    x = x.astype(np.uint64, copy=False)
+    free = np.uint64(max(0, 64 - int(x.max()).bit_length()) if len(x) else 0)
+    mask = np.uint64((1 << low) - 1)
+    order = np.sort(((x << free) & ~mask) | np.arange(len(x), dtype=np.uint64)) & mask
+    ordered, new = x[order], np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (new[1:] & ((((ordered[1:] ^ ordered[:-1]) << free) & ~mask) == 0)).any():
+        order = np.argsort(x)
+        ordered = x[order]
+        new[1:] = ordered[1:] != ordered[:-1]
     at = np.empty(len(x), np.int64)
     at[order] = np.cumsum(new) - 1
-    some = order[new]
-    return x[some], at, some
+    return ordered[new], at, order[new].astype(np.int64)
 
 
 # ---------------------------------------------------------------- blocks of numbered tokens
@@ -166,14 +177,42 @@ class Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, place, word, n): a block's distinct tokens with their training counts."""
-    for b in batches:
-        for number, data in zip(b.column(0).to_pylist(), b.column(4), strict=True):
-            block = Block(data.as_py())
-            n = np.bincount(block.toks, np.repeat(block.train, block.sizes), len(block.words)).astype(np.int64)
-            place = np.arange(len(n), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number, np.int64)), pa.array(place), pa.array(block.words.view(np.int64)), pa.array(n)], ["block", "place", "word", "n"])
+def _deal_words(parts: int):
+    """A block's distinct tokens with their training counts, a run of the sorted hashes to each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column(0).to_pylist(), b.column(4), strict=True):
+                block = Block(data.as_py())
+                n = np.bincount(block.toks, np.repeat(block.train, block.sizes), len(block.words)).astype(np.int64)
+                order = np.argsort(block.words)
+                words, n = block.words[order], n[order]
+                out = [(number, "words", 0, p, _bundle(np.diff(words[a:b], prepend=np.uint64(0)), n[a:b])) for p, a, b in _runs(words, parts)]
+                yield from _packed(out).to_batches()
+
+    return run
+
+
+def _runs(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted keys."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return [(int(part[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def _add_words(rows: pa.Table) -> pa.Table:
+    """The training counts of a part's tokens over all blocks, to each block; and how many there are."""
+    got = [_unbundle(data.as_py(), np.uint64, np.int64) for data in rows.column("data")]
+    keys, at, _ = _distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]))
+    c = np.bincount(at, np.concatenate([n for _, n in got]), len(keys)).astype(np.int64)
+    part, out, a = rows.column("part")[0].as_py(), [], 0
+    for k, _ in got:
+        out.append(_bundle(c[at[a : a + len(k)]]))
+        a += len(k)
+    return pa.concat_tables([
+        _added("known", block=rows.column("block").to_numpy(), level=[0] * len(out), part=[part] * len(out), data=out),
+        _added("sum", total=[int(c.sum())], m=[int((c > 0).sum())]),
+    ])
 
 
 class Walk:
@@ -192,16 +231,14 @@ class Walk:
 
     def from_texts(self, n: int, v: int) -> Walk:
         block = Block(self.held["texts", 0][0])
-        c = np.full(len(block.words), -1, np.int64)
-        if ("known", 0) in self.held:
-            place, counts = _unbundle(self.held["known", 0][0], np.int32, np.int64)
-            c[place] = counts
-        if (c < 0).any():
-            raise RuntimeError("a block holds a token that its counts lack")
-        toks, self.ids, self.train, self.sizes = block.toks, block.ids, block.train, block.sizes
+        counts = np.concatenate([_unbundle(data, np.int64)[0] for data in self.held["known", 0]])
+        if len(counts) != len(block.words):
+            raise RuntimeError("a block's tokens and their counts differ")
+        c = np.empty(len(counts), np.int64)
+        c[np.argsort(block.words)] = counts
+        toks, self.ids, self.train, self.sizes, self.c = block.toks, block.ids, block.train, block.sizes, c
         p = (c + 1) / (n + v + 1)
-        logs = np.log10(p)[toks]
-        self.base = np.add.reduceat(logs, block.starts)
+        self.base = np.add.reduceat(np.log10(p)[toks], block.starts)
         self.known = np.add.reduceat((c > 0)[toks].astype(np.int64), block.starts)
         self.full, self.level, self.words, self.toks = np.zeros(len(self.ids)), 0, block.words, toks
         self.inside = (np.arange(len(toks)) - np.repeat(block.starts, self.sizes)).astype(np.int32)
@@ -305,16 +342,13 @@ class Walk:
         seen = np.zeros(len(self.keys), np.int64)
         seen[self.place] = np.bincount(self.at, train, len(self.place)).astype(np.int64)
         n = np.bincount(self.pair_at, train[self.listed], self.pairs).astype(np.int64)
-        part = ((self.keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         ends, out = np.concatenate([[0], np.cumsum(self.entry_pairs)]), []
         t, x = self.t[self.entry_some], self.x[self.pair_some]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a < b:
-                i, j = ends[a], ends[b]
-                step = lambda y: np.diff(y, prepend=np.uint64(0))
-                data = _bundle(step(self.keys[a:b]), self.sub[a:b], self.entry_pairs[a:b], t[a:b], seen[a:b], step(self.symbols[i:j]), n[i:j], x[i:j])
-                out.append((self.number, "pairs", self.level, int(part[a]), data))
+        for part, a, b in _runs(self.keys, parts):
+            i, j = ends[a], ends[b]
+            step = lambda y: np.diff(y, prepend=np.uint64(0))
+            data = _bundle(step(self.keys[a:b]), self.sub[a:b], self.entry_pairs[a:b], t[a:b], seen[a:b], step(self.symbols[i:j]), n[i:j], x[i:j])
+            out.append((self.number, "pairs", self.level, part, data))
         return out
 
     def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -488,8 +522,8 @@ class Level:
 class Tree:
     """The model: what each block needs to know of each level, a walk to go on from, and the kept levels' number."""
 
-    def __init__(self, blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int):
-        self.blocks, self.known, self.words, self.n, self.v = blocks, known, words, n, v
+    def __init__(self, blocks: DataFrame, known: DataFrame, n: int, v: int):
+        self.blocks, self.known, self.n, self.v = blocks, known, n, v
         self.answers: list[DataFrame] = []
         self.depth, self.state = 0, None
 
@@ -501,14 +535,14 @@ class Tree:
         return self.walks(self.depth, self.state).applyInArrow(_score(self.n, self.v, self.depth), SCORED)
 
     def contexts(self) -> DataFrame:
-        """(level, context, suffix, symbol, n, total, rest): a row for each kept context, and for each next token of its own."""
+        """(level, context, suffix, symbol, n, total, rest): a row for each kept context, and for each next token of its own; level 0 is the root."""
         return self.walks(self.depth, None).applyInArrow(_tell(self.n, self.v, self.depth), TOLD).dropDuplicates(["level", "context", "symbol"])
 
     # The tree as arrays, to look at a small one; scoring doesn't use them.
     @cached_property
     def _root(self) -> tuple[np.ndarray, np.ndarray]:
-        t = self.words.filter("c > 0").toArrow()
-        hashes, c = t.column("word").to_numpy().view(np.uint64), t.column("c").to_numpy()
+        t = self.contexts().filter("level = 0 AND n > 0").toArrow()
+        hashes, c = t.column("symbol").to_numpy().view(np.uint64), t.column("n").to_numpy()
         order = np.argsort(hashes)
         return hashes[order], (c[order] + 1) / (self.n + self.v + 1)
 
@@ -542,10 +576,10 @@ def _together(tables: list[DataFrame]):
     return out.groupBy("block")
 
 
-def learn(blocks: DataFrame, known: DataFrame, words: DataFrame, n: int, v: int, tokens: int, depth: int | None = None) -> Tree:
-    """The tree; ``words`` (word, c) are the training counts, n their sum and v their number; ``known`` gives each block its own."""
-    tree, least = Tree(blocks, known, words, n, v), max(MIN_COUNT, P_MIN * n)
-    parts = max(1, math.ceil(tokens / PART_PAIRS))
+def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None = None) -> Tree:
+    """The tree; ``known`` gives each block the training counts of its tokens, n is the sum and v the number of all tokens'."""
+    tree, least = Tree(blocks, known, n, v), max(MIN_COUNT, P_MIN * n)
+    parts = max(1, math.ceil(n * MODULUS / (MODULUS - 1) / PART_PAIRS))
     for d in count(1) if depth is None else range(1, depth + 1):
         again = d <= FROM_TEXTS or (d - FROM_TEXTS - 1) % REACH == 0
         walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts), PACKED)
@@ -579,6 +613,8 @@ TOLD = "level int, context long, suffix long, symbol long, n long, total long, r
 def _tell(n: int, v: int, depth: int):
     def run(rows: pa.Table) -> pa.Table:
         walk, out, names = _walked(rows, n, v, 0), [], [c.split()[0] for c in TOLD.split(", ")]
+        size, far = len(walk.words), (pa.int64(), pa.float64())
+        out.append(pa.table([pa.array(np.zeros(size, np.int32)), *[pa.array(np.zeros(size, np.int64))] * 2, pa.array(walk.words.view(np.int64)), pa.array(walk.c), *(pa.nulls(size, k) for k in far)], names=names))
         for d in range(1, depth + 1):
             walk.extend()
             pair_n, total, rest = walk.answers()
@@ -590,7 +626,7 @@ def _tell(n: int, v: int, depth: int):
                         pa.nulls(len(at), pa.int64()) if n_own is None else pa.array(n_own), pa.array(total[walk.at[at]]), pa.array(rest[walk.at[at]])]
                 out.append(pa.table(cols, names=names))
             walk.advance()
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), *[pa.int64()] * 5, pa.float64())], names=names)
+        return pa.concat_tables(out)
 
     return run
 
@@ -598,13 +634,10 @@ def _tell(n: int, v: int, depth: int):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
     blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
-    listed = materialize(blocks.mapInArrow(_vocabulary, "block long, place int, word long, n long"), "suffix-listed")
-    words = materialize(listed.groupBy("word").agg(F.sum("n").alias("c")), "suffix-words")
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).collect()[0]  # two numbers
-    n, v = int(sums["n"] or 0), int(sums["v"] or 0)
-    counts = listed.select("block", "place", "word").join(words, "word").select("block", "place", "c")
-    known = materialize(counts.groupBy("block").applyInArrow(_pack("known", 0, place=np.int32, c=np.int64), PACKED), "suffix-known")
-    tree = learn(blocks, known, words, n, v, n * MODULUS // (MODULUS - 1), depth)
+    dealt = blocks.mapInArrow(_deal_words(max(1, blocks.count())), PACKED)
+    added = materialize(dealt.groupBy("part").applyInArrow(_add_words, ADDED), "suffix-words")
+    sums = added.filter("kind = 'sum'").agg(F.sum("total").alias("n"), F.sum("m").alias("v")).collect()[0]  # two numbers
+    tree = learn(blocks, added.filter("kind = 'known'").select(*_COLUMNS), int(sums["n"] or 0), int(sums["v"] or 0), depth)
     return tree.scores()
 
 
