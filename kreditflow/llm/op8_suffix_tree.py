@@ -49,7 +49,7 @@ MIN_COUNT = 2
 P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
-TEXT_BYTES, PART_PAIRS = 12 << 20, 2_000_000
+TEXT_BYTES, PART_PAIRS = 16 << 20, 2_000_000
 #: A context that may occur more often than this is summed in that many parts more.
 SALT_AT = 1 << 20
 #: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
@@ -91,20 +91,27 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Sorted are the high bits with the place in the low ones, which is faster than to sort places; different
     values with the same high bits, which are rare among hashes, are sorted in full.
     """
-    low = max(1, int(len(x)).bit_length())
+    low = np.uint64(int(len(x)).bit_length())
     x = x.astype(np.uint64, copy=False)
-    free = np.uint64(max(0, 64 - int(x.max()).bit_length()) if len(x) else 0)
-    mask = np.uint64((1 << low) - 1)
-    order = np.sort(((x << free) & ~mask) | np.arange(len(x), dtype=np.uint64)) & mask
+    free = np.uint64(64 - int(x.max()).bit_length() if len(x) else 0)
+    order = x << free
+    order >>= low
+    order <<= low
+    order |= np.arange(len(x), dtype=np.uint64)
+    order.sort()
+    order &= np.uint64((1 << int(low)) - 1)
     ordered, new = x[order], np.ones(len(x), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    if (new[1:] & ((((ordered[1:] ^ ordered[:-1]) << free) & ~mask) == 0)).any():
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    keys = ordered[new]
+    if (((keys[1:] ^ keys[:-1]) << free) >> low == 0).any():
         order = np.argsort(x)
         ordered = x[order]
-        new[1:] = ordered[1:] != ordered[:-1]
-    at = np.empty(len(x), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return ordered[new], at, order[new].astype(np.int64)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        keys = ordered[new]
+    del ordered
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys, at, order[new].astype(np.int64)
 
 
 # ---------------------------------------------------------------- blocks of numbered tokens
@@ -244,13 +251,14 @@ class Walk:
         self.inside = (np.arange(len(toks)) - np.repeat(block.starts, self.sizes)).astype(np.int32)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
         self.pos, self.p, self.x = np.arange(len(toks), dtype=np.int32), p[toks], np.where(c >= MIN_COUNT, c + 1, 0)[toks]
-        self.t, self.context = np.full(len(toks), n + v + 1), np.zeros(len(toks), np.uint64)
         # a context of one token occurs as often as the token, that of the start as often as the end
         followed = np.concatenate([[0], c[toks[:-1]]])
         followed[self.inside == 0] = c[block.words == END]
         self.rare = followed < MIN_COUNT
-        self.window, self.followed = None, followed[~self.rare]
+        self.window = None
         self._go_on(~self.rare)
+        # nothing is known of the suffix, so the contexts' own counts bound them
+        self.bound, self.t, self.context = followed[~self.rare], np.broadcast_to(np.int64(n + v + 1), len(self.pos)), None
         return self
 
     # ------------------------------------------------------------ the walk of few tokens, stored without its texts
@@ -293,7 +301,7 @@ class Walk:
         doc = self.doc[self.pos] if self.window is None else self.doc
         done = ~stays
         self.full = self.full + np.bincount(doc[done], np.log10(self.p[done]), len(self.full))
-        for name in ("pos", "p", "x", "t", "context", *(() if self.window is None else ("own_sym", "window", "inside", "doc"))):
+        for name in ("pos", "p", "x", *(("t", "context") if self.level else ()), *(() if self.window is None else ("own_sym", "window", "inside", "doc"))):
             setattr(self, name, getattr(self, name)[stays])
 
     # ------------------------------------------------------------ a level
@@ -301,44 +309,47 @@ class Walk:
         """Contexts of one token more, and the (context, next token) pairs that may occur often enough."""
         self.level += 1
         if self.window is None:
-            inside, doc = self.inside[self.pos], self.doc[self.pos]
-            before = np.where(inside >= self.level, self.words[self.toks[np.maximum(self.pos - self.level, 0)]], START)
+            before = self.words[self.toks[np.maximum(self.pos - self.level, 0)]]
+            before[self.inside[self.pos] < self.level] = START
         else:
-            doc, at = self.doc, self.window[:, self.level - self.first - 1]
+            at = self.window[:, self.level - self.first - 1]
             before = np.where(at >= 0, self.words[at] if len(self.words) else START, START)
         self.longer = before if self.level == 1 else deeper(self.context, before)
         contexts, self.at, some = _distinct(self.longer)
         # a pair is as rare as its suffix's at most
         self.listed = np.flatnonzero(self.x)
-        # a context occurs as often as its suffix at most
-        salts = (self.t if self.level > 1 else self.followed) // SALT_AT + 1
         order = np.argsort(self.words)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        sym, at = self.sym[self.listed], self.at[self.listed]
-        sub = ((self.words[sym] >> np.uint64(8)) % salts[self.listed].astype(np.uint64)).astype(np.uint64)
-        self.keys, self.sub, entry_some = contexts, (salts[some] > 1).astype(np.int32), some
-        entry = at
-        if sub.any():
-            own = contexts[at] + sub * _G
-            more, _, k = _distinct(own[sub > 0])
-            spread = np.flatnonzero(sub)[k]
+        sym, entry = self.sym[self.listed], self.at[self.listed]
+        self.keys, self.sub, self.entry_some = contexts, np.zeros(len(contexts), np.int32), some
+        # a context occurs as often as its suffix at most
+        bound = self.t if self.level > 1 else self.bound
+        if (bound >= SALT_AT).any():
+            salts = bound // SALT_AT + 1
+            self.sub = (salts[some] > 1).astype(np.int32)
+            sub = ((self.words[sym] >> np.uint64(8)) % salts[self.listed].astype(np.uint64)).astype(np.uint64)
+            spread = np.flatnonzero(sub)
+            own = contexts[entry]
+            own[spread] += sub[spread] * _G
+            more, _, k = _distinct(own[spread])
+            spread = spread[k]
             keys = np.concatenate([contexts, more])
             new = np.argsort(keys)
             self.keys = keys[new]
             self.sub = np.concatenate([self.sub, 1 + sub[spread].astype(np.int32)])[new]
-            entry_some = np.concatenate([some, self.listed[spread]])[new]
+            self.entry_some = np.concatenate([some, self.listed[spread]])[new]
             entry = np.searchsorted(self.keys, own)
         self.place = np.searchsorted(self.keys, contexts)
-        codes, self.pair_at, pair_some = _distinct(entry * len(self.words) + rank[sym])
-        self.entry_some, self.pair_some, self.pairs = entry_some, self.listed[pair_some], len(codes)
+        codes, self.pair_at, pair_some = _distinct(entry * np.int64(len(self.words)) + rank[sym])
+        codes = codes.view(np.int64)
+        self.pair_some, self.pairs = self.listed[pair_some], len(codes)
         self.entry_pairs = np.bincount(codes // max(1, len(self.words)), minlength=len(self.keys)).astype(np.int32)
         self.symbols = self.words[order][codes % max(1, len(self.words))] >> np.uint64(16)
-        self.trained = self.train[doc]
 
     def deal(self, parts: int) -> list[tuple]:
         """Entries (a context, or a salted part of a frequent one) with their pairs and training counts, a run of keys to each part."""
-        train = self.trained.astype(np.float64)
+        train = self.train[self.doc[self.pos] if self.window is None else self.doc].astype(np.float64)
         seen = np.zeros(len(self.keys), np.int64)
         seen[self.place] = np.bincount(self.at, train, len(self.place)).astype(np.int64)
         n = np.bincount(self.pair_at, train[self.listed], self.pairs).astype(np.int64)
@@ -373,9 +384,10 @@ class Walk:
         n[self.listed] = pair_n[self.pair_at]
         # how often the next longer context occurs, as the token before follows its own: 0 is under MIN_COUNT, -1 unknown
         if self.window is None:
-            grams = np.where(self.rare, 0, -1)
-            grams[self.pos] = n
-            grams = np.concatenate([[-1], grams[:-1]])
+            grams = np.full(len(self.rare) + 1, -1)
+            grams[1:][self.rare] = 0
+            grams[1:][self.pos] = n
+            grams = grams[:-1]
             grams[self.inside == 0] = -1
             self.rare |= grams == 0
             grams, inside = grams[self.pos], self.inside[self.pos]
@@ -619,9 +631,10 @@ def _tell(n: int, v: int, depth: int):
             walk.extend()
             pair_n, total, rest = walk.answers()
             symbol = walk.words[walk.sym]
+            suffix = np.zeros(len(walk.pos), np.uint64) if walk.context is None else walk.context
             one = np.unique(walk.at, return_index=True)[1]
             for at, n_own in ((one[total[walk.at[one]] > 0], None), (walk.pair_some[(pair_n > 0) & (total[walk.at[walk.pair_some]] > 0)], pair_n[(pair_n > 0) & (total[walk.at[walk.pair_some]] > 0)])):
-                signed = [pa.array(x[at].view(np.int64)) for x in (walk.longer, walk.context, symbol)]
+                signed = [pa.array(x[at].view(np.int64)) for x in (walk.longer, suffix, symbol)]
                 cols = [pa.array(np.full(len(at), d, np.int32)), *signed[:2], pa.nulls(len(at), pa.int64()) if n_own is None else signed[2],
                         pa.nulls(len(at), pa.int64()) if n_own is None else pa.array(n_own), pa.array(total[walk.at[at]]), pa.array(rest[walk.at[at]])]
                 out.append(pa.table(cols, names=names))
