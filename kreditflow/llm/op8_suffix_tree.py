@@ -207,19 +207,24 @@ def _runs(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(int(part[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def _add_words(rows: pa.Table) -> pa.Table:
-    """The training counts of a part's tokens over all blocks, to each block; and how many there are."""
-    got = [_unbundle(data.as_py(), np.uint64, np.int64) for data in rows.column("data")]
-    keys, at, _ = _distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]))
-    c = np.bincount(at, np.concatenate([n for _, n in got]), len(keys)).astype(np.int64)
-    part, out, a = rows.column("part")[0].as_py(), [], 0
-    for k, _ in got:
-        out.append(_bundle(c[at[a : a + len(k)]]))
-        a += len(k)
-    return pa.concat_tables([
-        _added("known", block=rows.column("block").to_numpy(), level=[0] * len(out), part=[part] * len(out), data=out),
-        _added("sum", total=[int(c.sum())], m=[int((c > 0).sum())]),
-    ])
+def _add_words(parts: int):
+    """The training counts of a part's tokens over all blocks, and numbers that all blocks share; and how many there are."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = [_unbundle(data.as_py(), np.uint64, np.int64) for data in rows.column("data")]
+        keys, at, _ = _distinct(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in got]))
+        c = np.bincount(at, np.concatenate([n for _, n in got]), len(keys)).astype(np.int64)
+        part, out, a = rows.column("part")[0].as_py(), [], 0
+        for k, _ in got:
+            own = at[a : a + len(k)]
+            out.append(_bundle(c[own], np.diff(own.astype(np.int64) * parts + part, prepend=0)))
+            a += len(k)
+        return pa.concat_tables([
+            _added("known", block=rows.column("block").to_numpy(), level=[0] * len(out), part=[part] * len(out), data=out),
+            _added("sum", total=[int(c.sum())], m=[int((c > 0).sum())]),
+        ])
+
+    return run
 
 
 class Walk:
@@ -238,11 +243,13 @@ class Walk:
 
     def from_texts(self, n: int, v: int) -> Walk:
         block = Block(self.held["texts", 0][0])
-        counts = np.concatenate([_unbundle(data, np.int64)[0] for data in self.held["known", 0]])
+        got = [_unbundle(data, np.int64, np.int64) for data in self.held["known", 0]]
+        counts = np.concatenate([x for x, _ in got])
         if len(counts) != len(block.words):
             raise RuntimeError("a block's tokens and their counts differ")
-        c = np.empty(len(counts), np.int64)
-        c[np.argsort(block.words)] = counts
+        c, self.symbol = np.empty(len(counts), np.int64), np.empty(len(counts), np.int64)
+        order = np.argsort(block.words)
+        c[order], self.symbol[order] = counts, np.concatenate([np.cumsum(x) for _, x in got])
         toks, self.ids, self.train, self.sizes, self.c = block.toks, block.ids, block.train, block.sizes, c
         p = (c + 1) / (n + v + 1)
         self.base = np.add.reduceat(np.log10(p)[toks], block.starts)
@@ -284,12 +291,12 @@ class Walk:
         few, at = np.unique(np.concatenate([sym.astype(np.int64), used.ravel()]), return_inverse=True)
         few_words = np.where(few < 0, START, self.words[np.maximum(few, 0)])
         at = at.astype(np.int32) - int(len(few) and few[0] < 0)  # the start stays -1
-        few_words = few_words[few >= 0]
+        few_words, symbol = few_words[few >= 0], self.symbol[few[few >= 0]]
         cols = {
             "depth": np.array([self.level, first], np.int64), "ids": np.array([0 if i is None else i for i in self.ids], np.int64),
             "missing": np.array([i is None for i in self.ids]), "train": self.train, "sizes": self.sizes, "base": self.base, "known": self.known,
-            "full": self.full, "words": few_words, "own_sym": at[: len(sym)], "window": at[len(sym) :], "inside": inside, "doc": doc,
-            "pos": self.pos, "p": self.p, "x": self.x, "t": self.t, "context": self.context}
+            "full": self.full, "words": few_words, "symbol": symbol, "own_sym": at[: len(sym)], "window": at[len(sym) :], "inside": inside, "doc": doc,
+            "pos": self.pos, "p": self.p, "x": self.x, "t": self.t, "bound": self.bound, "context": self.context}
         return _bundle(*(np.ascontiguousarray(cols[name], kind) for name, kind in STATE))
 
     @property
@@ -301,7 +308,7 @@ class Walk:
         doc = self.doc[self.pos] if self.window is None else self.doc
         done = ~stays
         self.full = self.full + np.bincount(doc[done], np.log10(self.p[done]), len(self.full))
-        for name in ("pos", "p", "x", *(("t", "context") if self.level else ()), *(() if self.window is None else ("own_sym", "window", "inside", "doc"))):
+        for name in ("pos", "p", "x", *(("t", "context", "bound") if self.level else ()), *(() if self.window is None else ("own_sym", "window", "inside", "doc"))):
             setattr(self, name, getattr(self, name)[stays])
 
     # ------------------------------------------------------------ a level
@@ -318,15 +325,13 @@ class Walk:
         contexts, self.at, some = _distinct(self.longer)
         # a pair is as rare as its suffix's at most
         self.listed = np.flatnonzero(self.x)
-        order = np.argsort(self.words)
+        order = np.argsort(self.symbol)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         sym, entry = self.sym[self.listed], self.at[self.listed]
         self.keys, self.sub, self.entry_some = contexts, np.zeros(len(contexts), np.int32), some
-        # a context occurs as often as its suffix at most
-        bound = self.t if self.level > 1 else self.bound
-        if (bound >= SALT_AT).any():
-            salts = bound // SALT_AT + 1
+        if (self.bound >= SALT_AT).any():
+            salts = self.bound // SALT_AT + 1
             self.sub = (salts[some] > 1).astype(np.int32)
             sub = ((self.words[sym] >> np.uint64(8)) % salts[self.listed].astype(np.uint64)).astype(np.uint64)
             spread = np.flatnonzero(sub)
@@ -345,7 +350,7 @@ class Walk:
         codes = codes.view(np.int64)
         self.pair_some, self.pairs = self.listed[pair_some], len(codes)
         self.entry_pairs = np.bincount(codes // max(1, len(self.words)), minlength=len(self.keys)).astype(np.int32)
-        self.symbols = self.words[order][codes % max(1, len(self.words))] >> np.uint64(16)
+        self.symbols = self.symbol[order][codes % max(1, len(self.words))].view(np.uint64)
 
     def deal(self, parts: int) -> list[tuple]:
         """Entries (a context, or a salted part of a frequent one) with their pairs and training counts, a run of keys to each part."""
@@ -397,7 +402,8 @@ class Walk:
         t = total[self.at]
         kept = t > 0
         self.p = np.where(kept, np.where(n > 0, (n - DISCOUNT) / np.maximum(t, 1), rest[self.at] * self.p), self.p)
-        self.x, self.t, self.context = n, t, self.longer
+        # where unknown, a context occurs as often as its suffix at most
+        self.x, self.t, self.context, self.bound = n, t, self.longer, np.where(grams < 0, t, grams)
         # a context that holds the start already has no longer one
         self._go_on(kept & (grams != 0) & (inside >= self.level))
 
@@ -410,8 +416,8 @@ class Walk:
 
 #: What is stored of a walk without texts.
 STATE = (("depth", np.int64), ("ids", np.int64), ("missing", np.bool_), ("train", np.bool_), ("sizes", np.int64), ("base", np.float64), ("known", np.int64), ("full", np.float64),
-         ("words", np.uint64), ("own_sym", np.int32), ("window", np.int32), ("inside", np.int32), ("doc", np.int32),
-         ("pos", np.int32), ("p", np.float64), ("x", np.int64), ("t", np.int64), ("context", np.uint64))
+         ("words", np.uint64), ("symbol", np.int64), ("own_sym", np.int32), ("window", np.int32), ("inside", np.int32), ("doc", np.int32),
+         ("pos", np.int32), ("p", np.float64), ("x", np.int64), ("t", np.int64), ("bound", np.int64), ("context", np.uint64))
 
 
 def _walked(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
@@ -647,8 +653,8 @@ def _tell(n: int, v: int, depth: int):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
     blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
-    dealt = blocks.mapInArrow(_deal_words(max(1, blocks.count())), PACKED)
-    added = materialize(dealt.groupBy("part").applyInArrow(_add_words, ADDED), "suffix-words")
+    parts = max(1, blocks.count())
+    added = materialize(blocks.mapInArrow(_deal_words(parts), PACKED).groupBy("part").applyInArrow(_add_words(parts), ADDED), "suffix-words")
     sums = added.filter("kind = 'sum'").agg(F.sum("total").alias("n"), F.sum("m").alias("v")).collect()[0]  # two numbers
     tree = learn(blocks, added.filter("kind = 'known'").select(*_COLUMNS), int(sums["n"] or 0), int(sums["v"] or 0), depth)
     return tree.scores()
