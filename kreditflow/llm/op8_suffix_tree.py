@@ -12,14 +12,17 @@ rest of the distribution follows the suffix's, so every state sums to one.  A
 token is scored in the longest context of the tree that ends before it.
 
 Counts cover the whole training part and are gathered by Spark; nothing of the
-tree reaches the driver or is broadcast.  Texts are split once and stored as
-compressed blocks of token numbers; each block lists its distinct tokens with
-counts, these are summed by token, and the sums go back to the blocks that hold
-the token.  For each level a block deals out its distinct (context, next token)
-pairs by hash, packed; each part sums them and answers every block.  One block of
-those that hold a pair writes it as a row, the rows are tested by context, and the
-contexts that stay go back to the blocks by a join.  Tokens, contexts and pairs
-are compared by 64-bit hashes.
+tree reaches the driver or is broadcast whole.  Texts are split once and stored as
+compressed blocks of token numbers; each block deals its distinct tokens with their
+counts by hash, and the sums go back to the blocks.  For each level a block deals its
+distinct contexts with their next tokens by the context's hash; each part sums them,
+tests its contexts and answers every block.  A context that may occur more than
+SALT_AT times is dealt in several parts, whose sums Spark adds and tests.  What is
+known to be rare is not dealt: a context occurs as often as its last token follows
+the rest of it, a pair at most as often as its suffix's.  The first levels walk from
+the texts; later ones go on from a stored walk of the tokens that are still in the
+tree, which looks at the texts again every REACH levels.  Contexts are compared by
+64-bit hashes.
 
 A null or empty text is one end token; rows without an id are numbered as the
 empty text; repeated rows are learned and scored each; an empty table gives an
@@ -49,7 +52,7 @@ MIN_COUNT = 2
 P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
-TEXT_BYTES, PART_PAIRS = 16 << 20, 2_000_000
+TEXT_BYTES, PART_PAIRS = 8 << 20, 1_000_000
 #: A context that may occur more often than this is summed in that many parts more.
 SALT_AT = 1 << 20
 #: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
