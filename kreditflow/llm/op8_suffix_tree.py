@@ -597,6 +597,21 @@ def _together(tables: list[DataFrame]):
     return out.groupBy("block")
 
 
+#: Spark removes the shuffle files of a finished job itself if this is set; else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A shared table, after which the shuffle files that led to it are of no use."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None = None) -> Tree:
     """The tree; ``known`` gives each block the training counts of its tokens, n is the sum and v the number of all tokens'."""
     tree, least = Tree(blocks, known, n, v), max(MIN_COUNT, P_MIN * n)
@@ -605,14 +620,14 @@ def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None
         again = d <= FROM_TEXTS or (d - FROM_TEXTS - 1) % REACH == 0
         walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts), PACKED)
         if d > FROM_TEXTS:
-            walked = materialize(walked, f"suffix-walk{d}")
+            walked = _stored(walked, f"suffix-walk{d}")
             tree.state = walked.filter("kind = 'state'")
-        added = materialize(walked.filter("kind = 'pairs'").groupBy("part").applyInArrow(_add(d, least), ADDED), f"suffix-sums{d}")
+        added = _stored(walked.filter("kind = 'pairs'").groupBy("part").applyInArrow(_add(d, least), ADDED), f"suffix-sums{d}")
         found = added.agg(F.sum(F.when(F.col("kind") == "kept", F.col("total"))).alias("kept"), F.count(F.when(F.col("kind") == "partial", 1)).alias("partial")).collect()[0]  # two numbers
         answers, kept = added.filter("kind = 'sums'").select(*_COLUMNS), int(found["kept"] or 0)
         if found["partial"]:
             of = _frequent(added, least).groupBy("block").applyInArrow(_pack("hot", d, context=np.int64, total=np.int64, rest=np.float64), PACKED)
-            hot = materialize(of, f"suffix-hot{d}")
+            hot = _stored(of, f"suffix-hot{d}")
             answers, kept = answers.unionByName(hot), kept + (not hot.isEmpty())
         if not kept:
             break
@@ -655,9 +670,9 @@ def _tell(n: int, v: int, depth: int):
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
-    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
+    blocks = _stored(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
     parts = max(1, blocks.count())
-    added = materialize(blocks.mapInArrow(_deal_words(parts), PACKED).groupBy("part").applyInArrow(_add_words(parts), ADDED), "suffix-words")
+    added = _stored(blocks.mapInArrow(_deal_words(parts), PACKED).groupBy("part").applyInArrow(_add_words(parts), ADDED), "suffix-words")
     sums = added.filter("kind = 'sum'").agg(F.sum("total").alias("n"), F.sum("m").alias("v")).collect()[0]  # two numbers
     tree = learn(blocks, added.filter("kind = 'known'").select(*_COLUMNS), int(sums["n"] or 0), int(sums["v"] or 0), depth)
     return tree.scores()
