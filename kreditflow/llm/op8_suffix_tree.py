@@ -36,6 +36,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,17 @@ TEXT_BYTES, PART_PAIRS = 8 << 20, 1_000_000
 SALT_AT = 1 << 20
 #: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
 FROM_TEXTS, REACH = 3, 16
+
+
+class Limits(NamedTuple):
+    """When contexts are salted, how many pairs a part takes, and which walks are stored (the first level never is); no result depends on it."""
+
+    salt_at: int = SALT_AT
+    part_pairs: int = PART_PAIRS
+    from_texts: int = FROM_TEXTS
+    reach: int = REACH
+
+
 #: Text start and end, and any next token, are hashed from bytes that no word can be, as words hold no space.
 START, END = (np.uint64(xxhash.xxh64_intdigest(b" " + x)) for x in (b"start", b"end"))
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -238,7 +250,8 @@ class Walk:
     its context (``x`` 0 under MIN_COUNT), and ``longer`` is None before the next contexts are looked at.
     """
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, limits: Limits):
+        self.limits = limits
         self.number = rows.column("block")[0].as_py()
         self.held: dict = {}
         for kind, level, part, data in sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "level", "part", "data")), strict=True), key=lambda r: r[:3]):
@@ -276,7 +289,7 @@ class Walk:
         got = _unbundle(self.held["state", 0][0], *(k for _, k in STATE))
         for (name, _), x in zip(STATE, got, strict=True):
             setattr(self, name, x)
-        self.level, self.window = int(self.depth[0]), self.window.reshape(-1, REACH)
+        self.level, self.window = int(self.depth[0]), self.window.reshape(-1, self.limits.reach)
         self.ids = [None if m else int(i) for i, m in zip(self.ids, self.missing, strict=True)]
         self.first, self.rare = int(self.depth[1]), None
         return self
@@ -286,7 +299,7 @@ class Walk:
         first = self.first if self.window is not None else self.level
         sym = self.sym
         if self.window is None:
-            back = np.arange(1, REACH + 1, dtype=np.int32) + first
+            back = np.arange(1, self.limits.reach + 1, dtype=np.int32) + first
             used = np.where(self.inside[self.pos][:, None] >= back, self.toks[np.maximum(self.pos[:, None] - back, 0)].astype(np.int64), -1)
             inside, doc = self.inside[self.pos], self.doc[self.pos]
         else:
@@ -333,8 +346,8 @@ class Walk:
         rank[order] = np.arange(len(order))
         sym, entry = self.sym[self.listed], self.at[self.listed]
         self.keys, self.sub, self.entry_some = contexts, np.zeros(len(contexts), np.int32), some
-        if (self.bound >= SALT_AT).any():
-            salts = self.bound // SALT_AT + 1
+        if (self.bound >= self.limits.salt_at).any():
+            salts = self.bound // self.limits.salt_at + 1
             self.sub = (salts[some] > 1).astype(np.int32)
             sub = ((self.words[sym] >> np.uint64(8)) % salts[self.listed].astype(np.uint64)).astype(np.uint64)
             spread = np.flatnonzero(sub)
@@ -423,8 +436,8 @@ STATE = (("depth", np.int64), ("ids", np.int64), ("missing", np.bool_), ("train"
          ("pos", np.int32), ("p", np.float64), ("x", np.int64), ("t", np.int64), ("bound", np.int64), ("context", np.uint64))
 
 
-def _walked(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
-    walk = Walk(rows)
+def _walked(rows: pa.Table, n: int, v: int, depth: int, limits: Limits) -> Walk:
+    walk = Walk(rows, limits)
     walk = walk.from_state() if ("state", 0) in walk.held else walk.from_texts(n, v)
     while walk.level < depth:
         walk.extend()
@@ -433,12 +446,12 @@ def _walked(rows: pa.Table, n: int, v: int, depth: int) -> Walk:
 
 
 # ---------------------------------------------------------------- one level of the tree
-def _deal(n: int, v: int, level: int, parts: int):
+def _deal(n: int, v: int, level: int, parts: int, limits: Limits):
     """A block's entries to the parts; past the first levels also its walk without the texts."""
 
     def run(rows: pa.Table) -> pa.Table:
-        walk = _walked(rows, n, v, level - 1)
-        out = [(walk.number, "state", 0, 0, walk.state())] if level > FROM_TEXTS else []
+        walk = _walked(rows, n, v, level - 1, limits)
+        out = [(walk.number, "state", 0, 0, walk.state())] if level > limits.from_texts else []
         walk.extend()
         return _packed(out + walk.deal(parts))
 
@@ -543,8 +556,8 @@ class Level:
 class Tree:
     """The model: what each block needs to know of each level, a walk to go on from, and the kept levels' number."""
 
-    def __init__(self, blocks: DataFrame, known: DataFrame, n: int, v: int):
-        self.blocks, self.known, self.n, self.v = blocks, known, n, v
+    def __init__(self, blocks: DataFrame, known: DataFrame, n: int, v: int, limits: Limits):
+        self.blocks, self.known, self.n, self.v, self.limits = blocks, known, n, v, limits
         self.answers: list[DataFrame] = []
         self.depth, self.state = 0, None
 
@@ -553,11 +566,11 @@ class Tree:
         return _together([self.blocks, self.known, *self.answers[:level]] if state is None else [state, *self.answers[level - 1 : level]])
 
     def scores(self) -> DataFrame:
-        return self.walks(self.depth, self.state).applyInArrow(_score(self.n, self.v, self.depth), SCORED)
+        return self.walks(self.depth, self.state).applyInArrow(_score(self.n, self.v, self.depth, self.limits), SCORED)
 
     def contexts(self) -> DataFrame:
         """(level, context, suffix, symbol, n, total, rest): a row for each kept context, and for each next token of its own; level 0 is the root."""
-        return self.walks(self.depth, None).applyInArrow(_tell(self.n, self.v, self.depth), TOLD).dropDuplicates(["level", "context", "symbol"])
+        return self.walks(self.depth, None).applyInArrow(_tell(self.n, self.v, self.depth, self.limits), TOLD).dropDuplicates(["level", "context", "symbol"])
 
     # The tree as arrays, to look at a small one; scoring doesn't use them.
     @cached_property
@@ -612,14 +625,14 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
-def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None = None) -> Tree:
+def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None = None, limits: Limits = Limits()) -> Tree:
     """The tree; ``known`` gives each block the training counts of its tokens, n is the sum and v the number of all tokens'."""
-    tree, least = Tree(blocks, known, n, v), max(MIN_COUNT, P_MIN * n)
-    parts = max(1, math.ceil(n * MODULUS / (MODULUS - 1) / PART_PAIRS))
+    tree, least = Tree(blocks, known, n, v, limits), max(MIN_COUNT, P_MIN * n)
+    parts = max(1, math.ceil(n * MODULUS / (MODULUS - 1) / limits.part_pairs))
     for d in count(1) if depth is None else range(1, depth + 1):
-        again = d <= FROM_TEXTS or (d - FROM_TEXTS - 1) % REACH == 0
-        walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts), PACKED)
-        if d > FROM_TEXTS:
+        again = d <= limits.from_texts or (d - limits.from_texts - 1) % limits.reach == 0
+        walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts, limits), PACKED)
+        if d > limits.from_texts:
             walked = _stored(walked, f"suffix-walk{d}")
             tree.state = walked.filter("kind = 'state'")
         added = _stored(walked.filter("kind = 'pairs'").groupBy("part").applyInArrow(_add(d, least), ADDED), f"suffix-sums{d}")
@@ -639,16 +652,16 @@ def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n: int, v: int, depth: int):
-    return lambda rows: _walked(rows, n, v, depth).scored(n)
+def _score(n: int, v: int, depth: int, limits: Limits):
+    return lambda rows: _walked(rows, n, v, depth, limits).scored(n)
 
 
 TOLD = "level int, context long, suffix long, symbol long, n long, total long, rest double"
 
 
-def _tell(n: int, v: int, depth: int):
+def _tell(n: int, v: int, depth: int, limits: Limits):
     def run(rows: pa.Table) -> pa.Table:
-        walk, out, names = _walked(rows, n, v, 0), [], [c.split()[0] for c in TOLD.split(", ")]
+        walk, out, names = _walked(rows, n, v, 0, limits), [], [c.split()[0] for c in TOLD.split(", ")]
         size, far = len(walk.words), (pa.int64(), pa.float64())
         out.append(pa.table([pa.array(np.zeros(size, np.int32)), *[pa.array(np.zeros(size, np.int64))] * 2, pa.array(walk.words.view(np.int64)), pa.array(walk.c), *(pa.nulls(size, k) for k in far)], names=names))
         for d in range(1, depth + 1):
@@ -668,13 +681,13 @@ def _tell(n: int, v: int, depth: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, limits: Limits = Limits()) -> DataFrame:
     """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
     blocks = _stored(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
     parts = max(1, blocks.count())
     added = _stored(blocks.mapInArrow(_deal_words(parts), PACKED).groupBy("part").applyInArrow(_add_words(parts), ADDED), "suffix-words")
     sums = added.filter("kind = 'sum'").agg(F.sum("total").alias("n"), F.sum("m").alias("v")).collect()[0]  # two numbers
-    tree = learn(blocks, added.filter("kind = 'known'").select(*_COLUMNS), int(sums["n"] or 0), int(sums["v"] or 0), depth)
+    tree = learn(blocks, added.filter("kind = 'known'").select(*_COLUMNS), int(sums["n"] or 0), int(sums["v"] or 0), depth, limits)
     return tree.scores()
 
 

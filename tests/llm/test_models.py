@@ -239,6 +239,9 @@ def test_suffix_tree_grows_past_two_tokens(spark):
     assert len(levels) >= 4
     rows = S.score_texts(docs).collect()
     assert Counter((r.doc_id, round(r.score, 6)) for r in rows) == want
+    # frequent contexts in salted parts, many parts, walks that look at their texts again every two levels
+    for limits in (S.Limits(salt_at=300, part_pairs=500), S.Limits(from_texts=1, reach=2), S.Limits(salt_at=50, part_pairs=2_000, from_texts=1, reach=1)):
+        assert Counter((r.doc_id, round(r.score, 6)) for r in S.score_texts(docs, limits=limits).collect()) == want
     two = {r.doc_id: r.score for r in S.score_texts(docs, depth=2).collect()}
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(two[r.doc_id] for r in held) + 0.01 * sum(r.n_tokens for r in held)
