@@ -13,7 +13,8 @@ token is scored in the longest context of the tree that ends before it.
 
 Counts cover the whole training part and are gathered by Spark; nothing of the
 tree reaches the driver or is broadcast whole.  Texts are split once and stored as
-compressed blocks of token numbers; each block deals its distinct tokens with their
+compressed blocks of token numbers, bucketed by block, so that only what a block is
+told moves to it; each block deals its distinct tokens with their
 counts by hash, and the sums go back to the blocks.  For each level a block deals its
 distinct contexts with their next tokens by the context's hash; each part sums them,
 tests its contexts and answers every block.  A context that may occur more than
@@ -32,6 +33,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -46,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kreditflow.llm.common import documents, id_text, iter_blocks, materialize
+from kreditflow.session import scratch_path
 
 MODULUS, HELD_OUT = 7, 2
 #: Times that a context, and a next token in it, must occur; P_MIN is a further least share of the training tokens.
@@ -54,6 +57,8 @@ P_MIN = 0.0
 DISCOUNT = 0.5
 #: Text of one block, and the pairs that one task sums at most.
 TEXT_BYTES, PART_PAIRS = 8 << 20, 1_000_000
+#: Buckets of the stored texts; Spark allows no more.
+MOST_BUCKETS = 100_000
 #: A context that may occur more often than this is summed in that many parts more.
 SALT_AT = 1 << 20
 #: The first levels are walked from the texts each time; later ones are stored with the tokens that the next REACH of them look at.
@@ -561,16 +566,19 @@ class Tree:
         self.answers: list[DataFrame] = []
         self.depth, self.state = 0, None
 
-    def walks(self, level: int, state: DataFrame | None):
-        """Rows by block to walk to a level: from the texts, or from a walk stored two levels before."""
-        return _together([self.blocks, self.known, *self.answers[:level]] if state is None else [state, *self.answers[level - 1 : level]])
+    def walked(self, level: int, state: DataFrame | None, run, schema: str) -> DataFrame:
+        """``run`` over all that a block needs to walk to a level: from its texts, which stay where they are, or from a walk stored two levels before."""
+        if state is not None:
+            return _together([state, *self.answers[level - 1 : level]]).applyInArrow(run, schema)
+        told = _together([self.known, *self.answers[:level]])
+        return self.blocks.groupBy("block").cogroup(told).applyInArrow(lambda texts, rows: run(pa.concat_tables([texts, rows])), schema)
 
     def scores(self) -> DataFrame:
-        return self.walks(self.depth, self.state).applyInArrow(_score(self.n, self.v, self.depth, self.limits), SCORED)
+        return self.walked(self.depth, self.state, _score(self.n, self.v, self.depth, self.limits), SCORED)
 
     def contexts(self) -> DataFrame:
         """(level, context, suffix, symbol, n, total, rest): a row for each kept context, and for each next token of its own; level 0 is the root."""
-        return self.walks(self.depth, None).applyInArrow(_tell(self.n, self.v, self.depth, self.limits), TOLD).dropDuplicates(["level", "context", "symbol"])
+        return self.walked(self.depth, None, _tell(self.n, self.v, self.depth, self.limits), TOLD).dropDuplicates(["level", "context", "symbol"])
 
     # The tree as arrays, to look at a small one; scoring doesn't use them.
     @cached_property
@@ -625,13 +633,22 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """A shared table in buckets of blocks, so that no level shuffles it; its name leaves the catalog at once, its files stay."""
+    spark, table = df.sparkSession, f"suffix_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").option("path", scratch_path(spark, f"llm-{name}")).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def learn(blocks: DataFrame, known: DataFrame, n: int, v: int, depth: int | None = None, limits: Limits = Limits()) -> Tree:
     """The tree; ``known`` gives each block the training counts of its tokens, n is the sum and v the number of all tokens'."""
     tree, least = Tree(blocks, known, n, v, limits), max(MIN_COUNT, P_MIN * n)
     parts = max(1, math.ceil(n * MODULUS / (MODULUS - 1) / limits.part_pairs))
     for d in count(1) if depth is None else range(1, depth + 1):
         again = d <= limits.from_texts or (d - limits.from_texts - 1) % limits.reach == 0
-        walked = tree.walks(d - 1, None if again else tree.state).applyInArrow(_deal(n, v, d, parts, limits), PACKED)
+        walked = tree.walked(d - 1, None if again else tree.state, _deal(n, v, d, parts, limits), PACKED)
         if d > limits.from_texts:
             walked = _stored(walked, f"suffix-walk{d}")
             tree.state = walked.filter("kind = 'state'")
@@ -683,7 +700,9 @@ def _tell(n: int, v: int, depth: int, limits: Limits):
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, limits: Limits = Limits()) -> DataFrame:
     """Learn from the documents that aren't held out, and score all; contexts of any length unless ``depth`` ends them."""
-    blocks = _stored(id_text(docs, id_col, text_col).mapInArrow(_number, PACKED), "suffix-blocks")
+    texts = id_text(docs, id_col, text_col)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0  # one number
+    blocks = _bucketed(texts.mapInArrow(_number, PACKED), "suffix-blocks", min(MOST_BUCKETS, max(1, size // TEXT_BYTES)))
     parts = max(1, blocks.count())
     added = _stored(blocks.mapInArrow(_deal_words(parts), PACKED).groupBy("part").applyInArrow(_add_words(parts), ADDED), "suffix-words")
     sums = added.filter("kind = 'sum'").agg(F.sum("total").alias("n"), F.sum("m").alias("v")).collect()[0]  # two numbers
