@@ -15,13 +15,16 @@ with e_k the coefficients of the polynomial prod (z_f + o_f t) over the other
 m-1 features.  One walk down each tree keeps the polynomial of the path so far
 for all rows at once: a split extends it by its factor; a split on a feature of
 the path first unwinds that feature's factor; leaves below share what was built
-above them.  At a leaf, each feature's factor is divided out once.  Summing over
+above them.  At a leaf, each feature's factor is divided out once.  The shares of
+the leaves of a small subtree depend on the outcomes of its splits and of those
+above it alone, so they are worked out once for every combination of outcomes
+(``tabulated``), and a row takes one table row for each subtree.  Summing over
 leaves and trees (scaled by 2 * tree weight, the GBT log-odds scale) gives the
 attribution of every feature; the base value is the cover-weighted mean of the
 leaves.  So the result is exact and additive: base + sum(phi) = 2F(x).
 
-The node tables are read from the saved model (small: trees x 2^depth rows) and
-broadcast; whole rows stream through ``mapInArrow`` as a struct and come back
+The node tables are read from the saved model (small: trees x 2^depth rows), and
+the tables of shares are broadcast (0.2 MB for a tree of depth 6); whole rows stream through ``mapInArrow`` as a struct and come back
 with their numbers, so nothing is joined.
 """
 
@@ -97,38 +100,114 @@ def _unwound(poly: np.ndarray, z: float, o: np.ndarray) -> np.ndarray:
     return np.where(o > 0, out, poly[:-1] / z)
 
 
-def shap_values(x: np.ndarray, trees: list[Node], weights: list[float]) -> tuple[np.ndarray, float]:
-    """Attributions (n x p) on the log-odds scale and the base value."""
-    n, p = x.shape
-    phi = np.zeros((p, n))
-    base = 0.0
-    ones = np.ones((1, n))
-    for root, w in zip(trees, weights, strict=True):
-        scale = 2.0 * w
+def _step(node: Node, left: bool, goes: np.ndarray, path: dict[int, tuple[float, np.ndarray]], poly: np.ndarray) -> tuple[dict[int, tuple[float, np.ndarray]], np.ndarray]:
+    """Path and polynomial below one side of a split; ``goes`` is 1 for rows that go left."""
+    z, o = (node.ratio, goes) if left else (1.0 - node.ratio, 1.0 - goes)
+    below = {k: v for k, v in path.items() if k != node.feature}
+    rest = poly
+    if node.feature in path:
+        before, met = path[node.feature]
+        z, o = z * before, o * met
+        rest = _unwound(poly, before, met) if before > 0 else reduce(lambda q, t: _extended(q, *t), below.values(), np.ones((1, poly.shape[1])))
+    below[node.feature] = (z, o)
+    return below, _extended(rest, z, o)
+
+
+#: Height of the subtrees whose splits are tabulated together; most splits of one table.
+CUT_HEIGHT, TABLE_BITS = 2, 12
+
+
+@dataclass
+class Cut:
+    """A subtree with the splits above it: its leaves' shares depend on the outcomes of ``splits`` alone.
+
+    ``table`` holds a row of shares (one for each feature) for every combination of outcomes, the outcome of the
+    i-th split in bit i; None where the splits are too many, so that the subtree is walked for the rows themselves.
+    """
+
+    above: list[tuple[Node, bool]]
+    node: Node
+    splits: list[Node]
+    scale: float
+    table: np.ndarray | None = None
+
+    def shares(self, goes: list[np.ndarray], p: int) -> np.ndarray:
+        """Shares (p x n) of the cut's leaves for n rows with these outcomes of the splits (1: left)."""
+        n = len(goes[0]) if goes else 1
+        phi = np.zeros((p, n))
+        at = {id(s): g for s, g in zip(self.splits, goes, strict=True)}
 
         def walk(node: Node, path: dict[int, tuple[float, np.ndarray]], poly: np.ndarray) -> None:
-            nonlocal base
             if node.left is None:
-                value = scale * node.value
-                base += value * float(np.prod([z for z, _ in path.values()]))
                 for f, (z, o) in path.items():
                     # without cover and without o the factor is nothing, and neither is its share
                     others = _unwound(poly, z, o) if z > 0 else poly[1:]
-                    phi[f] += value * (o - z) * (_weights(len(path)) @ others)
+                    phi[f] += self.scale * node.value * (o - z) * (_weights(len(path)) @ others)
                 return
-            goes = (x[:, node.feature] <= node.threshold).astype(np.float64)
-            for child, ratio, o in ((node.left, node.ratio, goes), (node.right, 1.0 - node.ratio, 1.0 - goes)):
-                z, own, below = ratio, o, {k: v for k, v in path.items() if k != node.feature}
-                rest = poly
-                if node.feature in path:
-                    before, met = path[node.feature]
-                    z, own = ratio * before, o * met
-                    rest = _unwound(poly, before, met) if before > 0 else reduce(lambda q, t: _extended(q, *t), below.values(), ones)
-                below[node.feature] = (z, own)
-                walk(child, below, _extended(rest, z, own))
+            for child, left in ((node.left, True), (node.right, False)):
+                walk(child, *_step(node, left, at[id(node)], path, poly))
+
+        path, poly = {}, np.ones((1, n))
+        for split, left in self.above:
+            path, poly = _step(split, left, at[id(split)], path, poly)
+        walk(self.node, path, poly)
+        return phi
 
-        walk(root, {}, ones)
-    return phi.T.copy(), base
+
+def _splits(node: Node) -> list[Node]:
+    return [] if node.left is None else [node, *_splits(node.left), *_splits(node.right)]
+
+
+def _height(node: Node) -> int:
+    return 0 if node.left is None else 1 + max(_height(node.left), _height(node.right))
+
+
+def tabulated(trees: list[Node], weights: list[float], p: int) -> list[Cut]:
+    """The trees cut into subtrees with their tables: made once for a model, whatever the number of rows.
+
+    A tree of depth 6 has at most 16 tables of 128 rows."""
+    cuts = []
+
+    def cut(node: Node, above: list[tuple[Node, bool]], scale: float) -> None:
+        if _height(node) > CUT_HEIGHT:
+            cut(node.left, [*above, (node, True)], scale)
+            cut(node.right, [*above, (node, False)], scale)
+        elif above or node.left is not None:  # a lone leaf has no shares
+            c = Cut(above, node, [s for s, _ in above] + _splits(node), scale)
+            if len(c.splits) <= TABLE_BITS:
+                outcomes = np.arange(1 << len(c.splits))
+                c.table = np.ascontiguousarray(c.shares([(outcomes >> i & 1).astype(np.float64) for i in range(len(c.splits))], p).T)
+            cuts.append(c)
+
+    for root, w in zip(trees, weights, strict=True):
+        cut(root, [], 2.0 * w)
+    return cuts
+
+
+def looked_up(x: np.ndarray, cuts: list[Cut]) -> np.ndarray:
+    """Attributions (n x p) on the log-odds scale: the sum of a row of every table."""
+    phi, found = np.zeros(x.shape), np.empty(x.shape)
+    columns = np.asfortranarray(x)
+    goes: dict[int, np.ndarray] = {}
+    for c in cuts:
+        if id(c.splits[0]) not in goes:  # the next tree
+            goes = {}
+        for s in c.splits:
+            if id(s) not in goes:
+                goes[id(s)] = columns[:, s.feature] <= s.threshold
+        if c.table is None:
+            phi += c.shares([goes[id(s)].astype(np.float64) for s in c.splits], x.shape[1]).T
+            continue
+        at = np.zeros(len(x), np.intp)
+        for i, s in enumerate(c.splits):
+            at |= goes[id(s)].astype(np.intp) << i
+        phi += np.take(c.table, at, axis=0, out=found, mode="clip")
+    return phi
+
+
+def shap_values(x: np.ndarray, trees: list[Node], weights: list[float]) -> tuple[np.ndarray, float]:
+    """Attributions (n x p) on the log-odds scale and the base value."""
+    return looked_up(x, tabulated(trees, weights, x.shape[1])), base_value(trees, weights)
 
 
 #: Rows of one step of a task.
@@ -142,15 +221,15 @@ def attribute(df: DataFrame, model_cols: list[str], trees: list[Node], weights:
     adds lists of numbers, of which Spark builds the structs.
     """
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((trees, weights))
+    bc = spark.sparkContext.broadcast(tabulated(trees, weights, len(model_cols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tr, ws = bc.value
+        cuts = bc.value
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 b = batch.slice(at, STEP_ROWS)
                 x = np.column_stack([b.column(1 + j).to_numpy(zero_copy_only=False) for j in range(b.num_columns - 1)]).astype(float)
-                phi, _ = shap_values(x, tr, ws)
+                phi = looked_up(x, cuts)
                 ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(m).reshape(-1))) for m in (phi, x)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["row", "phi", "x"])

@@ -167,3 +167,23 @@ def test_search_goes_on_where_it_was_broken_off(spark, monkeypatch):
     assert len(boosted) == 2 and sorted(rows) == [0, 1, 2, 3] and all(rows[r.trial] == r for r in first)
     assert best.validation_auc == max(r.validation_auc for r in rows.values())
     assert best.model.stages[-1].getNumTrees == best.params["max_iter"] <= 5
+
+
+def test_shares_are_worked_out_once_for_a_model_not_for_its_rows(monkeypatch):
+    """Rows are looked up in tables; subtrees below more splits than a table takes are walked, with the same shares."""
+    rnd = np.random.default_rng(5)
+    trees, weights = [grown(rnd, 6, 3) for _ in range(4)], [1.0, 0.1, 0.1, 0.1]
+    chain = TS.Node(value=0.7)
+    for i in range(TS.TABLE_BITS + 3):
+        chain = TS.Node(0.0, i % 3, float(rnd.random()), TS.Node(value=float(rnd.normal())), chain, 0.5)
+    deep = TS.tabulated([chain], [1.0], 3)
+    assert any(c.table is None for c in deep) and any(c.table is not None for c in deep)
+    x = rnd.random((50, 3))
+    for r, got in zip(x, TS.looked_up(x, deep)):
+        assert np.allclose(got, brute(r, [chain], [1.0], 3), atol=1e-10)
+    cuts = TS.tabulated(trees, weights, 3)
+    assert all(len(c.table) <= 128 for c in cuts)
+    monkeypatch.setattr(TS, "_unwound", None)
+    monkeypatch.setattr(TS, "_extended", None)
+    for r, got in zip(x, TS.looked_up(x, cuts)):
+        assert np.allclose(got, brute(r, trees, weights, 3), atol=1e-10)
