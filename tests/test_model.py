@@ -187,3 +187,22 @@ def test_shares_are_worked_out_once_for_a_model_not_for_its_rows(monkeypatch):
     monkeypatch.setattr(TS, "_extended", None)
     for r, got in zip(x, TS.looked_up(x, cuts)):
         assert np.allclose(got, brute(r, trees, weights, 3), atol=1e-10)
+
+
+def test_boosting_is_repeated_once_at_most_on_tasks_of_a_useful_size(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from kreditflow.operators import clean as C
+    from kreditflow.plans import model as M
+
+    clean = C.clean_loans(spark, "/root/testdata/sf0.001").checkpoint(eager=True)
+    pre = M.fit_preprocessor(clean)
+    rows = M.assembled(pre, clean, "test_small")
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == clean.count()
+    monkeypatch.setattr(M, "ROWS_A_TASK", 10)
+    assert M.dealt(clean, clean.count()).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(M, "FIRST_TREES", 2)
+    tried, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: tried.append(self.getMaxIter()) or fit(self, *a))
+    got = M.boost(rows, rows, M.gbt(max_depth=2, max_iter=9), patience=1)  # the loss on its own rows falls on
+    assert tried == [2, 9] and len(got.losses) == 9
