@@ -197,12 +197,17 @@ def test_boosting_is_repeated_once_at_most_on_tasks_of_a_useful_size(spark, monk
 
     clean = C.clean_loans(spark, "/root/testdata/sf0.001").checkpoint(eager=True)
     pre = M.fit_preprocessor(clean)
-    rows = M.assembled(pre, clean, "test_small")
+    rows = M.assembled(pre, clean, "test_small", M.few_tasks(clean))
     assert rows.rdd.getNumPartitions() == 1 and rows.count() == clean.count()
     monkeypatch.setattr(M, "ROWS_A_TASK", 10)
-    assert M.dealt(clean, clean.count()).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert M.few_tasks(clean) == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(M, "FIRST_TREES", 2)
     tried, fit = [], GBTClassifier.fit
     monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: tried.append(self.getMaxIter()) or fit(self, *a))
     got = M.boost(rows, rows, M.gbt(max_depth=2, max_iter=9), patience=1)  # the loss on its own rows falls on
     assert tried == [2, 9] and len(got.losses) == 9
+    # where the rule ends inside the second fit, kept trees and curve are those of fits of 2, 4 and 8 trees
+    falling = [9.0, 8.0, 7.0, 6.0, 5.0, 6.0, 6.0, 6.0, 6.0]
+    monkeypatch.setattr(M.GBTClassificationModel, "evaluateEachIteration", lambda self, _: falling[: self.getNumTrees])
+    got = M.boost(rows, rows, M.gbt(max_depth=2, max_iter=9), patience=1)
+    assert tried == [2, 9, 2, 9] and got.trees == got.model.getNumTrees == 5 and got.losses == falling[:8]
