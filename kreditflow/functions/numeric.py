@@ -40,7 +40,10 @@ def text(s: str) -> str:
 
 @lru_cache(maxsize=None)
 def _rounding(places: int) -> str:
-    """The rounding of one value as a lambda."""
+    """The rounding of one value as a lambda.
+
+    Where the scaled value does not end in exactly a half, the nearest whole number is right as it is.
+    """
     m = 10.0**places
     m_hi = (_SPLIT * m) - ((_SPLIT * m) - m)
     m_lo = m - m_hi
@@ -51,11 +54,13 @@ def _rounding(places: int) -> str:
     if m_lo:
         error = f"((({high} * {double(m_hi)} - {y}) + {high} * {double(m_lo)} + {low} * {double(m_hi)}) + {low} * {double(m_lo)})"
     whole = f"CAST(floor({y}) AS DOUBLE)"
-    above = f"({y} - {whole} - 0.5D)"
     odd = f"({whole} - floor({whole} / 2D) * 2D <> 0D)"
-    up = f"{above} > 0D OR ({above} = 0D AND ({error} > 0D OR ({error} = 0D AND {odd})))"
+    up = f"{error} > 0D OR ({error} = 0D AND {odd})"
     # beyond 2^52 / m a double has no such digits
-    return f"v -> CASE WHEN v IS NULL THEN CAST(NULL AS DOUBLE) WHEN isnan(v) OR abs({y}) >= {double(2.0**52)} THEN v ELSE ({whole} + CASE WHEN {up} THEN 1D ELSE 0D END) / {double(m)} END"
+    return (
+        f"v -> CASE WHEN v IS NULL THEN CAST(NULL AS DOUBLE) WHEN isnan(v) OR abs({y}) >= {double(2.0**52)} THEN v "
+        f"WHEN {y} - floor({y}) <> 0.5D THEN (rint({y}) + 0D) / {double(m)} ELSE ({whole} + CASE WHEN {up} THEN 1D ELSE 0D END) / {double(m)} END"
+    )
 
 
 def given(value: Column, body: str) -> Column:
@@ -73,3 +78,13 @@ def pround(x: Column | str, places: int = 0) -> Column:
 def pround_sql(x: str, places: int = 0) -> str:
     """``pround`` of SQL text as SQL text."""
     return f"get(transform(array(CAST({x} AS DOUBLE)), {_rounding(places)}), 0)"
+
+
+def pround_plain(x: str, places: int = 0) -> str:
+    """``pround_sql`` of a short double ``x``, which is repeated in the text: compiled with its projection, and folded where ``x``
+    is constant.  Only halves, missing values and those beyond all digits take the lambda."""
+    m = double(10.0**places)
+    return (
+        f"CASE WHEN {x} * {m} - floor({x} * {m}) <> 0.5D AND abs({x} * {m}) < {double(2.0**52)} "
+        f"THEN (rint({x} * {m}) + 0D) / {m} ELSE {pround_sql(x, places)} END"
+    )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kreditflow.functions.numeric import pround
+from kreditflow.functions.numeric import double, pround, pround_plain
 
 from kreditflow import constants as K
 
@@ -22,9 +22,10 @@ def monthly_payment(amount: Column, apr: Column, term_months: Column) -> Column:
 
 
 def offer_payment(label: str) -> Column:
-    """Payment of a fixed offer (constant-folded by Catalyst)."""
+    """Payment of a fixed offer (constant-folded by Catalyst, which folds no lambda)."""
     _, amount, term, apr = OFFER_BY_LABEL[label]
-    return monthly_payment(F.lit(float(amount)), F.lit(apr), F.lit(float(term)))
+    r = f"{double(apr)} / 12"
+    return F.expr(pround_plain(f"({double(amount)} * ({r}) / (1 - pow(1 + {r}, -{double(term)})))", 2))
 
 
 def _by_label(label: Column, value_of) -> Column:

@@ -15,7 +15,7 @@ from kreditflow.functions.numeric import pround
 
 from kreditflow import constants as K
 from kreditflow.functions import offers as OF
-from kreditflow.functions.distance import distance_score
+from kreditflow.functions.distance import distance_of, distance_total
 from kreditflow.functions.text import min_plan, selected_reason
 from kreditflow.functions.validation import is_valid, validation_errors
 from kreditflow.operators import budget as B
@@ -55,7 +55,8 @@ def core_columns(df: DataFrame, prob_col: str, model_version: Column) -> DataFra
     p, tcol = F.col(prob_col), F.col("tier")
     out = df.withColumn("model_version", model_version)
     out = out.withColumn("valid", F.col("model_version").isNotNull() & is_valid(df))
-    out = out.withColumn("distance_score", F.when(F.col("valid") & (p < K.APPROVAL_THRESHOLD), distance_score()))
+    out = out.withColumn("_total", distance_total())  # a column of its own, so that it is compiled
+    out = out.withColumn("distance_score", F.when(F.col("valid") & (p < K.APPROVAL_THRESHOLD), distance_of("_total"))).drop("_total")
     out = out.withColumn("tier", F.when(~F.col("valid"), F.lit(0)).otherwise(tier(p, F.col("distance_score"))))
     offer = F.when(tcol.isin(1, 2), OF.select_offer(tcol, p, F.col("distance_score"), F.col("annual_inc"), F.col("dti"))).when(tcol == 3, F.lit("A"))
     decision = (
@@ -82,15 +83,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def decide_rows(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column, model_version: Column) -> DataFrame:
+def decide_rows(df: DataFrame, prob_col: str, attr: str | Column, base_logit: Column, model_version: Column) -> DataFrame:
     """Per-row part of DEC-10: validation, tier, offer, narrative, reasons.
 
     The core columns are stored once; offers' terms, narrative and reasons are
     derived from them, and only for the rows and columns that a query reads.
-    ``attr_col`` holds the attributions on the raw log-odds scale.  Tier-3 rows
+    ``attr`` holds the attributions on the raw log-odds scale: a column's name, or
+    an expression of the stored columns, which then is not stored.  Tier-3 rows
     get ``decision = 'PENDING'`` until the budget runs.
     """
     out = store(core_columns(df, prob_col, model_version).withColumn(ROW, F.monotonically_increasing_id()), "decision_core")
+    attr_col = attr if isinstance(attr, str) else "attr"
+    if not isinstance(attr, str):
+        out = out.withColumn(attr_col, attr)
     has_model, tcol = F.col("model_version").isNotNull(), F.col("tier")
     has_offer = F.col("offer_tier").isNotNull()
     out = add_narrative(out, attr_col, base_logit, when=F.col("valid"))
@@ -136,9 +141,9 @@ def apply_budget(decided: DataFrame, budget: float = K.DEFAULT_POOL_BUDGET) -> D
     return rest.unionByName(t3).drop(ROW)
 
 
-def decide(df: DataFrame, prob_col: str, attr_col: str, base_logit: Column, model_version: Column, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
+def decide(df: DataFrame, prob_col: str, attr: str | Column, base_logit: Column, model_version: Column, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:
     """DEC-10: the full decision for a batch of applicants."""
-    return apply_budget(decide_rows(df, prob_col, attr_col, base_logit, model_version), budget)
+    return apply_budget(decide_rows(df, prob_col, attr, base_logit, model_version), budget)
 
 
 LOG_FLOAT_PROFILE = ["dti", "revol_util", "pub_rec", "annual_inc", "emp_length", "open_acc", "mort_acc", "credit_history_years", "revol_bal"]

@@ -15,16 +15,14 @@ SURROGATE_VERSION = "surrogate-linear-1"
 
 
 def surrogate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applicants with the surrogate score and its exact attributions."""
-    return C.applicants(spark, sf_dir).withColumns(
-        {"repay_prob": C.surrogate_prob(), "attr": C.surrogate_attributions()}
-    )
+    """Applicants with the surrogate score."""
+    return C.applicants(spark, sf_dir).withColumn("repay_prob", C.surrogate_prob())
 
 
 def surrogate_decision_rows(spark: SparkSession, sf_dir: str, model_version: str | None = SURROGATE_VERSION) -> DataFrame:
-    """DEC-10 without the budget step (tier-3 rows PENDING)."""
+    """DEC-10 without the budget step (tier-3 rows PENDING); the score's exact attributions are derived from the stored columns."""
     mv = F.lit(model_version) if model_version else F.lit(None).cast("string")
-    return D.decide_rows(surrogate_inputs(spark, sf_dir), "repay_prob", "attr", F.lit(C.surrogate_base_logit()), mv)
+    return D.decide_rows(surrogate_inputs(spark, sf_dir), "repay_prob", C.surrogate_attributions(), F.lit(C.surrogate_base_logit()), mv)
 
 
 def surrogate_decisions(spark: SparkSession, sf_dir: str, budget: float = K.DEFAULT_POOL_BUDGET) -> DataFrame:

@@ -42,8 +42,7 @@ def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: V
     if log.has(batch_id):  # replay of a committed batch
         return
     rows = D.decide_rows(
-        batch.withColumns({"repay_prob": C.surrogate_prob(), "attr": C.surrogate_attributions()}),
-        "repay_prob", "attr", F.lit(C.surrogate_base_logit()), F.lit("surrogate-linear-1"),
+        batch.withColumn("repay_prob", C.surrogate_prob()), "repay_prob", C.surrogate_attributions(), F.lit(C.surrogate_base_logit()), F.lit("surrogate-linear-1"),
     )
     pending = F.col("decision") == "PENDING"
     # what the batches before this one have spent: the newest earlier version holds every pool
