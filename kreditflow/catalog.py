@@ -862,11 +862,11 @@ def str_01_stream_decisions(spark, sf):
     from kreditflow.streaming import decisions as SD
 
     src, out, ckpt = (scratch_path(spark, f"stream_{n}") for n in ("applications", "log", "checkpoint"))
-    apps = D.store(C.applicants(spark, sf), "stream_apps")
-    log = None
-    for r in apps.select(F.year("decided_at").alias("y")).distinct().orderBy("y").collect():  # a handful of years
+    apps = SD.applications_by_year(C.applicants(spark, sf))
+    schema, log = apps.drop(SD.YEAR).schema, None
+    for r in apps.select(F.col(SD.YEAR).alias("y")).distinct().orderBy("y").collect():  # a handful of years
         SD.stage_applications(apps, src, r["y"])
-        log = SD.stream_decisions(spark, src, apps.schema, out, ckpt)
+        log = SD.stream_decisions(spark, src, schema, out, ckpt)
     return log.read().select(*LOG_COLS, "commit_version")
 
 

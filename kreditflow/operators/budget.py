@@ -48,6 +48,10 @@ from kreditflow import constants as K
 from kreditflow.operators.ordered import BUCKET, prefix_sum, range_buckets
 
 
+#: Requests of a range of the rounds, at least; there are at most as many ranges as shuffle partitions.
+ROWS_A_RANGE = 10_000
+
+
 def approve_in_order(
     requests: DataFrame,
     budget: float = K.DEFAULT_POOL_BUDGET,
@@ -62,7 +66,8 @@ def approve_in_order(
     ``order_cols`` must tell all rows of a pool apart."""
     order = list(order_cols)
     pos = F.struct(*[F.col(c) for c in order])
-    rows = range_buckets(requests, [pool_col], order).withColumn("_pos", pos)
+    most = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = range_buckets(requests, [pool_col], order, max(1, min(most, -(-requests.count() // ROWS_A_RANGE)))).withColumn("_pos", pos)
     spent = rows.sparkSession.createDataFrame([], f"{pool_col} {requests.schema[pool_col].dataType.simpleString()}, _spent double")
     if initial_spent is not None:  # carried over from earlier batches (streaming)
         spent = initial_spent.select(pool_col, F.col("_spent0").cast("double").alias("_spent"))

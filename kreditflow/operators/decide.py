@@ -76,10 +76,12 @@ def core_columns(df: DataFrame, prob_col: str, model_version: Column) -> DataFra
     )
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: later plans hold columns instead of expression trees."""
+def store(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: later plans hold columns instead of expression trees.
+
+    With ``by``, the last column, a filter on it reads the files of its values only."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

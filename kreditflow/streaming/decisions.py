@@ -33,9 +33,23 @@ from kreditflow.sources.decision_log import VersionedTable
 # --------------------------------------------------------------------- STR-01
 
 
+#: Year of the decision, by which the applications are stored before they are staged.
+YEAR = "_year"
+
+
+def applications_by_year(apps: DataFrame) -> DataFrame:
+    """The applications stored once, with their year, so that staging one reads no other."""
+    return D.store(apps.withColumn(YEAR, F.year("decided_at")), "stream_apps", by=YEAR)
+
+
+def of_year(apps: DataFrame, year: int) -> DataFrame:
+    """One year's applications, by the stored year where there is one."""
+    return apps.filter((F.col(YEAR) if YEAR in apps.columns else F.year("decided_at")) == year).drop(YEAR)
+
+
 def stage_applications(apps: DataFrame, path: str, year: int) -> None:
     """Write one year's applications, over as many files as there are, for the stream to find."""
-    apps.filter(F.year("decided_at") == year).write.mode("append").parquet(path)
+    of_year(apps, year).write.mode("append").parquet(path)
 
 
 def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: VersionedTable, budget: float) -> None:
@@ -52,6 +66,7 @@ def _decide_batch(batch: DataFrame, batch_id: int, log: VersionedTable, state: V
         spent = state.read(newest).filter(F.col("commit_version") == newest).select("pool_id", F.col("spent").alias("_spent0"))
     t3 = rows.filter(pending)
     res = B.approve_in_order(t3.select("pool_id", *D.ARRIVAL, "trial_amount"), budget=budget, order_cols=D.ARRIVAL, initial_spent=spent)
+    res = D.store(res.select("pool_id", *D.ARRIVAL, "budget_status", "budget_remaining"), "batch_budget")  # for the state and for the log
     last = res.groupBy("pool_id").agg(F.max_by(F.lit(budget) - F.col("budget_remaining"), F.struct(*D.ARRIVAL)).alias("spent"))
     if spent is not None:
         carried = spent.join(last.select("pool_id"), "pool_id", "left_anti").select("pool_id", F.col("_spent0").alias("spent"))

@@ -149,3 +149,18 @@ def test_decisions_keep_rows_without_or_with_repeated_ids(spark):
     assert len(got) == twice.count() == 12
     assert Counter(r.decision for r in got) == {"APPROVED": 3, "WAITLISTED": 9}
     assert sorted(r.budget_remaining for r in got if r.decision == "APPROVED") == [100.0, 400.0, 700.0]
+
+
+def test_ranges_follow_the_number_of_requests(spark, monkeypatch):
+    """A small batch is one range and a large one as many as there are partitions; the outcome is the same."""
+    rnd = random.Random(11)
+    rows = [(rnd.randrange(3), dt.datetime(2020, 1, 1) + dt.timedelta(days=rnd.randrange(9)), i, rnd.choice([300.0, 400.0, 500.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "pool_id int, decided_at timestamp_ntz, loan_id long, trial_amount double")
+    asked, plain = [], B.range_buckets
+    monkeypatch.setattr(B, "range_buckets", lambda rows, group, order, n=None: asked.append(n) or plain(rows, group, order, n))
+    for size in (B.ROWS_A_RANGE, 100, 1):
+        monkeypatch.setattr(B, "ROWS_A_RANGE", size)
+        got = {r.loan_id: (r.budget_status, r.budget_remaining) for r in B.approve_in_order(df, budget=9000.0).collect()}
+        assert got == sequential(rows, 9000.0)
+    assert B.approve_in_order(df.limit(0)).count() == 0
+    assert asked == [1, 3, int(spark.conf.get("spark.sql.shuffle.partitions")), 1]

@@ -1,9 +1,13 @@
 """Streams equal their batch forms."""
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from kreditflow.catalog import budget_events, queries
 from kreditflow.operators import budget as B
+from kreditflow.operators import clean as C
 from kreditflow.session import scratch_path
+from kreditflow.sources.decision_log import VersionedTable
 from kreditflow.streaming import decisions as SD
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +72,31 @@ def test_version_as_of_is_prefix(spark):
     q = queries()
     v3 = q["src_10_version_as_of"](spark, SF)
     assert v3.agg(F.max("commit_version")).first()[0] <= 3
+
+
+def test_staging_a_year_reads_no_other(spark):
+    rows = [(i, None if i % 7 == 0 else dt.datetime(1993 + i % 3, 5, 1 + i % 9)) for i in range(40)]
+    apps = SD.applications_by_year(spark.createDataFrame(rows, "loan_id long, decided_at timestamp_ntz"))
+    for year in (1993, 1994, 1995):
+        one, path = SD.of_year(apps, year), scratch_path(spark, "one-year")
+        assert "PartitionFilters: [isnotnull(_year" in one._jdf.queryExecution().executedPlan().toString()
+        SD.stage_applications(apps, path, year)
+        got = spark.read.parquet(path)
+        assert got.columns == ["loan_id", "decided_at"]
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[1] and r[1].year == year)
+
+
+def test_a_batch_runs_its_budget_once(spark, monkeypatch):
+    """The state and the log read the stored outcome of the rounds."""
+    apps, plans, append = C.applicants(spark, SF), {}, VersionedTable.append
+    src, out, ckpt = (scratch_path(spark, f"once-{n}") for n in ("src", "log", "ckpt"))
+
+    def seen(self, df, **k):
+        plans[self.path.endswith("_budget_state")] = df._jdf.queryExecution().optimizedPlan().toString()
+        return append(self, df, **k)
+
+    monkeypatch.setattr(VersionedTable, "append", seen)
+    SD.stage_applications(apps, src, 1995)
+    log = SD.stream_decisions(spark, src, apps.schema, out, ckpt, budget=1200.0).read()
+    assert {r.decision for r in log.filter("tier = 3").select("decision").distinct().collect()} == {"APPROVED", "WAITLISTED"}
+    assert set(plans) == {True, False} and not any("Window" in p for p in plans.values())
