@@ -6,7 +6,8 @@ texts, so that copies don't push their terms out of it.  Its size has a
 bound that the data cannot exceed: the document frequencies sum to N times the
 mean number of distinct terms, and each kept one is at least N * exp(-high), so
 there are at most mean * exp(high) terms (about 150,000 for 300 distinct terms
-a document), whatever N is; only such a table is broadcast.  Every lexicon term
+a document), whatever N is; only such a table is broadcast, with the codes of the
+terms too frequent for the band, which the same bound counts in.  Every lexicon term
 belongs at random (by hash) to lexicon subsets of falling density.  A text's
 sorted distinct lexicon terms are hashed once for each subset.  The same is done
 with all its distinct terms and OWN of the subsets, which speak for texts with few
@@ -63,8 +64,13 @@ def _code(term: Column) -> Column:
     return F.shiftleft(F.xxhash64(term).bitwiseAND(F.lit(2**31 - 1)), 32) + _mask(term)
 
 
-def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """(term, code) of the terms in the band; documents are counted over distinct texts."""
+def _outside(term: Column) -> Column:
+    """The code of a term outside the lexicon: it has the sign bit."""
+    return _code(term).bitwiseOR(F.lit(NO_ID))
+
+
+def known_terms(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+    """(term, code) of the terms in the band and, with the sign bit, of those too frequent for it; documents are counted over distinct texts."""
     hashed = texts.select("text", F.xxhash64("text").alias("h"))
     copies = materialize(hashed.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "imatch-copies")
     more = copies.agg(F.coalesce(F.sum(F.col("m") - 1), F.lit(0)).alias("n")).collect()[0]["n"]  # one number
@@ -74,18 +80,28 @@ def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame
     rows = hashed.select("text", F.lit(1).cast("long").alias("w")).unionByName(one.select("text", "w"))
     df = rows.select("w", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("w").alias("df"))
     idf = F.log(F.lit(float(total)) / F.col("df"))
-    kept = df.filter(idf.between(*band)).select("term")
-    return kept.select("term", _code(F.col("term")).alias("code"))
-
-
-def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame:
-    """``fp`` for each key: hashes of the subsets of the lexicon, then of the OWN subsets of all terms; null where a text has none of it."""
-    rows = texts.select(*keys, F.explode_outer(terms_of(F.col("text"))).alias("term"))
-    rows = rows.join(F.broadcast(lex), "term", "left")
-    # terms outside the lexicon have the sign bit
-    code = F.when(F.col("term").isNotNull(), F.coalesce("code", _code(F.col("term")).bitwiseOR(F.lit(NO_ID))))
-    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("every"))
-    got = got.select(*keys, "every", computed_once(F.filter("every", lambda c: c >= 0)).alias("inside"))
+    term = F.col("term")
+    return df.filter(idf <= band[1]).select("term", F.when(idf >= band[0], _code(term)).otherwise(_outside(term)).alias("code"))
+
+
+def lexicon(texts: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+    """(term, code) of the terms in the band alone."""
+    return known_terms(texts, band).filter("code >= 0")
+
+
+def fingerprints(texts: DataFrame, keys: list[str], known: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``fp`` for each key: hashes of the subsets of the lexicon, then of the OWN subsets of all terms; null where a text has none of it.
+
+    ``known`` is the lexicon, or ``known_terms``, which spares frequent terms the hashing of each occurrence.  Columns
+    of ``carry`` go with their key; only a text's first term takes them along, so that the grouped rows stay short.
+    """
+    rows = texts.select(*keys, *carry, F.posexplode_outer(terms_of(F.col("text"))).alias("at", "term"))
+    rows = rows.join(F.broadcast(known), "term", "left")
+    code = F.when(F.col("term").isNotNull(), F.coalesce("code", _outside(F.col("term"))))
+    # codes are columns before they are collected: the aggregate would interpret their expression for every term
+    rows = rows.select(*keys, code.alias("code"), *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).alias(c) for c in carry])
+    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("code")).alias("every"), *[F.max(c).alias(c) for c in carry])
+    got = got.select(*keys, *carry, "every", computed_once(F.filter("every", lambda c: c >= 0)).alias("inside"))
     # the sparse subsets look only at the terms that are in any of them
     lists = {"every": "every", "inside": "inside"}
     source = {(c, j): c for c in lists for j in range(SUBSETS + 1)}
@@ -102,7 +118,7 @@ def fingerprints(texts: DataFrame, keys: list[str], lex: DataFrame) -> DataFrame
         return F.transform(F.array(own), lambda a: F.when(F.size(a) > 0, low(F.xxhash64(a))))[0]
 
     places = [*(subset("inside", j) for j in range(SUBSETS + 1)), low(F.xxhash64("every")), *(subset("every", j) for j in OWN[1:])]
-    return got.select(*keys, F.array(*places).alias("fp"))
+    return got.select(*keys, *carry, F.array(*places).alias("fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -152,14 +168,14 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op5_imatch(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all ``documents`` and of their edited texts, and how alike they are."""
     docs = documents(spark, sf_dir)
-    lex = materialize(lexicon(id_text(docs)), "imatch-lexicon")
+    known = materialize(known_terms(id_text(docs)), "imatch-lexicon")
     whole, links = with_edited(docs)
     both = F.array(
         F.struct(F.lit(0).alias("which"), F.col("text").alias("t"), F.lit(None).cast("string").alias("sha")),
         F.struct(F.lit(1).alias("which"), F.col("edited").alias("t"), F.sha2("edited", 256).alias("sha")),
     )
     texts = whole.select("k", "h", F.explode(both).alias("e")).select("k", "h", "e.which", "e.sha", F.col("e.t").alias("text"))
-    fps = fingerprints(texts, ["k", "h", "which", "sha"], lex)
+    fps = fingerprints(texts, ["k", "h", "which"], known, carry=("sha",))
     pair = fps.groupBy("k", "h").agg(
         F.max("sha").alias("edited_sha256"),
         F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"),

@@ -179,6 +179,24 @@ def test_fingerprints_and_likeness_equal_direct_computation(spark):
     assert Counter(like) == Counter(plain)
 
 
+def test_fingerprints_with_known_terms_equal_direct_computation(spark):
+    """Terms too frequent for the band are looked up too; what goes with a key stays with it, and codes are hashed before they are collected."""
+    rng = random.Random(21)
+    often = [f"often{i}" for i in range(5)]  # in every text of words, so outside the band
+    texts = [" ".join([*often, *(f"w{rng.randint(0, 300)}" for _ in range(rng.randint(1, 40)))]) for _ in range(120)] + ["", "...", "only", "once again", "once again"]
+    docs = spark.createDataFrame([(i, t, f"c{i}") for i, t in enumerate(texts)], "doc_id long, text string, own string")
+    known = {r.term: r.code for r in I.known_terms(docs).collect()}
+    inside = {r.term: r.code for r in I.lexicon(docs).collect()}
+    assert {t: c for t, c in known.items() if c >= 0} == inside
+    assert {t for t, c in known.items() if c < 0} >= set(often)
+    fps = I.fingerprints(docs, ["doc_id"], I.known_terms(docs), carry=("own",))
+    got = {r.doc_id: r for r in fps.collect()}
+    assert [list(got[i].fp) for i in range(len(texts))] == brute_prints(texts)
+    assert all(got[i].own == f"c{i}" for i in range(len(texts)))
+    plan = fps._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(code#" in plan
+
+
 def test_fingerprints_do_not_switch_with_the_number_of_lexicon_terms(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
