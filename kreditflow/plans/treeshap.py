@@ -31,7 +31,7 @@ with their numbers, so nothing is joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 from math import factorial
 
@@ -121,8 +121,9 @@ CUT_HEIGHT, TABLE_BITS = 2, 12
 class Cut:
     """A subtree with the splits above it: its leaves' shares depend on the outcomes of ``splits`` alone.
 
-    ``table`` holds a row of shares (one for each feature) for every combination of outcomes, the outcome of the
-    i-th split in bit i; None where the splits are too many, so that the subtree is walked for the rows themselves.
+    ``table`` holds a row of shares (one for each of ``features``, those split on, in columns that lie together) for
+    every combination of outcomes, the outcome of the i-th split in bit i; None where the splits are too many, so that
+    the subtree is walked for the rows themselves.
     """
 
     above: list[tuple[Node, bool]]
@@ -130,6 +131,7 @@ class Cut:
     splits: list[Node]
     scale: float
     table: np.ndarray | None = None
+    features: list[int] = field(default_factory=list)
 
     def shares(self, goes: list[np.ndarray], p: int) -> np.ndarray:
         """Shares (p x n) of the cut's leaves for n rows with these outcomes of the splits (1: left)."""
@@ -176,7 +178,9 @@ def tabulated(trees: list[Node], weights: list[float], p: int) -> list[Cut]:
             c = Cut(above, node, [s for s, _ in above] + _splits(node), scale)
             if len(c.splits) <= TABLE_BITS:
                 outcomes = np.arange(1 << len(c.splits))
-                c.table = np.ascontiguousarray(c.shares([(outcomes >> i & 1).astype(np.float64) for i in range(len(c.splits))], p).T)
+                c.features = sorted({s.feature for s in c.splits})
+                shares = c.shares([(outcomes >> i & 1).astype(np.float64) for i in range(len(c.splits))], p)
+                c.table = np.asfortranarray(shares[c.features].T)
             cuts.append(c)
 
     for root, w in zip(trees, weights, strict=True):
@@ -185,8 +189,10 @@ def tabulated(trees: list[Node], weights: list[float], p: int) -> list[Cut]:
 
 
 def looked_up(x: np.ndarray, cuts: list[Cut]) -> np.ndarray:
-    """Attributions (n x p) on the log-odds scale: the sum of a row of every table."""
-    phi, found = np.zeros(x.shape), np.empty(x.shape)
+    """Attributions (n x p) on the log-odds scale: the sum of a row of every table.
+
+    Feature by feature, and only those that a table has; outcomes are gathered in the smallest numbers that hold them."""
+    phi, found = np.zeros(x.shape[::-1]), np.empty(len(x))
     columns = np.asfortranarray(x)
     goes: dict[int, np.ndarray] = {}
     for c in cuts:
@@ -194,15 +200,17 @@ def looked_up(x: np.ndarray, cuts: list[Cut]) -> np.ndarray:
             goes = {}
         for s in c.splits:
             if id(s) not in goes:
-                goes[id(s)] = columns[:, s.feature] <= s.threshold
+                goes[id(s)] = (columns[:, s.feature] <= s.threshold).view(np.uint8)
         if c.table is None:
-            phi += c.shares([goes[id(s)].astype(np.float64) for s in c.splits], x.shape[1]).T
+            phi += c.shares([goes[id(s)].astype(np.float64) for s in c.splits], x.shape[1])
             continue
-        at = np.zeros(len(x), np.intp)
+        at = np.zeros(len(x), np.uint8 if len(c.splits) <= 8 else np.uint16)
         for i, s in enumerate(c.splits):
-            at |= goes[id(s)].astype(np.intp) << i
-        phi += np.take(c.table, at, axis=0, out=found, mode="clip")
-    return phi
+            at |= goes[id(s)].astype(at.dtype, copy=False) << at.dtype.type(i)
+        row = at.astype(np.intp)
+        for j, f in enumerate(c.features):
+            phi[f] += np.take(c.table[:, j], row, out=found, mode="clip")
+    return phi.T
 
 
 def shap_values(x: np.ndarray, trees: list[Node], weights: list[float]) -> tuple[np.ndarray, float]:
@@ -211,7 +219,7 @@ def shap_values(x: np.ndarray, trees: list[Node], weights: list[float]) -> tuple
 
 
 #: Rows of one step of a task.
-STEP_ROWS = 4096
+STEP_ROWS = 16384
 
 
 def attribute(df: DataFrame, model_cols: list[str], trees: list[Node], weights: list[float]) -> DataFrame:
